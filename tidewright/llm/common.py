@@ -59,3 +59,10 @@ def slices(batches: Iterator, column: str, most: int = 4_000_000) -> Iterator:
             if b > a:
                 yield batch.slice(a, b - a)
 
+
+#: Bytes of words stay (A-Z lower-cased), all others turn into spaces.
+LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def words_of(text: bytes) -> list[bytes]:
+    return text.translate(LETTERS).split()

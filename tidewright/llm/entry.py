@@ -7,22 +7,57 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, simhash
+from . import decontaminate, line_dedup, packing, quality_rules, secrets, simhash, token_counts, toxicity, url_filter
 from .common import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digests(decontaminate.searched(docs, table(spark, sf_dir, "benchmark")))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scanned(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.judged(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "path", "rule", "verdict", F.round("trust", 12).alias("trust"), F.round("distrust", 12).alias("distrust"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~toxicity.in_fold("doc_id", 5, 0))
+    found = toxicity.scored(docs, toxicity.learned(docs, labels))
+    return found.select("doc_id", toxicity.in_fold("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_simhash": op7_simhash, "op10_quality_rules": op10_quality_rules}
+    return {f.__name__: f for f in (op1_token_counts, op3_line_dedup, op4_decontaminate, op5_secrets, op6_url_filter, op7_simhash, op8_toxicity, op9_packing, op10_quality_rules)}
 
 
 def _op10_sql() -> str:
