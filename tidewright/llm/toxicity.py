@@ -47,12 +47,24 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = 4, least_rows: int = 3, epochs: int = 12, rate: float = 0.05, l2: float = 2e-4, batch: int = 128, seed: int = 5) -> Machine:
-    """A machine over the terms that `least_rows` rows have."""
+def _telling(rows: list[np.ndarray], labels: np.ndarray, least_rows: int, least_chi2: float) -> np.ndarray:
+    """Which hashed terms go with the label, or against it, beyond chance."""
+    flat = np.concatenate([*rows, np.empty(0, np.int64)])
+    seen = np.bincount(flat, minlength=1 << BITS).astype(float)
+    with_1 = np.bincount(flat, np.repeat(labels, [len(r) for r in rows]), minlength=1 << BITS)
+    n, ones = len(labels), labels.sum()
+    gap = with_1 * n - seen * ones
+    spread = seen * (n - seen) * ones * (n - ones)
+    chi2 = np.divide(n * gap**2, spread, out=np.zeros_like(gap), where=spread > 0)
+    return (seen >= least_rows) & (chi2 >= least_chi2)
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = 4, least_rows: int = 5, least_chi2: float = 20.0, epochs: int = 40, rate: float = 0.2, l2: float = 1e-4, batch: int = 128, seed: int = 5) -> Machine:
+    """A machine over the terms that `least_rows` rows have and whose chi-square with the label is `least_chi2` or more."""
     draw = np.random.default_rng(seed)
-    seen = np.bincount(np.concatenate([*rows, np.empty(0, np.int64)]), minlength=1 << BITS)
-    slot = np.where(seen >= least_rows, np.cumsum(seen >= least_rows) - 1, -1)
-    n = int((seen >= least_rows).sum())
+    told = _telling(rows, labels, least_rows, least_chi2)
+    slot = np.where(told, np.cumsum(told) - 1, -1)
+    n = int(told.sum())
     weight, factor = np.zeros(n), draw.normal(0, 0.01, (n, factors))
     if not len(rows):
         return Machine(slot, -30.0, weight, factor)
