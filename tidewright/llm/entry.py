@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, quality_rules, secrets, simhash, token_counts, toxicity, url_filter
+from . import decontaminate, line_dedup, ngram_lm, packing, quality_rules, secrets, simhash, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -15,6 +15,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(toxicity.in_fold("doc_id", 7, 2), F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out)
+    model = ngram_lm.train(docs.where(~F.col("held_out")))
+    found = ngram_lm.scored(docs, model).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
@@ -57,7 +65,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_line_dedup, op4_decontaminate, op5_secrets, op6_url_filter, op7_simhash, op8_toxicity, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_ngram_lm, op3_line_dedup, op4_decontaminate, op5_secrets, op6_url_filter, op7_simhash, op8_toxicity, op9_packing, op10_quality_rules)}
 
 
 def _op10_sql() -> str:
