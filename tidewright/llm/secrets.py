@@ -1,8 +1,8 @@
 """Secret scans: base patterns, and character Markov models compared by log-likelihood ratio.
 
 Two first-order models of characters are trained on labelled strings: random strings (secret values that the base
-patterns find in the sample, and seeded draws from the alphabets keys are written in) and ordinary strings (the other
-words of the sample). A long run of key characters is a secret where the random model explains it better by a margin.
+patterns find in the sample, and seeded draws from the alphabets keys are written in) and ordinary strings (the sample's
+other words of under 20 characters). A long run of key characters is a secret where the random model explains it better by a margin.
 The models are fitted on `train_docs` documents at most, those with the smallest hashed ids; all texts are scanned whole.
 
 Null and empty texts have no spans. Spans are code points, end exclusive; a method span never overlaps a base span.
@@ -51,11 +51,11 @@ def _pairs(value: str) -> list[int]:
 
 
 def _labelled(text: str) -> tuple[list[str], list[str]]:
-    """The base patterns' values, and the words outside their spans."""
+    """The base patterns' values, and the words outside their spans that are too short for candidates."""
     spans = base_spans(text)
     random = [ASSIGN.match(text, a)[2] if kind == "assign" else text[a:b] for kind, a, b in spans]
     inside = lambda m: any(m.start() < b and a < m.end() for _, a, b in spans)
-    return random, [m[0] for m in WORD.finditer(text) if not (spans and inside(m))]
+    return random, [m[0] for m in WORD.finditer(text) if len(m[0]) < 20 and not (spans and inside(m))]
 
 
 def ratio_table(docs: DataFrame, key: str = "doc_id", text: str = "text", train_docs: int = 2000, draws: int = 400, seed: int = 7):
@@ -83,7 +83,8 @@ def ratio_table(docs: DataFrame, key: str = "doc_id", text: str = "text", train_
         codes = np.frombuffer(letters.encode(), np.uint8)[draw.integers(0, len(letters), (draws, 40))]
         np.add.at(seen[1], (codes[:, :-1], codes[:, 1:]), 1)
     used = len({c for letters in ALPHABETS for c in letters} | set("=."))
-    prob = (seen + 0.5) / (seen.sum(2, keepdims=True) + 0.5 * used)
+    alone = (seen.sum(1) + 0.5) / (seen.sum((1, 2)) + 0.5 * used)[:, None]  # a pair that was rarely seen leans on its second character
+    prob = (seen + 2 * alone[:, None, :]) / (seen.sum(2, keepdims=True) + 2)
     return (np.log(prob[1]) - np.log(prob[0])).ravel()
 
 
