@@ -24,7 +24,8 @@ from .common import slices, stored, text_bytes
 
 CAPACITY = 4096
 #: White-space separated strings whose ids a worker keeps.
-CACHE = 500_000
+CACHE = 900_000
+MARKS = (b".", b",", b";", b":", b"!", b"?")
 PIECE = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())]
 
 
@@ -46,12 +47,21 @@ class Ids:
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
     def learn(self, strings: set[bytes]) -> None:
+        """Case does not count, and a mark behind plain letters is a token of its own, so many strings follow from others."""
+        new = strings - self.known.keys()
+        if len(self.known) + 2 * len(new) > CACHE:
+            self.known, new = {}, strings
+        parts = {}
+        for x in new:
+            body = x.lower() if x.isascii() else x
+            parts[x] = (body[:-1], body[-1:]) if body[-1:] in MARKS and body[:-1].isalpha() and body.isascii() else (body,)
+        self._encode({y for own in parts.values() for y in own} - self.known.keys())
+        self.known.update((x, b"".join(map(self.known.__getitem__, own))) for x, own in parts.items())
+
+    def _encode(self, strings: set[bytes]) -> None:
         import numpy as np
 
-        new = list(strings - self.known.keys())
-        if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, list(strings)
-        plain = [x for x in new if x.isascii()]
+        plain = [x for x in strings if x.isascii()]
         for k in range(0, len(plain), 2000):  # together, to be cut apart where the strings end
             part = plain[k : k + 2000]
             encoded = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
@@ -59,7 +69,7 @@ class Ids:
             cuts = [0, *np.searchsorted(np.array([a for a, _ in encoded.offsets]), ends).tolist()]
             ids = np.array(encoded.ids, "<u4").tobytes()
             self.known.update((x, ids[4 * a : 4 * b]) for x, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
-        other = [x for x in new if not x.isascii()]
+        other = [x for x in strings if not x.isascii()]
         for x, e in zip(other, self.tokenizer.encode_batch_fast([x.decode() for x in other], add_special_tokens=False), strict=True):
             self.known[x] = np.array(e.ids, "<u4").tobytes()
 
