@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import quality_rules, simhash
+from tidewright.llm import decontaminate, line_dedup, packing, quality_rules, simhash
 from tidewright.llm.common import shared_dir, table
 
 
@@ -18,12 +18,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs).where("kept").select(*docs.columns)
 
 
+def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that their source repeats on more than a tenth of its pages."""
+    return line_dedup.deduplicated(docs).select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest doc_id."""
     return simhash.representatives(docs)
 
 
-STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_dedup)]
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages; one that has no other word goes."""
+    return decontaminate.cleaned(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document, with its sequence and place."""
+    return packing.packed(docs)
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", site_lines), ("simhash_near_dedup", near_dedup), ("decontaminate", decontaminated), ("packing", pack)]
 ORACLE_SQL = None
 
 
