@@ -73,7 +73,10 @@ def ratio_table(docs: DataFrame, key: str = "doc_id", text: str = "text", train_
         label, pair = np.nonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(pair), pa.array(seen[label, pair])], ["label", "pair", "n"])
 
-    sample = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h")).orderBy("h", "text").limit(train_docs)
+    # The sample is drawn from the ids alone, so that no task meets the texts of all tasks' candidates.
+    ids = docs.select(F.col(key).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(train_docs)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    sample = rows.join(F.broadcast(ids), F.col("key").eqNullSafe(F.col("id")), "left_semi")
     counted = sample.select("text").mapInArrow(count, "label long, pair long, n long").groupBy("label", "pair").agg(F.sum("n").alias("n"))
     seen = np.zeros((2, 128, 128))
     for r in counted.collect():  # two tables of 128 * 128 at most
