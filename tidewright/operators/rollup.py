@@ -57,11 +57,11 @@ def onto_grid(grid: DataFrame, agg: DataFrame, key: str, zero: Sequence[str]) ->
 def binned_along(df: DataFrame, axis: str, step: float, measure: str, stats: Sequence[str] = ("mean",)) -> DataFrame:
     """Statistics by equal, right-closed bins of a coordinate from its minimum; bin centres.
 
-    The first bin holds the minimum. The bounds are one aggregate of one row, which is broadcast.
+    The first bin holds the minimum, which is found first.
     """
-    low = F.broadcast(df.agg(F.min(axis).alias("__low")))
-    rows = df.crossJoin(low).withColumn("bin", F.greatest(F.lit(1), F.ceil((F.col(axis) - F.col("__low")) / step)))
-    rows = rows.withColumn("centre", F.col("__low") + (F.col("bin") - 0.5) * step)
+    low = F.lit(df.agg(F.min(axis)).first()[0]).cast("double")
+    rows = df.withColumn("bin", F.greatest(F.lit(1), F.ceil((F.col(axis) - low) / step)))
+    rows = rows.withColumn("centre", low + (F.col("bin") - 0.5) * step)
     return grouped(rows, ["bin", "centre"], {measure: list(stats)}, None)
 
 

@@ -6,39 +6,41 @@ The fit is iterative, so it is the one series operator that needs Python; Spark
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def loess(y: np.ndarray, span: int, at: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-    """Local linear fits of y over 0, 1, ... at the places `at`, tricube weights over the span nearest points."""
-    n = len(y)
-    x, w0 = np.arange(n, dtype=float), np.ones(n) if weights is None else weights
+@functools.lru_cache(maxsize=64)
+def _windows(n: int, span: int, first: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the places first, first + 1, ...: the start of the nearest points' window, tricube weights, and the places."""
     q = min(span, n)
-    out = np.empty(len(at))
-    for k, t in enumerate(at):
-        left = int(np.clip(np.round(t) - (q - 1) // 2, 0, n - q))
-        while left + q < n and abs(x[left + q] - t) < abs(x[left] - t):
-            left += 1
-        while left > 0 and abs(x[left - 1] - t) < abs(x[left + q - 1] - t):
-            left -= 1
-        part = slice(left, left + q)
-        d = np.abs(x[part] - t)
-        h = d.max() + (span - n) // 2 * (span > n)
-        w = np.where(d <= 0.999 * h, np.where(d > 0.001 * h, (1 - (d / max(h, 1e-12)) ** 3) ** 3, 1.0), 0.0) * w0[part]
-        total = w.sum()
-        if total <= 0:
-            out[k] = np.nan
-            continue
-        w = w / total
-        middle = (w * x[part]).sum()
-        spread = (w * (x[part] - middle) ** 2).sum()
-        if np.sqrt(spread) > 0.001 * (n - 1):
-            w = w * (1 + (t - middle) * (x[part] - middle) / spread)
-        out[k] = (w * y[part]).sum()
-    return out
+    at = np.arange(first, first + count, dtype=float)
+    left = np.clip(at - (q - 1) // 2, 0, n - q).astype(int)
+    index = left[:, None] + np.arange(q)
+    d = np.abs(index - at[:, None])
+    h = d.max(1, keepdims=True) + ((span - n) // 2 if span > n else 0)
+    w = np.where(d <= 0.001 * h, 1.0, (1 - np.minimum(d / np.maximum(h, 1e-12), 1) ** 3) ** 3)
+    return index, np.where(d <= 0.999 * h, w, 0.0), at
+
+
+def loess(y: np.ndarray, span: int, first: int, count: int, weights: np.ndarray | None = None) -> np.ndarray:
+    """Local linear fits of y over 0, 1, ... at `count` places from `first`, tricube weights over the span nearest points."""
+    n = len(y)
+    index, w, at = _windows(n, span, first, count)
+    if weights is not None:
+        w = w * weights[index]
+    total = w.sum(1, keepdims=True)
+    w = np.divide(w, total, out=np.zeros_like(w), where=total > 0)
+    middle = (w * index).sum(1, keepdims=True)
+    off = index - middle
+    spread = (w * off**2).sum(1, keepdims=True)
+    lean = np.sqrt(spread) > 0.001 * (n - 1)
+    w = w * np.where(lean, 1 + (at[:, None] - middle) * off / np.where(lean, spread, 1), 1)
+    return np.where(total[:, 0] > 0, (w * y[index]).sum(1), np.nan)
 
 
 def _moving(y: np.ndarray, n: int) -> np.ndarray:
@@ -58,10 +60,10 @@ def decompose(y: np.ndarray, period: int = 13, seasonal: int = 7, robust: bool =
             cycle = np.empty(n + 2 * period)
             for s in range(period):
                 own = flat[s::period]
-                cycle[s::period] = loess(own, seasonal, np.arange(-1, len(own) + 1, dtype=float), None if weights is None else weights[s::period])
-            low = loess(_moving(_moving(_moving(cycle, period), period), 3), low_span, np.arange(n, dtype=float))
+                cycle[s::period] = loess(own, seasonal, -1, len(own) + 2, None if weights is None else weights[s::period])
+            low = loess(_moving(_moving(_moving(cycle, period), period), 3), low_span, 0, n)
             season = cycle[period : period + n] - low
-            trend = loess(y - season, trend_span, np.arange(n, dtype=float), weights)
+            trend = loess(y - season, trend_span, 0, n, weights)
         if robust:
             rest = np.abs(y - trend - season)
             h = 6 * np.median(rest)
