@@ -119,7 +119,8 @@ def windows(pixels: DataFrame, height: int, width: int, window: int, overlap: in
     first = lambda v: F.greatest(F.lit(0), F.ceil((F.col(v) - window + 1) / step)).cast("int")
     last = lambda v, n: F.least(F.lit((n - window) // step), F.floor(F.col(v) / step)).cast("int")
     each = lambda v, n: F.explode(F.when(first(v) <= last(v, n), F.sequence(first(v), last(v, n))).otherwise(F.array().cast("array<int>")))
-    out = pixels.withColumn("yoff", each("row", height) * step).withColumn("xoff", each("col", width) * step)
+    out = pixels.withColumn("yoff", each("row", height)).withColumn("xoff", each("col", width))
+    out = out.withColumns({c: F.col(c) * step for c in ("yoff", "xoff")})
     return out.select("xoff", "yoff", (F.col("row") - F.col("yoff")).alias("r"), (F.col("col") - F.col("xoff")).alias("c"), *bands)
 
 

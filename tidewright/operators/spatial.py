@@ -7,6 +7,7 @@ so no distinct is needed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -91,7 +92,7 @@ def nearest(points: DataFrame, targets: DataFrame, size: float, key: str = "id",
 
 def grid(spark, x1: float, y1: float, x2: float, y2: float, size: float) -> DataFrame:
     """(cell, rings): squares over an extent, numbered down the columns; edges may overhang."""
-    nx, ny = -int(-(x2 - x1) // size), -int(-(y2 - y1) // size)
+    nx, ny = (math.ceil(round(d / size, 9)) for d in (x2 - x1, y2 - y1))
     out = spark.range(nx * ny).select(F.col("id").alias("cell"), F.floor(F.col("id") / ny).alias("i"), (F.col("id") % ny).alias("j"))
     x, y = x1 + F.col("i") * size, y1 + F.col("j") * size
     return out.select("cell", g.box(x, y, x + size, y + size).alias("rings"))
