@@ -92,14 +92,19 @@ class EliasFano:
         at = np.where(h > 0, self._zeros_end(np.maximum(h - 1, 0)), 0)
         end = self._zeros_end(h)
         wanted = values & U64((1 << self.bits) - 1)
-        live = np.flatnonzero(at < end)
-        out = np.full(len(values), -1, np.int64)
+        # Values crowd where a context has many successors, so a high part's low bits are halved, not walked.
+        last, live = end.copy(), np.flatnonzero(at < end)
         while len(live):
-            low = self._low(at[live])
-            same = low == wanted[live]
-            out[live[same]] = at[live[same]]
-            at[live] += 1
-            live = live[(low < wanted[live]) & (at[live] < end[live])]
+            a, b = at[live], end[live]
+            middle = (a + b) >> 1
+            less = self._low(middle) < wanted[live]
+            at[live] = np.where(less, middle + 1, a)
+            end[live] = np.where(less, b, middle)
+            live = live[at[live] < end[live]]
+        out = np.full(len(values), -1, np.int64)
+        there = np.flatnonzero(at < last)
+        there = there[self._low(at[there]) == wanted[there]]
+        out[there] = at[there]
         return out
 
 
