@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,18 +17,35 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of links (u, v); root is the smallest node it is connected to."""
-    links = settled(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
-    state = None
+def _large_star(links: DataFrame) -> DataFrame:
+    both = links.union(links.select("v", "u"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    moved = links.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def _state(links: DataFrame):
+    return links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+
+
+def connected(links: DataFrame, u: str = "u", v: str = "v", most_rounds: int = 60, keep: Callable[[DataFrame], DataFrame] = settled) -> DataFrame:
+    """(node, root) for every node that has a link; root is the smallest node of its component.
+
+    A round is two grouped minima joined back to the links, so no node's links meet in one row, list or task beyond what
+    a skewed join can split. keep cuts the lineage after each. Self links and null ends are ignored; an empty input
+    gives an empty result. Raises if a fixpoint is not reached in `most_rounds` rounds (a path of n nodes takes about log2(n)).
+    """
+    links = links.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u != v")
+    links = keep(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    state = _state(links)
     for _ in range(most_rounds):
-        both = links.union(links.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = settled(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
-        before, state = state, links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        links = keep(_small_star(_large_star(links)))
+        before, state = state, _state(links)
         if before == state:
             break
     else:
