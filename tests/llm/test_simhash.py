@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 from tidewright.llm import simhash
-from tidewright.llm.components import components
+from tidewright.operators.graph import connected
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -72,7 +72,7 @@ def test_fingerprints_against_all_pairs(spark, most):
     signed = np.array(values, np.uint64).view(np.int64).tolist()
     fps = spark.createDataFrame([(v,) for v in signed], "fp long")
     roots = groups(values, lambda a, b: (a ^ b).bit_count() <= 4)
-    got = {r["node"]: r["root"] for r in components(simhash.links(fps, most)).collect()}
+    got = {r["node"]: r["root"] for r in connected(simhash.links(fps, most)).collect()}
     found = {}
     for v, r in zip(signed, roots):
         found.setdefault(r, []).append(v)
@@ -82,8 +82,8 @@ def test_fingerprints_against_all_pairs(spark, most):
 
 def test_components_of_a_path_and_of_nothing(spark):
     path = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 500), (None, 3)], "u long, v long")
-    assert {r["root"] for r in components(path).collect()} == {0}
-    assert components(path.where("false")).count() == 0
+    assert {r["root"] for r in connected(path).collect()} == {0}
+    assert connected(path.where("false")).count() == 0
 
 
 def test_empty_table(spark):

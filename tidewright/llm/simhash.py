@@ -19,8 +19,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected
 from .common import slices, stored, text_bytes
-from .components import components
 
 RADIUS = 4
 
@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
     """(key, fp, component_id): component_id is the smallest key among all rows reachable by links."""
     own = stored(fingerprints(docs, key, text, **kind))
     fps = stored(own.groupBy("fp").agg(F.min(key).alias("least")))
-    roots = components(links(fps.select("fp"), most_in_bucket))
+    roots = connected(links(fps.select("fp"), most_in_bucket), keep=stored)
     rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return own.join(named, "fp").select(key, "fp", "component_id")
