@@ -15,7 +15,7 @@ from tidewright.llm.common import shared_dir, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules.judged(docs).where("kept").select(*docs.columns)
+    return quality_rules.passing(docs)
 
 
 def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,5 +103,59 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b"""
 
 
+_OP3_SQL = r"""
+WITH d AS (SELECT *, row_number() OVER () AS rid FROM documents),
+p AS (SELECT DISTINCT source, text FROM d WHERE text IS NOT NULL),
+l AS (SELECT DISTINCT source, text, trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM p, unnest(string_split(text, chr(10))) AS u(x)),
+n AS (SELECT source, count(*) AS pages FROM p GROUP BY 1),
+bad AS (SELECT l.source, line FROM l JOIN n ON n.source IS NOT DISTINCT FROM l.source WHERE line <> '' GROUP BY l.source, line, pages HAVING count(*) >= 3 AND count(*) > 0.1 * pages),
+x AS (SELECT rid, source, i, lines[i] AS line, trim(lines[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+      FROM (SELECT rid, source, string_split(text, chr(10)) AS lines FROM d WHERE text IS NOT NULL), unnest(range(1, len(lines) + 1)) AS u(i)),
+m AS (SELECT x.*, bad.line IS NOT NULL AS drop FROM x LEFT JOIN bad ON bad.source IS NOT DISTINCT FROM x.source AND bad.line = x.body),
+r AS (SELECT rid, count(*) FILTER (body <> '') AS n_lines, count(*) FILTER (drop) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT drop), '') AS text FROM m GROUP BY rid)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(r.text) AS text_sha256 FROM d LEFT JOIN r USING (rid)"""
+
+_OP4_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+w AS (SELECT DISTINCT item_id, least(len(words), 10) AS size, words[k:k + least(len(words), 10) - 1] AS phrase FROM b, unnest(range(1, greatest(len(words) - 8, 2))) AS u(k) WHERE len(words) > 0),
+s AS (SELECT DISTINCT size FROM w),
+o AS (SELECT rid, size, i, words[i:i + size - 1] AS phrase FROM d, s, unnest(range(1, greatest(len(words) - size + 2, 1))) AS u(i)),
+f AS (SELECT rid, item_id, o.size, i FROM o JOIN w ON w.size = o.size AND w.phrase = o.phrase),
+h AS (SELECT rid, count(DISTINCT i + k) AS n_hit FROM f, unnest(range(0, size)) AS u(k) GROUP BY rid),
+g AS (SELECT rid, count(DISTINCT item_id) AS n_items, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM f GROUP BY rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN g USING (rid)"""
+
+
+def _op6_sql(rounds: int = 12, damping: float = 0.85) -> str:
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    ordered = sorted(url_filter.RULES, key=lambda r: (-len(r.prefix), r.prefix))
+    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r.prefix}'" for r in ordered) + " END"
+    said = "CASE " + " ".join(f"WHEN rule = '{r.prefix}' THEN '{r.verdict}'" for r in ordered) + " END"
+    steps = [
+        f"r{k + 1} AS (SELECT side, a, sum(r) AS r FROM (SELECT m.side, m.b AS a, {damping} * r * share AS r FROM r{k} JOIN m ON m.side = r{k}.side AND m.a = r{k}.a UNION ALL SELECT * FROM s) GROUP BY 1, 2)"
+        for k in range(rounds)
+    ]
+    return rf"""
+WITH q AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, html, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM q),
+p AS (SELECT page_id, html, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+j AS (SELECT *, {rule} AS rule FROM p),
+k AS (SELECT *, {said} AS said FROM j),
+l AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)href\s*=\s*["'']?([^"''\s>]+)', 1)) AS x FROM p),
+e AS (SELECT src, coalesce(translate(CASE WHEN contains(x, '://') THEN regexp_extract(x, '://([^/?#]*)', 1) WHEN starts_with(x, '//') THEN regexp_extract(x, '^//([^/?#]*)', 1) END, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), src) AS dst, count(*) AS n FROM l GROUP BY 1, 2),
+w AS (SELECT 0 AS side, src AS a, dst AS b, n FROM e UNION ALL SELECT 1, dst, src, n FROM e),
+m AS (SELECT side, a, b, n / sum(n) OVER (PARTITION BY side, a) AS share FROM w),
+c AS (SELECT 0 AS side, host AS a, count(*) FILTER (said = 'allow') AS n FROM k GROUP BY host UNION ALL SELECT 1, host, count(*) FILTER (said = 'block') FROM k GROUP BY host),
+s AS (SELECT side, a, {1 - damping!r} * n / sum(n) OVER (PARTITION BY side) AS r FROM c WHERE n > 0),
+r0 AS (SELECT * FROM s),
+{", ".join(steps)},
+t AS (SELECT a AS host, coalesce(sum(r) FILTER (side = 0), 0) AS trust, coalesce(sum(r) FILTER (side = 1), 0) AS distrust FROM r{rounds} GROUP BY 1)
+SELECT page_id, k.host, path, rule, coalesce(said, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict, round(coalesce(trust, 0), 12) AS trust, round(coalesce(distrust, 0), 12) AS distrust
+FROM k LEFT JOIN t ON t.host = k.host"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": _op10_sql()}
+    return {"op3_line_dedup": _OP3_SQL, "op4_decontaminate": _OP4_SQL, "op6_url_filter": _op6_sql(), "op10_quality_rules": _op10_sql()}

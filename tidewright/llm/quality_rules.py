@@ -113,3 +113,13 @@ def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     out = out.withColumns({"base_failed": base, "broken_rules": failed(rules)})
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
+
+
+def passing(docs: DataFrame, text: str = "text", **how) -> DataFrame:
+    """The rows of docs that are kept, with their own columns.
+
+    The row number keeps the filter above the projection: pushed below it, each of the filter's measures would be
+    written out and computed anew wherever another one uses it.
+    """
+    found = judged(docs, text, **how).withColumn("__row", F.monotonically_increasing_id())
+    return found.where(F.col("kept") & (F.col("__row") >= 0)).select(*docs.columns)
