@@ -43,7 +43,7 @@ RULES = (
     Rule("long_words", "mean_word_length", "max", 12.0),
     Rule("symbols", "symbol_ratio", "max", 0.1),
     Rule("few_stop_words", "stop_word_ratio", "min", 0.01),
-    Rule("repeated_lines", "dup_line_ratio", "max", 0.3),
+    Rule("repeated_lines", "dup_line_ratio", "max", 0.5),
     Rule("bullet_lines", "bullet_line_ratio", "max", 0.9),
 )
 
