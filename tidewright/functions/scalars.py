@@ -113,6 +113,27 @@ def quadrant(x: C, y: C, x_middle: C, y_middle: C) -> Column:
     return F.when((x > a) & (y > b), "ur").when((x > a) & (y < b), "lr").when((x < a) & (y > b), "ul").when((x < a) & (y < b), "ll")
 
 
+def row_mean(*columns: C) -> Column:
+    """Mean of the columns of a row; one null makes it null."""
+    return sum((col(c) for c in columns[1:]), col(columns[0])) / len(columns)
+
+
+def seasonality_share(seasonal: C, other: C) -> Column:
+    """Percent of the variation that is seasonal; 66.7 is twice the rest."""
+    return F.try_divide(col(seasonal), col(seasonal) + col(other)) * 100
+
+
+def low_water_share(deviation: C, trend: C, years: int = 23, amplitude: C | None = None) -> Column:
+    """Percent of the largest low against the whole trend (and seasonal amplitude)."""
+    total = F.abs(col(trend)) * years + F.abs(col(deviation)) + (col(amplitude) if amplitude is not None else 0)
+    return F.try_divide(col(deviation), total) * 100
+
+
+def humidity_class(aridity: C, threshold: float = 0.65, scale: float = 0.01) -> Column:
+    """humid above the threshold, else arid, also where it is unknown."""
+    return F.when(col(aridity) * scale > threshold, "humid").otherwise("arid")
+
+
 def two_sided_p(z: C) -> Column:
     """1 - erf(|z| / sqrt 2) by the polynomial 7.1.26 of Abramowitz and Stegun."""
     x = F.abs(col(z)) / 2**0.5

@@ -115,6 +115,33 @@ def extended_by_climatology(df: DataFrame, key: str, end: str, value: str = "ice
     return df.select(key, "period", value).unionByName(tail)
 
 
+def ice_ratio_from_temperature(days: DataFrame, key: str = "id", day: str = "day", temperature: str = "temperature") -> DataFrame:
+    """Share of a month's days with a surface temperature of 0."""
+    rows = days.groupBy(key, F.trunc(day, "MM").cast("date").alias("period"))
+    return rows.agg((F.count_if(F.col(temperature) == 0) / F.count(temperature)).alias("ice"))
+
+
+def repaired_from_nearest(df: DataFrame, places: DataFrame, size: float, ratio: str = "ice", key: str = "id") -> DataFrame:
+    """Entities without any ice ratio take the series of the nearest entity that has one. places: (key, x, y).
+
+    The result has every row of df once, with donor where the ratio is borrowed.
+    """
+    from .spatial import nearest
+
+    has = df.groupBy(key).agg(F.count(ratio).alias("n"))
+    open_, known = has.where("n = 0").select(key), has.where("n > 0").select(key)
+    donors = nearest(places.join(open_, key), places.join(known, key).withColumnRenamed(key, "donor"), size, key, "donor").select(key, "donor")
+    lent = df.select(F.col(key).alias("donor"), "period", F.col(ratio).alias("__ice"))
+    joined = df.join(donors, key, "left").join(lent, ["donor", "period"], "left")
+    return joined.withColumn(ratio, F.coalesce(ratio, "__ice")).drop("__ice")
+
+
+def cloud_ratios(cloudy: DataFrame, shapes: DataFrame, key: str = "id", area: str = "cloudy_area", shape_area: str = "area") -> DataFrame:
+    """Cloudy area of each entity and month over the entity's area; of repeated shapes the first counts."""
+    own = shapes.groupBy(key).agg(F.first(shape_area).alias("__area"))
+    return cloudy.join(own, key).withColumn("cloud", F.try_divide(F.col(area), F.col("__area"))).drop("__area")
+
+
 def smoothed(df: DataFrame, window: int, key: str = "id", value: str = "value", at: str = "period") -> DataFrame:
     """(key, at, value, smoothed): the first points as they are, then the mean of the point and the previous smoothed ones."""
     rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(at, value))).alias("a"))

@@ -157,6 +157,24 @@ def largest_row(df: DataFrame, by: str, order: str, tie: str) -> DataFrame:
     return df.groupBy(F.col(by).alias("__by")).agg(own.alias("r")).select("r.*")
 
 
+def significance_ratios(df: DataFrame, count: str = "entity_count") -> DataFrame:
+    """A ratio to the cell's entities beside every column whose name has "significant"."""
+    return df.withColumns({f"{c}_ratio": F.try_divide(F.col(c), F.col(count)) for c in df.columns if "significant" in c})
+
+
+def expanded(df: DataFrame, test: DataFrame, key: str, prefix: str, level: float = 0.05) -> DataFrame:
+    """df with a test's columns under a prefix and prefix_significant by its p."""
+    named = test.select(key, *(F.col(c).alias(f"{prefix}_{c}") for c in test.columns if c not in (key, "significant")))
+    return df.join(named.withColumn(f"{prefix}_significant", F.col(f"{prefix}_p") < level), key, "left")
+
+
+def split_counts(patches: DataFrame, split: str, band: str, limit: float = 99_999) -> DataFrame:
+    """Valid patches of each split."""
+    from .raster import valid_patches
+
+    return valid_patches(patches, band, limit).groupBy(split).agg(F.count(F.lit(1)).alias("patches"))
+
+
 # ---- segmentation metrics
 
 

@@ -110,6 +110,19 @@ def dissolved(parts: DataFrame, key: str, rings: str = "rings", attributes: tupl
     return parts.groupBy(key).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(o.alias("o"), F.col(rings).alias("r")))), lambda s: s["r"])).alias(rings), *(F.min_by(a, o).alias(a) for a in attributes))
 
 
+def touching(tiles: DataFrame, boundary: DataFrame, size: float, key: str = "tile") -> DataFrame:
+    """Tiles that touch a boundary shape."""
+    other = boundary.select(F.col("rings").alias("other_rings"))
+    return tiles.join(shapes_to_shapes(tiles.select(key, "rings"), other, size).select(key).distinct(), key, "left_semi")
+
+
+def within_distance(points: DataFrame, shapes: DataFrame, distance: str, size: float, most: float, x: str = "x", y: str = "y") -> DataFrame:
+    """Pairs of points and shapes no farther than the shape's own distance (at most `most`): a buffer that is never drawn."""
+    at = points.withColumns({"cx": _cell(F.col(x), size), "cy": _cell(F.col(y), size)})
+    pairs = at.join(covered(shapes, "rings", size, most), ["cx", "cy"])
+    return pairs.where(g.distance_to(F.col("rings"), F.col(x), F.col(y)) <= F.col(distance)).drop("cx", "cy", "b")
+
+
 def simplified(shapes: DataFrame, tolerance: float, rings: str = "rings") -> DataFrame:
     """Douglas-Peucker on every ring; rings keep their first corner and at least three."""
     from pyspark.sql import types as T
