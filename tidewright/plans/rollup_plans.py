@@ -95,10 +95,10 @@ def category_percentages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plans.add("""WITH q AS (SELECT l_returnflag AS flag, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS md, quantile_cont(l_extendedprice, 0.75) AS q3, avg(l_extendedprice) AS mean, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1)
-SELECT flag, round(q1, 6) AS q1, round(md, 6) AS median, round(q3, 6) AS q3, round(mean, 4) AS mean, round(greatest(least(q1 - 1.5 * (q3 - q1), q1), lo), 6) AS lower, round(least(greatest(q3 + 1.5 * (q3 - q1), q3), hi), 6) AS upper FROM q""")
+SELECT flag, round(q1, 6) AS q1, round(md, 6) AS median, round(q3, 6) AS q3, round(mean, 2) AS mean, round(greatest(least(q1 - 1.5 * (q3 - q1), q1), lo), 6) AS lower, round(least(greatest(q3 + 1.5 * (q3 - q1), q3), hi), 6) AS upper FROM q""")
 def box_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "flag")
-    return _rounded(rollup.box_statistics(rows, ["flag"], "l_extendedprice")).withColumn("mean", F.round("mean", 4))
+    return _rounded(rollup.box_statistics(rows, ["flag"], "l_extendedprice")).withColumn("mean", F.round("mean", 2))
 
 
 @plans.add("""WITH k AS (SELECT l_returnflag AS flag, (CASE WHEN l_quantity = 50 THEN 9 ELSE floor(l_quantity / 5) END)::INTEGER AS bin FROM lineitem), c AS (SELECT flag, bin, count(*) AS n FROM k WHERE bin BETWEEN 0 AND 9 GROUP BY 1, 2)

@@ -143,7 +143,7 @@ def _zoned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.zoned(raster.centres(pixels(spark, sf_dir), GT), _zones(spark), 480.0)
 
 
-@plans.add(f"WITH {_PZ} SELECT zone, period, sum(CASE WHEN class = 1 THEN 900.0 ELSE 0 END)::DOUBLE AS area FROM pz WHERE zone <> -1 GROUP BY 1, 2 UNION ALL SELECT 5, NULL, 0.0")
+@plans.add(f"WITH {_PZ} SELECT zone, period, sum(CASE WHEN class = 1 THEN 900.0 ELSE 0 END)::DOUBLE AS area FROM pz WHERE zone <> -1 GROUP BY 1, 2 UNION ALL SELECT z, NULL, 0.0 FROM range(1, 6) AS r(z) WHERE z NOT IN (SELECT zone FROM pz)")
 def zone_water_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly water area of every zone; the last drawn zone has the pixel; a zone without pixels has 0."""
     return raster.zone_areas(_zones(spark), _zoned(spark, sf_dir), F.col("class") == 1, raster.pixel_area(GT), by=["period"])
