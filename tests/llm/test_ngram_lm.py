@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -91,5 +90,15 @@ def test_no_training_texts(spark):
     assert got == [(1, 3, 0, 0.0, 0.0), (2, 1, 0, 0.0, 0.0)]
 
 
-def test_held_out_rule():
-    assert [k for k in range(30) if zlib.crc32(str(k).encode()) % 7 == 2]
+def test_hashes_of_blocks_and_long_words(monkeypatch):
+    """Equal words have equal hashes wherever they stand, over any blocks."""
+    texts = [b"the cat \xc3\xa9", b"", b" \n\t", b"THE  cat", b"x" * 5000 + b" the", b"cat"]
+    whole, starts = ngram_lm.word_hashes(texts)
+    monkeypatch.setattr(ngram_lm, "BLOCK", 8)
+    cut, same = ngram_lm.word_hashes(texts)
+    assert (whole == cut).all() and starts.tolist() == same.tolist() == [0, 4, 5, 6, 9, 12, 14]
+    words = [None if t is None else w for t in texts for w in [*t.lower().split(), b""]]
+    of = {}
+    for w, h in zip(words, whole.tolist(), strict=True):
+        assert of.setdefault(w, h) == h
+    assert len(set(of.values())) == len(of)

@@ -16,16 +16,20 @@ import numpy as np
 U64 = np.uint64
 
 
+_ONES, _TOPS = U64(0x0101010101010101), U64(0x8080808080808080)
+#: The place of the k-th 1 of every byte, at byte * 8 + k.
+_IN_BYTE = np.array([([j for j in range(8) if byte >> j & 1] + [0] * 8)[:8] for byte in range(256)], np.int64).ravel()
+
+
 def _select(words: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The place of the k-th 1 (from 0) in each word."""
-    place, k, words = np.zeros(len(words), np.int64), k.astype(np.int64), words.copy()
-    for width in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count(words & U64((1 << width) - 1)).astype(np.int64)
-        up = k >= low
-        k -= np.where(up, low, 0)
-        place += np.where(up, width, 0)
-        words = np.where(up, words >> U64(width), words)
-    return place
+    """The place of the k-th 1 (from 0) in each word: running counts of all bytes at once, then a table for one byte."""
+    k = k.astype(U64)
+    s = words - ((words >> U64(1)) & U64(0x5555555555555555))
+    s = (s & U64(0x3333333333333333)) + ((s >> U64(2)) & U64(0x3333333333333333))
+    s = ((s + (s >> U64(4))) & U64(0x0F0F0F0F0F0F0F0F)) * _ONES
+    byte = np.bitwise_count((((k * _ONES) | _TOPS) - s) & _TOPS).astype(U64) << U64(3)
+    rest = k - (((s << U64(8)) >> byte) & U64(255))
+    return byte.astype(np.int64) + _IN_BYTE[((((words >> byte) & U64(255)) << U64(3)) + rest).astype(np.int64)]
 
 
 class EliasFano:
@@ -74,23 +78,36 @@ class EliasFano:
         """0s before each word of high."""
         return np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
 
-    def _zeros_end(self, h: np.ndarray) -> np.ndarray:
-        """How many values have a high part of h or less."""
-        zeros = self._zeros
-        out = np.full(len(h), self.n, np.int64)
-        inside = h < zeros[-1]
-        k = h[inside]
-        word = np.searchsorted(zeros, k, "right") - 1
-        out[inside] = word * 64 + _select(~self.high[word], k - zeros[word]) - k
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """The place in high of the k-th 0; its end where there are fewer."""
+        out = np.full(len(k), len(self.high) * 64, np.int64)
+        inside = k < self._zeros[-1]
+        k = k[inside] if not inside.all() else k
+        word = np.searchsorted(self._zeros, k, "right") - 1
+        out[inside] = word * 64 + _select(~self.high[word], k - self._zeros[word])
         return out
 
+    def _bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the values with high part h: they begin behind the 0 before them and run as far as the 1s do."""
+        place = np.zeros(len(h), np.int64)
+        later = np.flatnonzero(h > 0)
+        place[later] = self._zero(h[later] - 1) + 1
+        start = np.minimum(place - h, self.n)
+        word = np.minimum(place >> 6, len(self.high) - 1)
+        shift = (place & 63).astype(U64)
+        rest = ~(self.high[word] >> shift)
+        run = np.bitwise_count((rest & -rest) - U64(1)).astype(np.int64)
+        end = start + run
+        open_ = np.flatnonzero(run + (place & 63) >= 64)  # the 1s go on in the next word
+        end[open_] = self._zero(h[open_]) - h[open_]
+        return start, np.minimum(end, self.n)
+
     def find(self, values: np.ndarray) -> np.ndarray:
         """The place of each value by successor search among those with its high part; -1 if it is missing."""
         if not self.n:
             return np.full(len(values), -1, np.int64)
         h = np.minimum(values >> U64(self.bits), U64(1 << 62)).astype(np.int64)
-        at = np.where(h > 0, self._zeros_end(np.maximum(h - 1, 0)), 0)
-        end = self._zeros_end(h)
+        at, end = self._bucket(h)
         wanted = values & U64((1 << self.bits) - 1)
         # Values crowd where a context has many successors, so a high part's low bits are halved, not walked.
         last, live = end.copy(), np.flatnonzero(at < end)

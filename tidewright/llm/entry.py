@@ -18,8 +18,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(toxicity.in_fold("doc_id", 7, 2), F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out)
-    model = ngram_lm.train(docs.where(~F.col("held_out")))
-    found = ngram_lm.scored(docs, model).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+    found, model = ngram_lm.trained_and_scored(docs, "held_out")
+    found = found.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -12,6 +12,7 @@ Words are numbered by the order of their 63-bit hashes. The trie has these level
 Bigrams and trigrams are kept from `least_count` on; probabilities are interpolated with absolute discounting, and what
 is discounted or left out goes to the shorter context: p(w|h) = (c(hw) - D)+ / c(h) + b(h) p(w|h'). The shortest is
 (c(w) + 1) / (N + V + 1). Counting runs over all training texts: each task counts its own n-grams, Spark sums them.
+Every text is turned into numbers once.
 A trigram is only counted where both its bigrams were kept, which its own count implies. Shards are written by tasks to
 the shared folder and memory-mapped by the workers that score.
 
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 import functools
 import uuid
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -38,14 +38,57 @@ from .elias_fano import U64, EliasFano, read_file, write_file
 #: Quantisation steps in a unit of log10.
 STEPS = 2048
 SHARD_ROWS = 1_000_000
-CACHE = 300_000
-END = b""
+#: Bytes whose running hashes are held at once.
+BLOCK = 1 << 20
+#: The end token's hash.
+END = 1
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTE = np.random.default_rng(64).integers(0, 1 << 64, 256, np.uint64)
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log10(np.maximum(p, 1e-31)) * STEPS), 0, 65535).astype(np.uint16)
 
 
+@functools.cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64."""
+    power = lambda b: np.concatenate([[U64(1)], np.multiply.accumulate(np.full(n - 1, b, U64))])
+    return power(U64(_BASE)), power(U64(pow(_BASE, -1, 1 << 64)))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """63-bit hashes of all tokens (each text's words, A-Z lower-cased, then the end token), and where texts start.
+
+    A word's hash is the sum of its bytes' random numbers times powers of a base, a difference of running sums, so words
+    are hashed by whole blocks.
+    """
+    joined = np.frombuffer(b"\n".join([*texts, b""]).lower(), np.uint8)
+    space = _SPACE[joined]
+    begin = np.flatnonzero(~space & np.r_[True, space[:-1]])
+    end = np.flatnonzero(space & ~np.r_[True, space[:-1]])
+    hashes, k = np.empty(len(begin), U64), 0
+    while k < len(begin):
+        low = begin[k]
+        stop = max(k + 1, int(np.searchsorted(end, low + BLOCK, "right")))
+        power, inverse = _powers(max(BLOCK, 1 << int(end[stop - 1] - low).bit_length()) + 1)
+        part = joined[low : end[stop - 1]]
+        sums = np.concatenate([[U64(0)], np.cumsum(_BYTE[part] * power[: len(part)], dtype=U64)])
+        a, b = begin[k:stop] - low, end[k:stop] - low
+        hashes[k:stop] = (sums[b] - sums[a]) * inverse[a]
+        k = stop
+    hashes = (hashes ^ (hashes >> U64(29))) * U64(0xBF58476D1CE4E5B9)
+    hashes = (hashes ^ (hashes >> U64(32))) >> U64(1)
+    words = np.searchsorted(begin, np.cumsum([len(t) + 1 for t in texts], dtype=np.int64))  # up to each text's end
+    starts = np.r_[0, words + np.arange(1, len(texts) + 1)].astype(np.int64)
+    out = np.empty(int(starts[-1]), U64)
+    last = np.zeros(len(out), bool)
+    last[starts[1:] - 1] = True
+    out[last], out[~last] = U64(END), hashes
+    return out, starts
+
+
 @dataclass(frozen=True)
 class Level:
     """Shards in key order: (first key, values, sum of the pointer column, file)."""
@@ -153,31 +196,11 @@ class Model:
 
     # Numbers of words; `distinct` stands for the unknown.
 
-    def numbers(self, strings: set[bytes]) -> dict[bytes, int]:
-        import xxhash
-
-        known = _numbers_of(self.words)
-        new = strings - known.keys()
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = strings
-        listed = list(new)
-        hashes = np.array([xxhash.xxh64_intdigest(w) >> 1 for w in listed], U64)
-        by = np.argsort(hashes)
-        place = self.words.find(hashes[by])
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        own, which = np.unique(hashes, return_inverse=True)
+        place = self.words.find(own)
         place[place < 0] = self.distinct
-        known.update(zip((listed[k] for k in by.tolist()), place.tolist(), strict=True))
-        return known
-
-    def flat(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of all tokens, and where each text starts."""
-        known = self.numbers({w for words in texts for w in words} | {END})
-        end = known[END]
-        starts = np.r_[0, np.cumsum([len(words) + 1 for words in texts], dtype=np.int64)]
-        out = np.full(int(starts[-1]), end, np.int64)
-        for at, words in zip(starts.tolist(), texts):
-            out[at : at + len(words)] = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        return out, starts
+        return place[which]
 
     def counts(self, numbers: np.ndarray) -> np.ndarray:
         out = np.zeros(len(numbers), np.int64)
@@ -202,9 +225,8 @@ class Model:
         begin = self.contexts1.pointer(self.contexts1.find(firsts.astype(U64)))
         return places[at] - begin[which]
 
-    def scores(self, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+    def scores(self, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of each text: tokens, known tokens, base score, score."""
-        tokens, starts = self.flat(texts)
         own, which = np.unique(tokens, return_inverse=True)
         count = self.counts(own)
         known = (count > 0)[which]
@@ -235,63 +257,79 @@ class Model:
             place = self.grams3.find(keys.astype(U64))[which]
             at, place = at[place >= 0], place[place >= 0]
             value[at] = -self.grams3.take("prob", place, np.float64) / STEPS
-        total = lambda x: np.add.reduceat(x, starts[:-1]) if len(texts) else x[:0]
+        total = lambda x: np.add.reduceat(x, starts[:-1]) if len(starts) > 1 else x[:0]
         return np.diff(starts), total(known.astype(np.int64)), total(base), total(value)
 
 
-@functools.lru_cache(maxsize=2)
-def _numbers_of(words: Level) -> dict[bytes, int]:
-    return {}
+def numbered(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs without the text, with tokens: the numbers of its tokens as binary."""
+    kept = [c for c in docs.columns if c not in (text, "tokens")]
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("tokens", T.BinaryType())])
+    kind = np.int32 if model.distinct < 2**31 - 1 else np.int64
 
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def split_words(text: bytes) -> list[bytes]:
-    return text.lower().split()
+        for batch in slices(batches, text):
+            hashes, starts = word_hashes(text_bytes(batch, text))
+            tokens = model.numbers(hashes).astype(kind)
+            cut = [tokens[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(cut, pa.binary())], schema.names)
 
+    return docs.select(*kept, text).mapInArrow(run, schema)
 
-def _summed(docs: DataFrame, count: Callable, least: int) -> DataFrame:
-    """(key, n) summed over what count(texts) gives for slices of the texts."""
+
+def _flat(batch, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all tokens of a batch, and where texts start."""
+    kind = np.dtype(np.int32 if model.distinct < 2**31 - 1 else np.int64)
+    data = batch.column("tokens").to_pylist()
+    starts = np.r_[0, np.cumsum([len(x) // kind.itemsize for x in data], dtype=np.int64)].astype(np.int64)
+    return np.frombuffer(b"".join(data), kind).astype(np.int64), starts
+
+
+def _summed(rows: DataFrame, column: str, count: Callable, least: int) -> DataFrame:
+    """(key, n) summed over what count(batch) gives for slices of the rows."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in slices(batches, "text", 8_000_000):
-            keys, n = count([split_words(x) for x in text_bytes(batch, "text")])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+        for batch in slices(batches, column, 6_000_000):
+            keys, n = count(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
-    summed = docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    summed = rows.select(column).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     return stored(summed.where(F.col("n") >= least))
 
 
-def _word_counts(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    import xxhash
-
-    seen: Counter = Counter()
-    for words in texts:
-        seen.update(words)
-    seen[END] += len(texts)
-    return np.array([xxhash.xxh64_intdigest(w) >> 1 for w in seen], U64), np.fromiter(seen.values(), np.int64, len(seen))
+def vocabulary(docs: DataFrame, text: str = "text", discount: float = 0.75) -> Model:
+    """The first level: words of docs with their counts."""
+    folder = f"{shared_dir(docs.sparkSession)}/ngrams/{uuid.uuid4().hex}"
+    counts = _summed(docs.select(F.col(text).alias("text")), "text", lambda batch: np.unique(word_hashes(text_bytes(batch, "text"))[0], return_counts=True), 1)
+    tokens = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return Model(tokens, build_level(counts, folder, "words", lambda table, keys: {"count": table.column("n").to_numpy()}), discount)
 
 
 def train(docs: DataFrame, text: str = "text", least_count: int = 2, discount: float = 0.75) -> Model:
     """A trie of the texts of docs."""
-    folder = f"{shared_dir(docs.sparkSession)}/ngrams/{uuid.uuid4().hex}"
-    rows = docs.select(F.col(text).alias("text"))
-    counts = _summed(rows, _word_counts, 1)
-    tokens = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    words = build_level(counts, folder, "words", lambda table, keys: {"count": table.column("n").to_numpy()})
-    model = Model(tokens, words, discount)
+    model = vocabulary(docs, text, discount)
+    return grown(stored(numbered(docs.select(text), model, text)), model, least_count)
+
+
+def grown(rows: DataFrame, model: Model, least_count: int = 2) -> Model:
+    """The model with the levels of pairs and triples, from the training texts' tokens."""
+    folder = f"{shared_dir(rows.sparkSession)}/ngrams/{uuid.uuid4().hex}"
+    tokens, discount = model.tokens, model.discount
     if not tokens:
         return model
 
-    def pairs(texts):
-        flat, starts = model.flat(texts)
+    def pairs(batch, model=model):
+        flat, starts = _flat(batch, model)
         keep = np.ones(len(flat), bool)
         keep[starts[1:] - 1] = False
         at = np.flatnonzero(keep)
-        keys, n = np.unique(flat[at] * (model.distinct + 1) + flat[at + 1], return_counts=True)
-        return keys, n
+        return np.unique(flat[at] * (model.distinct + 1) + flat[at + 1], return_counts=True)
 
-    two = _summed(rows, pairs, least_count)
+    two = _summed(rows, "tokens", pairs, least_count)
     v = model.distinct + 1
     heads = two.groupBy(F.expr(f"key div {v}").alias("key")).agg(F.sum(F.col("n") - discount).alias("mass"), F.count(F.lit(1)).alias("wide"))
     heads = stored(heads)
@@ -315,13 +353,13 @@ def train(docs: DataFrame, text: str = "text", least_count: int = 2, discount: f
     grams2 = build_level(two, folder, "grams2", pair_prob)
     model = Model(tokens, model.words, discount, contexts1, grams2, widest)
 
-    def triples(texts, model=model):
-        flat, starts = model.flat(texts)
+    def triples(batch, model=model):
+        flat, starts = _flat(batch, model)
         places = model.pair_places(flat, starts)
         at = np.flatnonzero(np.r_[False, (places[1:] >= 0) & (places[:-1] >= 0)])
         return np.unique(places[at - 1] * widest + model.relative(flat, places, at), return_counts=True)
 
-    three = _summed(rows, triples, least_count)
+    three = _summed(rows, "tokens", triples, least_count)
     heads = stored(three.groupBy(F.expr(f"key div {widest}").alias("key")).agg(F.sum(F.col("n") - discount).alias("mass")))
 
     def pair_weight(table, keys, model=model):
@@ -354,15 +392,28 @@ def train(docs: DataFrame, text: str = "text", least_count: int = 2, discount: f
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs without the text, with n_tokens, n_known, base_score and score."""
+    return scored_tokens(numbered(docs.drop("n_tokens", "n_known", "base_score", "score"), model, text), model)
+
+
+def scored_tokens(rows: DataFrame, model: Model) -> DataFrame:
+    """As scored, from tokens."""
     new = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
-    kept = [c for c in docs.columns if c not in {text, *(n for n, _ in new)}]
-    schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(n, t) for n, t in new)])
+    kept = [c for c in rows.columns if c not in {"tokens", *(n for n, _ in new)}]
+    schema = T.StructType([*(rows.schema[c] for c in kept), *(T.StructField(n, t) for n, t in new)])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in slices(batches, text):
-            found = model.scores([split_words(x) for x in text_bytes(batch, text)])
+        for batch in slices(batches, "tokens"):
+            found = model.scores(*_flat(batch, model))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(x) for x in found)], schema.names)
 
-    return docs.select(*kept, text).mapInArrow(run, schema)
+    return rows.select(*kept, "tokens").mapInArrow(run, schema)
+
+
+def trained_and_scored(docs: DataFrame, held_out: str, text: str = "text", least_count: int = 2) -> tuple[DataFrame, Model]:
+    """Scores of all docs by a model of those that are not held out; every text is split into tokens once."""
+    model = vocabulary(docs.where(~F.col(held_out)), text)
+    rows = stored(numbered(docs, model, text))
+    model = grown(rows.where(~F.col(held_out)), model, least_count)
+    return scored_tokens(rows, model), model
