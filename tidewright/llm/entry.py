@@ -51,7 +51,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~toxicity.in_fold("doc_id", 5, 0))
     found = toxicity.scored(docs, toxicity.learned(docs, labels))
-    return found.select("doc_id", toxicity.in_fold("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return found.select("doc_id", F.coalesce(toxicity.in_fold("doc_id", 5, 0), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
