@@ -41,10 +41,15 @@ class Ids:
     def __init__(self, path: str):
         import os
 
+        import numpy as np
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def learn(self, strings: set[bytes]) -> None:
         """Case does not count, and a mark behind plain letters is a token of its own, so many strings follow from others."""
@@ -53,24 +58,29 @@ class Ids:
             self.known, new = {}, strings
         parts = {}
         for x in new:
-            body = x.lower() if x.isascii() else x
-            parts[x] = (body[:-1], body[-1:]) if body[-1:] in MARKS and body[:-1].isalpha() and body.isascii() else (body,)
+            body = x.lower()
+            parts[x] = (body[:-1], body[-1:]) if body[-1:] in MARKS and body[:-1].decode().isalpha() else (body,)
         self._encode({y for own in parts.values() for y in own} - self.known.keys())
-        self.known.update((x, b"".join(map(self.known.__getitem__, own))) for x, own in parts.items())
+        self.known.update((x, self.known[own[0]] + self.known[own[1]] if len(own) > 1 else self.known[own[0]]) for x, own in parts.items())
 
     def _encode(self, strings: set[bytes]) -> None:
+        """Letters alone are one pre-token, whose last token ends a word; so they are encoded together and cut there."""
         import numpy as np
 
-        plain = [x for x in strings if x.isascii()]
-        for k in range(0, len(plain), 2000):  # together, to be cut apart where the strings end
-            part = plain[k : k + 2000]
-            encoded = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
-            ends = np.cumsum([len(x) + 1 for x in part])
-            cuts = [0, *np.searchsorted(np.array([a for a, _ in encoded.offsets]), ends).tolist()]
-            ids = np.array(encoded.ids, "<u4").tobytes()
-            self.known.update((x, ids[4 * a : 4 * b]) for x, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
-        other = [x for x in strings if not x.isascii()]
-        for x, e in zip(other, self.tokenizer.encode_batch_fast([x.decode() for x in other], add_special_tokens=False), strict=True):
+        texts = {x: x.decode() for x in strings}
+        plain, other = [], []
+        for x, text in texts.items():
+            (plain if text.isalpha() else other).append(x)
+        chunks = [plain[k : k + 2000] for k in range(0, len(plain), 2000)]
+        for part, e in zip(chunks, self.tokenizer.encode_batch_fast([b" ".join(part).decode() for part in chunks], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+            if len(cuts) != len(part) + 1:
+                other += part
+                continue
+            data = ids.tobytes()
+            self.known.update((x, data[4 * a : 4 * b]) for x, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
+        for x, e in zip(other, self.tokenizer.encode_batch_fast([texts[x] for x in other], add_special_tokens=False), strict=True):
             self.known[x] = np.array(e.ids, "<u4").tobytes()
 
     def of(self, strings: list[bytes]) -> bytes:
