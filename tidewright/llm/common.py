@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Java pattern of the white space between words.
 SPACE = r"[\x20\x09-\x0D]+"
