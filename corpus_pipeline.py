@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import decontaminate, line_dedup, packing, quality_rules, simhash
+from tidewright.llm import decontaminate, jaccard, line_dedup, packing, quality_rules, simhash
 from tidewright.llm.common import shared_dir, table
 
 
@@ -24,8 +24,8 @@ def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id."""
-    return simhash.representatives(docs)
+    """One document of each group with a Jaccard similarity of 0.8 or more over five words, that with the smallest doc_id."""
+    return simhash.one_of_each(docs, jaccard.near_duplicates(docs))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs)
 
 
-STAGES = [("quality_rules", quality), ("line_dedup", site_lines), ("simhash_near_dedup", near_dedup), ("decontaminate", decontaminated), ("packing", pack)]
+STAGES = [("quality_rules", quality), ("line_dedup", site_lines), ("near_dedup", near_dedup), ("decontaminate", decontaminated), ("packing", pack)]
 ORACLE_SQL = None
 
 

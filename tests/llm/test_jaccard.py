@@ -1,0 +1,61 @@
+from __future__ import annotations
+
+import random
+
+import corpus_pipeline
+import pytest
+from tests.llm.test_simhash import groups
+from tidewright.llm import jaccard
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def similar(a, b):
+    return a == b or (len(a & b) >= 0.8 * len(a | b) if a and b else False)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    draw = random.Random(11)
+    words = [f"w{k}" for k in range(500)]
+    out = [None, "", " \t", "one", "One", "a b c d", "A B c d", "a b c d e"]
+    for k in range(25):
+        base = [draw.choice(words) for _ in range(draw.randint(40, 300))]
+        out.append(" ".join(base))
+        for share in (0.01, 0.02, 0.03, 0.04):
+            other = base[:]
+            for _ in range(max(1, int(share * len(base)))):
+                other[draw.randrange(len(other))] = draw.choice(words)
+            out.append(" ".join(other))
+        out.append(" ".join(base[: int(0.84 * len(base))]))
+    return out
+
+
+def test_groups_against_all_pairs(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sets = [shingles(t) for t in texts]
+    roots = groups(sets, similar)
+    assert 30 < len(set(roots)) < len(texts) - 60
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(roots))
+
+
+def test_stage_keeps_one_of_each_group(spark, texts):
+    """A copy with one sentence in ten less goes, which four differing bits of a fingerprint don't find."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    docs = docs.unionByName(docs.where("doc_id in (0, 9)")).unionByName(docs.where("doc_id = 9").selectExpr("cast(null as long) as doc_id", "text"))
+    roots = groups([shingles(t) for t in texts], similar)
+    left = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(x for x in left if x is not None) == sorted(set(roots)) and left.count(None) == 1
+
+
+def test_chain_in_one_bucket(spark):
+    """Members that only a third one links, and empty tables."""
+    words = [f"w{k}" for k in range(240)]
+    texts = [" ".join(words[k : k + 200]) for k in range(0, 41, 8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard.near_duplicates(docs).collect()} == {0}
+    assert jaccard.near_duplicates(docs.where("false")).count() == 0

@@ -1,0 +1,114 @@
+"""Near-duplicates at a Jaccard similarity of word shingles, exactly verified.
+
+A text is the set of XXH64 values of its five-word shingles (A-Z lower-cased; all its words where there are fewer).
+Candidates share a band of min-hashes: 24 bands of five, so a pair at similarity 0.8 collides with probability 0.9999
+and one at 0.5 with 0.53. Every candidate pair's sets are intersected; links have `similarity` or more.
+
+Equal sets are one node, so copies are never compared. In a band's bucket all members are compared with the smallest
+one; then, where a bucket's members are not yet one component, all its pairs that are still apart. No bucket of mutual
+near copies emits all its pairs. A bucket of many members that are alike but under `similarity` does.
+
+Texts without words (null, empty, blank) are one set. Repeated rows stay separate rows of one group. Rows without a key
+have no place in a group.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.graph import connected
+from .common import slices, stored, text_bytes
+
+BANDS, ROWS = 24, 5
+
+
+def shingled(words: list[bytes], shingle: int, seed: int):
+    """The sorted distinct hashes of the shingles."""
+    import numpy as np
+    import xxhash
+
+    n, digest = len(words), xxhash.xxh64_intdigest
+    if not n:
+        return np.empty(0, np.uint64)
+    text = b" ".join(words)
+    if n <= shingle:
+        return np.array([digest(text, seed)], np.uint64)
+    gaps = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+    starts = [0, *(gaps[: n - shingle] + 1).tolist()]
+    ends = [*gaps[shingle - 1 :].tolist(), len(text)]
+    return np.unique(np.array([digest(text[a:b], seed) for a, b in zip(starts, ends, strict=True)], np.uint64))
+
+
+def _bands(values, factors, seed: int):
+    """A hash for each band of the min-hashes; the factors are odd."""
+    import numpy as np
+    import xxhash
+
+    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(values), 1024):
+        least = np.minimum(least, (values[k : k + 1024, None] * factors).min(0))
+    return [xxhash.xxh64_intdigest(x.tobytes(), seed + k) for k, x in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def _mapped(rows: DataFrame, what: str, shingle: int, seed: int) -> DataFrame:
+    """(key, fp, n, values) of rows (key, text): fp names the set, n is its size, values are its bands or its members."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        factors = np.random.default_rng(seed).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+        for batch in slices(batches, "text"):
+            fps, sizes, found = [], [], []
+            for x in text_bytes(batch, "text"):
+                values = shingled(x.lower().split(), shingle, seed)
+                fps.append(xxhash.xxh64_intdigest(values.tobytes(), seed))
+                sizes.append(len(values))
+                found.append(values if what == "members" else np.array(_bands(values, factors, seed) if len(values) else [], np.uint64))
+            ends = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists], ["key", "fp", "n", "values"])
+
+    return rows.mapInArrow(run, "key long, fp long, n long, values array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets are similar."""
+    side = lambda c: sets.select(F.col("fp").alias(c), F.col("values").alias(f"{c}_values"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v").withColumn("common", F.size(F.array_intersect("u_values", "v_values")))
+    return both.where(F.col("common") + 1e-9 >= similarity * (F.size("u_values") + F.size("v_values") - F.col("common"))).select("u", "v")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """(key, fp, component_id) of the rows with a key: component_id is the smallest key among all rows reachable by links."""
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null")
+    own = stored(_mapped(rows, "bands", shingle, seed))
+    nodes = stored(own.groupBy("fp").agg(F.min("key").alias("least"), F.first("n").alias("n")))
+    placed = own.select("fp", "n", F.explode("values").alias("bucket")).distinct()
+    least = placed.groupBy("bucket").agg(F.min("fp").alias("root"), F.min(F.struct("fp", "n"))["n"].alias("root_n"), F.max("fp").alias("last")).where("root < last").drop("last")
+    members = stored(placed.join(least, "bucket"))
+
+    chosen = members.select("fp").distinct().join(nodes, "fp").select("fp", F.col("least").alias("key"))
+    texts = rows.join(chosen.select("key").distinct(), "key", "left_semi")
+    sets = _mapped(texts, "members", shingle, seed).join(chosen.select("fp"), "fp", "left_semi").select("fp", "values")
+    sets = stored(sets.dropDuplicates(["fp"]))
+
+    near = lambda a, b: (F.least(a, b) + 1e-9 >= similarity * F.greatest(a, b))  # noqa: E731  sets of too different sizes can't be similar
+    tried = stored(members.where("fp != root").where(near("n", "root_n")).select(F.col("root").alias("u"), F.col("fp").alias("v")).distinct())
+    links = stored(_verified(tried, sets, similarity))
+    roots = stored(connected(links, keep=stored))
+    labelled = members.select("bucket", "fp", "n").join(roots.withColumnRenamed("node", "fp").withColumnRenamed("root", "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    apart = labelled.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket")
+    left = stored(labelled.join(apart, "bucket", "left_semi"))
+    other = left.select("bucket", F.col("fp").alias("v"), F.col("n").alias("v_n"), F.col("label").alias("v_label"))
+    pairs = left.withColumnRenamed("fp", "u").join(other, "bucket").where("u < v and label != v_label").where(near("n", "v_n")).select("u", "v").distinct()
+    more = stored(_verified(pairs.join(tried, ["u", "v"], "left_anti"), sets, similarity))
+    if more.take(1):
+        roots = connected(links.union(more), keep=stored)
+    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    return own.select(F.col("key").alias(key), "fp").join(named, "fp").select(key, "fp", "component_id")

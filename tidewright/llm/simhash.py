@@ -178,7 +178,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **kind) -> DataFrame:
     """One row of each group: that with the smallest key, once where rows repeat. Rows without a key stay."""
-    found = stored(near_duplicates(docs, key, text, **kind))
+    return one_of_each(docs, near_duplicates(docs, key, text, **kind), key)
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, key: str = "doc_id") -> DataFrame:
+    """As representatives, of given groups (key, component_id)."""
+    found = stored(groups)
     extra = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
     kept = docs.join(extra, key, "left_anti")
     repeated = found.where(F.col(key) == F.col("component_id")).groupBy(key).count().where("count > 1")
