@@ -83,6 +83,17 @@ def test_scores_against_counts_in_dictionaries(spark, rows, monkeypatch):
         assert r["score"] == pytest.approx(score, abs=tokens * 2 / ngram_lm.STEPS)
 
 
+def test_single_occurrences_count(spark):
+    """Pairs and triples that the training texts have once are kept."""
+    texts = ["the cat sat on a mat", "the dog sat on a mat", "the cat sat on a chair", "a dog ran", None]
+    docs = spark.createDataFrame([(k, t, k == 2) for k, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    found, _ = ngram_lm.trained_and_scored(docs, "held_out")
+    _, wanted = brute([t for k, t in enumerate(texts) if k != 2], texts, least=1)
+    got = {r["doc_id"]: r["score"] for r in found.collect()}
+    for k, (tokens, _, _, score) in enumerate(wanted):
+        assert got[k] == pytest.approx(score, abs=tokens * 2 / ngram_lm.STEPS)
+
+
 def test_no_training_texts(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     model = ngram_lm.train(docs.where("false"))

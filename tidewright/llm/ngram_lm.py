@@ -411,7 +411,7 @@ def scored_tokens(rows: DataFrame, model: Model) -> DataFrame:
     return rows.select(*kept, "tokens").mapInArrow(run, schema)
 
 
-def trained_and_scored(docs: DataFrame, held_out: str, text: str = "text", least_count: int = 2) -> tuple[DataFrame, Model]:
+def trained_and_scored(docs: DataFrame, held_out: str, text: str = "text", least_count: int = 1) -> tuple[DataFrame, Model]:
     """Scores of all docs by a model of those that are not held out; every text is split into tokens once."""
     model = vocabulary(docs.where(~F.col(held_out)), text)
     rows = stored(numbered(docs, model, text))
