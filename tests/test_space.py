@@ -122,6 +122,18 @@ def test_zones_and_bodies(spark):
     assert given == {1: 4, 2: 5, 3: 0}
 
 
+def test_bodies_of_every_month(spark):
+    """Bodies don't join over months, and a month without a key is one of its own."""
+    months = {"a": [[1, 1, 0], [0, 0, 1]], "b": [[0, 1, 1], [0, 0, 1]], None: [[1, 0, 0], [1, 0, 0]]}
+    rows = [(m, r, c, v) for m, lines in months.items() for r, line in enumerate(lines) for c, v in enumerate(line)]
+    px = spark.createDataFrame(rows, "period string, row int, col int, v int")
+    b = raster.bodies(px, F.col("v") == 1, 3, by=["period"])
+    assert {(r["period"], r["body"], r["area"]) for r in b.collect()} == {("a", 0, 2), ("a", 5, 1), ("b", 1, 3), (None, 0, 2)}
+    zones = spark.createDataFrame([(1, 1, rings([(0, 0), (2, 0), (2, 2), (0, 2)])), (2, 2, rings([(2, 0), (3, 0), (3, 2), (2, 2)]))], f"zone long, draw_order int, rings {SHAPE}")
+    given = {(r["period"], r["zone"]): r["area"] for r in raster.body_areas(b, zones, (0.0, 1.0, 0.0, 2.0, 0.0, -1.0), 2.0, by=["period"]).collect()}
+    assert given == {("a", 1): 2, ("a", 2): 1, ("b", 1): 0, ("b", 2): 3, (None, 1): 2, (None, 2): 0}
+
+
 def test_windows_give_the_raster_back(spark):
     px = lattice(spark, [[r * 8 + c for c in range(8)] for r in range(8)])
     w = raster.windows(px, 8, 8, 4, 2, ["v"])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import awei, is_clear
-from .graph import connected
+from .graph import connected, settled
 from .spatial import points_in_shapes
 
 LATTICE = ["row", "col"]
@@ -203,23 +203,33 @@ def drawn(pixels: DataFrame, n: int, seed: int, by: Sequence[str] = ()) -> DataF
     return pixels.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(h, *LATTICE))).where(F.col("__k") <= n).drop("__k")
 
 
-def bodies(pixels: DataFrame, water: Column, width: int, area: float = 1.0) -> DataFrame:
-    """(row, col, body, area): connected water by four neighbours; a body is named by its smallest row * width + col."""
-    own = pixels.where(water).select(*LATTICE, (F.col("row").cast("long") * width + F.col("col")).alias("u"))
+def bodies(pixels: DataFrame, water: Column, width: int, area: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
+    """(by, row, col, body, area): connected water by four neighbours within each group; a body is named by its smallest
+    row * width + col. A group's number and that place (below 2^40) make a node."""
+    cell = F.col("row").cast("long") * width + F.col("col")
+    own = pixels.where(water).select(*by, *LATTICE, cell.alias("u"))
+    if by:
+        groups = own.select(*by).distinct().withColumn("__g", F.row_number().over(Window.orderBy(*by)).cast("long"))
+        groups = settled(groups.select(F.struct(*by).alias("__by"), "__g"))
+        own = own.join(groups, F.struct(*by).eqNullSafe(F.col("__by"))).select(*by, *LATTICE, (F.shiftleft("__g", 40) + F.col("u")).alias("u"))
     right = own.withColumn("v", F.when(F.col("col") + 1 < width, F.col("u") + 1))
     down = own.withColumn("v", F.col("u") + width)
     pairs = right.unionByName(down).where("v is not null").select("u", "v").join(own.select(F.col("u").alias("v")), "v", "left_semi")
     found = connected(pairs)
-    out = own.join(found.withColumnRenamed("node", "u"), "u", "left").select(*LATTICE, F.coalesce("root", "u").alias("body"))
-    return out.join(out.groupBy("body").agg((F.count(F.lit(1)) * area).alias("area")), "body").select(*LATTICE, "body", "area")
+    out = own.join(found.withColumnRenamed("node", "u"), "u", "left").select(*by, *LATTICE, F.coalesce("root", "u").alias("body"))
+    out = out.join(out.groupBy("body").agg((F.count(F.lit(1)) * area).alias("area")), "body")
+    return out.select(*by, *LATTICE, F.col("body").bitwiseAND(F.lit((1 << 40) - 1)).alias("body"), "area")
 
 
-def body_areas(found: DataFrame, shapes: DataFrame, gt: Sequence[float], size: float, key: str = "zone", order: str = "draw_order") -> DataFrame:
-    """(key, area): every body goes to the first shape that holds its centroid."""
-    middle = centres(found, gt).groupBy("body").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.first("area").alias("area"))
-    given = points_in_shapes(middle, shapes.select(key, order, "rings"), size).groupBy("body").agg(F.min_by(key, order).alias(key), F.first("area").alias("area"))
-    sums = given.groupBy(key).agg(F.sum("area").alias("area"))
-    return shapes.select(key).join(sums, key, "left").fillna(0.0, ["area"])
+def body_areas(found: DataFrame, shapes: DataFrame, gt: Sequence[float], size: float, key: str = "zone", order: str = "draw_order", by: Sequence[str] = ()) -> DataFrame:
+    """(by, key, area): every body goes to the first shape that holds its centroid; 0 for a shape without one in a group that has bodies."""
+    middle = centres(found, gt).groupBy(*by, "body").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.first("area").alias("area"))
+    given = points_in_shapes(middle, shapes.select(key, order, "rings"), size).groupBy(*by, "body").agg(F.min_by(key, order).alias(key), F.first("area").alias("area"))
+    if not by:
+        sums = given.groupBy(key).agg(F.sum("area").alias("area"))
+        return shapes.select(key).join(sums, key, "left").fillna(0.0, ["area"])
+    none = found.select(*by).distinct().crossJoin(shapes.select(key)).select(*by, key, F.lit(0.0).alias("area"))
+    return none.union(given.select(*by, key, "area")).groupBy(*by, key).agg(F.sum("area").alias("area"))
 
 
 def basin_balance(cells: DataFrame, key: str, cell_area: float, measures: Sequence[str] = ("runoff", "evaporation", "precipitation"), flags: Mapping[str, Column] | None = None) -> DataFrame:

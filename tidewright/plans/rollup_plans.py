@@ -153,7 +153,7 @@ def segmentation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plans.add()
 def permutation_test_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Natural against managed values of each zone, 200 shuffles."""
-    rows = months(spark, sf_dir).where("period >= '1999-01-01'").join(suppliers(spark, sf_dir), "id")
+    rows = months(spark, sf_dir).join(suppliers(spark, sf_dir), "id")
     return _rounded(rollup.permutation_test(reshape.split_by_type(rows, "value", "kind").groupBy("zone", "period").agg(F.avg("value_natural").alias("a"), F.avg("value_managed").alias("b")), "zone", "a", "b", 200))
 
 

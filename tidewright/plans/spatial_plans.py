@@ -251,8 +251,8 @@ def neighbourhoods_of_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plans.add()
 def samples_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty pixels of each class, by hashed position: a sampling operator."""
-    return raster.drawn(pixels(spark, sf_dir).where("period = '1996-06-01'"), 20, 7, ["class"]).select("class", "row", "col")
+    """Twenty pixels of each class in each month, by hashed position: a sampling operator."""
+    return raster.drawn(pixels(spark, sf_dir), 20, 7, ["period", "class"]).select("period", "class", "row", "col")
 
 
 @plans.add(f"WITH {PIXELS_SQL}, a AS (SELECT row, col, avg(class) AS v FROM px GROUP BY 1, 2), t AS (SELECT i, j, ((j + 0.5) * 45 / 30) AS fc, ((i + 0.5) * 45 / 30) AS fr FROM range(42) AS q(i), range(42) AS z(j)) SELECT i::INTEGER AS row, j::INTEGER AS col, round(v, 6) AS v FROM t LEFT JOIN a ON a.row = floor(fr) AND a.col = floor(fc)")
@@ -272,17 +272,17 @@ def resampled_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _water(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels(spark, sf_dir).where("period = '1996-06-01'").withColumn("water", F.col("class") > 0)
+    return pixels(spark, sf_dir).withColumn("water", F.col("class") > 0)
 
 
 @plans.add()
 def water_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.bodies(_water(spark, sf_dir), F.col("water"), 64, 900.0)
+    return raster.bodies(_water(spark, sf_dir), F.col("water"), 64, 900.0, ["period"])
 
 
 @plans.add()
 def body_areas_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.body_areas(water_bodies(spark, sf_dir), _zones(spark), GT, 480.0)
+    return raster.body_areas(water_bodies(spark, sf_dir), _zones(spark), GT, 480.0, by=["period"])
 
 
 @plans.add(f"WITH {SUPPLIERS_SQL}, c AS (SELECT zone, date_trunc('month', l_shipdate)::DATE AS period, l_tax AS runoff, l_discount AS evaporation, l_quantity AS precipitation, kind FROM lineitem JOIN sup ON l_suppkey = id) SELECT zone, period, round(sum(runoff) * 123.9, 4) AS runoff, round(sum(evaporation) * 123.9, 4) AS evaporation, round(sum(precipitation) * 123.9, 4) AS precipitation, round(count(*) FILTER (kind = 1) * 123.9, 4) AS natural_area FROM c GROUP BY 1, 2")
