@@ -2,17 +2,22 @@
 
 A document is its token ids and one end id; only longer ones are cut. Pieces that fill a sequence stand alone. All
 others are dealt evenly into groups of about `group_pieces`, each packed by itself, so the sequences lost against one
-global packing are about one a group. Within a group, every sequence starts from the largest piece left; the fillings
-around it that no larger piece could improve are enumerated, largest first, until the waste is zero or the node budget
-ends; greedy best fit is the incumbent that a filling must beat, and best-fit decreasing that which the group must beat.
+global packing are about one a group. Within a group, branch and bound completes bins around the largest piece left
+(`bin_completion`), with best-fit decreasing as the first incumbent; where that meets the lower bound, it is optimal.
 
-Null and empty texts have the end id alone. Repeated rows are packed once each. Input columns named like a result are
-replaced; others are passed through, except the text.
+Null and empty texts have the end id alone. A very long text is cut into as many pieces as it takes; one text is held
+at a time. Pieces of equal length change places freely: which one goes where is not defined, the lengths of each sequence
+are. Repeated rows are packed once each. An empty table gives no rows. Input columns named like a result are replaced;
+others are passed through, except the text.
+
+White-space separated strings are encoded once each, and follow from their lower-case bodies, where the tokenizer's file
+says that white space and case do not matter (`word_by_word`); with any other file whole texts are encoded.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -20,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bin_completion import bin_completion
 from .common import slices, stored, text_bytes
 
 CAPACITY = 4096
@@ -35,6 +41,16 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def word_by_word(path: str) -> bool:
+    """Whether the file's normaliser drops case and white space's kind, and its pre-tokens are letters, single digits or marks with word ends."""
+    with open(path) as f:
+        file = json.load(f)
+    parts = lambda key, inner: [x for x in ((file[key] or {}).get(inner) or [file[key]]) if x]
+    lower = any(x["type"] == "Lowercase" for x in parts("normalizer", "normalizers"))
+    split = any(x["type"] == "Split" and x["behavior"] == "Removed" and x["invert"] and r"[^\s\p{L}\p{N}]+" in x["pattern"].get("Regex", "") for x in parts("pre_tokenizer", "pretokenizers"))
+    return lower and split and file["model"].get("end_of_word_suffix") == "</w>"
+
+
 class Ids:
     """Token ids as little-endian bytes. White space always separates tokens here, so strings between it are looked up once."""
 
@@ -47,20 +63,23 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.word_by_word = word_by_word(path)
         vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def learn(self, strings: set[bytes]) -> None:
         """Case does not count, and a mark behind plain letters is a token of its own, so many strings follow from others."""
-        new = strings - self.known.keys()
+        known = self.known
+        new = {x for x in strings if x not in known}
         if len(self.known) + 2 * len(new) > CACHE:
             self.known, new = {}, strings
         parts = {}
         for x in new:
             body = x.lower()
             parts[x] = (body[:-1], body[-1:]) if body[-1:] in MARKS and body[:-1].decode().isalpha() else (body,)
-        self._encode({y for own in parts.values() for y in own} - self.known.keys())
+        known = self.known
+        self._encode({y for own in parts.values() for y in own if y not in known})
         self.known.update((x, self.known[own[0]] + self.known[own[1]] if len(own) > 1 else self.known[own[0]]) for x, own in parts.items())
 
     def _encode(self, strings: set[bytes]) -> None:
@@ -83,8 +102,18 @@ class Ids:
         for x, e in zip(other, self.tokenizer.encode_batch_fast([texts[x] for x in other], add_special_tokens=False), strict=True):
             self.known[x] = np.array(e.ids, "<u4").tobytes()
 
-    def of(self, strings: list[bytes]) -> bytes:
-        return b"".join(map(self.known.__getitem__, strings))
+    def of(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text."""
+        import numpy as np
+
+        if not self.word_by_word:
+            for x in texts:
+                yield np.array(self.tokenizer.encode(x.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            return
+        split = [x.split() for x in texts]
+        self.learn({w for words in split for w in words})
+        for words in split:
+            yield b"".join(map(self.known.__getitem__, words))
 
 
 @functools.cache
@@ -106,10 +135,8 @@ def pieces(docs: DataFrame, text: str = "text", tokenizer: str | None = None, ca
         ids = ids_of(path)
         for batch in slices(batches, text, 2_000_000):
             rows, cut = [], []
-            split = [x.split() for x in text_bytes(batch, text)]
-            ids.learn({w for words in split for w in words})
-            for k, words in enumerate(split):
-                data = ids.of(words) + tail
+            for k, own in enumerate(ids.of(text_bytes(batch, text))):
+                data = own + tail
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     rows.append(k)
@@ -121,103 +148,13 @@ def pieces(docs: DataFrame, text: str = "text", tokenizer: str | None = None, ca
     return docs.select(*kept, text).mapInArrow(run, schema)
 
 
-class _Left:
-    """How many pieces of each length are left; the largest length up to a bound in near constant time."""
+def packed_lengths(lengths: list[int], capacity: int, nodes_per_piece: int | None = 100) -> list[list[int]]:
+    """The lengths in each bin, by bin completion with a bound on its nodes; None: as many as the optimum takes."""
+    nodes = None if nodes_per_piece is None else max(200_000, nodes_per_piece * len(lengths))
+    return bin_completion(lengths, capacity, nodes)
 
-    def __init__(self, lengths, capacity: int):
-        import numpy as np
 
-        self.count = np.bincount(lengths, minlength=capacity + 1).tolist()
-        self.below = list(range(capacity + 1))
-
-    def largest(self, most: int) -> int:
-        """0 if there is none. Lengths that ran out are skipped for good."""
-        x = most
-        while x and not self.count[x]:
-            x = x - 1 if self.below[x] == x else self.below[x]
-        while most and most != x:
-            after = most - 1 if self.below[most] == most else self.below[most]
-            self.below[most], most = x, after
-        return x
-
-
-def _complete(left: _Left, room: int, nodes: int) -> list[int]:
-    """Lengths that fill `room` with the least waste found; greedy best fit is the first incumbent."""
-    best, waste = [], room
-    budget = nodes
-
-    def extend(chosen: list[int], used: dict[int, int], room: int, most: int) -> bool:
-        """True once nothing is wasted."""
-        nonlocal best, waste, budget
-        x = left.largest(min(room, most))
-        while x and left.count[x] <= used.get(x, 0):
-            x = left.largest(x - 1)
-        if not x or room < waste and not x:
-            if room < waste:
-                best, waste = chosen[:], room
-            return waste == 0
-        while x:
-            budget -= 1
-            chosen.append(x)
-            used[x] = used.get(x, 0) + 1
-            if extend(chosen, used, room - x, x):
-                return True
-            chosen.pop()
-            used[x] -= 1
-            if budget <= 0:
-                return waste == 0
-            x = left.largest(x - 1)
-            while x and left.count[x] <= used.get(x, 0):
-                x = left.largest(x - 1)
-            # A smaller piece alone can't be worth it where even the rest behind it can't beat the incumbent.
-            if x and len(chosen) + 1 >= 6 and room - x >= waste:
-                return waste == 0
-        return waste == 0
-
-    extend([], {}, room, room)
-    return best
-
-
-def bin_completion(lengths: list[int], capacity: int, nodes: int = 200) -> list[list[int]]:
-    """The lengths in each bin."""
-    left, bins = _Left(lengths, capacity), []
-    while x := left.largest(capacity):
-        left.count[x] -= 1
-        filling = _complete(left, capacity - x, nodes)
-        for y in filling:
-            left.count[y] -= 1
-        bins.append([x, *filling])
-    return bins
-
-
-def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
-    from bisect import bisect_left, insort
-
-    rooms: list[tuple[int, int]] = []
-    bins: list[list[int]] = []
-    for x in sorted(lengths, reverse=True):
-        k = bisect_left(rooms, (x, -1))
-        if k < len(rooms):
-            room, b = rooms.pop(k)
-        else:
-            room, b = capacity, len(bins)
-            bins.append([])
-        bins[b].append(x)
-        if room > x:
-            insort(rooms, (room - x, b))
-    return bins
-
-
-def packed_lengths(lengths: list[int], capacity: int, nodes: int = 200) -> list[list[int]]:
-    """The better of bin completion and best-fit decreasing, which is enough if it meets the bound."""
-    bins = best_fit_decreasing(lengths, capacity)
-    if len(bins) > -(-sum(lengths) // capacity):
-        other = bin_completion(lengths, capacity, nodes)
-        bins = min(bins, other, key=len)
-    return bins
-
-
-def packed(docs: DataFrame, text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 1, group_pieces: int = 20_000, nodes: int = 200) -> DataFrame:
+def packed(docs: DataFrame, text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 1, group_pieces: int = 20_000, nodes_per_piece: int | None = 100) -> DataFrame:
     """The pieces of all documents with sequence_id and offset."""
     cut = stored(pieces(docs.drop("sequence_id", "offset"), text, tokenizer, capacity, end_id))
     whole = cut.where(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -234,7 +171,7 @@ def packed(docs: DataFrame, text: str = "text", tokenizer: str | None = None, ca
         for row, x in enumerate(lengths.tolist()):
             of.setdefault(x, []).append(row)
         ids, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        for b, filling in enumerate(packed_lengths(lengths.tolist(), capacity, nodes)):
+        for b, filling in enumerate(packed_lengths(lengths.tolist(), capacity, nodes_per_piece)):
             at = 0
             for x in filling:
                 row = of[x].pop()
