@@ -280,3 +280,31 @@ def test_interaction_is_learned(spark):
     assert wrong <= 15 and len(got) == len(rows)
     none = toxicity.learned(docs, labels.where("false"))
     assert max(r["score"] for r in toxicity.scored(docs, none).collect()) < 1e-6
+
+
+def test_pairs_without_marginal_effect(spark):
+    """Toxic where both words stand or neither does: each word alone tells nothing, so only factors can."""
+    draw, rows = np.random.default_rng(8), []
+    for k in range(3000):
+        a, b = draw.random(2) < 0.5
+        rows.append((k, " ".join([*draw.choice(["one", "two", "three", "four"], 3), *["insult"] * int(a), *["group"] * int(b)]), int(a == b)))
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int").where("doc_id < 1500")
+    machine = toxicity.learned(docs, labels)
+    right = lambda m: np.mean([(m.score(toxicity.terms(t.encode())) >= 0.5) == y for k, t, y in rows if k >= 1500])
+    assert right(machine) >= 0.95
+    assert right(toxicity.Machine(machine.slot, machine.bias, machine.weight, 0 * machine.factor)) < 0.7
+
+
+def test_scores_against_a_plain_sum_over_pairs(spark):
+    draw = np.random.default_rng(2)
+    slot = np.full(1 << toxicity.BITS, -1)
+    texts = ["a b c", "a", None, "", "a a B never seen", "word " * 60_000 + "b", "a b c"]
+    known = np.unique(np.concatenate([toxicity.terms((t or "").encode()) for t in ("a b c", "word")]))
+    slot[known] = np.arange(len(known))
+    machine = toxicity.Machine(slot, -0.3, draw.normal(0, 1, len(known)), draw.normal(0, 1, (len(known), 4)))
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(frame(spark, texts), machine).collect()}
+    for k, t in enumerate(texts):
+        own = [int(slot[x]) for x in toxicity.terms((t or "").encode()) if slot[x] >= 0]
+        z = machine.bias + sum(machine.weight[i] for i in own) + sum(float(machine.factor[i] @ machine.factor[j]) for i in own for j in own if i < j)
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-z)))
