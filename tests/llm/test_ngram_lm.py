@@ -63,17 +63,18 @@ def brute(train, texts, d=0.75, least=2):
     return n, out
 
 
-@pytest.mark.parametrize("rows", [300, 1])
-def test_scores_against_counts_in_dictionaries(spark, rows, monkeypatch):
-    monkeypatch.setattr(ngram_lm, "SHARD_ROWS", 40)
+@pytest.mark.parametrize(("rows", "least"), [(300, 1), (300, 2), (1, 1)])
+def test_scores_against_counts_in_dictionaries(spark, rows, least, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 40)
+    monkeypatch.setattr(ngram_lm, "HELD", 30)
     draw = np.random.default_rng(3)
     vocabulary = ["The", "a", "né", "x", "straße", *(f"w{k}" for k in range(40))]
     texts = [" ".join(draw.choice(vocabulary, draw.integers(0, 30), p=np.r_[[0.12] * 5, [0.01] * 40])) for _ in range(rows)]
     texts += [None, "", " \n\t", texts[0], "never seen words", "a " * 3000]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     train = docs.where("doc_id % 5 != 2")
-    model = ngram_lm.train(train)
-    n, wanted = brute([t for k, t in enumerate(texts) if k % 5 != 2], texts)
+    model = ngram_lm.train(train, least_count=least)
+    n, wanted = brute([t for k, t in enumerate(texts) if k % 5 != 2], texts, least=least)
     assert model.tokens == n
     got = {r["doc_id"]: r for r in ngram_lm.scored(docs, model).collect()}
     for k, (tokens, known, base, score) in enumerate(wanted):

@@ -73,6 +73,16 @@ class EliasFano:
         place = word * 64 + _select(self.high[word], i - self.ones[word])
         return ((place - i).astype(U64) << U64(self.bits)) | self._low(i)
 
+    def values(self) -> np.ndarray:
+        """All values."""
+        high = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[: self.n]
+        i = np.arange(self.n)
+        return ((high - i).astype(U64) << U64(self.bits)) | self._low(i)
+
+    def range(self, a: int, b: int) -> np.ndarray:
+        """The values at places a up to b."""
+        return self.get(np.arange(a, b)) if b > a else np.empty(0, U64)
+
     @functools.cached_property
     def _zeros(self) -> np.ndarray:
         """0s before each word of high."""
@@ -125,6 +135,37 @@ class EliasFano:
         return out
 
 
+def to_bytes(arrays: dict[str, np.ndarray | int]) -> bytes:
+    """All arrays with their names, each at a multiple of 8 bytes."""
+    head, at, body = {}, 0, []
+    for name, x in arrays.items():
+        x = np.atleast_1d(np.asarray(x))
+        head[name] = (x.dtype.str, at, len(x))
+        body += [x.tobytes(), b"\0" * (-x.nbytes % 8)]
+        at += x.nbytes + -x.nbytes % 8
+    text = json.dumps(head, separators=(",", ":")).encode()
+    text += b" " * (-len(text) % 8)
+    return b"".join([len(text).to_bytes(8, "little"), text, *body])
+
+
+def from_bytes(data: np.ndarray) -> dict[str, np.ndarray]:
+    """The arrays in a buffer of bytes, in place."""
+    size = int(data[:8].view(np.int64)[0])
+    out = {}
+    for name, (kind, start, n) in json.loads(bytes(data[8 : 8 + size])).items():
+        kind = np.dtype(kind)
+        out[name] = data[8 + size + start : 8 + size + start + n * kind.itemsize].view(kind)
+    return out
+
+
+def prefixed(name: str, values: np.ndarray) -> dict:
+    return {f"{name}_{k}": x for k, x in EliasFano.parts(values).items()}
+
+
+def sequence(arrays: dict, name: str) -> EliasFano:
+    return EliasFano({k: arrays[f"{name}_{k}"][0] if k in ("n", "low_bits") else arrays[f"{name}_{k}"] for k in ("n", "low_bits", "low", "high", "ones")})
+
+
 def _system(path: str):
     from pyarrow import fs
 
@@ -135,19 +176,9 @@ def write_file(path: str, arrays: dict[str, np.ndarray | int]) -> None:
     """All arrays in one file that appears at once, so that a repeated task does no harm."""
     system, to = _system(path)
     system.create_dir(os.path.dirname(to), recursive=True)
-    head, at = {}, 0
-    for name, x in arrays.items():
-        x = np.atleast_1d(np.asarray(x))
-        head[name] = (str(x.dtype), at, len(x))
-        at += -(-x.nbytes // 64) * 64
-    text = json.dumps(head).encode()
-    text += b" " * (-(len(text) + 8) % 64)
     own = f"{to}.{uuid.uuid4().hex}"
     with system.open_output_stream(own) as f:
-        f.write(len(text).to_bytes(8, "little") + text)
-        for x in arrays.values():
-            data = np.atleast_1d(np.asarray(x)).tobytes()
-            f.write(data + b"\0" * (-len(data) % 64))
+        f.write(to_bytes(arrays))
     system.move(own, to)
 
 
@@ -166,12 +197,4 @@ def read_file(path: str) -> dict[str, np.ndarray]:
             fs.copy_files(at, own, source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
             os.replace(own, local)
         at = local
-    data = np.memmap(at, np.uint8, "r")
-    size = int(data[:8].view(np.int64)[0])
-    head = json.loads(bytes(data[8 : 8 + size]))
-    out = {}
-    for name, (kind, start, n) in head.items():
-        kind = np.dtype(kind)
-        begin = 8 + size + start
-        out[name] = data[begin : begin + n * kind.itemsize].view(kind)
-    return out
+    return from_bytes(np.memmap(at, np.uint8, "r"))

@@ -1,23 +1,28 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-Words are numbered by the order of their 63-bit hashes. The trie has these levels, each cut into shards by key range:
-
-- words: hashes, with training counts; a word's number is its place
-- contexts1: word numbers that have successors, with a monotone pointer to the first of them and a back-off weight
-- grams2: (word, next word), with the count and the quantised smoothed log probability
-- contexts2: places of grams2 that have successors, with a back-off weight
-- grams3: (place in grams2 of the first two words, the third word's place among the successors of the second), with the
-  quantised smoothed log probability. The context-relative number is small, so keys take few bits.
-
-Bigrams and trigrams are kept from `least_count` on; probabilities are interpolated with absolute discounting, and what
-is discounted or left out goes to the shorter context: p(w|h) = (c(hw) - D)+ / c(h) + b(h) p(w|h'). The shortest is
-(c(w) + 1) / (N + V + 1). Counting runs over all training texts: each task counts its own n-grams, Spark sums them.
-Every text is turned into numbers once.
-A trigram is only counted where both its bigrams were kept, which its own count implies. Shards are written by tasks to
-the shared folder and memory-mapped by the workers that score.
-
-A text is its words (A-Z lower-cased) and one end token. Null and empty texts are the end token alone. Without training
-texts all tokens are unknown and score 0. Repeated rows are all counted and scored. A null key is not held out.
+Words are numbered by the order of their 63-bit hashes. The trie has three levels, each cut into shards:
+
+- words: hashes in order, with training counts; a word's number is its place.
+- pairs: for each word a monotone pointer to its first successor; the successors' numbers, those of one word in order and
+  each word's raised by where the word before ended, which makes a shard one monotone sequence; counts, and quantised
+  smoothed log probabilities; and a back-off weight for each word.
+- triples: the same with the pairs' places as contexts. A third word is named by its place among the successors of the
+  second, a small number.
+
+Pointers and successors are Elias-Fano sequences. A successor is searched for within the pointers of its context: its
+number is raised by the value before the context's first successor, and the value's place is looked up by its high bits.
+
+Probabilities are interpolated with absolute discounting: p(w|h) = (c(hw) - D) / c(h) + b(h) p(w|h'), where b(h) is what
+is discounted (or left out, if `least_count` is above 1). The shortest is (c(w) + 1) / (N + V + 1).
+
+Every text is turned into numbers once. Each task counts its n-grams and sends them to the shards of their contexts as
+Elias-Fano sequences, which a shard merges and writes to the shared folder; a context of more tokens than a shard is cut by
+its successors. Workers that score map the shards' files into memory. A vocabulary of more than 3 * 10^9 words is refused.
+
+A text is its words (A-Z lower-cased) and one end token. Null and empty texts are the end token alone; a very long text is
+counted and scored as a whole. Without training texts all tokens are unknown and score 0; an empty table gives no rows.
+Repeated rows are all counted and scored; no choice depends on order, so there are no ties. A null key is not held out.
+Other columns are passed through but the text; input columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from __future__ import annotations
 import functools
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,11 +38,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import shared_dir, slices, stored, text_bytes
-from .elias_fano import U64, EliasFano, read_file, write_file
+from .elias_fano import U64, from_bytes, prefixed, read_file, sequence, to_bytes, write_file
 
 #: Quantisation steps in a unit of log10.
 STEPS = 2048
-SHARD_ROWS = 1_000_000
+#: Training tokens for which a level has a shard.
+SHARD_TOKENS = 4_000_000
+#: Distinct n-grams that a task holds before it sends them on.
+HELD = 4_000_000
 #: Bytes whose running hashes are held at once.
 BLOCK = 1 << 20
 #: The end token's hash.
@@ -90,105 +98,364 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass(frozen=True)
-class Level:
-    """Shards in key order: (first key, values, sum of the pointer column, file)."""
+class Bounds:
+    """Where shards begin: at a context, or within it at a successor. `end` is behind the last context."""
+
+    contexts: tuple[int, ...]
+    successors: tuple[int, ...]
+    end: int
+    width: int = 1  # successors are below
 
-    shards: tuple[tuple[int, int, int, str], ...] = ()
+    @staticmethod
+    def of(starts: set[tuple[int, int]], end: int, width: int) -> Bounds:
+        ordered = sorted({(0, 0), *starts})
+        return Bounds(tuple(c for c, _ in ordered), tuple(s for _, s in ordered), end, width)
 
     @functools.cached_property
-    def firsts(self) -> np.ndarray:
-        return np.array([s[0] for s in self.shards], U64)
+    def _arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        contexts, inside = np.array(self.contexts, np.int64), np.array(self.successors, np.int64)
+        return contexts, inside, np.unique(contexts[inside > 0])
+
+    def route(self, c: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """The shard of each successor of a context."""
+        contexts, inside, cut = self._arrays
+        shard = np.searchsorted(contexts, c, "right") - 1
+        if len(cut):
+            for x in np.unique(c[np.isin(c, cut)]).tolist():
+                own = c == x
+                a, b = np.searchsorted(contexts, [x, x + 1])
+                shard[own] = a - (inside[a] > 0) + np.searchsorted(inside[a:b], s[own], "right") - (inside[a] == 0)
+        return shard
+
+    def first(self, shard: int) -> int:
+        return self.contexts[shard]
+
+    def behind(self, shard: int) -> int:
+        """The context behind the last one that has a part in the shard."""
+        if shard + 1 == len(self.contexts):
+            return self.end
+        return self.contexts[shard + 1] + (self.successors[shard + 1] > 0)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and their summed counts."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n[:0]
+
+
+def _counts(n: np.ndarray) -> dict:
+    """Counts in a byte each, larger ones aside."""
+    large = np.flatnonzero(n >= 255)
+    return {"count": np.minimum(n, 255).astype(np.uint8), "large_at": large, "large": n[large].astype(np.int64)}
+
+
+def _counts_at(x: dict, places: np.ndarray) -> np.ndarray:
+    out = x["count"][places].astype(np.int64)
+    large = np.flatnonzero(out == 255)
+    if len(large):
+        out[large] = x["large"][np.searchsorted(x["large_at"], places[large])]
+    return out
+
+
+def _sent(rows: DataFrame, column: str, grams: Callable, bounds: Bounds) -> DataFrame:
+    """(shard, block): the n-grams (context, successor) that grams(batch) finds, counted by each task for each shard."""
+    held_most = HELD
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held: dict[int, list] = {}
+
+        def blocks():
+            shards = sorted(held)
+            blocks = []
+            for k in shards:
+                keys, n = _merged(held[k])
+                blocks.append(to_bytes(prefixed("key", keys) | _counts(n)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(blocks, pa.binary())], ["shard", "block"])
+
+        size, first = 0, bounds._arrays[0]
+        for batch in slices(batches, column, 6_000_000):
+            c, s = grams(batch)
+            shard = bounds.route(c, s)
+            key = ((c - first[shard]) * bounds.width + s).astype(U64)
+            order = np.argsort(shard.astype(np.uint16 if len(first) < 1 << 16 else np.int64), kind="stable")
+            key, shard = key[order], shard[order]
+            cuts = [*np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]).tolist(), len(shard)] if len(shard) else []
+            for a, b in zip(cuts, cuts[1:]):
+                found = np.unique(key[a:b], return_counts=True)
+                held.setdefault(int(shard[a]), []).append(found)
+                size += len(found[0])
+            if size > held_most:
+                yield blocks()
+                size = 0
+        if held:
+            yield blocks()
+
+    return rows.select(column).mapInArrow(run, "shard long, block binary")
+
+
+_STATS = "shard long, n long, tokens long, widest long, wide_first long, wide_last long, mass_first double, mass_last double, cuts array<long>, hot array<long>, hot_n array<long>, path string"
+
+
+def _built(sent: DataFrame, bounds: Bounds, path: str, least: int, discount: float) -> list:
+    """Merges the blocks of each shard into its file; a row of figures for each."""
+    per_shard = SHARD_TOKENS
+
+    def run(key, table):
+        import pyarrow as pa
+
+        shard = key[0].as_py()
+        parts = []
+        for block in table.column("block").to_pylist():
+            x = from_bytes(np.frombuffer(block, np.uint8))
+            keys = sequence(x, "key").values()
+            parts.append((keys, _counts_at(x, np.arange(len(keys)))))
+        keys, n = _merged(parts)
+        if least > 1:
+            keys, n = keys[n >= least], n[n >= least]
+        c, s = (keys // U64(bounds.width)).astype(np.int64), (keys % U64(bounds.width)).astype(np.int64)
+        wide, mass = np.zeros(2, np.int64), np.zeros(2)
+        arrays = _counts(n)
+        if bounds.width == 1:
+            arrays |= prefixed("key", keys)
+            widest = 1
+        else:
+            pointer = np.searchsorted(c, np.arange(bounds.behind(shard) - bounds.first(shard) + 1))
+            full = np.flatnonzero(np.diff(pointer))
+            last = np.zeros(len(pointer), np.int64)
+            last[full + 1] = s[pointer[full + 1] - 1] + 1
+            raised = np.cumsum(last)[c] + s + 1
+            arrays |= prefixed("pointer", pointer.astype(U64)) | prefixed("successor", raised.astype(U64))
+            sums = np.r_[0.0, np.cumsum(n - discount)]
+            widest = int(np.diff(pointer).max())
+            wide = np.diff(pointer)[[0, -1]]
+            mass = np.diff(sums[pointer])[[0, -1]]
+        to = f"{path}-{shard:08d}.level"
+        write_file(to, arrays)
+        before = np.cumsum(n) - n
+        cuts = np.flatnonzero(np.diff(before // per_shard)) + 1
+        hot = np.flatnonzero(n > per_shard)
+        row = [shard, len(n), int(n.sum()), widest, *wide.tolist(), *mass.tolist(), cuts.tolist(), hot.tolist(), n[hot].tolist(), to]
+        return pa.table({f.split()[0]: [x] for f, x in zip(_STATS.split(", "), row, strict=True)}, schema=pa.schema([(f.split()[0], _ARROW[f.split()[1]]()) for f in _STATS.split(", ")]))
+
+    return sent.groupBy("shard").applyInArrow(run, _STATS).collect()
+
+
+def _arrow_types():
+    import pyarrow as pa
+
+    return {"long": pa.int64, "double": pa.float64, "string": pa.string, "array<long>": lambda: pa.list_(pa.int64())}
+
+
+_ARROW = _arrow_types()
+
+
+def _next_bounds(stats: list, starts: np.ndarray, end: int, width: int) -> Bounds:
+    """Shards of about SHARD_TOKENS tokens each over the entries of a level as contexts; larger contexts are cut by successors."""
+    found = set()
+    for r in stats:
+        base = int(starts[r["shard"]])
+        found |= {(base, 0), *((base + k, 0) for k in r["cuts"])}
+        for k, n in zip(r["hot"], r["hot_n"], strict=True):
+            parts = min(-(-n // SHARD_TOKENS), width)
+            found |= {(base + k, j * width // parts) for j in range(parts)} | {(base + k + 1, 0)}
+    return Bounds.of({x for x in found if x[0] < end}, end, width)
+
+
+@functools.lru_cache(maxsize=4096)
+def _opened(path: str):
+    x = read_file(path)
+    return x, {name: sequence(x, name) for name in ("key", "pointer", "successor") if f"{name}_n" in x}
+
+
+@dataclass(frozen=True)
+class Words:
+    bounds: Bounds
+    n: tuple[int, ...]
+    paths: tuple[str, ...]
+
+    @functools.cached_property
+    def starts(self) -> np.ndarray:
+        return np.r_[0, np.cumsum(self.n, dtype=np.int64)].astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of sorted hashes, -1 for unknown ones."""
+        out = np.full(len(hashes), -1, np.int64)
+        shard = self.bounds.route(hashes.astype(np.int64), np.zeros(len(hashes), np.int64))
+        for k in np.unique(shard).tolist():
+            if self.n[k]:
+                a, b = np.searchsorted(shard, [k, k + 1])
+                place = _opened(self.paths[k])[1]["key"].find(hashes[a:b] - U64(self.bounds.first(k)))
+                out[a:b] = np.where(place >= 0, place + self.starts[k], -1)
+        return out
+
+    def count(self, numbers: np.ndarray) -> np.ndarray:
+        """The training counts of known words."""
+        out = np.zeros(len(numbers), np.int64)
+        of = np.searchsorted(self.starts, numbers, "right") - 1
+        for k in np.unique(of).tolist():
+            own = of == k
+            out[own] = _counts_at(_opened(self.paths[k])[0], numbers[own] - self.starts[k])
+        return out
+
+
+@dataclass(frozen=True)
+class Level:
+    """Successors of contexts. Places are numbered through all shards."""
+
+    bounds: Bounds
+    n: tuple[int, ...]
+    paths: tuple[str, ...]
+    scores: tuple[str, ...] = ()  # files of probabilities and back-off weights
 
     @functools.cached_property
     def starts(self) -> np.ndarray:
-        return np.r_[0, np.cumsum([s[1] for s in self.shards], dtype=np.int64)].astype(np.int64)
+        return np.r_[0, np.cumsum(self.n, dtype=np.int64)].astype(np.int64)
 
     @property
-    def n(self) -> int:
+    def size(self) -> int:
         return int(self.starts[-1])
 
-    def _at(self, shard: int):
-        return _opened(self.shards[shard][3])
+    def find(self, c: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """The place of each successor among those of its context, -1 if it has none."""
+        out = np.full(len(c), -1, np.int64)
+        shard = self.bounds.route(c, s)
+        for k in np.unique(shard).tolist():
+            if not self.n[k]:
+                continue
+            own = np.flatnonzero(shard == k)
+            x = _opened(self.paths[k])[1]
+            contexts, which = np.unique(c[own] - self.bounds.first(k), return_inverse=True)
+            a, b = x["pointer"].get(contexts).astype(np.int64), x["pointer"].get(contexts + 1).astype(np.int64)
+            raise_by = np.where(a > 0, x["successor"].get(np.maximum(a - 1, 0)), U64(0))
+            place = x["successor"].find(raise_by[which] + s[own].astype(U64) + U64(1))
+            inside = (place >= a[which]) & (place < b[which])
+            out[own] = np.where(inside, place + self.starts[k], -1)
+        return out
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Places of sorted keys, -1 for missing ones."""
-        out = np.full(len(keys), -1, np.int64)
-        if not self.shards or not len(keys):
-            return out
-        cuts = np.r_[np.searchsorted(keys, self.firsts), len(keys)]
-        for s in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-            a, b = cuts[s], cuts[s + 1]
-            place = self._at(s)[0].find(keys[a:b] - self.firsts[s])
-            out[a:b] = np.where(place >= 0, place + self.starts[s], -1)
+    def begin(self, c: np.ndarray) -> np.ndarray:
+        """The place of each context's first successor."""
+        out = np.zeros(len(c), np.int64)
+        shard = self.bounds.route(c, np.zeros(len(c), np.int64))
+        for k in np.unique(shard).tolist():
+            own = shard == k
+            at = _opened(self.paths[k])[1]["pointer"].get(c[own] - self.bounds.first(k)).astype(np.int64) if self.n[k] else 0
+            out[own] = at + self.starts[k]
         return out
 
-    def take(self, column: str, places: np.ndarray, kind) -> np.ndarray:
-        """A column at places of any order."""
+    def second(self, a: int, b: int) -> np.ndarray:
+        """The successors at places a up to b."""
+        out = []
+        for k in range(int(np.searchsorted(self.starts, a, "right")) - 1, len(self.n)):
+            low, high = max(a - int(self.starts[k]), 0), min(b - int(self.starts[k]), self.n[k])
+            if low >= high:
+                if self.starts[k] >= b:
+                    break
+                continue
+            x = _opened(self.paths[k])[1]
+            pointer = x["pointer"].values().astype(np.int64)
+            begin = pointer[np.searchsorted(pointer, np.arange(low, high), "right") - 1]
+            raised = x["successor"].range(low, high)
+            before = np.where(begin > 0, x["successor"].get(np.maximum(begin - 1, 0)), U64(0))
+            out.append((raised - before - U64(1)).astype(np.int64))
+        return np.concatenate([*out, np.empty(0, np.int64)])
+
+    def _take(self, places: np.ndarray, read: Callable, kind) -> np.ndarray:
         out = np.zeros(len(places), kind)
         of = np.searchsorted(self.starts, places, "right") - 1
-        for s in np.unique(of).tolist():
-            own = of == s
-            out[own] = self._at(s)[1][column][places[own] - self.starts[s]]
+        for k in np.unique(of).tolist():
+            own = of == k
+            out[own] = read(k, places[own] - self.starts[k])
         return out
 
-    def pointer(self, places: np.ndarray) -> np.ndarray:
-        """The pointer column, an Elias-Fano sequence within each shard, as global places."""
-        base = np.r_[0, np.cumsum([s[2] for s in self.shards], dtype=np.int64)]
-        out = np.zeros(len(places), np.int64)
-        of = np.searchsorted(self.starts, places, "right") - 1
-        for s in np.unique(of).tolist():
-            own = of == s
-            out[own] = self._at(s)[2].get(places[own] - self.starts[s]).astype(np.int64) + base[s]
-        return out
+    def count(self, places: np.ndarray) -> np.ndarray:
+        return self._take(places, lambda k, at: _counts_at(_opened(self.paths[k])[0], at), np.int64)
 
+    def log_prob(self, places: np.ndarray) -> np.ndarray:
+        return self._take(places, lambda k, at: read_file(self.scores[k])["prob"][at], np.float64) / -STEPS
 
-@functools.lru_cache(maxsize=4096)
-def _opened(path: str):
-    x = read_file(path)
-    part = lambda p: EliasFano({k: x[p + k][0] if k in ("n", "low_bits") else x[p + k] for k in ("n", "low_bits", "low", "high", "ones")})
-    return part("key_"), x, part("ptr_") if "ptr_n" in x else None
+    def log_weight(self, c: np.ndarray) -> np.ndarray:
+        """What backing off from each context adds, 0 for one without successors."""
+        out = np.zeros(len(c))
+        shard = self.bounds.route(c, np.zeros(len(c), np.int64))
+        for k in np.unique(shard).tolist():
+            if self.n[k]:
+                own = shard == k
+                out[own] = read_file(self.scores[k])["weight"][c[own] - self.bounds.first(k)]
+        return out / -STEPS
+
+
+def _level(stats: list, bounds: Bounds) -> Level:
+    n, paths = [0] * len(bounds.contexts), [""] * len(bounds.contexts)
+    for r in stats:
+        n[r["shard"]], paths[r["shard"]] = r["n"], r["path"]
+    return Level(bounds, tuple(n), tuple(paths))
+
+
+def _whole(stats: list, bounds: Bounds, what: str) -> dict[int, float]:
+    """For contexts that are cut, the sum of a figure over their shards."""
+    out: dict[int, float] = {}
+    for r in stats:
+        k = r["shard"]
+        first, last = bounds.first(k), bounds.behind(k) - 1
+        out[first] = out.get(first, 0) + r[f"{what}_first"]
+        if last != first:
+            out[last] = out.get(last, 0) + r[f"{what}_last"]
+    return out
 
 
-def build_level(rows: DataFrame, folder: str, name: str, columns: Callable, pointer: str | None = None) -> Level:
-    """Shards of rows (key long and others); columns(table, keys) gives the arrays to keep beside the keys."""
+def _with_scores(spark, level: Level, mass: dict[int, float], total: Callable, shorter: Callable, discount: float) -> Level:
+    """The level with probabilities and weights. total(contexts) counts contexts a up to b; shorter(a, b, context, successor) is p(w|h')."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        found = [b for b in batches if b.num_rows]
-        if found:
-            table = pa.Table.from_batches(found)
-            keys = table.column("key").to_numpy().view(U64)
-            arrays = {f"key_{k}": x for k, x in EliasFano.parts(keys - keys[0]).items()}
-            total = 0
-            if pointer:
-                sizes = table.column(pointer).to_numpy()
-                total = int(sizes.sum())
-                arrays |= {f"ptr_{k}": x for k, x in EliasFano.parts((np.cumsum(sizes) - sizes).astype(U64)).items()}
-            path = f"{folder}/{name}-{int(keys[0]):020d}.level"
-            write_file(path, arrays | columns(table, keys))
-            yield pa.RecordBatch.from_arrays([pa.array([keys[:1].view(np.int64)[0]]), pa.array([len(keys)]), pa.array([total]), pa.array([path])], ["first", "n", "total", "path"])
-
-    n = max(1, -(-rows.count() // SHARD_ROWS))
-    dealt = rows.repartitionByRange(n, "key").sortWithinPartitions("key")
-    shards = dealt.mapInArrow(run, "first long, n long, total long, path string").collect()  # one row a shard
-    return Level(tuple(sorted((r["first"] % (1 << 64), r["n"], r["total"], r["path"]) for r in shards)))
+        for batch in batches:
+            for k in batch.column("shard").to_pylist():
+                arrays, x = _opened(level.paths[k])
+                a, b = level.bounds.first(k), level.bounds.behind(k)
+                pointer = x["pointer"].values().astype(np.int64)
+                n = _counts_at(arrays, np.arange(level.n[k]))
+                own = np.diff(np.r_[0.0, np.cumsum(n - discount)][pointer])
+                for edge in {a, b - 1} & mass.keys():
+                    own[edge - a] = mass[edge]
+                of = total(a, b)
+                weight = quantised(np.where(own > 0, 1 - own / np.maximum(of, 1), 1.0))
+                back = 10 ** (weight / -STEPS)
+                sizes = np.diff(pointer)
+                c = np.repeat(np.arange(b - a), sizes)
+                raised = x["successor"].values()
+                before = np.where(pointer[:-1] > 0, raised[np.maximum(pointer[:-1] - 1, 0)], U64(0))
+                s = (raised - np.repeat(before, sizes) - U64(1)).astype(np.int64)
+                p = (n - discount) / of[c] + back[c] * shorter(a, b, c, s)
+                path = level.paths[k].removesuffix(".level") + ".scores"
+                write_file(path, {"prob": quantised(p), "weight": weight})
+            yield pa.RecordBatch.from_arrays([batch.column("shard")], ["shard"])
+
+    shards = [k for k, n in enumerate(level.n) if n]
+    if shards:
+        spark.createDataFrame([(k,) for k in shards], "shard long").repartition(len(shards), "shard").mapInArrow(run, "shard long").write.format("noop").mode("overwrite").save()
+    return Level(level.bounds, level.n, level.paths, tuple(p.removesuffix(".level") + ".scores" if p else "" for p in level.paths))
 
 
 @dataclass(frozen=True)
 class Model:
     tokens: int  # N
-    words: Level
+    words: Words
     discount: float = 0.75
-    contexts1: Level = Level()
-    grams2: Level = Level()
-    widest: int = 1
-    contexts2: Level = Level()
-    grams3: Level = Level()
+    pairs: Level | None = None
+    triples: Level | None = None
 
-    @property
+    @functools.cached_property
     def distinct(self) -> int:
-        return self.words.n
+        return int(self.words.starts[-1])
 
     @property
     def unknown(self) -> float:
@@ -205,25 +472,28 @@ class Model:
     def counts(self, numbers: np.ndarray) -> np.ndarray:
         out = np.zeros(len(numbers), np.int64)
         seen = np.flatnonzero(numbers < self.distinct)
-        out[seen] = self.words.take("count", numbers[seen], np.int64)
+        out[seen] = self.words.count(numbers[seen])
         return out
 
     def pair_places(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The place in grams2 of the pair that ends at each token, -1 if it has none."""
+        """The place of the pair that ends at each token, -1 if it has none."""
         out = np.full(len(tokens), -1, np.int64)
-        if not self.grams2.shards:
+        if self.pairs is None or not len(tokens):
             return out
-        pairs = tokens[:-1] * (self.distinct + 1) + tokens[1:]
-        keys, which = np.unique(pairs, return_inverse=True)
-        out[1:] = self.grams2.find(keys.astype(U64))[which]
+        wide = self.distinct + 1
+        keys, which = np.unique(tokens[:-1] * wide + tokens[1:], return_inverse=True)
+        first, second = keys // wide, keys % wide
+        place = np.full(len(keys), -1, np.int64)
+        known = np.flatnonzero((first < self.distinct) & (second < self.distinct))
+        place[known] = self.pairs.find(first[known], second[known])
+        out[1:] = place[which]
         out[starts[:-1]] = -1
         return out
 
     def relative(self, tokens: np.ndarray, places: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The places of the pairs that end at `at`, counted from the first successor of their first word."""
         firsts, which = np.unique(tokens[at - 1], return_inverse=True)
-        begin = self.contexts1.pointer(self.contexts1.find(firsts.astype(U64)))
-        return places[at] - begin[which]
+        return places[at] - self.pairs.begin(firsts)[which]
 
     def scores(self, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of each text: tokens, known tokens, base score, score."""
@@ -231,32 +501,27 @@ class Model:
         count = self.counts(own)
         known = (count > 0)[which]
         base = (np.log10(count + 1) - np.log10(self.unknown))[which]
-        weight = np.zeros(len(own))
-        place = self.contexts1.find(own.astype(U64))
-        has = np.flatnonzero(place >= 0)
-        weight[has] = -self.contexts1.take("weight", place[has], np.float64) / STEPS
         value = base.copy()
-        value[1:] += weight[which[:-1]]
-        value[starts[:-1]] = base[starts[:-1]]
         pairs = self.pair_places(tokens, starts)
-        found = np.flatnonzero(pairs >= 0)
-        value[found] = -self.grams2.take("prob", pairs[found], np.float64) / STEPS
-        if self.grams3.shards:
-            # A token whose two predecessors are a kept pair backs off from it, or has a kept trigram.
+        if self.pairs is not None:
+            weight = np.zeros(len(own))
+            seen = np.flatnonzero(own < self.distinct)
+            weight[seen] = self.pairs.log_weight(own[seen])
+            value[1:] += weight[which[:-1]]
+            value[starts[:-1]] = base[starts[:-1]]
+            found = np.flatnonzero(pairs >= 0)
+            places, at = np.unique(pairs[found], return_inverse=True)
+            value[found] = self.pairs.log_prob(places)[at]
+        if self.triples is not None:
+            # A token whose two predecessors are a known pair backs off from it, or has a known trigram.
             at = np.flatnonzero(np.r_[False, pairs[:-1] >= 0])
             at = at[~np.isin(at, starts)]
             contexts, which = np.unique(pairs[at - 1], return_inverse=True)
-            place = self.contexts2.find(contexts.astype(U64))
-            weight = np.zeros(len(contexts))
-            has = np.flatnonzero(place >= 0)
-            weight[has] = -self.contexts2.take("weight", place[has], np.float64) / STEPS
-            value[at] += weight[which]
+            value[at] += self.triples.log_weight(contexts)[which]
             at = at[pairs[at] >= 0]
-            keys = pairs[at - 1] * self.widest + self.relative(tokens, pairs, at)
-            keys, which = np.unique(keys, return_inverse=True)
-            place = self.grams3.find(keys.astype(U64))[which]
+            place = self.triples.find(pairs[at - 1], self.relative(tokens, pairs, at))
             at, place = at[place >= 0], place[place >= 0]
-            value[at] = -self.grams3.take("prob", place, np.float64) / STEPS
+            value[at] = self.triples.log_prob(place)
         total = lambda x: np.add.reduceat(x, starts[:-1]) if len(starts) > 1 else x[:0]
         return np.diff(starts), total(known.astype(np.int64)), total(base), total(value)
 
@@ -287,39 +552,37 @@ def _flat(batch, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(data), kind).astype(np.int64), starts
 
 
-def _summed(rows: DataFrame, column: str, count: Callable, least: int) -> DataFrame:
-    """(key, n) summed over what count(batch) gives for slices of the rows."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in slices(batches, column, 6_000_000):
-            keys, n = count(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+def vocabulary(docs: DataFrame, text: str = "text", discount: float = 0.75) -> tuple[Model, list]:
+    """The first level, words of docs with their counts, and the figures of its shards."""
+    folder = f"{shared_dir(docs.sparkSession)}/ngrams/{uuid.uuid4().hex}"
+    rows = docs.select(F.col(text).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // (6 * SHARD_TOKENS)))
+    bounds = Bounds.of({(k * (1 << 63) // shards, 0) for k in range(shards)}, (1 << 63) - 1, 1)
 
-    summed = rows.select(column).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return stored(summed.where(F.col("n") >= least))
+    def words(batch):
+        hashes = word_hashes(text_bytes(batch, "text"))[0].astype(np.int64)
+        return hashes, np.zeros(len(hashes), np.int64)
 
+    stats = _built(_sent(rows, "text", words, bounds), bounds, f"{folder}/words", 1, discount)
+    level = _level(stats, bounds)
+    model = Model(sum(r["tokens"] for r in stats), Words(bounds, level.n, level.paths), discount)
+    if (model.distinct + 1) ** 2 >= 1 << 63:
+        raise ValueError(f"{model.distinct} distinct words are too many to number pairs of them")
+    return model, stats
 
-def vocabulary(docs: DataFrame, text: str = "text", discount: float = 0.75) -> Model:
-    """The first level: words of docs with their counts."""
-    folder = f"{shared_dir(docs.sparkSession)}/ngrams/{uuid.uuid4().hex}"
-    counts = _summed(docs.select(F.col(text).alias("text")), "text", lambda batch: np.unique(word_hashes(text_bytes(batch, "text"))[0], return_counts=True), 1)
-    tokens = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return Model(tokens, build_level(counts, folder, "words", lambda table, keys: {"count": table.column("n").to_numpy()}), discount)
 
-
-def train(docs: DataFrame, text: str = "text", least_count: int = 2, discount: float = 0.75) -> Model:
+def train(docs: DataFrame, text: str = "text", least_count: int = 1, discount: float = 0.75) -> Model:
     """A trie of the texts of docs."""
-    model = vocabulary(docs, text, discount)
-    return grown(stored(numbered(docs.select(text), model, text)), model, least_count)
+    model, stats = vocabulary(docs, text, discount)
+    return grown(stored(numbered(docs.select(text), model, text)), model, stats, least_count)
 
 
-def grown(rows: DataFrame, model: Model, least_count: int = 2) -> Model:
+def grown(rows: DataFrame, model: Model, stats: list, least_count: int = 1) -> Model:
     """The model with the levels of pairs and triples, from the training texts' tokens."""
-    folder = f"{shared_dir(rows.sparkSession)}/ngrams/{uuid.uuid4().hex}"
-    tokens, discount = model.tokens, model.discount
-    if not tokens:
+    spark = rows.sparkSession
+    folder = f"{shared_dir(spark)}/ngrams/{uuid.uuid4().hex}"
+    if not model.tokens:
         return model
 
     def pairs(batch, model=model):
@@ -327,67 +590,42 @@ def grown(rows: DataFrame, model: Model, least_count: int = 2) -> Model:
         keep = np.ones(len(flat), bool)
         keep[starts[1:] - 1] = False
         at = np.flatnonzero(keep)
-        return np.unique(flat[at] * (model.distinct + 1) + flat[at + 1], return_counts=True)
-
-    two = _summed(rows, "tokens", pairs, least_count)
-    v = model.distinct + 1
-    heads = two.groupBy(F.expr(f"key div {v}").alias("key")).agg(F.sum(F.col("n") - discount).alias("mass"), F.count(F.lit(1)).alias("wide"))
-    heads = stored(heads)
-    widest = (heads.agg(F.max("wide")).first()[0] or 0) + 1
+        return flat[at], flat[at + 1]
 
-    def head_weight(table, keys, model=model):
-        left = 1 - table.column("mass").to_numpy() / model.counts(keys.astype(np.int64))
-        return {"weight": quantised(left)}
-
-    contexts1 = build_level(heads, folder, "contexts1", head_weight, "wide")
-    model = Model(tokens, model.words, discount, contexts1)
+    bounds = _next_bounds(stats, model.words.starts, model.distinct, model.distinct)
+    stats = _built(_sent(rows, "tokens", pairs, bounds), bounds, f"{folder}/pairs", least_count, model.discount)
+    if not stats or not any(r["n"] for r in stats):
+        return model
 
-    def pair_prob(table, keys, model=model):
-        first, second = (keys // U64(v)).astype(np.int64), (keys % U64(v)).astype(np.int64)
-        n = table.column("n").to_numpy()
-        own, which = np.unique(first, return_inverse=True)
-        back = 10 ** (-model.contexts1.take("weight", model.contexts1.find(own.astype(U64)), np.float64) / STEPS)
-        p = (n - discount) / model.counts(own)[which] + back[which] * (model.counts(second) + 1) / model.unknown
-        return {"prob": quantised(p), "count": np.minimum(n, 2**32 - 1).astype(np.uint32)}
+    def shorter(a, b, c, s, model=model):
+        own, which = np.unique(s, return_inverse=True)
+        return ((model.words.count(own) + 1) / model.unknown)[which]
 
-    grams2 = build_level(two, folder, "grams2", pair_prob)
-    model = Model(tokens, model.words, discount, contexts1, grams2, widest)
+    total = lambda a, b, model=model: model.words.count(np.arange(a, b))
+    level = _with_scores(spark, _level(stats, bounds), _whole(stats, bounds, "mass"), total, shorter, model.discount)
+    model = replace(model, pairs=level)
+    width = 1 + int(max(*(r["widest"] for r in stats), *_whole(stats, bounds, "wide").values()))
 
     def triples(batch, model=model):
         flat, starts = _flat(batch, model)
         places = model.pair_places(flat, starts)
         at = np.flatnonzero(np.r_[False, (places[1:] >= 0) & (places[:-1] >= 0)])
-        return np.unique(places[at - 1] * widest + model.relative(flat, places, at), return_counts=True)
-
-    three = _summed(rows, "tokens", triples, least_count)
-    heads = stored(three.groupBy(F.expr(f"key div {widest}").alias("key")).agg(F.sum(F.col("n") - discount).alias("mass")))
-
-    def pair_weight(table, keys, model=model):
-        left = 1 - table.column("mass").to_numpy() / model.grams2.take("count", keys.astype(np.int64), np.float64)
-        return {"weight": quantised(left)}
-
-    contexts2 = build_level(heads, folder, "contexts2", pair_weight)
-    model = Model(tokens, model.words, discount, contexts1, grams2, widest, contexts2)
-
-    def triple_prob(table, keys, model=model):
-        context, relative = (keys // U64(widest)).astype(np.int64), (keys % U64(widest)).astype(np.int64)
-        n = table.column("n").to_numpy()
-        own, which = np.unique(context, return_inverse=True)
-        back = 10 ** (-model.contexts2.take("weight", model.contexts2.find(own.astype(U64)), np.float64) / STEPS)
-        shard = np.searchsorted(model.grams2.starts, own, "right") - 1
-        middle = np.zeros(len(own), np.int64)
-        for s in np.unique(shard).tolist():
-            mine = shard == s
-            key = _opened(model.grams2.shards[s][3])[0].get(own[mine] - model.grams2.starts[s]) + model.grams2.firsts[s]
-            middle[mine] = (key % U64(v)).astype(np.int64)
-        heads, of = np.unique(middle, return_inverse=True)
-        begin = model.contexts1.pointer(model.contexts1.find(heads.astype(U64)))[of]
-        shorter = 10 ** (-model.grams2.take("prob", begin[which] + relative, np.float64) / STEPS)
-        p = (n - discount) / model.grams2.take("count", own, np.float64)[which] + back[which] * shorter
-        return {"prob": quantised(p)}
-
-    grams3 = build_level(three, folder, "grams3", triple_prob)
-    return Model(tokens, model.words, discount, contexts1, grams2, widest, contexts2, grams3)
+        return places[at - 1], model.relative(flat, places, at)
+
+    bounds = _next_bounds(stats, level.starts, level.size, width)
+    stats = _built(_sent(rows, "tokens", triples, bounds), bounds, f"{folder}/triples", least_count, model.discount)
+    if not stats or not any(r["n"] for r in stats):
+        return model
+
+    def from_pairs(a, b, c, s, model=model):
+        middle, which = np.unique(model.pairs.second(a, b), return_inverse=True)
+        begin = np.zeros(len(middle), np.int64)
+        begin[:] = model.pairs.begin(middle)
+        return 10 ** model.pairs.log_prob(begin[which][c] + s)
+
+    total = lambda a, b, model=model: model.pairs.count(np.arange(a, b))
+    level = _with_scores(spark, _level(stats, bounds), _whole(stats, bounds, "mass"), total, from_pairs, model.discount)
+    return replace(model, triples=level)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -413,7 +651,7 @@ def scored_tokens(rows: DataFrame, model: Model) -> DataFrame:
 
 def trained_and_scored(docs: DataFrame, held_out: str, text: str = "text", least_count: int = 1) -> tuple[DataFrame, Model]:
     """Scores of all docs by a model of those that are not held out; every text is split into tokens once."""
-    model = vocabulary(docs.where(~F.col(held_out)), text)
+    model, stats = vocabulary(docs.where(~F.col(held_out)), text)
     rows = stored(numbered(docs, model, text))
-    model = grown(rows.where(~F.col(held_out)), model, least_count)
+    model = grown(rows.where(~F.col(held_out)), model, stats, least_count)
     return scored_tokens(rows, model), model
