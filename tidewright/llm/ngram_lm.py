@@ -43,9 +43,9 @@ from .elias_fano import U64, from_bytes, prefixed, read_file, sequence, to_bytes
 #: Quantisation steps in a unit of log10.
 STEPS = 2048
 #: Training tokens for which a level has a shard.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 #: Distinct n-grams that a task holds before it sends them on.
-HELD = 4_000_000
+HELD = 1_500_000
 #: Bytes whose running hashes are held at once.
 BLOCK = 1 << 20
 #: The end token's hash.
@@ -181,7 +181,7 @@ def _sent(rows: DataFrame, column: str, grams: Callable, bounds: Bounds) -> Data
             return pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(blocks, pa.binary())], ["shard", "block"])
 
         size, first = 0, bounds._arrays[0]
-        for batch in slices(batches, column, 6_000_000):
+        for batch in slices(batches, column, 2_000_000):
             c, s = grams(batch)
             shard = bounds.route(c, s)
             key = ((c - first[shard]) * bounds.width + s).astype(U64)
@@ -557,7 +557,7 @@ def vocabulary(docs: DataFrame, text: str = "text", discount: float = 0.75) -> t
     folder = f"{shared_dir(docs.sparkSession)}/ngrams/{uuid.uuid4().hex}"
     rows = docs.select(F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // (6 * SHARD_TOKENS)))
+    shards = max(1, -(-size // (12 * SHARD_TOKENS)))
     bounds = Bounds.of({(k * (1 << 63) // shards, 0) for k in range(shards)}, (1 << 63) - 1, 1)
 
     def words(batch):
@@ -642,7 +642,7 @@ def scored_tokens(rows: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in slices(batches, "tokens"):
+        for batch in slices(batches, "tokens", 2_000_000):
             found = model.scores(*_flat(batch, model))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(x) for x in found)], schema.names)
 
