@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import pytest
 from tests.llm.test_simhash import groups
-from tidewright.llm import jaccard
+from tidewright.llm import near_copies, simhash
 
 
 def shingles(text):
@@ -39,17 +39,17 @@ def test_groups_against_all_pairs(spark, texts):
     sets = [shingles(t) for t in texts]
     roots = groups(sets, similar)
     assert 30 < len(set(roots)) < len(texts) - 60
-    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_duplicates(docs).collect()}
     assert got == dict(enumerate(roots))
 
 
 def test_stage_keeps_one_of_each_group(spark, texts):
-    """A copy with one sentence in ten less goes, which four differing bits of a fingerprint don't find."""
+    """A copy with one sentence in ten less goes, which four differing bits of a fingerprint don't find; so does a copy without an id."""
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     docs = docs.unionByName(docs.where("doc_id in (0, 9)")).unionByName(docs.where("doc_id = 9").selectExpr("cast(null as long) as doc_id", "text"))
     roots = groups([shingles(t) for t in texts], similar)
     left = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
-    assert sorted(x for x in left if x is not None) == sorted(set(roots)) and left.count(None) == 1
+    assert sorted(x for x in left if x is not None) == sorted(set(roots)) and left.count(None) == 0
 
 
 def test_chain_in_one_bucket(spark):
@@ -57,5 +57,27 @@ def test_chain_in_one_bucket(spark):
     words = [f"w{k}" for k in range(240)]
     texts = [" ".join(words[k : k + 200]) for k in range(0, 41, 8)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["component_id"] for r in jaccard.near_duplicates(docs).collect()} == {0}
-    assert jaccard.near_duplicates(docs.where("false")).count() == 0
+    assert {r["component_id"] for r in near_copies.near_duplicates(docs).collect()} == {0}
+    assert near_copies.near_duplicates(docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_no_text_is_lost(spark, kind):
+    """One id on several texts, repeated rows and null ids: every group keeps exactly one row."""
+    text = {c: " ".join(f"{c}{k}" for k in range(30)) for c in "abcd"}
+    rows = [(1, "a"), (5, "a"), (5, "b"), (7, "c"), (9, "c"), (9, "b"), (5, "b"), (1, "a"), (None, "d"), (None, "d"), (None, "a"), (3, None), (None, None), (4, "")]
+    docs = spark.createDataFrame([(k, text.get(c, c)) for k, c in rows], "doc_id long, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text").repartition(3)
+    for found in (simhash.representatives(docs), simhash.one_of_each(docs, near_copies.near_duplicates(docs), near_copies.set_hash)):
+        left = [tuple(r) for r in found.collect()]
+        assert sorted(left, key=str) == sorted([(x if x is None else (str(x) if kind == "string" else x), text.get(c, c)) for x, c in [(1, "a"), (5, "b"), (7, "c"), (None, "d"), (3, None)]], key=str)
+
+
+def test_hot_texts_and_components(spark, monkeypatch):
+    """Texts with many copies are joined by a broadcast; a large component has one name."""
+    monkeypatch.setattr(simhash, "HOT_SHARE", 0.0)
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(60)] + [None] * 10_050
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_duplicates(docs).collect()}
+    assert {got[k] for k in range(60)} == {0} and {got[k] for k in range(60, len(texts))} == {60} and len(got) == len(texts)
+    assert simhash.one_of_each(docs, near_copies.near_duplicates(docs), near_copies.set_hash).count() == 2

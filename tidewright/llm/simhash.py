@@ -8,16 +8,20 @@ whole 64 bits at radius two takes 2,081 variants a fingerprint instead of 66.) I
 group, so no bucket emits all its pairs; a bucket of over `most_in_bucket` fingerprints is not compared but its
 members take the whole 64-bit ball, where a collision needs no comparison and a bucket can't exceed 2,081 members.
 
-Texts without words (null, empty, blank) have fingerprint zero and link like any other. Repeated rows stay separate
-rows of one group. A null doc_id gets its fingerprint and its group's smallest doc_id, null if there is none.
+Texts without words (null, empty, blank) have fingerprint zero and link like any other. A very long text is hashed as a
+whole. Keys may be of any type that has an order. Repeated rows stay separate rows of one group, and so do rows of one key
+with different texts; a group is named by its smallest key, so there are no ties. A null doc_id gets its fingerprint and
+its group's smallest doc_id, null if there is none. An empty table gives no rows. Other columns take no part, whatever
+their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.graph import connected
 from .common import slices, stored, text_bytes
@@ -56,8 +60,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
             found = [_fingerprint(x.lower().split(), shingle, seed) for x in text_bytes(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.array(found, np.uint64).view(np.int64))], ["key", "fp"])
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "key long, fp long").withColumnRenamed("key", key)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["key"], T.StructField("fp", T.LongType())])).withColumnRenamed("key", key)
 
 
 def half_variants(fps: DataFrame) -> DataFrame:
@@ -166,31 +170,79 @@ def links(fps: DataFrame, most_in_bucket: int = 4096) -> DataFrame:
     return near.union(whole_ball_links(hot)) if hot.take(1) else near
 
 
+#: A share of the rows from which on copies of one text are joined by a broadcast: there can be no more such texts than its inverse.
+HOT_SHARE = 1 / 2000
+SALTS = 16
+
+
+def in_groups(own: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, fp, component_id, first) of rows (key, fp), from the distinct fps (fp, least, copies) and the components (node, root) of those with links.
+
+    The members of a large component are salted before they meet its name, and the rows of texts with very many copies
+    are joined by a broadcast of at most 1 / HOT_SHARE rows, so neither a component nor a text meets in one task.
+    """
+    name = lambda least, fp: F.min(F.struct(least.isNull().alias("none"), least.alias("least"), fp.alias("fp")))
+    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "least", "copies", "root", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt"))
+    names = linked.groupBy("root").agg(name(F.col("least"), F.col("fp")).alias("of")).select("root", "of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    named = linked.join(names, ["root", "salt"]).select("fp", "copies", F.col("of.least").alias("component_id"), F.col("of.fp").alias("first_fp"))
+    alone = nodes.join(roots.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", "copies", F.col("least").alias("component_id"), F.col("fp").alias("first_fp"))
+    named = stored(named.union(alone))
+    rows = named.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    least_copies = max(10_000, int(rows * HOT_SHARE))
+    hot = named.where(F.col("copies") > least_copies).drop("copies")
+    found = own.join(named.where(F.col("copies") <= least_copies).drop("copies"), "fp")
+    if hot.take(1):
+        names = F.broadcast(hot)
+        found = own.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(named.drop("copies"), "fp").union(own.join(names, "fp"))
+    first = F.col("key").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("first_fp"))
+    return found.select("key", "fp", "component_id", first.alias("first"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", most_in_bucket: int = 4096, **kind) -> DataFrame:
-    """(key, fp, component_id): component_id is the smallest key among all rows reachable by links."""
+    """(key, fp, component_id, first): component_id is the smallest key among all rows reachable by links; first marks the rows that stand for a group."""
     own = stored(fingerprints(docs, key, text, **kind))
-    fps = stored(own.groupBy("fp").agg(F.min(key).alias("least")))
-    roots = connected(links(fps.select("fp"), most_in_bucket), keep=stored)
-    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return own.join(named, "fp").select(key, "fp", "component_id")
+    nodes = stored(own.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("copies")))
+    roots = stored(connected(links(nodes.select("fp"), most_in_bucket), keep=stored))
+    return in_groups(own.select(F.col(key).alias("key"), "fp"), nodes, roots).withColumnRenamed("key", key)
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42, **kind) -> DataFrame:
+    """One row of each group: that with the smallest key, once where rows repeat."""
+    of = lambda x: signed(_fingerprint(x.lower().split(), shingle, seed))
+    return one_of_each(docs, near_duplicates(docs, key, text, shingle=shingle, seed=seed, **kind), of, key, text)
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **kind) -> DataFrame:
-    """One row of each group: that with the smallest key, once where rows repeat. Rows without a key stay."""
-    return one_of_each(docs, near_duplicates(docs, key, text, **kind), key)
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def one_of_each(docs: DataFrame, groups: DataFrame, key: str = "doc_id") -> DataFrame:
-    """As representatives, of given groups (key, component_id)."""
+def one_of_each(docs: DataFrame, groups: DataFrame, of: Callable[[bytes], int], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of given groups (key, fp, component_id, first), the row that stands for each; of(text) is a row's fp.
+
+    A key that one row has decides alone. Rows whose key is null or stands for several rows are told apart by key and fp;
+    of rows that share both, any one stays.
+    """
     found = stored(groups)
-    extra = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    kept = docs.join(extra, key, "left_anti")
-    repeated = found.where(F.col(key) == F.col("component_id")).groupBy(key).count().where("count > 1")
-    if not repeated.take(1):
+    keys = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("first").alias("any"))
+    keys = stored(keys.where("n > 1 or not any"))
+    kept = docs.where(F.col(key).isNotNull()).join(keys.select(key), key, "left_anti").select(*docs.columns)
+    several = found.where(F.col(key).isNull() & F.col("first")).select(key, "fp").distinct()
+    several = stored(several.union(found.where("first").join(keys.where("any").select(key), key, "left_semi").select(key, "fp").distinct()))
+    if not several.take(1):
         return kept
-    again = kept.join(repeated.select(key), key, "left_semi").dropDuplicates([key])
-    return kept.join(repeated.select(key), key, "left_anti").unionByName(again)
+    mine = docs.where(F.col(key).isNull()).unionByName(docs.join(keys.where("any").select(key), key, "left_semi").select(*docs.columns))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in slices(batches, text):
+            yield batch.append_column("__fp", pa.array([of(x) for x in text_bytes(batch, text)], pa.int64()))
+
+    marked = mine.mapInArrow(run, T.StructType([*mine.schema, T.StructField("__fp", T.LongType())]))
+    wanted = several.select(F.col(key).alias("__key"), F.col("fp").alias("__wanted"))
+    same = (F.col("__fp") == F.col("__wanted")) & F.col(key).eqNullSafe(F.col("__key"))
+    once = marked.join(wanted, same, "left_semi").dropDuplicates([key, "__fp"]).select(*docs.columns)
+    return kept.unionByName(once)
 
 
 def hex_fingerprint(fp: Column | str = "fp") -> Column:
