@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import decontaminate, jaccard, line_dedup, packing, quality_rules, simhash
+from tidewright.llm import decontaminate, line_dedup, near_copies, packing, quality_rules, simhash
 from tidewright.llm.common import shared_dir, table
 
 
@@ -25,7 +25,7 @@ def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with a Jaccard similarity of 0.8 or more over five words, that with the smallest doc_id."""
-    return simhash.one_of_each(docs, jaccard.near_duplicates(docs))
+    return simhash.one_of_each(docs, near_copies.near_duplicates(docs), near_copies.set_hash)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
