@@ -1,14 +1,16 @@
 """Token counts by dynamic programming over a trie of distinct pre-tokens.
 
 The best segmentation of a pre-token under a unigram model of pieces needs, at each position, the best score of the
-text before it. Pre-tokens with a common beginning share these scores, so the distinct pre-tokens of a shard are walked
-in sorted order, which is a walk over their trie: each shared prefix is scored once and a pre-token's end holds its token
-count. A document's count is the sum over its pre-tokens. Nothing is shuffled.
+text before it: its forward score. Distinct pre-tokens are inserted in a trie whose nodes hold the forward score and the
+token count of their prefix, so a shared prefix is scored once, and a pre-token's token count is stored where it ends. A
+worker's trie outlives its tasks; it starts anew beyond `NODES` nodes, which changes no result. A document's count is the sum over
+its pre-tokens. Nothing is shuffled.
 
 The pieces are those of a public SentencePiece file; a piece's log probability falls with its rank by Zipf's law.
 A character that no piece covers costs its UTF-8 bytes. Of equal scores the segmentation whose last piece is longest
-wins. Null and empty texts have no tokens. Repeated rows are each counted. Other columns are passed through but the text;
-input columns named like a result are replaced.
+wins. Null and empty texts have no tokens; a very long text is held by itself, and a very long pre-token takes a node for
+each of its characters while it is counted. Repeated rows are each counted; an empty table gives no rows. Other columns
+are passed through but the text; input columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import types as T
 from .common import slices, text_bytes
 
 MARK = "▁"
+#: Bounds of what a worker keeps: trie nodes, and pre-tokens with their counts.
+NODES = 1_000_000
 CACHE = 500_000
 
 
@@ -43,37 +47,44 @@ class Pieces:
         self.longest = max(map(len, self.score))
         self.byte_score = min(self.score.values()) - 10
         self.known: dict[bytes, int] = {}
-
-    def counts(self, words: list[str]) -> list[int]:
-        """Tokens of each word, for distinct words in sorted order."""
-        score, longest, out, before = self.score, self.longest, [], ""
-        best, count = [0.0], [0]
-        for word in words:
-            same, most = 0, min(len(word), len(before))
-            while same < most and word[same] == before[same]:
-                same += 1
-            del best[same + 1 :], count[same + 1 :]
-            for j in range(same + 1, len(word) + 1):
-                size = len(word[j - 1].encode())
-                top, n = best[j - 1] + size * self.byte_score, count[j - 1] + size
-                if word[j - 1] in score:
+        self._clear()
+
+    def _clear(self) -> None:
+        self.child: dict[tuple[int, str], int] = {}
+        self.best, self.count = [0.0], [0]  # of each node; 0 is the root
+
+    def insert(self, word: str) -> int:
+        """The token count of a pre-token, stored at the node where it ends."""
+        child, best, count, score, longest = self.child, self.best, self.count, self.score, self.longest
+        path, node = [0], 0
+        for j, letter in enumerate(word, 1):
+            after = child.get((node, letter))
+            if after is None:
+                size = len(letter.encode())
+                top, n = best[node] + size * self.byte_score, count[node] + size
+                if letter in score:
                     top = -math.inf
                 for i in range(max(0, j - longest), j):
                     s = score.get(word[i:j])
-                    if s is not None and best[i] + s > top:
-                        top, n = best[i] + s, count[i] + 1
+                    if s is not None and best[path[i]] + s > top:
+                        top, n = best[path[i]] + s, count[path[i]] + 1
+                after = child[node, letter] = len(best)
                 best.append(top)
                 count.append(n)
-            out.append(count[-1])
-            before = word
-        return out
+            node = after
+            path.append(node)
+        return count[node]
 
     def learn(self, strings: set[bytes]) -> None:
-        new = strings - self.known.keys()
-        if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, strings
-        words = sorted(MARK + x.decode() for x in new)
-        self.known.update(zip((w[1:].encode() for w in words), self.counts(words), strict=True))
+        known = self.known
+        new = {x for x in strings if x not in known}
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = strings
+        for x in sorted(new):
+            if len(self.best) > NODES:
+                self._clear()
+            known[x] = self.insert(MARK + x.decode())
 
 
 @functools.cache
