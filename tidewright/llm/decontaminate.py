@@ -5,9 +5,11 @@ phrase has cuts the text, and pieces shorter than the shortest phrase can't hold
 phrase (10 consecutive words of an item, or a whole shorter item) is found by backward search, its occurrences are
 located from sampled suffix positions, and overlapping ones merge to removal spans. Nothing is shuffled.
 
-Items are read in blocks of `items_per_block`, each block a pass over its predecessor's result, so no more than a block
-is held at once. Null and empty texts have no words. Items without words have no phrase. An item without id marks words
-but is not listed. Repeated rows are each searched; input columns named like a result are replaced.
+Items are dealt into blocks of about `block_bytes` of text, each a pass over its predecessor's stored result, so no more than
+a block is on the driver or in a task at once. Null and empty texts have no words; a very long text is a shard of its own.
+Items without words have no phrase. An item without id marks words but is not listed. Items with equal windows, and
+windows that overlap, all count: there are no ties to break. Repeated rows are each searched. Without items nothing is
+hit; without documents there are no rows. Input columns named like a result are replaced, others passed through.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LETTERS, slices, text_bytes, words_of
+from .common import LETTERS, slices, stored, text_bytes, words_of
 from .fm_index import FMIndex
 
 WINDOW = 10
@@ -86,17 +88,16 @@ def byte_spans(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(int(edge[2 * x]), int(edge[2 * y - 1])) for x, y in zip(runs[::2], runs[1::2], strict=True)]
 
 
-def blocks(benchmark: DataFrame, item: str, text: str, window: int, items_per_block: int) -> list[Phrases]:
-    """Phrases of all items, a block of items at a time."""
+def blocks(benchmark: DataFrame, item: str, text: str, window: int, block_bytes: int) -> Iterator[tuple[int, int, Phrases]]:
+    """(number, of, phrases): the phrases of all items, one block of items after another."""
     rows = benchmark.select(F.col(item).alias("id"), F.col(text).alias("text"))
-    n = -(-rows.count() // items_per_block)
-    if n <= 1:
-        return [Phrases([tuple(r) for r in rows.collect()], window)]
+    n = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
     part = F.pmod(F.xxhash64("id", "text"), F.lit(n))
-    return [Phrases([tuple(r) for r in rows.where(part == k).collect()], window) for k in range(n)]
+    for k in range(n):
+        yield k, n, Phrases([tuple(r) for r in (rows.where(part == k) if n > 1 else rows).toLocalIterator()], window)
 
 
-def searched(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, items_per_block: int = 20_000) -> DataFrame:
+def searched(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = 8_000_000) -> DataFrame:
     """docs with n_words, n_hit, items (ids as sorted strings) and removal_spans (code points, end exclusive)."""
     new = T.StructType(
         [
@@ -128,16 +129,17 @@ def searched(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: st
                     merged = byte_spans(x, own) if own.any() else []
                     n_hit.append(int(own.sum()))
                     items.append(sorted(found[k].union(old[k])))
-                    at = lambda p, x=x: len(x[:p].decode())
-                    spans.append([{"start": at(a), "end": at(b)} for a, b in merged])
+                    point = np.cumsum((np.frombuffer(x, np.uint8) & 0xC0) != 0x80) if merged else ()  # code points up to each byte
+                    spans.append([{"start": int(point[a]) - 1, "end": int(point[b - 1])} for a, b in merged])
                 columns = [pa.array([len(w) for w in shard], pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, span)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], schema.names)
 
         return run
 
     out = docs.select(*kept)
-    for k, phrases in enumerate(blocks(benchmark, item, item_text, window, items_per_block)):
+    for k, n, phrases in blocks(benchmark, item, item_text, window, block_bytes):
         out = out.mapInArrow(one(phrases, k > 0), schema)
+        out = stored(out) if k + 1 < n else out
     return out
 
 
