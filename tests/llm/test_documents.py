@@ -107,7 +107,7 @@ def leaks(texts, items):
         yield len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block", [20_000, 2])
+@pytest.mark.parametrize("block", [8_000_000, 60])
 def test_decontaminate(spark, block):
     items = [(1, "One two three four five six seven eight nine ten eleven twelve"), (2, "short item É"), (10, "a b a b a b a b a b a b"), (3, None), (4, "..."), (5, "short item É")]
     long = " ".join(f"w{k}" for k in range(30))
@@ -115,12 +115,12 @@ def test_decontaminate(spark, block):
     texts[8] = "a " * 3000
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = frame(spark, texts)
-    got = {r["doc_id"]: r for r in decontaminate.digests(decontaminate.searched(docs, bench, items_per_block=block)).collect()}
+    got = {r["doc_id"]: r for r in decontaminate.digests(decontaminate.searched(docs, bench, block_bytes=block)).collect()}
     for k, (n, hit, found) in enumerate(leaks(texts, [(str(i), t) for i, t in items])):
         r = got[k]
         assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (n, hit, len(found), hit > 0), texts[k]
         assert r["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-    left = {r["doc_id"]: r["text"] for r in decontaminate.cleaned(docs, bench, items_per_block=block).collect()}
+    left = {r["doc_id"]: r["text"] for r in decontaminate.cleaned(docs, bench, block_bytes=block).collect()}
     assert left[9] == "x ! y" and left[11] == "é . and more "
     assert 12 not in left and left[14] == long and 0 in left
 
@@ -128,18 +128,25 @@ def test_decontaminate(spark, block):
 # ---- line dedup
 
 
-def kept_lines(rows, ratio=0.1, least=3):
-    pages = {(s, t) for s, t in rows if t is not None}
+def kept_lines(rows, ratio, least, texts, most):
+    pages = [(s, t) for s, t in rows if t is not None]
+    pages = set(pages) if texts else pages
     of, held = Counter(s for s, _ in pages), Counter()
     trim = lambda x: x.strip(" \t\n\x0b\x0c\r")
     for s, t in pages:
         held.update((s, x) for x in {trim(x) for x in t.split("\n")} if x)
     bad = {k for k, c in held.items() if c >= least and c > ratio * of[k[0]]}
-    return [None if t is None else "\n".join(x for x in t.split("\n") if (s, trim(x)) not in bad) for s, t in rows]
+    out = []
+    for s, t in rows:
+        lines = [] if t is None else t.split("\n")
+        left = [x for x in lines if (s, trim(x)) not in bad]
+        full = sum(bool(trim(x)) for x in lines)
+        out.append(None if t is None else t if full - sum(bool(trim(x)) for x in left) > most * full else "\n".join(left))
+    return out
 
 
-@pytest.mark.parametrize("most", [100_000, 0])
-def test_line_dedup(spark, most):
+@pytest.mark.parametrize(("most", "kind"), [(100_000, {}), (0, {}), (0, {"ratio": 0.1, "min_pages": 3, "count_texts": True}), (100_000, {"ratio": 0.1, "min_pages": 1, "most_dropped": 0.5})])
+def test_line_dedup(spark, most, kind):
     draw = np.random.default_rng(6)
     rows = []
     for k in range(120):
@@ -148,11 +155,11 @@ def test_line_dedup(spark, most):
         rows.append((host, "\n".join(lines)))
     rows += [("a", None), ("b", ""), ("a", "mirror\npage"), ("a", "mirror\npage"), ("a", "mirror\npage"), ("a", "mirror\npage")]
     docs = spark.createDataFrame([(k, s, t, 1) for k, (s, t) in enumerate(rows)], "doc_id long, source string, text string, pages int").repartition(3)
-    found = line_dedup.deduplicated(docs, most_broadcast=most)
+    found = line_dedup.deduplicated(docs, most_broadcast=most, **kind)
     assert found.columns == [*docs.columns, "n_lines", "n_dropped"]
     got = {r["doc_id"]: r["text"] for r in found.collect()}
-    assert [got[k] for k in range(len(rows))] == kept_lines(rows)
-    assert got[len(rows) - 1] == "mirror\npage"
+    assert [got[k] for k in range(len(rows))] == kept_lines(rows, kind.get("ratio", 0.01), kind.get("min_pages", 2), kind.get("count_texts", False), kind.get("most_dropped", 1))
+    assert got[len(rows) - 1] == ("mirror\npage" if kind else "")
 
 
 # ---- packing
@@ -252,6 +259,19 @@ def best_count(model, word):
     return count[-1]
 
 
+def test_trie_starts_anew(monkeypatch):
+    """Shared prefixes are scored once; neither the order of insertion nor a full trie changes a count."""
+    words = [f"{a}{b}".encode() for a in ("unbelie", "then", "straße", "𝒳") for b in ("", "v", "vable", "ver", "s", "né")]
+    one = token_counts.Pieces(token_counts.default_pieces())
+    one.learn(set(words))
+    assert len(one.best) - 1 == len({(token_counts.MARK + w.decode())[:k] for w in words for k in range(1, len(w.decode()) + 2)})
+    monkeypatch.setattr(token_counts, "NODES", 5)
+    two = token_counts.Pieces(token_counts.default_pieces())
+    for w in words[::-1]:
+        two.learn({w})
+    assert one.known == two.known
+
+
 def test_token_counts(spark):
     texts = ODD + ["thanedble thanea thaneables the then 𝒳𝒴 straße naïve", "unbelievable unbeliever unbelief"]
     model = token_counts.Pieces(token_counts.default_pieces())

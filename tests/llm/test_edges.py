@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
-from tidewright.llm import decontaminate, entry, line_dedup, ngram_lm, packing, quality_rules, secrets, simhash, token_counts, toxicity, url_filter
+from tidewright.llm import decontaminate, entry, line_dedup, near_copies, ngram_lm, packing, quality_rules, secrets, simhash, token_counts, toxicity, url_filter
 
 CLASH = "n_words string, kept string, fp string, component_id string, secret_spans string, score string, piece string, offset string, sequence_id string, tokens string, n_lines string, host string, verdict string, n_hit string, items string"
 SCHEMA = f"doc_id long, text string, source string, {CLASH}"
@@ -21,6 +21,9 @@ OPERATORS = {
     "packing": lambda s, d: packing.packed(d.where("doc_id is null or doc_id != 4")),
     "token_counts": lambda s, d: token_counts.counted(d),
     "ngram_lm": lambda s, d: ngram_lm.scored(d, ngram_lm.train(d)),
+    "url_filter": lambda s, d: url_filter.judged(d, url="text", html="source"),
+    "near_copies": lambda s, d: near_copies.near_duplicates(d),
+    "one_of_each": lambda s, d: simhash.representatives(d),
     "toxicity": lambda s, d: toxicity.scored(d, toxicity.learned(d, s.createDataFrame([(1, 1), (1, 0), (None, 1), (9, 1)], "doc_id long, toxic int"))),
 }
 
@@ -30,7 +33,7 @@ def test_odd_rows_and_no_rows(spark, name):
     docs = spark.createDataFrame([(*r, *["x"] * len(CLASH.split(", "))) for r in ROWS], SCHEMA)
     out = OPERATORS[name](spark, docs)
     assert len(out.columns) == len(set(out.columns))
-    assert len(out.collect()) == len(ROWS) - (name == "packing")
+    assert len(out.collect()) == len(ROWS) - {"packing": 1, "one_of_each": 2}.get(name, 0)
     assert OPERATORS[name](spark, docs.where("false")).collect() == []
 
 
@@ -69,3 +72,26 @@ def test_trust_and_distrust_follow_links(spark, tmp_path):
         assert (r["verdict"], r["rule"], r["host"]) == (w["verdict"] , w["rule"], w["host"] or "")
         assert r["trust"] == pytest.approx(w["trust"], abs=1e-9) and r["distrust"] == pytest.approx(w["distrust"], abs=1e-9)
     assert url_filter.judged(docs.where("false")).count() == 0
+
+
+def test_ranks_against_plain_iteration(spark):
+    """Loops, hosts without links and several links, against hundreds of rounds of the plain formula."""
+    links = [("a", "b", 2), ("a", "a", 3), ("b", "c", 1), ("b", "d", 1), ("c", "a", 1), ("e", "c", 4), ("e", "e", 1), ("d", "d", 2), ("f", "g", 1), ("d", "h", 1)]
+    seeds = {"a": (3, 0), "b": (1, 0), "c": (0, 2), "g": (0, 1), "x": (1, 0)}
+    hosts = sorted({h for a, b, _ in links for h in (a, b)} | seeds.keys())
+
+    def plain(flows, weight):
+        start = {h: weight.get(h, 0) / sum(weight.values()) for h in hosts}
+        rank = dict(start)
+        for _ in range(500):
+            out = {h: sum(n for a, _, n in flows if a == h) for h in hosts}
+            lost = sum(rank[h] for h in hosts if not out[h])
+            rank = {h: 0.15 * start[h] + 0.85 * (lost * start[h] + sum(rank[a] * n / out[a] for a, b, n in flows if b == h)) for h in hosts}
+        return rank
+
+    trust = plain(links, {h: t for h, (t, _) in seeds.items()})
+    distrust = plain([(b, a, n) for a, b, n in links], {h: d for h, (_, d) in seeds.items()})
+    found = url_filter.ranks(spark.createDataFrame(links, "src string, dst string, n long"), spark.createDataFrame([(h, *x) for h, x in seeds.items()], "host string, trusted long, blocked long"))
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in found.collect()}
+    for h in hosts:
+        assert got.get(h, (0, 0)) == pytest.approx((trust[h], distrust[h]), abs=1e-9)

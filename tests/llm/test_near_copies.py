@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import pytest
 from tests.llm.test_simhash import groups
-from tidewright.llm import near_copies, simhash
+from tidewright.llm import common, near_copies, simhash
 
 
 def shingles(text):
@@ -74,7 +74,7 @@ def test_no_text_is_lost(spark, kind):
 
 def test_hot_texts_and_components(spark, monkeypatch):
     """Texts with many copies are joined by a broadcast; a large component has one name."""
-    monkeypatch.setattr(simhash, "HOT_SHARE", 0.0)
+    monkeypatch.setattr(common, "HOT_SHARE", 0.0)
     base = [f"w{k}" for k in range(120)]
     texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(60)] + [None] * 10_050
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

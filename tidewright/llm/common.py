@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Java pattern of the white space between words.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -17,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a new local one only where none is set."""
+    """The folder that the driver and all executors share. One is made only in local mode, where none need be set."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
@@ -35,6 +38,23 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: From this share of the rows on, a key's rows are joined by a broadcast: there are no more such keys than its inverse.
+HOT_SHARE = 1 / 2000
+
+
+def joined(rows: DataFrame, named: DataFrame, key: str, copies: str, how: str = "inner") -> DataFrame:
+    """rows joined with the stored table `named`, one row for each key, whose column `copies` counts the rows of the key.
+
+    Keys of very many rows are joined by a broadcast of at most 1 / HOT_SHARE of them, so no key meets in one task.
+    """
+    total = named.agg(F.coalesce(F.sum(copies), F.lit(0))).first()[0]
+    hot = named.where(F.col(copies) > max(10_000, int(total * HOT_SHARE)))
+    if not hot.take(1):
+        return rows.join(named.drop(copies), key, how)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rest.join(named.drop(copies), key, how).unionByName(rows.join(F.broadcast(hot.drop(copies)), key))
+
+
 def text_bytes(batch, column: str) -> list[bytes]:
     """The texts of an Arrow batch as UTF-8; null is empty."""
     import pyarrow as pa

@@ -39,7 +39,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = url_filter.judged(table(spark, sf_dir, "pages"))
-    return found.select("page_id", "host", "path", "rule", "verdict", F.round("trust", 12).alias("trust"), F.round("distrust", 12).alias("distrust"))
+    return found.select("page_id", "host", "path", "rule", "verdict", F.round("trust", 10).alias("trust"), F.round("distrust", 10).alias("distrust"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,10 +105,10 @@ FROM b"""
 
 _OP3_SQL = r"""
 WITH d AS (SELECT *, row_number() OVER () AS rid FROM documents),
-p AS (SELECT DISTINCT source, text FROM d WHERE text IS NOT NULL),
-l AS (SELECT DISTINCT source, text, trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM p, unnest(string_split(text, chr(10))) AS u(x)),
+p AS (SELECT rid, source, text FROM d WHERE text IS NOT NULL),
+l AS (SELECT DISTINCT rid, source, trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM p, unnest(string_split(text, chr(10))) AS u(x)),
 n AS (SELECT source, count(*) AS pages FROM p GROUP BY 1),
-bad AS (SELECT l.source, line FROM l JOIN n ON n.source IS NOT DISTINCT FROM l.source WHERE line <> '' GROUP BY l.source, line, pages HAVING count(*) >= 3 AND count(*) > 0.1 * pages),
+bad AS (SELECT l.source, line FROM l JOIN n ON n.source IS NOT DISTINCT FROM l.source WHERE line <> '' GROUP BY l.source, line, pages HAVING count(*) >= 2 AND count(*) > 0.01 * pages),
 x AS (SELECT rid, source, i, lines[i] AS line, trim(lines[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
       FROM (SELECT rid, source, string_split(text, chr(10)) AS lines FROM d WHERE text IS NOT NULL), unnest(range(1, len(lines) + 1)) AS u(i)),
 m AS (SELECT x.*, bad.line IS NOT NULL AS drop FROM x LEFT JOIN bad ON bad.source IS NOT DISTINCT FROM x.source AND bad.line = x.body),
@@ -129,17 +129,13 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coale
 FROM d LEFT JOIN h USING (rid) LEFT JOIN g USING (rid)"""
 
 
-def _op6_sql(rounds: int = 12, damping: float = 0.85) -> str:
+def _op6_sql(damping: float = 0.85, rounds: int = 400) -> str:
     fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
-    ordered = sorted(url_filter.RULES, key=lambda r: (-len(r.prefix), r.prefix))
+    ordered = sorted(url_filter.RULES, key=lambda r: (len(r.prefix), r.prefix), reverse=True)
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r.prefix}'" for r in ordered) + " END"
     said = "CASE " + " ".join(f"WHEN rule = '{r.prefix}' THEN '{r.verdict}'" for r in ordered) + " END"
-    steps = [
-        f"r{k + 1} AS (SELECT side, a, sum(r) AS r FROM (SELECT m.side, m.b AS a, {damping} * r * share AS r FROM r{k} JOIN m ON m.side = r{k}.side AND m.a = r{k}.a UNION ALL SELECT * FROM s) GROUP BY 1, 2)"
-        for k in range(rounds)
-    ]
     return rf"""
-WITH q AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE q AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, html, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM q),
 p AS (SELECT page_id, html, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
 j AS (SELECT *, {rule} AS rule FROM p),
@@ -147,13 +143,17 @@ k AS (SELECT *, {said} AS said FROM j),
 l AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)href\s*=\s*["'']?([^"''\s>]+)', 1)) AS x FROM p),
 e AS (SELECT src, coalesce(translate(CASE WHEN contains(x, '://') THEN regexp_extract(x, '://([^/?#]*)', 1) WHEN starts_with(x, '//') THEN regexp_extract(x, '^//([^/?#]*)', 1) END, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), src) AS dst, count(*) AS n FROM l GROUP BY 1, 2),
 w AS (SELECT 0 AS side, src AS a, dst AS b, n FROM e UNION ALL SELECT 1, dst, src, n FROM e),
-m AS (SELECT side, a, b, n / sum(n) OVER (PARTITION BY side, a) AS share FROM w),
+m AS (SELECT side, a, b, {damping} * n / sum(n) OVER (PARTITION BY side, a) AS share FROM w),
+o AS (SELECT side, a, 1 / (1 - share) AS own FROM m WHERE a = b),
+v AS (SELECT m.side, m.a, m.b, share * coalesce(own, 1) AS share FROM m LEFT JOIN o ON o.side = m.side AND o.a = m.b WHERE m.a <> m.b),
 c AS (SELECT 0 AS side, host AS a, count(*) FILTER (said = 'allow') AS n FROM k GROUP BY host UNION ALL SELECT 1, host, count(*) FILTER (said = 'block') FROM k GROUP BY host),
-s AS (SELECT side, a, {1 - damping!r} * n / sum(n) OVER (PARTITION BY side) AS r FROM c WHERE n > 0),
-r0 AS (SELECT * FROM s),
-{", ".join(steps)},
-t AS (SELECT a AS host, coalesce(sum(r) FILTER (side = 0), 0) AS trust, coalesce(sum(r) FILTER (side = 1), 0) AS distrust FROM r{rounds} GROUP BY 1)
-SELECT page_id, k.host, path, rule, coalesce(said, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict, round(coalesce(trust, 0), 12) AS trust, round(coalesce(distrust, 0), 12) AS distrust
+s AS (SELECT c.side, c.a, {1 - damping!r} * coalesce(own, 1) * n / sum(n) OVER (PARTITION BY c.side) AS r FROM c LEFT JOIN o ON o.side = c.side AND o.a = c.a WHERE n > 0),
+f AS (SELECT 0 AS step, side, a, r FROM s
+      UNION ALL SELECT f.step + 1, v.side, v.b, sum(f.r * v.share) FROM f JOIN v ON v.side = f.side AND v.a = f.a WHERE f.step < {rounds} AND f.r > 1e-30 GROUP BY f.step, v.side, v.b),
+g AS (SELECT side, a, sum(r) AS r FROM f GROUP BY 1, 2),
+i AS (SELECT side, a, r / sum(r) OVER (PARTITION BY side) AS r FROM g),
+t AS (SELECT a AS host, coalesce(sum(r) FILTER (side = 0), 0) AS trust, coalesce(sum(r) FILTER (side = 1), 0) AS distrust FROM i GROUP BY 1)
+SELECT page_id, k.host, path, rule, coalesce(said, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict, round(coalesce(trust, 0), 10) AS trust, round(coalesce(distrust, 0), 10) AS distrust
 FROM k LEFT JOIN t ON t.host = k.host"""
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import connected
-from .common import slices, stored, text_bytes
+from .common import joined, slices, stored, text_bytes
 
 RADIUS = 4
 
@@ -170,16 +170,14 @@ def links(fps: DataFrame, most_in_bucket: int = 4096) -> DataFrame:
     return near.union(whole_ball_links(hot)) if hot.take(1) else near
 
 
-#: A share of the rows from which on copies of one text are joined by a broadcast: there can be no more such texts than its inverse.
-HOT_SHARE = 1 / 2000
 SALTS = 16
 
 
 def in_groups(own: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(key, fp, component_id, first) of rows (key, fp), from the distinct fps (fp, least, copies) and the components (node, root) of those with links.
 
-    The members of a large component are salted before they meet its name, and the rows of texts with very many copies
-    are joined by a broadcast of at most 1 / HOT_SHARE rows, so neither a component nor a text meets in one task.
+    The members of a large component are salted before they meet its name, and `joined` takes care of texts with very
+    many copies, so neither a component nor a text meets in one task.
     """
     name = lambda least, fp: F.min(F.struct(least.isNull().alias("none"), least.alias("least"), fp.alias("fp")))
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "least", "copies", "root", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt"))
@@ -187,13 +185,7 @@ def in_groups(own: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     named = linked.join(names, ["root", "salt"]).select("fp", "copies", F.col("of.least").alias("component_id"), F.col("of.fp").alias("first_fp"))
     alone = nodes.join(roots.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", "copies", F.col("least").alias("component_id"), F.col("fp").alias("first_fp"))
     named = stored(named.union(alone))
-    rows = named.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    least_copies = max(10_000, int(rows * HOT_SHARE))
-    hot = named.where(F.col("copies") > least_copies).drop("copies")
-    found = own.join(named.where(F.col("copies") <= least_copies).drop("copies"), "fp")
-    if hot.take(1):
-        names = F.broadcast(hot)
-        found = own.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(named.drop("copies"), "fp").union(own.join(names, "fp"))
+    found = joined(own, named, "fp", "copies")
     first = F.col("key").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("first_fp"))
     return found.select("key", "fp", "component_id", first.alias("first"))
 

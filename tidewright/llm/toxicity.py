@@ -57,6 +57,10 @@ def _chances(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(at, values, n).astype(np.float64)  # of nothing at all, bincount gives integers
+
+
 def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The terms of all rows, and the row of each."""
     return np.concatenate([*rows, np.empty(0, np.int64)]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -72,14 +76,14 @@ def _weights(term: np.ndarray, row: np.ndarray, labels: np.ndarray, n: int, l1:
     value = scale[term]
     v, curve = np.ones(n), 1.0
     for _ in range(12):  # the largest curvature, by power iteration
-        v = np.bincount(term, value * np.bincount(row, value * v[term], len(labels))[row], n)
+        v = _sums(term, value * _sums(row, value * v[term], len(labels))[row], n)
         curve = float(np.linalg.norm(v)) or 1.0
         v /= curve
     curve = 0.3 * curve + l2
     bias, now, ahead, pace = _prior(labels), np.zeros(n), np.zeros(n), 1.0
     for _ in range(steps):
-        error = _chances(bias + np.bincount(row, value * ahead[term], len(labels))) - labels
-        moved = ahead - (np.bincount(term, value * error[row], n) + l2 * ahead) / curve
+        error = _chances(bias + _sums(row, value * ahead[term], len(labels))) - labels
+        moved = ahead - (_sums(term, value * error[row], n) + l2 * ahead) / curve
         moved = np.sign(moved) * np.maximum(np.abs(moved) - l1 * scale / curve, 0)
         if (ahead - moved) @ (moved - now) > 0:  # overshot: start again from here
             pace, ahead = 1.0, moved
@@ -107,8 +111,8 @@ def _pairwise(factor: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     """The sum over pairs of terms of each row."""
     term, row = _flat(rows)
     v = factor[term]
-    total = np.stack([np.bincount(row, v[:, f], len(rows)) for f in range(factor.shape[1])], 1)
-    return 0.5 * ((total**2).sum(1) - np.bincount(row, (v**2).sum(1), len(rows)))
+    total = np.stack([_sums(row, v[:, f], len(rows)) for f in range(factor.shape[1])], 1)
+    return 0.5 * ((total**2).sum(1) - _sums(row, (v**2).sum(1), len(rows)))
 
 
 def _passes(rows: list[np.ndarray], labels: np.ndarray, base: np.ndarray, n: int, factors: int, rate: float, l2: float, batch: int, draw: np.random.Generator) -> Iterator[np.ndarray]:

@@ -4,11 +4,16 @@ Rules are written host/path; a rule fits its host and all subdomains where the p
 longest fitting rule wins. For all other urls, personalised PageRank runs from trusted hosts (those with pages that a
 rule allows, by their number) along links, and distrust runs from blocked hosts against the links: who links to bad
 hosts is suspect. A host is blocked where distrust exceeds `threshold` times trust. Edges are (from, to) host pairs with link counts,
-aggregated before any join; a page whose links stay on its host keeps that host's rank there. Both ranks move in one
-join a round, and the state is written to the shared folder every few rounds.
+aggregated before any join; a link that stays on its host keeps that host's rank there, which is solved for rather than
+iterated. Each round moves what the last one brought, and rounds end once that is less than `tolerance` of the whole, which
+falls by the damping factor at least, so 1e-14 takes 200 rounds at most; more than `most_rounds` raise. What hosts without
+links would keep goes back to the seeds: that scales all ranks alike, so ranks are divided by their sum. Where no host is a
+seed, all ranks are 0. The state is written to the shared folder every few rounds.
 
 A null url or one without :// has empty host and path and no rule; its host is the empty one, which no page links to.
-Null html has no links. Hosts that neither rank reaches are allowed. Repeated rows are each judged.
+Null html has no links; a very long one is read as a whole. Hosts that neither rank reaches are allowed, and so are those
+whose ranks are equal at a threshold of 1. Among fitting rules of equal length the one that is last in order wins. Repeated
+rows are each judged. An empty table gives no rows. Input columns named like a result are replaced, others passed through.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import joined, stored
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -74,34 +79,50 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return out.select("src", F.coalesce(F.translate("to", _UPPER, _LOWER), "src").alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ranks(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12, store_every: int = 4) -> DataFrame:
+def ranks(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-14, most_rounds: int = 400, store_every: int = 4) -> DataFrame:
     """(host, trust, distrust) from edges (src, dst, n) and seeds (host, trusted, blocked)."""
     flows = edges.select(F.lit(0).alias("side"), F.col("src").alias("a"), F.col("dst").alias("b"), "n").union(
         edges.select(F.lit(1).alias("side"), F.col("dst").alias("a"), F.col("src").alias("b"), "n")
     )
     out = flows.groupBy("side", "a").agg(F.sum("n").alias("all"))
-    moves = stored(flows.join(out, ["side", "a"]).select("side", "a", "b", (F.col("n") / F.col("all")).alias("share")))
-    sides = seeds.select(F.lit(0).alias("side"), F.col("host").alias("a"), F.col("trusted").alias("w")).union(
-        seeds.select(F.lit(1).alias("side"), F.col("host").alias("a"), F.col("blocked").alias("w"))
+    shares = stored(flows.join(out, ["side", "a"]).select("side", "a", "b", (damping * F.col("n") / F.col("all")).alias("share")))
+    kept = shares.where("a = b").select("side", F.col("a").alias("b"), (1 / (1 - F.col("share"))).alias("own"))
+    moves = stored(shares.where("a != b").join(kept, ["side", "b"], "left").select("side", "a", "b", (F.col("share") * F.coalesce("own", F.lit(1.0))).alias("share")))
+    sides = seeds.select(F.lit(0).alias("side"), F.col("host").alias("b"), F.col("trusted").alias("w")).union(
+        seeds.select(F.lit(1).alias("side"), F.col("host").alias("b"), F.col("blocked").alias("w"))
     )
     sums = sides.groupBy("side").agg(F.sum("w").alias("all"))
-    start = stored(sides.where("w > 0").join(F.broadcast(sums), "side").select("side", "a", ((1 - damping) * F.col("w") / F.col("all")).alias("r")))
-    state = start
-    for k in range(rounds):
-        moved = state.join(moves, ["side", "a"]).select("side", F.col("b").alias("a"), (damping * F.col("r") * F.col("share")).alias("r"))
-        state = moved.union(start).groupBy("side", "a").agg(F.sum("r").alias("r"))
-        if (k + 1) % store_every == 0 or k + 1 == rounds:
-            state = stored(state)
+    start = sides.where("w > 0").join(F.broadcast(sums), "side").join(kept, ["side", "b"], "left")
+    moved = stored(start.select("side", F.col("b").alias("a"), ((1 - damping) * F.coalesce("own", F.lit(1.0)) * F.col("w") / F.col("all")).alias("r")))
+    ranked, rounds = moved, 0
+    while moves.take(1) and (moved.agg(F.sum("r")).first()[0] or 0) > tolerance:
+        if rounds >= most_rounds:
+            raise RuntimeError(f"ranks still move after {most_rounds} rounds")
+        some = []
+        for _ in range(store_every):
+            moved = moved.join(moves, ["side", "a"]).select("side", F.col("b").alias("a"), (F.col("r") * F.col("share")).alias("r")).groupBy("side", "a").agg(F.sum("r").alias("r"))
+            some.append(moved)
+        steps = some[0].withColumn("step", F.lit(1))
+        for k, x in enumerate(some[1:], 2):
+            steps = steps.union(x.withColumn("step", F.lit(k)))
+        steps = stored(steps)
+        moved = steps.where(F.col("step") == store_every).drop("step")
+        ranked = stored(ranked.union(steps.drop("step")).groupBy("side", "a").agg(F.sum("r").alias("r")))
+        rounds += store_every
+    total = ranked.groupBy("side").agg(F.sum("r").alias("whole"))
+    even = ranked.join(F.broadcast(total), "side").withColumn("r", F.col("r") / F.col("whole"))
     side = lambda k: F.coalesce(F.sum(F.when(F.col("side") == k, F.col("r"))), F.lit(0.0))
-    return state.groupBy(F.col("a").alias("host")).agg(side(0).alias("trust"), side(1).alias("distrust"))
+    return even.groupBy(F.col("a").alias("host")).agg(side(0).alias("trust"), side(1).alias("distrust"))
 
 
 def judged(pages: DataFrame, url: str = "url", html: str = "html", rules: tuple[UrlRule, ...] = RULES, threshold: float = 1.0, **how) -> DataFrame:
     """pages with host, path, rule, verdict, trust and distrust."""
     parts = with_parts(pages.drop("rule", "verdict", "trust", "distrust"), url).withColumn("__rule", fitting_rule(rules))
     is_ = lambda v: F.count(F.when(F.col("__rule.verdict") == v, 1)).alias(v)
-    seeds = stored(parts.groupBy("host").agg(is_("allow"), is_("block"))).select("host", F.col("allow").alias("trusted"), F.col("block").alias("blocked"))
+    hosts = stored(parts.groupBy("host").agg(is_("allow"), is_("block"), F.count(F.lit(1)).alias("__pages")))
+    seeds = hosts.select("host", F.col("allow").alias("trusted"), F.col("block").alias("blocked"))
     found = ranks(stored(host_edges(parts, html)), seeds, **how)
-    out = parts.join(found, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
+    found = stored(hosts.select("host", "__pages").join(found, "host", "left"))
+    out = joined(parts, found, "host", "__pages").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
     method = F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow")
     return out.withColumns({"rule": F.col("__rule.prefix"), "verdict": F.coalesce(F.col("__rule.verdict"), method)}).drop("__rule")
