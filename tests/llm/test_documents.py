@@ -281,6 +281,48 @@ def test_token_counts(spark):
         assert got[k] == (sum(counts.values()), sum(n * best_count(model, token_counts.MARK + w) for w, n in counts.items()))
 
 
+# ---- secrets
+
+
+def test_planted_secrets_and_identifiers(spark):
+    """Random strings that no base pattern knows are found; identifiers of unseen words are left alone."""
+    draw = np.random.default_rng(4)
+    letters = list("etaoinshrdlucmfwypvbgk")
+    word = lambda: "".join(draw.choice(letters, int(draw.integers(3, 9)), p=np.arange(22, 0, -1) / 253))
+    words = [word() for _ in range(3000)]
+    plain = [" ".join(draw.choice(words, 60)) for _ in range(300)]
+    keys, names, rows = [], [], []
+    for k in range(300):
+        alphabet = secrets.ALPHABETS[k % 5]
+        key = "".join(draw.choice(list(alphabet), int(draw.integers(20, 32 if k % 5 == 0 else 64))))
+        fresh = [word() for _ in range(5)]
+        name = secrets.STYLES[k % len(secrets.STYLES)](fresh)
+        keys.append(key)
+        names.append(name)
+        rows.append(f"{plain[k]} {name} {plain[k - 1]} {key} {plain[k - 2]}")
+    rows += ["see https_example_org_some_long_path_of_words and get_account_settings_by_id_and_name", "-" * 80, "=" * 80, "2024-01-01/2024-02-01/2024-03-01", None, ""]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r["doc_id"]: [x[y["start"] : y["end"]] for x in [rows[r["doc_id"]]] for y in r["secret_spans"] if y["kind"] == "markov"] for r in secrets.scanned(docs).collect()}
+    caught = sum(keys[k] in found[k] for k in range(300))
+    wrong = sum(x != keys[k] for k in range(300) for x in found[k]) + sum(len(found[k]) for k in range(300, len(rows)))
+    assert caught >= 270 and wrong <= 3
+
+
+def test_rest_of_a_run_is_judged_and_long_texts_take_one_pass(spark):
+    import time
+
+    tail = "qX7zRk2LmP9vTb4WcY8nHd3"
+    table = secrets.ratio_table(spark.createDataFrame([(1, "some words of a text and then others of it")], "doc_id long, text string"))
+    text = "Zq" + "0deadbeef" * 5 + tail
+    base = secrets.base_spans(text)
+    assert [k for k, *_ in base] == ["hex"] and secrets.method_spans(text, table, base, 25.0, 1.7) == [("markov", base[0][2], len(text))]
+    long = f"password = abcdefgh12 {tail} " * 20_000
+    began = time.perf_counter()
+    base = secrets.base_spans(long)
+    assert len(base) == len(secrets.method_spans(long, table, base, 25.0, 1.7)) == 20_000
+    assert time.perf_counter() - began < 10
+
+
 # ---- toxicity
 
 

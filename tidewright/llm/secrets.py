@@ -2,11 +2,15 @@
 
 Two first-order models of characters are trained on labelled strings: random strings (secret values that the base
 patterns find in the sample, and seeded draws from the alphabets keys are written in) and ordinary strings (the sample's
-other words of under 20 characters). A long run of key characters is a secret where the random model explains it better by a margin.
-The models are fitted on `train_docs` documents at most, those with the smallest hashed ids; all texts are scanned whole.
-
-Null and empty texts have no spans. Spans are code points, end exclusive; a method span never overlaps a base span.
-Repeated rows are each scanned; other columns of the input are passed through, those named like a result replaced.
+other words, and identifiers made of its neighbouring words: snake_case, camelCase, kebab-case, dotted or slashed paths). A
+long run of key characters is a secret where the random model explains it better by a margin, in all and a character.
+The models are fitted on `train_docs` documents at most, those with the smallest hashed ids (an id of more documents than
+that takes no part); all texts are scanned whole.
+
+Null and empty texts have no spans. A very long text is scanned in one pass: candidates are sought between the base
+spans, so a method span never overlaps one, and what a base span leaves of a longer run is still judged. Spans are code
+points, end exclusive. Spans that start together are ordered by kind as listed. Repeated rows are each scanned. An empty
+table gives no rows. Other columns are passed through, those named like a result replaced.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +38,10 @@ ALPHABETS = [
     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 ]
+#: Marks whose runs draw lines, which are ordinary (fixed values).
+RULERS = "-_=+/"
+#: Forms of dates, which are ordinary (fixed values).
+DATES = ("{:04}-{:02}-{:02}", "{:04}/{:02}/{:02}", "{:04}_{:02}_{:02}", "{2:02}-{1:02}-{0:04}", "{2:02}/{1:02}/{0:04}")
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -50,12 +58,41 @@ def _pairs(value: str) -> list[int]:
     return [a << 7 | b for a, b in zip(codes, codes[1:])]
 
 
+def _gaps(spans: list[tuple[str, int, int]], end: int) -> Iterator[tuple[int, int]]:
+    """What lies between spans that are ordered by start."""
+    at = 0
+    for _, a, b in spans:
+        if a > at:
+            yield at, a
+        at = max(at, b)
+    if at < end:
+        yield at, end
+
+
+#: How neighbouring words make an identifier.
+STYLES = (
+    "_".join,
+    "-".join,
+    "/".join,
+    lambda words: "_".join(words).upper(),
+    lambda words: "".join(w.capitalize() for w in words),
+    lambda words: words[0] + "".join(w.capitalize() for w in words[1:]),
+    lambda words: "_".join(words) + str(len(words[0])),
+)
+
+
+def identifiers(words: list[str]) -> list[str]:
+    """Identifiers of four neighbouring words each, in all styles by turns."""
+    plain = [w.lower() for w in words if w.isalpha() and w.isascii()]
+    return [STYLES[k // 4 % len(STYLES)](plain[k : k + 4]) for k in range(0, len(plain) - 3, 4)]
+
+
 def _labelled(text: str) -> tuple[list[str], list[str]]:
-    """The base patterns' values, and the words outside their spans that are too short for candidates."""
+    """The base patterns' values, and the words outside their spans with the identifiers they make."""
     spans = base_spans(text)
     random = [ASSIGN.match(text, a)[2] if kind == "assign" else text[a:b] for kind, a, b in spans]
-    inside = lambda m: any(m.start() < b and a < m.end() for _, a, b in spans)
-    return random, [m[0] for m in WORD.finditer(text) if len(m[0]) < 20 and not (spans and inside(m))]
+    words = [m[0] for a, b in _gaps(spans, len(text)) for m in WORD.finditer(text, a, b) if len(m[0]) < 20]
+    return random, words + identifiers(words)
 
 
 def ratio_table(docs: DataFrame, key: str = "doc_id", text: str = "text", train_docs: int = 2000, draws: int = 400, seed: int = 7):
@@ -74,7 +111,9 @@ def ratio_table(docs: DataFrame, key: str = "doc_id", text: str = "text", train_
         yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(pair), pa.array(seen[label, pair])], ["label", "pair", "n"])
 
     # The sample is drawn from the ids alone, so that no task meets the texts of all tasks' candidates.
-    ids = docs.select(F.col(key).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(train_docs)
+    ids = docs.groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= train_docs).orderBy(F.xxhash64("id"), "id").limit(train_docs)
+    so_far = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id"))  # over train_docs rows at most
+    ids = ids.withColumn("so_far", so_far).where(F.col("so_far") <= train_docs).select("id")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     sample = rows.join(F.broadcast(ids), F.col("key").eqNullSafe(F.col("id")), "left_semi")
     counted = sample.select("text").mapInArrow(count, "label long, pair long, n long").groupBy("label", "pair").agg(F.sum("n").alias("n"))
@@ -85,24 +124,42 @@ def ratio_table(docs: DataFrame, key: str = "doc_id", text: str = "text", train_
     for letters in ALPHABETS:
         codes = np.frombuffer(letters.encode(), np.uint8)[draw.integers(0, len(letters), (draws, 40))]
         np.add.at(seen[1], (codes[:, :-1], codes[:, 1:]), 1)
-    used = len({c for letters in ALPHABETS for c in letters} | set("=."))
-    alone = (seen.sum(1) + 0.5) / (seen.sum((1, 2)) + 0.5 * used)[:, None]  # a pair that was rarely seen leans on its second character
-    prob = (seen + 2 * alone[:, None, :]) / (seen.sum(2, keepdims=True) + 2)
+    for mark in RULERS.encode():
+        seen[0, mark, mark] += 100 * draws
+    for year, month, day in draw.integers((1990, 1, 1), (2040, 13, 32), (draws, 3)):
+        for form in DATES:
+            np.add.at(seen[0].reshape(-1), _pairs(form.format(year, month, day)), 1)
+    return log_ratio(seen)
+
+
+def log_ratio(seen):
+    """From pair counts (label, first, second). A pair that was rarely seen leans on how often its kind of character follows the other's."""
+    import numpy as np
+
+    kind = np.array([0 if chr(c).isdigit() else 1 if chr(c).islower() else 2 if chr(c).isupper() else 3 + c for c in range(128)])
+    kind = np.unique(kind, return_inverse=True)[1]
+    of = np.eye(kind.max() + 1)[kind]
+    steps = of.T @ seen @ of  # (label, kind, kind)
+    steps = (steps + 0.1) / (steps + 0.1).sum(2, keepdims=True)
+    alone = seen.sum(1) + 0.5
+    alone = alone / (alone @ of)[:, kind]  # of a character among its kind
+    lean = steps[:, kind][:, :, kind] * alone[:, None, :]
+    prob = (seen + 30 * lean) / (seen.sum(2, keepdims=True) + 30)
     return (np.log(prob[1]) - np.log(prob[0])).ravel()
 
 
 def method_spans(text: str, table, base: list[tuple[str, int, int]], margin: float, per_char: float) -> list[tuple[str, int, int]]:
     found = []
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if not any(a < y and x < b for _, x, y in base):
+    for low, high in _gaps(base, len(text)):
+        for m in CANDIDATE.finditer(text, low, high) if high - low >= 20 else ():
+            a, b = m.span()
             total = table[_pairs(m[0])].sum()
             if total >= margin and total >= per_char * (b - a - 1):
                 found.append(("markov", a, b))
     return found
 
 
-def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", train_docs: int = 2000, margin: float = 20.0, per_char: float = 0.7) -> DataFrame:
+def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", train_docs: int = 2000, margin: float = 25.0, per_char: float = 1.7) -> DataFrame:
     """docs with secret_spans: array of (kind, start, end), by start and then kind."""
     table = ratio_table(docs, key, text, train_docs)
     kept = [c for c in docs.columns if c != "secret_spans"]
