@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -134,18 +136,30 @@ def humidity_class(aridity: C, threshold: float = 0.65, scale: float = 0.01) ->
     return F.when(col(aridity) * scale > threshold, "humid").otherwise("arid")
 
 
+#: Numerator, denominator and far fraction of the upper normal tail, good to 15 digits (Hart's approximation, fixed values).
+TAIL_ABOVE = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+TAIL_BELOW = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+TAIL_FAR, ROOT_TWO_PI = 7.07106781186547, 2.506628274631
+
+
 def two_sided_p(z: C) -> Column:
-    """1 - erf(|z| / sqrt 2) by the polynomial 7.1.26 of Abramowitz and Stegun."""
-    x = F.abs(col(z)) / 2**0.5
-    t = 1 / (1 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return poly * F.exp(-x * x)
+    """1 - erf(|z| / sqrt 2): a ratio of polynomials, and a continued fraction far out."""
+    x = F.abs(col(z))
+    horner = lambda parts: functools.reduce(lambda a, c: a * x + c, parts[1:], F.lit(parts[0]))
+    fraction = functools.reduce(lambda a, k: x + k / a, (4, 3, 2, 1), x + 0.65)
+    tail = F.exp(-x * x / 2) * F.when(x < TAIL_FAR, horner(TAIL_ABOVE) / horner(TAIL_BELOW)).otherwise(1 / (fraction * ROOT_TWO_PI))
+    return 2 * tail
 
 
-TWO_SIDED_P_SQL = (
-    "((1/(1+0.3275911*abs({z})/sqrt(2)))*(0.254829592+(1/(1+0.3275911*abs({z})/sqrt(2)))*(-0.284496736+(1/(1+0.3275911*abs({z})/sqrt(2)))*"
-    "(1.421413741+(1/(1+0.3275911*abs({z})/sqrt(2)))*(-1.453152027+(1/(1+0.3275911*abs({z})/sqrt(2)))*1.061405429)))))*exp(-({z})*({z})/2)"
-)
+def _tail_sql() -> str:
+    horner = lambda parts: functools.reduce(lambda a, c: f"({a} * abs({{z}}) + {c!r}::DOUBLE)", parts[1:], f"{parts[0]!r}::DOUBLE")
+    fraction = functools.reduce(lambda a, k: f"(abs({{z}}) + {k} / {a})", (4, 3, 2, 1), "(abs({z}) + 0.65::DOUBLE)")
+    near, far = f"{horner(TAIL_ABOVE)} / {horner(TAIL_BELOW)}", f"1 / ({fraction} * {ROOT_TWO_PI!r}::DOUBLE)"
+    return f"(2 * exp(-abs({{z}}) * abs({{z}}) / 2) * CASE WHEN abs({{z}}) < {TAIL_FAR!r} THEN {near} ELSE {far} END)"
+
+
+#: The same over an expression {z}.
+TWO_SIDED_P_SQL = _tail_sql()
 
 
 def guarded_slope(y: C, x: C) -> Column:

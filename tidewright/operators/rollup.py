@@ -144,7 +144,8 @@ def below_thresholds(df: DataFrame, share: str, weight: str, step: float = 0.5,
 
 def duplicate_keys(parts: DataFrame, key: str, value: str) -> DataFrame:
     """Keys that occur more than once, with their sorted values."""
-    return parts.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(value)).alias("values")).where("n > 1")
+    counts = parts.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return parts.join(counts, key).groupBy(key, "n").agg(F.sort_array(F.collect_list(value)).alias("values"))
 
 
 def last_wins(parts: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:

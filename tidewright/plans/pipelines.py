@@ -75,10 +75,10 @@ def points_within_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.within_distance(points(spark, sf_dir), shapes, "r", 0.1, 0.05).select("box", "id")
 
 
-@plans.add(f"""WITH {POINTS_SQL}, {BOXES_SQL}, gr AS (SELECT i * 10 + j AS tile, -0.5 + i * 0.1 AS a1, -0.5 + j * 0.1 AS b1 FROM range(10) AS t(i), range(10) AS u(j)) SELECT DISTINCT tile FROM gr JOIN b ON box < 3 AND x1 <= a1 + 0.1 AND a1 <= x2 AND y1 <= b1 + 0.1 AND b1 <= y2""")
+@plans.add(f"""WITH {POINTS_SQL}, {BOXES_SQL}, gr AS (SELECT i * 10 + j AS tile, -0.5 + i * 0.1 AS a1, -0.5 + j * 0.1 AS b1 FROM range(10) AS t(i), range(10) AS u(j)) SELECT DISTINCT tile FROM gr JOIN b ON x1 <= a1 + 0.1 AND a1 <= x2 AND y1 <= b1 + 0.1 AND b1 <= y2""")
 def tiles_touching_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles = spatial.grid(spark, -0.5, -0.5, 0.5, 0.5, 0.1).withColumnRenamed("cell", "tile")
-    land = boxes(spark, sf_dir).where("box < 3").select(g.box(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")).alias("rings"))
+    land = boxes(spark, sf_dir).select(g.box(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")).alias("rings"))
     return spatial.touching(tiles, land, 0.1).select("tile")
 
 

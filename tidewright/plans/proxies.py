@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import reshape, series
 
-START, END, YEARS = "1995-01-01", "2001-01-01", 6
+START, END, YEARS = "1995-01-01", "2002-01-01", 7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +27,7 @@ MONTHS_SQL = """m AS (
   SELECT l_suppkey AS id, date_trunc('month', l_shipdate)::DATE AS period, sum(l_quantity) AS value,
          sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) / sum(l_quantity) AS cloud,
          sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE 0 END) / sum(l_quantity) AS ice
-  FROM lineitem WHERE l_shipdate >= '1995-01-01' AND l_shipdate < '2001-01-01' GROUP BY 1, 2)"""
+  FROM lineitem WHERE l_shipdate >= '1995-01-01' AND l_shipdate < '2002-01-01' GROUP BY 1, 2)"""
 
 
 def dense_months(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def dense_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 DENSE_SQL = (
     MONTHS_SQL
     + """,
-c AS (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2000-12-01', INTERVAL 1 MONTH))::DATE AS period),
+c AS (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH))::DATE AS period),
 e AS (SELECT DISTINCT id FROM m),
 d AS (SELECT e.id, c.period, m.value, m.cloud, m.ice, coalesce(m.ice > 0.65, false) AS masked,
              (year(c.period) - 1995) * 12 + month(c.period) - 1 AS month_idx, (year(c.period) - 1995) AS year_idx, month(c.period) - 1 AS position

@@ -10,7 +10,7 @@ from ..operators import records, reshape, rollup, series, stl, validate
 from ..operators.graph import settled
 from ..streaming import arrivals
 from . import Plans
-from .proxies import DENSE_SQL, MONTHS_SQL, POINTS_SQL, SUPPLIERS_SQL, YEARLY_SQL, YEARS, dense_months, months, points, suppliers, table
+from .proxies import DENSE_SQL, END, MONTHS_SQL, POINTS_SQL, START, SUPPLIERS_SQL, YEARLY_SQL, YEARS, dense_months, months, points, suppliers, table
 from .series_plans import _rounded
 
 plans = Plans()
@@ -127,9 +127,9 @@ def global_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@plans.add("SELECT l_partkey AS key, count(*) AS n, list_sort(list(l_quantity)) AS values FROM lineitem WHERE l_linenumber = 7 GROUP BY 1 HAVING count(*) > 1")
+@plans.add("SELECT l_partkey AS key, count(*) AS n, list_sort(list(l_quantity)) AS values FROM lineitem GROUP BY 1 HAVING count(*) > 1")
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.duplicate_keys(table(spark, sf_dir, "lineitem").where("l_linenumber = 7").withColumnRenamed("l_partkey", "key"), "key", "l_quantity")
+    return rollup.duplicate_keys(table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "key"), "key", "l_quantity")
 
 
 @plans.add("SELECT l_partkey AS key, arg_max(l_quantity, l_orderkey * 10 + l_linenumber) AS value FROM lineitem GROUP BY 1")
@@ -169,7 +169,7 @@ def bootstrap_ks_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plans.add()
 def stl_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reshape.dense(months(spark, sf_dir), "id", "1995-01-01", "2001-01-01").fillna(0.0, ["value"])
+    rows = reshape.dense(months(spark, sf_dir), "id", START, END).fillna(0.0, ["value"])
     return _rounded(stl.stl(rows))
 
 
@@ -333,7 +333,7 @@ def colour_cells_and_quadrants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("cell", "quadrant").agg(F.count(F.lit(1)).alias("n"))
 
 
-@plans.add(f"WITH {DENSE_SQL} SELECT id, round(avg(value) FILTER (year_idx = 0), 6) AS first_year, round(avg(value) FILTER (year_idx = 5), 6) AS last_year, count(value) AS known FROM d GROUP BY id")
+@plans.add(f"WITH {DENSE_SQL} SELECT id, round(avg(value) FILTER (year_idx = 0), 6) AS first_year, round(avg(value) FILTER (year_idx = 6), 6) AS last_year, count(value) AS known FROM d GROUP BY id")
 def first_and_last_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dense_months(spark, sf_dir)
     at = lambda k: F.avg(F.when(F.col("year_idx") == k, F.col("value")))

@@ -11,7 +11,7 @@ from . import Plans
 from .proxies import DENSE_SQL, MONTHS_SQL, SUPPLIERS_SQL, YEARLY_SQL, YEARS, dense_months, months, suppliers
 
 plans = Plans()
-PERIODS = [f"{y}-{m:02d}-01" for y in range(1995, 2001) for m in range(1, 13)]
+PERIODS = [f"{y}-{m:02d}-01" for y in range(1995, 2002) for m in range(1, 13)]
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -45,18 +45,18 @@ _ENT = lambda a, b: f"(CASE WHEN {_IN('sum', 'total', a, b)} = 0 THEN 0 WHEN {_I
 _REL = lambda a, b: f"CASE WHEN {a} > 1e-5 AND {b} > 1e-5 THEN 2 * ({b} - {a}) / ({a} + {b}) * 100 END"
 _SH = lambda a, b: f"{a} / nullif({a} + {b}, 0) * 100"
 _CH = "CASE WHEN count(CASE WHEN year_idx > 0 THEN change END) = count(CASE WHEN year_idx > 0 THEN 1 END) THEN regr_slope(abs(change), year_idx) END"
-_SA, _SB = _IN("avg", "std", 0, 2), _IN("avg", "std", 3, 5)
-_DA, _DB = _IN("stddev_pop", "change", 1, 2), _IN("stddev_pop", "change", 4, 5)
-_MA, _MB = _IN("avg", "abs(change)", 1, 2), _IN("avg", "abs(change)", 4, 5)
-_AA, _AB = _IN("avg", "mean", 0, 2), _IN("avg", "mean", 3, 5)
+_SA, _SB = _IN("avg", "std", 0, 2), _IN("avg", "std", 4, 6)
+_DA, _DB = _IN("stddev_pop", "change", 1, 2), _IN("stddev_pop", "change", 5, 6)
+_MA, _MB = _IN("avg", "abs(change)", 1, 2), _IN("avg", "abs(change)", 5, 6)
+_AA, _AB = _IN("avg", "mean", 0, 2), _IN("avg", "mean", 4, 6)
 _STATS = {
     "mean_annual_std": "avg(std)", "mean_annual_std_percentage": "avg(std) / (sum(total) / sum(n))", "mean_annual_first_difference": "avg(abs(change))",
-    "mean_annual_first_difference_percentage": "avg(abs(change)) / avg(CASE WHEN year_idx < 5 THEN mean END)", "mean_apportion_entropy": "avg(entropy)",
+    "mean_annual_first_difference_percentage": "avg(abs(change)) / avg(CASE WHEN year_idx < 6 THEN mean END)", "mean_apportion_entropy": "avg(entropy)",
     "trend_of_std": _G("std"), "trend_of_std_share": f"({_G('std')}) / avg(std) * 100", "trend_of_annual_mean": _G("mean"), "trend_of_annual_mean_share": f"({_G('mean')}) / avg(mean) * 100",
     "trend_of_first_difference": _CH, "trend_of_first_difference_share": f"({_CH}) / avg(abs(change)) * 100", "trend_of_entropy": _G("entropy"),
-    "difference_in_annual_mean_std": f"{_IN('stddev_pop', 'mean', 3, 5)} - {_IN('stddev_pop', 'mean', 0, 2)}", "difference_in_entropy": f"{_ENT(3, 5)} - {_ENT(0, 2)}",
+    "difference_in_annual_mean_std": f"{_IN('stddev_pop', 'mean', 4, 6)} - {_IN('stddev_pop', 'mean', 0, 2)}", "difference_in_entropy": f"{_ENT(4, 6)} - {_ENT(0, 2)}",
     "difference_in_annual_std": f"{_SB} - {_SA}", "relative_difference_in_annual_std": _REL(_SA, _SB), "difference_in_first_difference_std": f"{_DB} - {_DA}",
-    "relative_difference_in_first_difference_std": _REL(_DA, _DB), "difference_in_monthly_change": f"{_IN('avg', 'monthly_change', 3, 5)} - {_IN('avg', 'monthly_change', 0, 2)}",
+    "relative_difference_in_first_difference_std": _REL(_DA, _DB), "difference_in_monthly_change": f"{_IN('avg', 'monthly_change', 4, 6)} - {_IN('avg', 'monthly_change', 0, 2)}",
     "std_percentage_of_first": _SH(_SA, _SB), "std_percentage_of_second": _SH(_SB, _SA), "first_difference_percentage_of_first": _SH(_MA, _MB), "first_difference_percentage_of_second": _SH(_MB, _MA),
     "mean_percentage_of_first": _SH(_AA, _AB), "mean_percentage_of_second": _SH(_AB, _AA), "annual_means_std": "stddev_pop(mean)",
 }
@@ -154,7 +154,7 @@ def low_value_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plans.add(f"""WITH {_FLAGS_SQL}, fc AS (SELECT id, count(*) FILTER (low AND NOT masked AND year_idx <= 2)::DOUBLE AS x1, count(*) FILTER (NOT masked AND year_idx <= 2)::DOUBLE AS n1,
-  count(*) FILTER (low AND NOT masked AND year_idx >= 3)::DOUBLE AS x2, count(*) FILTER (NOT masked AND year_idx >= 3)::DOUBLE AS n2 FROM f GROUP BY id),
+  count(*) FILTER (low AND NOT masked AND year_idx >= 4)::DOUBLE AS x2, count(*) FILTER (NOT masked AND year_idx >= 4)::DOUBLE AS n2 FROM f GROUP BY id),
 z AS (SELECT *, (x2 / n2 - x1 / n1) / nullif(sqrt((x1 + x2) / (n1 + n2) * (1 - (x1 + x2) / (n1 + n2)) * (1 / n1 + 1 / n2)), 0) AS z FROM fc)
 SELECT id, round(x2 / n2 - x1 / n1, 6) + 0.0 AS increase, round({TWO_SIDED_P_SQL.format(z='z')}, 6) + 0.0 AS p FROM z""")
 def low_value_frequency_change(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,9 +170,9 @@ def low_value_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- reshape
 
 
-@plans.add(f"WITH {MONTHS_SQL} SELECT id, " + ", ".join(f"sum(CASE WHEN period = DATE '{p}' THEN value END) AS \"{p}\"" for p in PERIODS[:24]) + " FROM m GROUP BY id")
+@plans.add(f"WITH {MONTHS_SQL} SELECT id, " + ", ".join(f"sum(CASE WHEN period = DATE '{p}' THEN value END) AS \"{p}\"" for p in PERIODS) + " FROM m GROUP BY id")
 def months_to_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reshape.to_wide(months(spark, sf_dir), "id", PERIODS[:24])
+    return reshape.to_wide(months(spark, sf_dir), "id", PERIODS)
 
 
 @plans.add(f"WITH {DENSE_SQL} SELECT id, period, value FROM d")

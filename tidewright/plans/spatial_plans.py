@@ -171,12 +171,12 @@ def tiles_mosaicked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.mosaic(pixels(spark, sf_dir), "period", "class")
 
 
-@plans.add(f"WITH {PIXELS_SQL}, a AS (SELECT row, col, max(CASE WHEN month(period) <= 4 THEN class END) AS m, max(CASE WHEN month(period) BETWEEN 5 AND 8 THEN class END) AS r, max(CASE WHEN month(period) > 8 THEN class END) AS d FROM px WHERE year(period) = 1996 GROUP BY 1, 2) SELECT row::INTEGER AS row, col::INTEGER AS col, coalesce(m > 1.5, r > 1.5, d > 1.5, false)::INTEGER AS filled FROM a")
+@plans.add(f"WITH {PIXELS_SQL}, a AS (SELECT year(period)::INTEGER AS year, row, col, max(CASE WHEN month(period) <= 4 THEN class END) AS m, max(CASE WHEN month(period) BETWEEN 5 AND 8 THEN class END) AS r, max(CASE WHEN month(period) > 8 THEN class END) AS d FROM px GROUP BY 1, 2, 3) SELECT year, row::INTEGER AS row, col::INTEGER AS col, coalesce(m > 1.5, r > 1.5, d > 1.5, false)::INTEGER AS filled FROM a")
 def gaps_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.month("period")
-    px = pixels(spark, sf_dir).where(F.year("period") == 1996)
-    parts = px.groupBy("row", "col").agg(F.max(F.when(m <= 4, F.col("class"))).alias("m"), F.max(F.when(m.between(5, 8), F.col("class"))).alias("r"), F.max(F.when(m > 8, F.col("class"))).alias("d"))
-    return raster.gap_filled(parts, "m", "r", "d", threshold=1.5).select("row", "col", "filled")
+    px = pixels(spark, sf_dir)
+    parts = px.groupBy(F.year("period").alias("year"), "row", "col").agg(F.max(F.when(m <= 4, F.col("class"))).alias("m"), F.max(F.when(m.between(5, 8), F.col("class"))).alias("r"), F.max(F.when(m > 8, F.col("class"))).alias("d"))
+    return raster.gap_filled(parts, "m", "r", "d", threshold=1.5).select("year", "row", "col", "filled")
 
 
 @plans.add(f"WITH {PIXELS_SQL} SELECT row::INTEGER AS row, col::INTEGER AS col, period, class = 1 AND other = 2 AS water FROM px")
@@ -185,9 +185,9 @@ def constrained_to_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.constrained(px, "water", "extent").select("row", "col", "period", "water")
 
 
-@plans.add(f"WITH {PIXELS_SQL} SELECT row::INTEGER AS row, col::INTEGER AS col, " + ", ".join(f"max(CASE WHEN period = DATE '1996-{m:02d}-01' THEN class END) AS \"water_1996-{m:02d}-01\"" for m in range(1, 13)) + " FROM px GROUP BY 1, 2")
+@plans.add(f"WITH {PIXELS_SQL} SELECT row::INTEGER AS row, col::INTEGER AS col, " + ", ".join(f"max(CASE WHEN period = DATE '{y}-{m:02d}-01' THEN class END) AS \"water_{y}-{m:02d}-01\"" for y in range(1995, 2002) for m in range(1, 13)) + " FROM px GROUP BY 1, 2")
 def months_as_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.months_as_bands(pixels(spark, sf_dir), "class", [f"1996-{m:02d}-01" for m in range(1, 13)])
+    return raster.months_as_bands(pixels(spark, sf_dir), "class", [f"{y}-{m:02d}-01" for y in range(1995, 2002) for m in range(1, 13)])
 
 
 @plans.add(f"WITH {PIXELS_SQL} SELECT period, row::INTEGER AS row, col::INTEGER AS col, class FROM px WHERE col BETWEEN 10 AND 19 AND row BETWEEN 4 AND 13")
