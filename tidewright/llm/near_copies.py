@@ -26,11 +26,14 @@ from pyspark.sql import types as T
 
 from ..operators.graph import connected
 from .common import slices, stored, text_bytes
+from .elias_fano import from_bytes, prefixed, sequence, to_bytes
 from .simhash import in_groups
 
 BLOCKS, BLOCK_BITS = 11, 28
 #: 308 differing bits are binomial with a mean of 46.7 at a similarity of 0.8, and a standard deviation of 6.3.
 MOST_BITS = 62
+#: Variants to a shard.
+SHARD_ROWS = 2_000_000
 
 
 def shingled(words: list[bytes], shingle: int, seed: int):
@@ -98,27 +101,58 @@ def _mapped(rows: DataFrame, what: str, shingle: int, seed: int) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([rows.schema["key"], *new]))
 
 
-def _shared(batches: Iterator) -> Iterator:
-    """Of rows (bucket, fp) sorted by bucket, those whose bucket has another row."""
-    import numpy as np
-    import pyarrow as pa
+def _variants(shards: int):
+    """Of nodes (fp, values): (shard, block) with every block of a fingerprint and all that differ from it in one bit, sorted
+    and packed. A bucket is a block's number and its value; a shard has a range of them."""
 
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        if held is not None:
-            table = pa.concat_tables([held, table])
-        bucket = table.column(0).to_numpy()
-        new = np.r_[True, bucket[1:] != bucket[:-1]]
-        alone = new & np.r_[new[1:], True]
-        # The last row waits for the next batch; one that is known to be shared goes along with it, twice at most.
-        last = len(bucket) - 1
-        yield from table.take(pa.array(np.flatnonzero(~alone[:last]))).combine_chunks().to_batches()
-        held = table.slice(last - (0 if new[last] else 1))
-    if held is not None and held.num_rows > 1:
-        yield from held.slice(1).combine_chunks().to_batches()
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        masks = np.r_[0, 1 << np.arange(BLOCK_BITS, dtype=np.int64)]
+        width = -(-(BLOCKS << BLOCK_BITS) // shards)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 8192):
+                part = batch.slice(k, 8192)
+                fps = part.column("fp").to_numpy()
+                values = part.column("values").flatten().to_numpy().reshape(-1, BLOCKS)
+                bucket = (values + (np.arange(BLOCKS) << BLOCK_BITS))[:, :, None] ^ masks
+                node = np.repeat(np.arange(len(fps), dtype=np.uint16), BLOCKS * len(masks))
+                order = np.argsort(bucket.ravel())
+                bucket, node = bucket.ravel()[order], node[order]
+                cuts = np.searchsorted(bucket, np.arange(shards + 1) * width)
+                found, blocks = [], []
+                for shard in np.flatnonzero(np.diff(cuts)).tolist():
+                    low, high = cuts[shard], cuts[shard + 1]
+                    own, which = np.unique(node[low:high], return_inverse=True)
+                    found.append(shard)
+                    blocks.append(to_bytes(prefixed("bucket", (bucket[low:high] - shard * width).astype(np.uint64)) | {"node": which.astype(np.uint16), "fp": fps[own]}))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(blocks, pa.binary())], ["shard", "block"])
+
+    return run
+
+
+def _shared(shards: int):
+    """Of a shard's blocks, (bucket, fp) of those buckets that several fingerprints have."""
+
+    def run(key, table):
+        import numpy as np
+        import pyarrow as pa
+
+        buckets, fps = [], []
+        for block in table.column("block").to_pylist():
+            x = from_bytes(np.frombuffer(block, np.uint8))
+            buckets.append(sequence(x, "bucket").values().astype(np.int64))
+            fps.append(x["fp"][x["node"]])
+        bucket, fp = np.concatenate(buckets), np.concatenate(fps)
+        order = np.argsort(bucket)
+        bucket = bucket[order]
+        same = np.r_[False, bucket[1:] == bucket[:-1]]
+        several = same | np.r_[same[1:], False]
+        low = key[0].as_py() * -(-(BLOCKS << BLOCK_BITS) // shards)
+        return pa.table({"bucket": bucket[several] + low, "fp": fp[order[several]]})
+
+    return run
 
 
 def _pairs(apart: bool, similarity: float, most_bits: int):
@@ -171,12 +205,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(F.col("common") + 1e-9 >= similarity * (F.size("u_values") + F.size("v_values") - F.col("common"))).select("u", "v")
 
 
-def variants(nodes: DataFrame) -> DataFrame:
-    """(bucket, fp): every block of a fingerprint, and all that differ from it in one bit."""
-    blocks = nodes.select("fp", F.posexplode("values").alias("block", "value"))
-    turned = blocks.select("fp", "block", F.col("value").alias("variant"), "value").withColumn("bit", F.explode(F.sequence(F.lit(-1), F.lit(BLOCK_BITS - 1))))
-    mask = F.expr("case when bit < 0 then 0L else shiftleft(1L, bit) end")
-    return turned.select((F.col("block").cast("long") * F.lit(1 << BLOCK_BITS) + F.col("value").bitwiseXOR(mask)).alias("bucket"), "fp")
+def colliding(nodes: DataFrame, count: int) -> DataFrame:
+    """(bucket, fp) of the nodes (fp, values) that meet another one in a bucket; variants travel in packed blocks, about SHARD_ROWS to a shard."""
+    shards = max(1, -(-count * BLOCKS * (BLOCK_BITS + 1) // SHARD_ROWS))
+    sent = nodes.select("fp", "values").mapInArrow(_variants(shards), "shard long, block binary")
+    return sent.groupBy("shard").applyInArrow(_shared(shards), "bucket long, fp long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42, most_bits: int = MOST_BITS) -> DataFrame:
@@ -184,28 +217,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     own = stored(_mapped(rows, "blocks", shingle, seed))
     nodes = stored(own.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("values").alias("values")))
+    with_words = nodes.where("n > 0")
     by_bucket = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "fp")
-    shared = stored(by_bucket(variants(nodes.select("fp", "values"))).mapInArrow(_shared, "bucket long, fp long"))
+    shared = colliding(with_words, with_words.count())
     placed = stored(shared.join(nodes.select("fp", "n", "values"), "fp").select("bucket", "fp", "n", "values"))
     tried = stored(by_bucket(placed).mapInArrow(_pairs(False, similarity, most_bits), "u long, v long").distinct())
 
-    meeting = shared.select("fp").distinct()
-    texts = rows.join(own.join(meeting, "fp", "left_semi").groupBy("fp").agg(F.min("key").alias("key")).select("key").distinct(), "key", "left_semi")
-    sets = _mapped(texts, "members", shingle, seed).join(meeting, "fp", "left_semi").select("fp", "values").dropDuplicates(["fp"])
-    unnamed = meeting.join(nodes.where("least is null").select("fp"), "fp", "left_semi")
-    if unnamed.take(1):  # texts that only rows without a key have
-        more = _mapped(rows.where("key is null"), "members", shingle, seed).join(unnamed, "fp", "left_semi").select("fp", "values")
-        sets = sets.union(more).dropDuplicates(["fp"])
-    sets = stored(sets)
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """(fp, values): the sets of the pairs' texts, each read from one of its rows."""
+        wanted = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct().join(nodes.select("fp", "least"), "fp")
+        texts = rows.join(wanted.where("least is not null").select(F.col("least").alias("key")).distinct(), "key", "left_semi")
+        if wanted.where("least is null").take(1):  # texts that only rows without a key have
+            texts = texts.union(rows.where("key is null"))
+        found = _mapped(texts, "members", shingle, seed).join(wanted.select("fp"), "fp", "left_semi")
+        return stored(found.select("fp", "values").dropDuplicates(["fp"]))
 
-    links = stored(_verified(tried, sets, similarity))
+    links = stored(_verified(tried, sets_of(tried), similarity))
     roots = stored(connected(links, keep=stored))
-    labelled = placed.join(roots.select(F.col("node").alias("fp"), F.col("root").alias("label")), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    labelled = stored(labelled)
+    labelled = stored(placed.join(roots.select(F.col("node").alias("fp"), F.col("root").alias("label")), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
     apart = labelled.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket")
-    left = labelled.join(apart, "bucket", "left_semi")
-    pairs = by_bucket(left).mapInArrow(_pairs(True, similarity, most_bits), "u long, v long").distinct()
-    more = stored(_verified(pairs.join(tried, ["u", "v"], "left_anti"), sets, similarity))
+    pairs = by_bucket(labelled.join(apart, "bucket", "left_semi")).mapInArrow(_pairs(True, similarity, most_bits), "u long, v long").distinct()
+    pairs = stored(pairs.join(tried, ["u", "v"], "left_anti"))
+    more = stored(_verified(pairs, sets_of(pairs), similarity))
     if more.take(1):
         roots = stored(connected(links.union(more), keep=stored))
     return in_groups(own.select("key", "fp"), nodes, roots).withColumnRenamed("key", key)
