@@ -19,12 +19,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that their source repeats on more than a tenth of its pages."""
-    return line_dedup.deduplicated(docs).select(*docs.columns)
+    """All documents, without the lines that their source repeats on more than one in a hundred of its different texts, five at least.
+
+    A document that would lose more than half of its lines stays whole: it is a copy, which the next stage sees to.
+    """
+    return line_dedup.deduplicated(docs, min_pages=5, count_texts=True, most_dropped=0.5).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with a Jaccard similarity of 0.8 or more over five words, that with the smallest doc_id."""
+    """One document of each group with a Jaccard similarity of 0.8 or more over five words, that with the smallest doc_id; candidates by SimHash."""
     return simhash.one_of_each(docs, near_copies.near_duplicates(docs), near_copies.set_hash)
 
 
