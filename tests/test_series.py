@@ -8,7 +8,8 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tidewright.operators import fill, reshape, series, stl
+from tidewright.functions.scalars import two_sided_p
+from tidewright.operators import fill, reshape, series, stl, trend_tests
 
 
 def months(values, start=1995):
@@ -165,3 +166,40 @@ def test_wide_round_trip(spark):
 def test_analysis_names(spark):
     with pytest.raises(ValueError, match="none of"):
         series.analyse(None, "no such", 2)
+
+
+def test_tail_is_exact(spark):
+    z = [0.0, 0.1, 1.224744871391589, -1.959963984540054, 5.0, 7.07, 7.08, 12.0, 37.0]
+    got = spark.createDataFrame([(k, x) for k, x in enumerate(z)], "k int, z double").select("k", two_sided_p("z").alias("p")).collect()
+    for r in got:
+        assert r["p"] == pytest.approx(math.erfc(abs(z[r["k"]]) / math.sqrt(2)), rel=1e-7 if abs(z[r["k"]]) > 7 else 1e-12)
+
+
+def test_numpy_tests_are_the_columns_tests(spark):
+    draw = np.random.default_rng(5)
+    rows = {k: draw.normal(size=20).round(1) + 0.05 * k * np.arange(20) for k in range(6)} | {7: np.ones(9), 8: np.arange(12.0)}
+    yearly = yearly_rows(spark, rows)
+    mk = {r["id"]: r for r in series.mann_kendall(yearly, "v").collect()}
+    cp = {r["id"]: r for r in series.pettitt(yearly, "v").collect()}
+    for k, x in rows.items():
+        s, slope, z, p, trend = trend_tests.mann_kendall(np.asarray(x, float))
+        assert (s, trend) == (mk[k]["s"], mk[k]["trend"]) and slope == pytest.approx(mk[k]["slope"])
+        assert z == (None if mk[k]["z"] is None else pytest.approx(mk[k]["z"])) and p == (None if mk[k]["p"] is None else pytest.approx(mk[k]["p"]))
+        u, at, p = trend_tests.pettitt(np.asarray(x, float))
+        assert (u, at) == (cp[k]["k"], cp[k]["cp"]) and p == pytest.approx(cp[k]["p"])
+
+
+def test_trend_statistics_in_one_pass(spark):
+    draw = np.random.default_rng(6)
+    y = 10 + 0.2 * np.arange(60) + 3 * np.sin(np.arange(60) * 2 * np.pi / 13) + draw.normal(size=60)
+    r = {r["id"]: r for r in stl.trend_statistics(frame(spark, {1: y, 2: [None, *y[1:]], 3: y[:10]})).collect()}
+    trend, seasonal, _ = stl.decompose(y)
+    assert r[1]["trend_per_period"] == pytest.approx(np.polyfit(np.arange(60), trend, 1)[0] * 13) and r[1]["trend_std"] == pytest.approx(trend.std())
+    assert (r[1]["mk_s"], r[1]["mk_trend"]) == (trend_tests.mann_kendall(trend)[0], "increasing") and r[1]["cp"] == trend_tests.pettitt(trend)[1]
+    assert r[2]["trend_per_period"] is None and r[3]["mk_p"] is None
+
+
+def test_names_of_single_statistics(spark):
+    df = series.with_year(frame(spark, {1: [*range(1, 13), *range(2, 26, 2)]}), "1995-01-01")
+    assert set(series.SINGLE) == set(series.statistics(df, 2).columns) - {"id"}
+    assert series.analyse(df, "trend_of_std", 2).first()["trend_of_std"] == pytest.approx(3.452053, abs=1e-6)

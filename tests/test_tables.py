@@ -69,7 +69,11 @@ def test_upsert(spark):
     old = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "k int, s string, v double")
     new = spark.createDataFrame([(2, None, 5.0, "x"), (3, "c", None, "y")], "k int, s string, v double, extra string")
     assert sorted(map(tuple, records.upserted(old, new, "k").collect())) == [(1, "a", 1.0, None), (2, "b", 5.0, "x"), (3, "c", None, "y")]
-    assert records.upserted(None, new, "k") is new
+    assert sorted(map(tuple, records.upserted(None, new, "k").collect())) == sorted(map(tuple, new.collect()))
+    again = new.union(spark.createDataFrame([(2, "z", 4.0, "a")], new.schema))
+    assert sorted(map(tuple, records.upserted(old, again, "k").collect())) == [(1, "a", 1.0, None), (2, "z", 5.0, "x"), (3, "c", None, "y")]
+    over = spark.createDataFrame([(1, 7.0), (1, 9.0), (2, None)], "k int, v double")
+    assert sorted(map(tuple, records.overwritten(old, over, "k", ["v"]).collect())) == [(1, "a", 9.0), (2, "b", 2.0)]
     assert records.looked_up(old, "k", 2, ["v"])["v"] == 2.0 and records.looked_up(old, "k", 9, ["v"]) is None
     assert [r["k"] for r in records.discovered(new, old, "k").collect()] == [3]
 
@@ -89,6 +93,14 @@ def test_wide_csv(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [(5, datetime.date(2001, 1, 1), 1.0), (5, datetime.date(2001, 2, 1), None)]
 
 
+def test_wide_csvs_of_other_column_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,"name, long",2001-01-01,2001-02-01\n5,"x, y",1.0,2.0\n')
+    (tmp_path / "b.csv").write_text("2001-02-01,id\n4.0,6\n")
+    got = readers.wide_csv(spark, str(tmp_path), "id", ["2001-01-01", "2001-02-01"])
+    d = datetime.date
+    assert sorted(map(tuple, got.collect()), key=str) == [(5, d(2001, 1, 1), 1.0), (5, d(2001, 2, 1), 2.0), (6, d(2001, 1, 1), None), (6, d(2001, 2, 1), 4.0)]
+
+
 def test_level_file_and_side_files(spark, tmp_path):
     head = ["header"] * 49
     head.insert(10, "Latitude and longitude 10.5 200.25")

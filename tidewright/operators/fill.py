@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from . import trend_tests
 
 
 def _by(key: str, at: str = "period"):
@@ -38,20 +40,20 @@ def interpolated(df: DataFrame, key: str = "id", value: str = "value", at: str =
 def outlier_factors(df: DataFrame, key: str = "id", value: str = "value", at: str = "period", k: int = 12, stretch: float = 5.0) -> DataFrame:
     """df with lof: local outlier factors of (time * stretch, value), both scaled to [0, 1] within the entity.
 
-    Neighbours are the k nearest other points, ties (to 9 digits) by time. Pairs are joined within one entity, so their number is its length squared.
+    Neighbours are the k nearest other points, ties (to 9 digits) by time. Spark deals the entities; one series is held at
+    a time, with its distances: its number of periods squared. Nulls have none; a constant series has nulls.
     """
-    all_ = Window.partitionBy(key)
-    rows = df.withColumn("__i", F.row_number().over(_by(key, at)))
-    n, low, high = F.count(F.lit(1)).over(all_), F.min(value).over(all_), F.max(value).over(all_)
-    scaled = rows.select(key, F.col("__i").alias("i"), (stretch * F.try_divide(F.col("__i") - 1, n - 1)).alias("x"), F.try_divide(F.col(value) - low, high - low).alias("y"))
-    other = scaled.select(key, F.col("i").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    pairs = scaled.join(other, key).where("i != j").select(key, "i", "j", F.sqrt(F.pow(F.col("x") - F.col("x2"), F.lit(2)) + F.pow(F.col("y") - F.col("y2"), F.lit(2))).alias("d"))
-    near = pairs.withColumn("r", F.row_number().over(Window.partitionBy(key, "i").orderBy(F.round("d", 9), "j"))).where(F.col("r") <= k)
-    reach = near.groupBy(key, "i").agg(F.max("d").alias("kd"))
-    lrd = near.join(reach.select(key, F.col("i").alias("j"), "kd"), [key, "j"]).groupBy(key, "i").agg((1 / (F.avg(F.greatest("d", "kd")) + 1e-10)).alias("lrd"))
-    lof = near.join(lrd.select(key, F.col("i").alias("j"), F.col("lrd").alias("l")), [key, "j"]).groupBy(key, "i").agg(F.avg("l").alias("l"))
-    lof = lof.join(lrd, [key, "i"]).select(key, F.col("i").alias("__i"), (F.col("l") / F.col("lrd")).alias("lof"))
-    return rows.join(lof, [key, "__i"], "left").drop("__i")
+    schema = T.StructType([*(f for f in df.schema if f.name != "lof"), T.StructField("lof", T.DoubleType())])
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        table = table.sort_by(at)
+        found = trend_tests.outlier_factors(table.column(value).to_numpy().astype(float), k, stretch)
+        return table.append_column("lof", pa.array(found, pa.float64(), mask=np.isnan(found)))
+
+    return df.drop("lof").groupBy(key).applyInArrow(run, schema)
 
 
 def _unusable(key: str, value: str) -> Column:
@@ -143,19 +145,20 @@ def cloud_ratios(cloudy: DataFrame, shapes: DataFrame, key: str = "id", area: st
 
 
 def smoothed(df: DataFrame, window: int, key: str = "id", value: str = "value", at: str = "period") -> DataFrame:
-    """(key, at, value, smoothed): the first points as they are, then the mean of the point and the previous smoothed ones."""
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(at, value))).alias("a"))
-    step = lambda acc, x: F.concat(
-        acc,
-        F.array(
-            F.when(F.size(acc) < window, x[value]).otherwise(
-                (F.aggregate(F.slice(acc, -window, window), F.lit(0.0), lambda s, y: s + y) + x[value]) / (window + 1)
-            )
-        ),
-    )
-    start = F.array().cast("array<double>")
-    done = rows.withColumn("s", F.when(F.size("a") > 0, F.aggregate(F.col("a"), start, step)))
-    return done.select(key, F.explode(F.arrays_zip("a", "s")).alias("z")).select(key, F.col(f"z.a.{at}").alias(at), F.col(f"z.a.{value}").alias(value), F.col("z.s").alias("smoothed"))
+    """(key, at, value, smoothed): the first points as they are, then the mean of the point and the previous smoothed ones. A null makes what follows from it null."""
+    schema = T.StructType([df.schema[key], df.schema[at], T.StructField(value, T.DoubleType()), T.StructField("smoothed", T.DoubleType())])
+
+    def run(table):
+        import pyarrow as pa
+
+        table = table.sort_by(at)
+        out: list[float | None] = []
+        for x in table.column(value).to_pylist():
+            past = out[-window:]
+            out.append(x if len(out) < window else None if x is None or None in past else (sum(past) + x) / (window + 1))
+        return table.append_column("smoothed", pa.array(out, pa.float64()))
+
+    return df.select(key, at, F.col(value).cast("double").alias(value)).groupBy(key).applyInArrow(run, schema)
 
 
 def anomaly(df: DataFrame, key: str = "id", value: str = "value", about: str = "mean", at: str = "period", weight: str = "n") -> DataFrame:
@@ -167,3 +170,8 @@ def anomaly(df: DataFrame, key: str = "id", value: str = "value", about: str = "
 
 def minus_annual_mean(df: DataFrame, key: str = "id", value: str = "value") -> DataFrame:
     return df.withColumn("anomaly", F.col(value) - F.avg(value).over(Window.partitionBy(key, "year_idx")))
+
+
+def yearly_to_months(yearly: DataFrame, months: DataFrame, value: str, key: str = "id") -> DataFrame:
+    """A yearly value (key, year_idx, value) repeated to the months of its year."""
+    return months.join(yearly.select(key, "year_idx", value), [key, "year_idx"], "left")

@@ -113,21 +113,21 @@ def window_positions(spark, height: int, width: int, window: int, overlap: int)
     return spark.range(nx * ny).select((F.floor(F.col("id") / nx) * step).cast("int").alias("yoff"), (F.col("id") % nx * step).cast("int").alias("xoff"))
 
 
-def windows(pixels: DataFrame, height: int, width: int, window: int, overlap: int, bands: Sequence[str]) -> DataFrame:
-    """Rows of pixels in every window they belong to, by arithmetic on their position: xoff, yoff, r, c and bands."""
+def windows(pixels: DataFrame, height: int, width: int, window: int, overlap: int, bands: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Rows of pixels in every window they belong to, by arithmetic on their position: xoff, yoff, r, c, bands, and by."""
     step = window - overlap
     first = lambda v: F.greatest(F.lit(0), F.ceil((F.col(v) - window + 1) / step)).cast("int")
     last = lambda v, n: F.least(F.lit((n - window) // step), F.floor(F.col(v) / step)).cast("int")
     each = lambda v, n: F.explode(F.when(first(v) <= last(v, n), F.sequence(first(v), last(v, n))).otherwise(F.array().cast("array<int>")))
     out = pixels.withColumn("yoff", each("row", height)).withColumn("xoff", each("col", width))
     out = out.withColumns({c: F.col(c) * step for c in ("yoff", "xoff")})
-    return out.select("xoff", "yoff", (F.col("row") - F.col("yoff")).alias("r"), (F.col("col") - F.col("xoff")).alias("c"), *bands)
+    return out.select("xoff", "yoff", (F.col("row") - F.col("yoff")).alias("r"), (F.col("col") - F.col("xoff")).alias("c"), *bands, *by)
 
 
-def patches(cells: DataFrame, band: str) -> DataFrame:
+def patches(cells: DataFrame, band: str, by: Sequence[str] = ()) -> DataFrame:
     """One row for each window with its band as an array of rows."""
-    lines = cells.groupBy("xoff", "yoff", "r").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", band))), lambda s: s[band]).alias("line"))
-    return lines.groupBy("xoff", "yoff").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "line"))), lambda s: s["line"]).alias(band))
+    lines = cells.groupBy(*by, "xoff", "yoff", "r").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", band))), lambda s: s[band]).alias("line"))
+    return lines.groupBy(*by, "xoff", "yoff").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "line"))), lambda s: s["line"]).alias(band))
 
 
 def reassembled(cells: DataFrame, lattice: DataFrame, band: str) -> DataFrame:
@@ -140,6 +140,12 @@ def valid_patches(p: DataFrame, band: str, limit: float = 99_999) -> DataFrame:
     return p.where(F.aggregate(F.flatten(band), F.lit(0.0), lambda s, x: s + x) < limit)
 
 
+def thinned(p: DataFrame, ratio: float, seed: int = 42) -> DataFrame:
+    """Patches kept with a ratio, by the hash of their place, so that the same ones are kept each time."""
+    place = F.pmod(F.xxhash64(*(c for c in p.columns if p.schema[c].dataType.typeName() not in ("array", "map", "struct")), F.lit(seed)), F.lit(1 << 32))
+    return p.where(place < int(ratio * (1 << 32)))
+
+
 def scored_patches(p: DataFrame, predict: Callable, band: str, scale: float = 1.0, threshold: float = 0.5, batch_size: int = 64) -> DataFrame:
     """patches with mask: predict(batch of arrays) > threshold. predict runs once for each Arrow batch in the tasks."""
     schema = p.withColumn("mask", F.lit(None).cast("array<array<int>>")).schema

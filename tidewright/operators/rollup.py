@@ -224,14 +224,18 @@ def bootstrap(df: DataFrame, by: str, measure: str, stat: str = "median", resamp
     return drawn.join(placed.select(by, "i", "v"), [by, "i"]).groupBy(by, "resample").agg(STATS[stat]("v").alias("value"))
 
 
-def bootstrap_ks(df: DataFrame, by: str, a: str, b: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
-    """(by, d, p): Kolmogorov-Smirnov distance of a and b, and the share of pooled resamples that reach it."""
+def bootstrap_ks(df: DataFrame, by: str, a: str, b: str, resamples: int = 1000, seed: int = 42, side: str = "both") -> DataFrame:
+    """(by, d, p): Kolmogorov-Smirnov distance of a and b, and the share of pooled resamples that reach it.
+
+    side: both, or above (a's share up to a value exceeds b's) or below alone.
+    """
+    signed = {"both": F.abs, "above": lambda x: x, "below": lambda x: -x}[side]
     pooled = df.select(by, F.explode(F.array(F.struct(F.lit(1).alias("__g"), F.col(a).alias("v")), F.struct(F.lit(0).alias("__g"), F.col(b).alias("v")))).alias("z")).select(by, "z.__g", "z.v").where("v is not null")
 
     def distance(rows: DataFrame, keys: list[str]) -> DataFrame:
         steps = rows.groupBy(*keys, "v").agg(F.sum("__g").alias("x"), F.sum(1 - F.col("__g")).alias("y"))
         upto, whole = Window.partitionBy(*keys).orderBy("v"), Window.partitionBy(*keys)
-        gap = F.abs(F.sum("x").over(upto) / F.sum("x").over(whole) - F.sum("y").over(upto) / F.sum("y").over(whole))
+        gap = signed(F.sum("x").over(upto) / F.sum("x").over(whole) - F.sum("y").over(upto) / F.sum("y").over(whole))
         return steps.withColumn("gap", gap).groupBy(*keys).agg(F.max("gap").alias("d"))
 
     w = Window.partitionBy(by)

@@ -187,6 +187,22 @@ def low_deviations(flags: DataFrame, period: tuple[int, int], key: str = "id") -
     return flags.groupBy(key).agg(F.avg(d).alias("mean_deviation"), F.max(d).alias("max_deviation"), F.min(d).alias("min_deviation"))
 
 
+def _over(column: Column | str, by: str) -> Callable[[DataFrame], DataFrame]:
+    """The yearly table with a column over the entity's overall mean, as `x`."""
+    overall = lambda df: F.try_divide(F.sum("total").over(Window.partitionBy(by)), F.sum("n").over(Window.partitionBy(by)))
+    return lambda df: df.withColumn("x", F.try_divide(F.col(column) if isinstance(column, str) else column, overall(df)))
+
+
+#: Statistics that `analyse` also gives one at a time, under their column's name.
+SINGLE = (
+    "mean_value", "trend_per_period", "mean_annual_std", "mean_annual_std_percentage", "mean_annual_first_difference", "mean_annual_first_difference_percentage", "mean_apportion_entropy",
+    "trend_of_std", "trend_of_std_share", "trend_of_annual_mean", "trend_of_annual_mean_share", "trend_of_first_difference", "trend_of_first_difference_share", "trend_of_entropy",
+    "difference_in_annual_mean_std", "difference_in_entropy", "difference_in_annual_std", "relative_difference_in_annual_std", "difference_in_first_difference_std",
+    "relative_difference_in_first_difference_std", "difference_in_monthly_change", "std_percentage_of_first", "std_percentage_of_second", "first_difference_percentage_of_first",
+    "first_difference_percentage_of_second", "mean_percentage_of_first", "mean_percentage_of_second", "annual_means_std",
+)
+
+
 #: Analyses by name, each a function of the months and the number of years.
 ANALYSES: dict[str, Callable[[DataFrame, int], DataFrame]] = {
     "statistics": lambda df, years: statistics(df, years),
@@ -195,6 +211,8 @@ ANALYSES: dict[str, Callable[[DataFrame, int], DataFrame]] = {
     "mk_of_std": lambda df, years: mann_kendall(yearly(df), "std", alpha=0.1),
     "mk_of_first_difference": lambda df, years: mann_kendall(yearly(df), F.abs("change"), alpha=0.1),
     "mk_of_entropy": lambda df, years: mann_kendall(yearly(df), "entropy", alpha=0.1),
+    "mk_of_std_percentage": lambda df, years: mann_kendall(_over("std", "id")(yearly(df)), "x", alpha=0.1),
+    "mk_of_first_difference_percentage": lambda df, years: mann_kendall(_over(F.abs("change"), "id")(yearly(df)), "x", alpha=0.1),
     "pettitt_of_annual_mean": lambda df, years: pettitt(yearly(df), "mean"),
     "pettitt_of_std": lambda df, years: pettitt(yearly(df), "std"),
     "pettitt_of_first_difference": lambda df, years: pettitt(yearly(df).withColumn("first_difference", F.abs("change")), "first_difference"),
@@ -202,6 +220,9 @@ ANALYSES: dict[str, Callable[[DataFrame, int], DataFrame]] = {
 
 
 def analyse(df: DataFrame, name: str, years: int) -> DataFrame:
+    """An analysis of ANALYSES, or one statistic of SINGLE."""
+    if name in SINGLE:
+        return statistics(df, years).select("id", name)
     if name not in ANALYSES:
-        raise ValueError(f"{name!r} is none of {sorted(ANALYSES)}")
+        raise ValueError(f"{name!r} is none of {sorted([*ANALYSES, *SINGLE])}")
     return ANALYSES[name](df, years)

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .trend_tests import mann_kendall, pettitt
+
 
 @functools.lru_cache(maxsize=64)
 def _windows(n: int, span: int, first: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,15 +90,34 @@ def stl(df: DataFrame, key: str = "id", value: str = "value", at: str = "period"
     return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in (value, "trend", "seasonal", "resid")})
 
 
-def trend_statistics(parts: DataFrame, key: str = "id", at: str = "period", period: int = 13) -> DataFrame:
-    """Slope of the trend per period and in percent, its deviation, and the slope of the yearly seasonal range."""
-    from pyspark.sql import Window
-
-    rows = parts.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy(at)) - 1)
-    whole = rows.groupBy(key).agg(
-        (F.regr_slope("trend", "i") * period).alias("trend_per_period"),
-        (F.try_divide(F.regr_slope("trend", "i"), F.avg("trend")) * 100).alias("trend_percentage"),
-        F.stddev_pop("trend").alias("trend_std"),
-    )
-    ranges = rows.groupBy(key, F.floor(F.col("i") / period).alias("year")).agg((F.max("seasonal") - F.min("seasonal")).alias("range"))
-    return whole.join(ranges.groupBy(key).agg(F.regr_slope("range", "year").alias("seasonal_range_slope"), F.avg("range").alias("mean_seasonal_range")), key)
+def trend_statistics(df: DataFrame, key: str = "id", value: str = "value", at: str = "period", period: int = 13, robust: bool = True, alpha: float = 0.05) -> DataFrame:
+    """Of each entity's trend: its slope per period and in percent, its deviation, Mann-Kendall and Pettitt tests; and the yearly seasonal range's slope and mean.
+
+    Decomposition and tests take one pass over an entity's series, which is bounded by its number of periods. cp counts from 0.
+    """
+    fields = ["trend_per_period", "trend_percentage", "trend_std", "seasonal_range_slope", "mean_seasonal_range", "mk_s", "mk_slope", "mk_z", "mk_p", "mk_trend", "pettitt_k", "cp", "pettitt_p"]
+    kinds = {"mk_trend": T.StringType(), "cp": T.IntegerType()}
+    schema = T.StructType([df.schema[key], *(T.StructField(f, kinds.get(f, T.DoubleType())) for f in fields)])
+
+    def slope(y: np.ndarray) -> float | None:
+        x = np.arange(len(y)) - (len(y) - 1) / 2
+        return float((x * y).sum() / (x * x).sum()) if len(y) > 1 else None
+
+    def run(keys, table):
+        import pyarrow as pa
+
+        table = table.sort_by(at)
+        y = table.column(value).to_numpy().astype(float)
+        row = dict.fromkeys(fields)
+        if len(y) >= 2 * period and np.isfinite(y).all():
+            trend, seasonal, _ = decompose(y, period, robust=robust)
+            rise, mean = slope(trend), trend.mean()
+            ranges = np.array([np.ptp(seasonal[k : k + period]) for k in range(0, len(y), period)])
+            row |= {"trend_per_period": rise * period, "trend_percentage": rise / mean * 100 if mean else None, "trend_std": float(trend.std()), "seasonal_range_slope": slope(ranges), "mean_seasonal_range": float(ranges.mean())}
+            row |= dict(zip(("mk_s", "mk_slope", "mk_z", "mk_p", "mk_trend"), mann_kendall(trend, alpha), strict=True))
+            row |= dict(zip(("pettitt_k", "cp", "pettitt_p"), pettitt(trend), strict=True))
+        arrays = [pa.array([keys[0].as_py()], table.schema.field(key).type)]
+        arrays += [pa.array([row[f]], pa.string() if f == "mk_trend" else pa.int32() if f == "cp" else pa.float64()) for f in fields]
+        return pa.table(arrays, names=[key, *fields])
+
+    return df.select(key, at, F.col(value).cast("double").alias(value)).groupBy(key).applyInArrow(run, schema)

@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import binned
+from .fill import anomaly
+from .records import upserted
+from .rollup import box_statistics, segmentation_metrics
+
 
 def _of(a: str, b: str) -> tuple[Column, Column]:
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
@@ -95,3 +100,32 @@ def within_observed(df: DataFrame, key: str, estimate: str, middle: str, low: st
         F.count(F.lit(1)).alias("n"), (F.avg(inside.cast("double")) * 100).alias("within"), (F.try_divide(F.sum(F.when(inside, F.col(count)).otherwise(0)), F.sum(count)) * 100).alias("weighted"),
         (F.avg(credit) * 100).alias("half"), rmse("__m", "__e").alias("rmse"), F.corr("__m", "__e").alias("pearson"),
     ).where(F.col("n") >= least)
+
+
+def compared_anomalies(df: DataFrame, true: str, pred: str, key: str = "id", at: str = "period", about: str = "mean", frozen: str | None = None) -> DataFrame:
+    """(key, n, rmse, spearman) of two level series as anomalies about their mean or first value; frozen months do not count."""
+    rows = df.where(F.col(true).isNotNull() & F.col(pred).isNotNull())
+    if frozen:
+        rows = rows.where(~F.coalesce(F.col(frozen), F.lit(False)))
+    for c in (true, pred):
+        rows = anomaly(rows.drop("anomaly"), key, c, about, at).drop(c).withColumnRenamed("anomaly", c)
+    found = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), rmse(true, pred).alias("rmse"))
+    return found.join(spearman(rows, true, pred, [key]), key)
+
+
+def by_class(found: DataFrame, sizes: DataFrame, key: str, size: str, bins: Sequence[float], labels: Sequence[str], measure: str) -> DataFrame:
+    """Quartiles and adjacent values of a metric within classes of the entities' size."""
+    rows = found.join(sizes.select(key, size), key).withColumn("class", binned(size, bins, labels))
+    return box_statistics(rows, ["class"], measure)
+
+
+def evaluated(records: DataFrame, scored: DataFrame, history: DataFrame, key: str, truth: str, soft: str, epoch: str) -> DataFrame:
+    """records with each model's test metrics and its history's values at the record's chosen epoch (counted from 0).
+
+    scored: (key, truth, soft), a row for each test pixel; history: (key, metric, epoch, value).
+    """
+    tests = segmentation_metrics(scored, [key], truth, soft)
+    tests = tests.withColumnsRenamed({c: f"test_{c}" for c in tests.columns if c != key})
+    chosen = records.select(key, F.col(epoch).alias("__epoch"))
+    at = history.join(chosen, key).where(F.col("epoch") == F.col("__epoch")).groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value")))).alias("history"))
+    return upserted(upserted(records, tests, key), at.select(key, F.to_json("history").alias("history")), key)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import records, reshape, rollup, series, stl, validate
-from ..operators.graph import settled
 from ..streaming import arrivals
 from . import Plans
 from .proxies import DENSE_SQL, END, MONTHS_SQL, POINTS_SQL, START, SUPPLIERS_SQL, YEARLY_SQL, YEARS, dense_months, months, points, suppliers, table
@@ -167,23 +166,27 @@ def bootstrap_ks_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rollup.bootstrap_ks(_entities(spark, sf_dir).withColumn("trend", F.col("trend") * 10 + 60), "zone", "std", "trend", 100))
 
 
+def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshape.dense(months(spark, sf_dir), "id", START, END).fillna(0.0, ["value"])
+
+
 @plans.add()
 def stl_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reshape.dense(months(spark, sf_dir), "id", START, END).fillna(0.0, ["value"])
-    return _rounded(stl.stl(rows))
+    return _rounded(stl.stl(_filled(spark, sf_dir)))
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settled(stl_decomposition(spark, sf_dir))
+@plans.add()
+def stl_trend_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trend slopes, deviations and seasonal ranges, with tests of the trend, in one pass over each entity."""
+    return _rounded(stl.trend_statistics(_filled(spark, sf_dir)))
 
 
 @plans.add()
-def stl_trend_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trend slopes, deviations and seasonal ranges, with tests of the trend, from one decomposition."""
-    parts = _parts(spark, sf_dir).withColumn("i", F.months_between("period", F.lit("1995-01-01").cast("date")).cast("int"))
-    mk = series.mann_kendall(parts, "trend", at="i").select("id", F.col("p").alias("mk_p"), F.col("trend").alias("mk_trend"))
-    change = series.pettitt(parts, "trend", at="i").select("id", F.col("p").alias("pettitt_p"), "cp")
-    return _rounded(stl.trend_statistics(parts).join(mk, "id").join(change, "id"))
+def trend_directions_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each entity's trend and deviation by size class and direction: counts and sums."""
+    stats = stl.trend_statistics(_filled(spark, sf_dir)).join(_entities(spark, sf_dir).select("id", "size", "std"), "id")
+    rows = _classed(stats).withColumn("direction", F.when(F.col("trend_per_period") >= 0, "Positive").otherwise("Negative"))
+    return _rounded(rows.groupBy("class", "direction").agg(F.count(F.lit(1)).alias("entities"), F.sum("trend_per_period").alias("trend_sum"), F.sum("std").alias("std_sum"), F.sum("mean_seasonal_range").alias("range_sum")))
 
 
 @plans.add()

@@ -113,6 +113,25 @@ def mann_kendall_of_first_difference(spark: SparkSession, sf_dir: str) -> DataFr
     return _rounded(series.analyse(dense_months(spark, sf_dir), "mk_of_first_difference", YEARS))
 
 
+_OVERALL = "(sum(total) OVER (PARTITION BY id) / sum(n) OVER (PARTITION BY id))"
+_SHARED = YEARLY_SQL + f", yo AS (SELECT *, std / nullif({_OVERALL}, 0) AS std_share, abs(change) / nullif({_OVERALL}, 0) AS change_share FROM y)"
+
+
+@plans.add(_mk_sql("std_share", 0.1, 1.6448536269514722).replace(YEARLY_SQL, _SHARED).replace("FROM y WHERE", "FROM yo WHERE"))
+def mann_kendall_of_std_percentage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(series.analyse(dense_months(spark, sf_dir), "mk_of_std_percentage", YEARS))
+
+
+@plans.add(_mk_sql("change_share", 0.1, 1.6448536269514722).replace(YEARLY_SQL, _SHARED).replace("FROM y WHERE", "FROM yo WHERE"))
+def mann_kendall_of_first_difference_percentage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(series.analyse(dense_months(spark, sf_dir), "mk_of_first_difference_percentage", YEARS))
+
+
+@plans.add(f"WITH {YEARLY_SQL} SELECT id, round({_STATS['trend_of_std']}, 6) + 0.0 AS trend_of_std FROM y GROUP BY id")
+def named_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(series.analyse(dense_months(spark, sf_dir), "trend_of_std", YEARS))
+
+
 @plans.add(_mk_sql("entropy", 0.1, 1.6448536269514722))
 def mann_kendall_of_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(series.analyse(dense_months(spark, sf_dir), "mk_of_entropy", YEARS))
@@ -274,7 +293,10 @@ def ice_ratio_with_climatology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(fill.extended_by_climatology(fill.monthly_ice_ratio(_ice_days(spark, sf_dir)), "id", "2003-01-01"))
 
 
-@plans.add()
+@plans.add(f"""WITH RECURSIVE {MONTHS_SQL}, n AS (SELECT id, period, value, row_number() OVER (PARTITION BY id ORDER BY period) AS i FROM m),
+r AS (SELECT id, period, value, i, value AS smoothed, [value] AS past FROM n WHERE i = 1
+  UNION ALL SELECT n.id, n.period, n.value, n.i, CASE WHEN n.i <= 3 THEN n.value ELSE (list_sum(past) + n.value) / 4 END, list_append(past, CASE WHEN n.i <= 3 THEN n.value ELSE (list_sum(past) + n.value) / 4 END)[-3:] FROM r JOIN n ON n.id = r.id AND n.i = r.i + 1)
+SELECT id, period, round(value, 6) AS value, round(smoothed, 6) AS smoothed FROM r""")
 def recursive_moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(fill.smoothed(months(spark, sf_dir), 3))
 

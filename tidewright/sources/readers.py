@@ -19,11 +19,16 @@ SENTINELS = (99999999.0, 999.99, 9999.99)
 def wide_csv(spark: SparkSession, path: str, key: str, periods: Sequence[str], value: str = "value") -> DataFrame:
     """A wide entity-month table as long rows; other columns are not read."""
     schema = T.StructType([T.StructField(key, T.LongType()), *(T.StructField(p, T.DoubleType()) for p in periods)])
-    header = spark.read.text(path).first()
-    names = header[0].split(",") if header else []
-    full = T.StructType([schema[n] if n in schema.names else T.StructField(n, T.StringType()) for n in names])
-    df = spark.read.csv(path, header=True, schema=full, nanValue="nan")
-    return to_long(df.select(key, *periods), key, periods, value)
+    # Each file's own header names its columns, whatever their order and quotes; a part without a column has nulls there.
+    files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").toLocalIterator()]
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for f in files:
+        groups.setdefault(tuple(spark.read.csv(f, header=True).columns), []).append(f)
+    out = spark.createDataFrame([], schema)
+    for names, own in groups.items():
+        full = T.StructType([schema[n] if n in schema.names else T.StructField(n, T.StringType()) for n in names])
+        out = out.unionByName(spark.read.csv(own, header=True, schema=full, nanValue="nan").select(*(n for n in names if n in schema.names)), allowMissingColumns=True)
+    return to_long(out.select(key, *periods), key, periods, value)
 
 
 def monthly_csvs(spark: SparkSession, path: str, key: str = "id", value: str = "area") -> DataFrame:
@@ -68,6 +73,14 @@ def history_json(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.explode(parsed).alias("metric", "values")).select("metric", F.posexplode("values").alias("epoch", "value"))
 
 
+def patch_positions(spark: SparkSession, path: str) -> DataFrame:
+    """(raster, number, xoff, yoff) of a file that maps raster names to lists of patch positions, numbered from 0."""
+    df = spark.read.text(path, wholetext=True)
+    parsed = F.from_json("value", "map<string,array<array<int>>>")
+    rows = df.select(F.explode(parsed).alias("raster", "places")).select("raster", F.posexplode("places").alias("number", "place"))
+    return rows.select("raster", "number", F.col("place")[0].alias("xoff"), F.col("place")[1].alias("yoff"))
+
+
 def parts(*tables: DataFrame) -> DataFrame:
     """The rows of all parts; a missing column is null."""
     out = tables[0]

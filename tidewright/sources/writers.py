@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -29,3 +30,28 @@ def by_basin(df: DataFrame, path: str, basin: str) -> None:
 def exported(df: DataFrame, names: Mapping[str, str], drop: Sequence[str] = ("rings",)) -> DataFrame:
     """Chosen columns under new names, without geometry."""
     return df.select(*(F.col(a).alias(b) for a, b in names.items() if a not in drop))
+
+
+def named_files(df: DataFrame, path: str, name: str, line: str, order: str, head: str | None = None) -> DataFrame:
+    """One text file for each name, of its lines in order behind an optional head (a column that is equal within a name).
+
+    Files are written by tasks under a folder that driver and executors share, each at once, so a repeated task does no
+    harm. A name's lines are held together, which suits small files. Returns (name, lines).
+    """
+
+    def run(keys, table):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        table = table.sort_by(order)
+        system, root = fs.FileSystem.from_uri(path)
+        lines = ([table.column(head)[0].as_py()] if head else []) + table.column(line).to_pylist()
+        system.create_dir(root, recursive=True)
+        to = f"{root}/{keys[0].as_py()}"
+        own = f"{root}/.{uuid.uuid4().hex}"
+        with system.open_output_stream(own) as f:
+            f.write(("\n".join(lines) + "\n").encode())
+        system.move(own, to)
+        return pa.table({"name": [keys[0].as_py()], "lines": pa.array([table.num_rows], pa.int64())})
+
+    return df.groupBy(name).applyInArrow(run, "name string, lines long")
