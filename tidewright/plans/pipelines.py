@@ -11,7 +11,7 @@ from ..operators import fill, raster, rollup, series, spatial, validate
 from ..operators.graph import settled
 from . import Plans
 from .proxies import BOXES_SQL, DENSE_SQL, MONTHS_SQL, PIXELS_SQL, POINTS_SQL, SUPPLIERS_SQL, YEARLY_SQL, YEARS, boxes, dense_months, months, pixels, points, suppliers
-from .series_plans import _LINEAR_SQL, _rounded
+from .series_plans import _CARRIED, _EVEN, _LINEAR_SQL, _STATS, _mk_sql, _pettitt_sql, _rounded
 from .spatial_plans import GT, _PZ, _zones
 
 plans = Plans()
@@ -29,7 +29,23 @@ def analysed(rows: DataFrame, years: int, cloud: float, ice: float) -> DataFrame
     return rollup.expanded(out, series.analyse(ready, "pettitt_of_annual_mean", years), "id", "pettitt")
 
 
-@plans.add()
+_READY = (
+    DENSE_SQL.replace("\nd AS (", "\nd0 AS (")
+    + f""", ev AS (SELECT *, {_EVEN} AS even FROM d0), x AS (SELECT *, CASE WHEN even OR NOT coalesce(cloud > 0.5, false) THEN value END AS v FROM ev), {_LINEAR_SQL},
+oz AS (SELECT * REPLACE (coalesce(ice > 0.65, false) AS masked), CASE WHEN NOT coalesce(ice > 0.65, false) THEN CASE WHEN even THEN value ELSE filled END END AS kept FROM o),
+d AS (SELECT id, period, masked, month_idx, year_idx, position, {_CARRIED('kept')} AS value FROM oz)"""
+    + YEARLY_SQL[len(DENSE_SQL) :]
+)
+_INNER = lambda sql: "WITH " + sql[sql.index(YEARLY_SQL) + len(YEARLY_SQL) :].lstrip(",\n")
+_TESTED = {"mk": (_mk_sql("mean", 0.05, 1.959963984540054), ("s", "slope", "z", "p", "trend")), "pettitt": (_pettitt_sql("mean"), ("k", "cp", "p"))}
+
+
+@plans.add(
+    f"WITH {_READY}, st AS (SELECT id, " + ", ".join(f"{v} AS {k}" for k, v in _STATS.items()) + " FROM y GROUP BY id), wh AS (SELECT id, CASE WHEN count(value) = count(*) THEN avg(value) END AS mean_value, CASE WHEN count(value) = count(*) THEN regr_slope(value, month_idx) * 13 END AS trend_per_period FROM d GROUP BY id) SELECT st.id, "
+    + ", ".join(f"round({k}, 6) + 0.0 AS {k}" for k in ("mean_value", "trend_per_period", *_STATS))
+    + "".join(f", {t}.{c} AS {t}_{c}" for t, (_, cs) in _TESTED.items() for c in cs) + "".join(f", {t}.p < 0.05 AS {t}_significant" for t in _TESTED)
+    + " FROM st JOIN wh USING (id)" + "".join(f" LEFT JOIN ({_INNER(sql)}) {t} ON {t}.id = st.id" for t, (sql, _) in _TESTED.items())
+)
 def area_table_analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(analysed(dense_months(spark, sf_dir), YEARS, 0.5, 0.65))
 

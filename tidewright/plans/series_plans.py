@@ -246,7 +246,7 @@ def freeze_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LOF_SQL = """sc AS (SELECT id, period, row_number() OVER w AS i, 5.0 * (row_number() OVER w - 1) / (count(*) OVER (PARTITION BY id) - 1) AS x, (val - min(val) OVER (PARTITION BY id)) / nullif(max(val) OVER (PARTITION BY id) - min(val) OVER (PARTITION BY id), 0) AS yy FROM src WINDOW w AS (PARTITION BY id ORDER BY period)),
-pr AS (SELECT a.id, a.i, b.i AS j, sqrt(pow(a.x - b.x, 2) + pow(a.yy - b.yy, 2)) AS dd FROM sc a JOIN sc b ON a.id = b.id AND a.i <> b.i),
+pr AS (SELECT a.id, a.i, b.i AS j, sqrt(pow(a.x - b.x, 2) + pow(a.yy - b.yy, 2)) AS dd FROM sc a JOIN sc b ON a.id = b.id AND a.i <> b.i AND a.yy IS NOT NULL AND b.yy IS NOT NULL),
 ne AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY id, i ORDER BY round(dd, 9), j) <= 12),
 kd AS (SELECT id, i, max(dd) AS kd FROM ne GROUP BY 1, 2),
 lr AS (SELECT ne.id, ne.i, 1 / (avg(greatest(dd, kd)) + 1e-10) AS lrd FROM ne JOIN kd ON kd.id = ne.id AND kd.i = ne.j GROUP BY 1, 2),
@@ -260,15 +260,27 @@ def local_outlier_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "period", F.round("lof", 5).alias("lof"), (F.col("lof") > 1.5).alias("outlier"))
 
 
-@plans.add()
+_CARRIED = lambda v: f"coalesce(last_value({v} IGNORE NULLS) OVER (PARTITION BY id ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value({v} IGNORE NULLS) OVER (PARTITION BY id ORDER BY period ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
+_EVEN = "coalesce(min(value) OVER (PARTITION BY id) = max(value) OVER (PARTITION BY id), false)"
+
+
+@plans.add(f"""WITH {DENSE_SQL}, ca AS (SELECT * REPLACE ({_CARRIED('value')} AS value) FROM d), ev AS (SELECT *, {_EVEN} AS even FROM ca), src AS (SELECT id, period, value AS val FROM ca), {_LOF_SQL},
+x AS (SELECT ev.*, CASE WHEN even OR NOT coalesce(cloud > 0.5 OR (lof > 1.5 AND cloud > 0.1), false) THEN value END AS v FROM ev LEFT JOIN lf USING (id, period)), {_LINEAR_SQL}
+SELECT id, period, round(CASE WHEN even THEN value ELSE filled END, 6) AS value FROM o""")
 def cloud_masked_with_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(fill.cloud_masked(fill.carried(dense_months(spark, sf_dir)), threshold=0.5, outliers=True, outlier_ratio=0.1).select("id", "period", "value"))
 
 
-@plans.add()
+@plans.add(f"""WITH {DENSE_SQL}, ca AS (SELECT * REPLACE ({_CARRIED('value')} AS value) FROM d), fr AS (SELECT *, {_EVEN} AS even, coalesce(ice > 0.65, false) AS frozen FROM ca),
+md AS (SELECT id, year_idx, quantile_cont(value, 0.5) FILTER (NOT frozen) AS middle FROM fr GROUP BY 1, 2),
+se AS (SELECT fr.*, CASE WHEN frozen THEN middle ELSE value END AS seen, row_number() OVER (PARTITION BY id, year_idx, frozen ORDER BY period) AS a, row_number() OVER (PARTITION BY id, year_idx, frozen ORDER BY period DESC) AS z, count(*) FILTER (NOT frozen) OVER (PARTITION BY id, year_idx) AS open FROM fr JOIN md USING (id, year_idx)),
+src AS (SELECT id, period, seen AS val FROM se), {_LOF_SQL},
+mk AS (SELECT se.*, NOT even AND (frozen OR coalesce(lof > 1.5 AND NOT frozen AND (a = 1 OR z = 1 OR (open > 2 AND (a = 2 OR z = 2))), false)) AS mask FROM se LEFT JOIN lf USING (id, period)),
+vv AS (SELECT *, CASE WHEN NOT mask THEN value END AS v FROM mk)
+SELECT id, period, round({_CARRIED('v')}, 6) AS value, mask AS masked FROM vv""")
 def freeze_masked_with_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fill.carried(dense_months(spark, sf_dir).drop("masked"))
-    return fill.freeze_masked_with_outliers(rows, threshold=0.65).select("id", "period", "value", "masked")
+    return _rounded(fill.freeze_masked_with_outliers(rows, threshold=0.65).select("id", "period", "value", "masked"))
 
 
 _DAYS = """dy AS (SELECT l_suppkey AS id, l_shipdate::DATE AS day, quantile_cont(l_quantity - 25, 0.5) AS h FROM lineitem GROUP BY 1, 2),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +76,12 @@ def largest_intersecting_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spatial.largest_match(pairs, "box", "area", "other"), 9)
 
 
-@plans.add()
+_HOLDS = "(CASE WHEN o.diamond THEN abs({x} - (o.x1 + o.x2) / 2) / ((o.x2 - o.x1) / 2) + abs({y} - (o.y1 + o.y2) / 2) / ((o.y2 - o.y1) / 2) <= 1 ELSE {x} BETWEEN o.x1 AND o.x2 AND {y} BETWEEN o.y1 AND o.y2 END)"
+_SHAPES = f"""sh AS (SELECT box AS id, false AS diamond, * EXCLUDE (box), [x1, x2, x2, x1] AS vx, [y1, y1, y2, y2] AS vy FROM b UNION ALL SELECT box + 100, true, * EXCLUDE (box), [(x1 + x2) / 2, x2, (x1 + x2) / 2, x1], [y1, (y1 + y2) / 2, y2, (y1 + y2) / 2] FROM b),
+wi AS (SELECT s.id, o.id AS other, {' AND '.join(_HOLDS.format(x=f's.vx[{k}]', y=f's.vy[{k}]') for k in range(1, 5))} AS within, {_HOLDS.format(x='((s.x1 + s.x2) / 2)', y='((s.y1 + s.y2) / 2)')} AS held FROM sh s JOIN sh o ON s.id <> o.id)"""
+
+
+@plans.add(f"WITH {_PB}, {_SHAPES} SELECT id FROM sh WHERE id NOT IN (SELECT a.id FROM wi a JOIN wi c ON c.id = a.other AND c.other = a.id WHERE (a.within AND NOT (c.within AND a.other > a.id)) OR (a.held AND a.other < a.id))")
 def outermost_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes and their diamonds: the diamonds lie within."""
     s = _shapes(spark, sf_dir).select(F.col("box").alias("id"), "rings")
@@ -128,7 +135,28 @@ def antimeridian_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rows.select("id", F.size("parts").alias("parts"), each.alias("area")), 6)
 
 
-@plans.add()
+def _projected_sql() -> str:
+    """Both projections about 0 and 30 degrees, with standard parallels at 20 and 40."""
+    e2 = g.FLATTENING * (2 - g.FLATTENING)
+    e = math.sqrt(e2)
+    q = lambda s: f"({1 - e2!r} * (({s}) / (1 - {e2!r} * ({s}) * ({s})) - {1 / (2 * e)!r} * ln((1 - {e!r} * ({s})) / (1 + {e!r} * ({s})))))"
+    qn = lambda s: (1 - e2) * (s / (1 - e2 * s * s) - 1 / (2 * e) * math.log((1 - e * s) / (1 + e * s)))
+    lat0 = math.radians(30)
+    qp, b0 = qn(1.0), math.asin(qn(math.sin(lat0)) / qn(1.0))
+    rq = g.SEMI_MAJOR * math.sqrt(qp / 2)
+    d = g.SEMI_MAJOR * math.cos(lat0) / math.sqrt(1 - e2 * math.sin(lat0) ** 2) / (rq * math.cos(b0))
+    m = lambda p: math.cos(p) / math.sqrt(1 - e2 * math.sin(p) ** 2)
+    t = lambda p: math.tan(math.pi / 4 - p / 2) / ((1 - e * math.sin(p)) / (1 + e * math.sin(p))) ** (e / 2)
+    p1, p2 = math.radians(20), math.radians(40)
+    n = (math.log(m(p1)) - math.log(m(p2))) / (math.log(t(p1)) - math.log(t(p2)))
+    f = m(p1) / (n * t(p1) ** n)
+    rho0 = g.SEMI_MAJOR * f * t(lat0) ** n
+    return f"""WITH {POINTS_SQL}, r AS (SELECT id, radians(x * 50) AS lon, radians(y * 50 + 30) AS lat FROM p), s AS (SELECT *, asin({q('sin(lat)')} / {qp!r}) AS b FROM r),
+k AS (SELECT *, {rq!r} * sqrt(2 / (1 + {math.sin(b0)!r} * sin(b) + {math.cos(b0)!r} * cos(b) * cos(lon))) AS bb, {g.SEMI_MAJOR * f!r} * pow(tan({math.pi / 4!r} - lat / 2) / pow((1 - {e!r} * sin(lat)) / (1 + {e!r} * sin(lat)), {e / 2!r}), {n!r}) AS rho FROM s)
+SELECT id, round(bb * {d!r} * cos(b) * sin(lon), 3) + 0.0 AS ax, round(bb / {d!r} * ({math.cos(b0)!r} * sin(b) - {math.sin(b0)!r} * cos(b) * cos(lon)), 3) + 0.0 AS ay, round(rho * sin({n!r} * lon), 3) + 0.0 AS cx, round({rho0!r} - rho * cos({n!r} * lon), 3) + 0.0 AS cy FROM k"""
+
+
+@plans.add(_projected_sql())
 def points_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal-area and conformal coordinates in metres of points read as degrees."""
     p = points(spark, sf_dir).select("id", (F.col("x") * 50).alias("lon"), (F.col("y") * 50 + 30).alias("lat"))
