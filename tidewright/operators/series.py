@@ -131,7 +131,7 @@ def mann_kendall(rows: DataFrame, value: Column | str, key: str = "id", at: str
     corr = corr.withColumn("c", F.try_divide("c", "power")).where(F.abs("c") >= bound / F.sqrt("n"))
     extra = corr.groupBy(key).agg(F.sum(F.expr("(n - lag) * (n - lag - 1) * (n - lag - 2) * c")).alias("extra"))
     out = trend.join(ties, key).join(extra, key, "left")
-    variance = F.expr("(n * (n - 1) * (2 * n + 5) - ties) / 18.0") * (1 + 2 * F.coalesce("extra", F.lit(0.0)) / F.expr("n * (n - 1.0) * (n - 2)"))
+    variance = F.expr("(n * (n - 1) * (2 * n + 5) - ties) / 18D") * (1 + 2 * F.coalesce("extra", F.lit(0.0)) / F.expr("n * (n - 1D) * (n - 2)"))
     out = out.withColumn("z", F.when(F.col("s") == 0, 0.0).when(variance > 0, (F.col("s") - F.signum("s")) / F.sqrt(variance)))
     out = out.withColumn("p", two_sided_p("z"))
     label = F.when((F.col("p") < alpha) & (F.col("z") > 0), "increasing").when((F.col("p") < alpha) & (F.col("z") < 0), "decreasing").when(F.col("z").isNotNull(), "no trend")

@@ -103,12 +103,15 @@ def within_observed(df: DataFrame, key: str, estimate: str, middle: str, low: st
 
 
 def compared_anomalies(df: DataFrame, true: str, pred: str, key: str = "id", at: str = "period", about: str = "mean", frozen: str | None = None) -> DataFrame:
-    """(key, n, rmse, spearman) of two level series as anomalies about their mean or first value; frozen months do not count."""
+    """(key, n, rmse, spearman) of two level series as anomalies about their mean or first value; frozen months do not count.
+
+    Anomalies are rounded to 9 digits, so that equal levels are ties whatever their sums' last bits are.
+    """
     rows = df.where(F.col(true).isNotNull() & F.col(pred).isNotNull())
     if frozen:
         rows = rows.where(~F.coalesce(F.col(frozen), F.lit(False)))
     for c in (true, pred):
-        rows = anomaly(rows.drop("anomaly"), key, c, about, at).drop(c).withColumnRenamed("anomaly", c)
+        rows = anomaly(rows.drop("anomaly"), key, c, about, at).drop(c).withColumn(c, F.round("anomaly", 9)).drop("anomaly")
     found = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), rmse(true, pred).alias("rmse"))
     return found.join(spearman(rows, true, pred, [key]), key)
 

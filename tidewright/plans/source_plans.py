@@ -85,7 +85,7 @@ fb AS (SELECT lv.id, min(box) AS box FROM lv JOIN b ON x BETWEEN x1 AND x2 AND y
 SELECT fb.box, lv.id, lv.period, round(lv.level, 4) AS level, m.value AS area FROM lv JOIN fb USING (id) JOIN m ON m.id = lv.id AND m.period = lv.period""")
 def matched_level_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a level and an area for the stations that lie in a shape, in the months that both have."""
-    monthly = _level_rows(spark, sf_dir).groupBy("id", "lat", "lon", F.trunc("day", "MM").alias("period")).agg(F.avg("level").alias("level"))
+    monthly = settled(_level_rows(spark, sf_dir).groupBy("id", "lat", "lon", F.trunc("day", "MM").alias("period")).agg(F.avg("level").alias("level")))
     shapes = boxes(spark, sf_dir).select("box", g.box(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")).alias("rings"))
     places = monthly.select("id", F.col("lon").alias("x"), F.col("lat").alias("y")).distinct()
     found = spatial.points_in_shapes(places, shapes, 0.1).groupBy("id").agg(F.min("box").alias("box"))
@@ -212,8 +212,8 @@ def zone_series_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ANOMALY = f"""{_PAIRS.replace('l_partkey AS id', 'l_suppkey AS id')}, o AS (SELECT id, period, t, p FROM pr WHERE n > 1),
-an AS (SELECT id, t - avg(t) OVER (PARTITION BY id) AS t, p - avg(p) OVER (PARTITION BY id) AS p FROM o),
-rk AS (SELECT *, rank() OVER (PARTITION BY id ORDER BY round(t, 6)) + (count(*) OVER (PARTITION BY id, round(t, 6)) - 1) / 2.0 AS a, rank() OVER (PARTITION BY id ORDER BY round(p, 6)) + (count(*) OVER (PARTITION BY id, round(p, 6)) - 1) / 2.0 AS b FROM an)"""
+an AS (SELECT id, round(t - avg(t) OVER (PARTITION BY id), 9) AS t, round(p - avg(p) OVER (PARTITION BY id), 9) AS p FROM o),
+rk AS (SELECT *, rank() OVER (PARTITION BY id ORDER BY t) + (count(*) OVER (PARTITION BY id, t) - 1) / 2.0 AS a, rank() OVER (PARTITION BY id ORDER BY p) + (count(*) OVER (PARTITION BY id, p) - 1) / 2.0 AS b FROM an)"""
 
 
 @plans.add(f"WITH {_ANOMALY} SELECT id, count(*) AS n, round(sqrt(avg((t - p) * (t - p))), 5) AS rmse, round(corr(a, b), 5) AS spearman FROM rk GROUP BY id")

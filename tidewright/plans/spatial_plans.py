@@ -294,9 +294,9 @@ def _target(spark: SparkSession) -> DataFrame:
 
 @plans.add(f"""WITH {PIXELS_SQL}, a AS (SELECT row, col, avg(class) AS v FROM px GROUP BY 1, 2), t AS (SELECT i, j, ((j + 0.5) * 45 / 30) - 0.5 AS fc, ((i + 0.5) * 45 / 30) - 0.5 AS fr FROM range(42) AS q(i), range(42) AS z(j)),
 n AS (SELECT i, j, (1 - abs(fr - (floor(fr) + dr))) * (1 - abs(fc - (floor(fc) + dc))) AS w, floor(fr) + dr AS sr, floor(fc) + dc AS sc FROM t, range(2) AS d1(dr), range(2) AS d2(dc))
-SELECT i::INTEGER AS row, j::INTEGER AS col, round(sum(w * v) / nullif(sum(CASE WHEN v IS NOT NULL THEN w END), 0), 6) AS v FROM n LEFT JOIN a ON a.row = sr AND a.col = sc GROUP BY 1, 2""")
+SELECT i::INTEGER AS row, j::INTEGER AS col, round(sum(w * v) / nullif(sum(CASE WHEN v IS NOT NULL THEN w END), 0), 9) AS v FROM n LEFT JOIN a ON a.row = sr AND a.col = sc GROUP BY 1, 2""")
 def resampled_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(raster.resampled(_mean_raster(spark, sf_dir), GT, _target(spark), (0.0, 45.0, 0.0, 1920.0, 0.0, -45.0), "v", "bilinear"))
+    return _rounded(raster.resampled(_mean_raster(spark, sf_dir), GT, _target(spark), (0.0, 45.0, 0.0, 1920.0, 0.0, -45.0), "v", "bilinear"), 9)
 
 
 def _water(spark: SparkSession, sf_dir: str) -> DataFrame:
