@@ -370,3 +370,18 @@ def test_scores_against_a_plain_sum_over_pairs(spark):
         own = [int(slot[x]) for x in toxicity.terms((t or "").encode()) if slot[x] >= 0]
         z = machine.bias + sum(machine.weight[i] for i in own) + sum(float(machine.factor[i] @ machine.factor[j]) for i in own for j in own if i < j)
         assert got[k] == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_ids_of_odd_strings_are_the_tokenizers():
+    """Contractions, marks behind letters, letters whose lower case ends in a mark, composed letters, special tokens in the text."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    draw = random.Random(5)
+    tokenizer, ids = Tokenizer.from_file(packing.default_tokenizer()), packing.Ids(packing.default_tokenizer())
+    letters = [*"abcXYZ'''.,;:!?&%$#*_-\"()<|>/\\0123456789 \n\té ßÀΣσςİǅ½٣ʼ̸́É \xa0𝒳中文", "<|endoftext|>", "<|startoftext|>", "'s", "'t", "'re", "'ll"]
+    for _ in range(10):
+        texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 60))) for _ in range(100)]
+        for t, got in zip(texts, ids.of([x.encode() for x in texts]), strict=True):
+            assert got == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t

@@ -31,7 +31,8 @@ from .common import slices, stored, text_bytes
 CAPACITY = 4096
 #: White-space separated strings whose ids a worker keeps.
 CACHE = 900_000
-MARKS = (b".", b",", b";", b":", b"!", b"?")
+#: What is neither letter, digit nor white space in ASCII.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 PIECE = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())]
 
 
@@ -69,17 +70,23 @@ class Ids:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def learn(self, strings: set[bytes]) -> None:
-        """Case does not count, and a mark behind plain letters is a token of its own, so many strings follow from others."""
+        """Case does not count, and marks behind plain letters are one pre-token of their own, so many strings follow from others."""
         known = self.known
         new = {x for x in strings if x not in known}
         if len(self.known) + 2 * len(new) > CACHE:
             self.known, new = {}, strings
-        parts = {}
+        parts, needed, known = {}, set(), self.known
         for x in new:
             body = x.lower()
-            parts[x] = (body[:-1], body[-1:]) if body[-1:] in MARKS and body[:-1].decode().isalpha() else (body,)
-        known = self.known
-        self._encode({y for own in parts.values() for y in own if y not in known})
+            core = body.rstrip(MARKS)
+            if len(core) < len(body) and core.decode().lower().isalpha():  # a letter's lower case may end in a mark
+                parts[x] = (core, body[len(core) :])
+                needed.add(core)
+                needed.add(body[len(core) :])
+            else:
+                parts[x] = (body,)
+                needed.add(body)
+        self._encode({y for y in needed if y not in known})
         self.known.update((x, self.known[own[0]] + self.known[own[1]] if len(own) > 1 else self.known[own[0]]) for x, own in parts.items())
 
     def _encode(self, strings: set[bytes]) -> None:
@@ -89,7 +96,7 @@ class Ids:
         texts = {x: x.decode() for x in strings}
         plain, other = [], []
         for x, text in texts.items():
-            (plain if text.isalpha() else other).append(x)
+            (plain if text.lower().isalpha() else other).append(x)
         chunks = [plain[k : k + 2000] for k in range(0, len(plain), 2000)]
         for part, e in zip(chunks, self.tokenizer.encode_batch_fast([b" ".join(part).decode() for part in chunks], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
