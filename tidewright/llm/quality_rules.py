@@ -3,9 +3,10 @@
 Every measure is a Spark expression over the whole text, and a rule is a row (name, measure, comparison, bound).
 No user function, pandas or Arrow takes part, and there is no shuffle: a text is judged by itself.
 
-Null and empty texts have no words: all measures are 0 and the base rule rejects them. Repeated rows are each
-judged. Columns of the input other than the text stay as they are; the measures take the names given below, and
-an input column of such a name is replaced.
+Null and empty texts have no words: all measures are 0 and the base rule rejects them. A very long text is measured as a
+whole, in one row. A ratio equal to its bound passes; equal lines count from the second on, so there are no ties. Repeated
+rows are each judged. An empty table gives no rows. Columns of the input other than the text stay as they are; the measures
+take the names given below, and an input column of such a name is replaced.
 """
 
 from __future__ import annotations

@@ -52,19 +52,26 @@ class Pieces:
     def _clear(self) -> None:
         self.child: dict[tuple[int, str], int] = {}
         self.best, self.count = [0.0], [0]  # of each node; 0 is the root
+        self.path, self.before = [0], ""  # the nodes of the pre-token inserted last
 
     def insert(self, word: str) -> int:
-        """The token count of a pre-token, stored at the node where it ends."""
-        child, best, count, score, longest = self.child, self.best, self.count, self.score, self.longest
-        path, node = [0], 0
-        for j, letter in enumerate(word, 1):
+        """The token count of a pre-token, stored at the node where it ends. What it shares with the one before needs no walk."""
+        child, best, count, score, longest, path = self.child, self.best, self.count, self.score, self.longest, self.path
+        before, same = self.before, 0
+        most = min(len(word), len(before))
+        while same < most and word[same] == before[same]:
+            same += 1
+        del path[same + 1 :]
+        node = path[same]
+        for j in range(same + 1, len(word) + 1):
+            letter = word[j - 1]
             after = child.get((node, letter))
             if after is None:
-                size = len(letter.encode())
-                top, n = best[node] + size * self.byte_score, count[node] + size
-                if letter in score:
-                    top = -math.inf
-                for i in range(max(0, j - longest), j):
+                top, n = -math.inf, 0
+                if letter not in score:
+                    size = len(letter.encode())
+                    top, n = best[node] + size * self.byte_score, count[node] + size
+                for i in range(j - longest if j > longest else 0, j):
                     s = score.get(word[i:j])
                     if s is not None and best[path[i]] + s > top:
                         top, n = best[path[i]] + s, count[path[i]] + 1
@@ -73,6 +80,7 @@ class Pieces:
                 count.append(n)
             node = after
             path.append(node)
+        self.before = word
         return count[node]
 
     def learn(self, strings: set[bytes]) -> None:
