@@ -10,7 +10,8 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from tests.llm.test_documents import WORD, kept_lines, leaks, repeated
-from tests.llm.test_simhash import fingerprint, groups
+from tests.llm.test_near_copies import shingles, similar
+from tests.llm.test_simhash import groups
 from tidewright.llm import packing, quality_rules
 
 
@@ -56,9 +57,9 @@ def test_rows(spark, tables):
         assert not judged[k] or not (len(w) < 20 or 100 * repeated(w) > 30 * len(w))
     left = [r for r in rows if judged[r[0]]]
     assert not judged[125] and not judged[126] and not judged[127] and judged[0] and len(left) > 115
-    texts = kept_lines([(r[3], r[1]) for r in left])
+    texts = kept_lines([(r[3], r[1]) for r in left], 0.01, 5, True, 0.5)
     assert not any("Site menu" in t for t in texts)
-    roots = groups([fingerprint(t) for t in texts], lambda a, b: (a ^ b).bit_count() <= 4)
+    roots = groups([shingles(t) for t in texts], similar)
     kept = [(left[k][0], t) for k, t in enumerate(texts) if roots[k] == k]
     assert {120, 121, 122}.isdisjoint(k for k, _ in kept)
     clean = {}
