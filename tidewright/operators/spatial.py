@@ -64,30 +64,30 @@ def outermost(shapes: DataFrame, size: float, key: str = "id", rings: str = "rin
 def nearest(points: DataFrame, targets: DataFrame, size: float, key: str = "id", target: str = "target") -> DataFrame:
     """(key, target, distance): the nearest target of every point, of ties the smallest; null without targets.
 
-    Both have x and y. Cells around a point are searched in growing squares; a point is done once its best distance is
-    within the searched square. Each round joins only the points still open.
+    Both have x and y. The nine cells around a point are searched; a point is done once its best distance is within a
+    cell's size. Each round doubles the cells and joins only the points still open, so a round takes nine rows a point.
     """
-    t = targets.select(F.col(target), F.col("x").alias("tx"), F.col("y").alias("ty"), _cell(F.col("x"), size).alias("cx"), _cell(F.col("y"), size).alias("cy"))
+    t = targets.select(F.col(target), F.col("x").alias("tx"), F.col("y").alias("ty"))
     edge = t.agg(F.min("tx"), F.max("tx"), F.min("ty"), F.max("ty"), F.count(F.lit(1))).first()
     span = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if not edge[4] or span[0] is None:
         return points.select(key, F.lit(None).cast(targets.schema[target].dataType).alias(target), F.lit(None).cast("double").alias("distance"))
     reach = max(edge[1], span[1]) - min(edge[0], span[0]) + max(edge[3], span[3]) - min(edge[2], span[2])
-    open_, done, rings = points.select(key, "x", "y"), None, 1
+    open_, done, step = points.select(key, "x", "y"), None, F.sequence(F.lit(-1), F.lit(1))
     while True:
-        step = F.sequence(F.lit(-rings), F.lit(rings))
+        placed = t.withColumns({"cx": _cell(F.col("tx"), size), "cy": _cell(F.col("ty"), size)})
         near = open_.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step))
         near = near.withColumns({"cx": _cell(F.col("x"), size) + F.col("dx"), "cy": _cell(F.col("y"), size) + F.col("dy")})
         d = F.sqrt(F.pow(F.col("x") - F.col("tx"), F.lit(2)) + F.pow(F.col("y") - F.col("ty"), F.lit(2)))
-        best = near.join(t, ["cx", "cy"]).withColumn("d", d).groupBy(key).agg(F.min(F.struct("d", target)).alias("m"))
-        last = rings * size >= reach
-        sure = best if last else best.where(F.col("m.d") <= rings * size)
+        best = near.join(placed, ["cx", "cy"]).withColumn("d", d).groupBy(key).agg(F.min(F.struct("d", target)).alias("m"))
+        last = size >= reach
+        sure = best if last else best.where(F.col("m.d") <= size)
         found = settled(sure.select(key, F.col(f"m.{target}").alias(target), F.col("m.d").alias("distance")))
         done = found if done is None else done.unionByName(found)
         open_ = settled(open_.join(found.select(key), key, "left_anti"))
         if last or not open_.take(1):
             return done
-        rings *= 2
+        size *= 2
 
 
 def grid(spark, x1: float, y1: float, x2: float, y2: float, size: float) -> DataFrame:
