@@ -61,9 +61,10 @@ def test_chain_in_one_bucket(spark):
     assert near_copies.near_duplicates(docs.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("kind", ["long", "string"])
-def test_no_text_is_lost(spark, kind):
-    """One id on several texts, repeated rows and null ids: every group keeps exactly one row."""
+@pytest.mark.parametrize(("kind", "most"), [("long", 1_000_000), ("string", 0)])
+def test_no_text_is_lost(spark, kind, most, monkeypatch):
+    """One id on several texts, repeated rows and null ids: every group keeps exactly one row; keys broadcast or shuffled."""
+    monkeypatch.setattr(common, "MOST_BROADCAST", most)
     text = {c: " ".join(f"{c}{k}" for k in range(30)) for c in "abcd"}
     rows = [(1, "a"), (5, "a"), (5, "b"), (7, "c"), (9, "c"), (9, "b"), (5, "b"), (1, "a"), (None, "d"), (None, "d"), (None, "a"), (3, None), (None, None), (4, "")]
     docs = spark.createDataFrame([(k, text.get(c, c)) for k, c in rows], "doc_id long, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text").repartition(3)

@@ -42,6 +42,15 @@ def stored(df: DataFrame) -> DataFrame:
 HOT_SHARE = 1 / 2000
 
 
+#: Up to so many rows of one key each a stored table is broadcast, so that texts need not be shuffled to meet it.
+MOST_BROADCAST = 1_000_000
+
+
+def keys_of(stored_keys: DataFrame) -> DataFrame:
+    """Keys to join texts with: broadcast if they were counted to be few, else shuffled."""
+    return F.broadcast(stored_keys) if stored_keys.count() <= MOST_BROADCAST else stored_keys
+
+
 def joined(rows: DataFrame, named: DataFrame, key: str, copies: str, how: str = "inner") -> DataFrame:
     """rows joined with the stored table `named`, one row for each key, whose column `copies` counts the rows of the key.
 

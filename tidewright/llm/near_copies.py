@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import connected
-from .common import slices, stored, text_bytes
+from .common import keys_of, slices, stored, text_bytes
 from .elias_fano import from_bytes, prefixed, sequence, to_bytes
 from .simhash import in_groups
 
@@ -33,7 +33,7 @@ BLOCKS, BLOCK_BITS = 11, 28
 #: 308 differing bits are binomial with a mean of 46.7 at a similarity of 0.8, and a standard deviation of 6.3.
 MOST_BITS = 62
 #: Variants to a shard.
-SHARD_ROWS = 2_000_000
+SHARD_ROWS = 1_000_000
 
 
 def shingled(words: list[bytes], shingle: int, seed: int):
@@ -112,8 +112,8 @@ def _variants(shards: int):
         masks = np.r_[0, 1 << np.arange(BLOCK_BITS, dtype=np.int64)]
         width = -(-(BLOCKS << BLOCK_BITS) // shards)
         for batch in batches:
-            for k in range(0, batch.num_rows, 8192):
-                part = batch.slice(k, 8192)
+            for k in range(0, batch.num_rows, 4096):
+                part = batch.slice(k, 4096)
                 fps = part.column("fp").to_numpy()
                 values = part.column("values").flatten().to_numpy().reshape(-1, BLOCKS)
                 bucket = (values + (np.arange(BLOCKS) << BLOCK_BITS))[:, :, None] ^ masks
@@ -226,10 +226,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     def sets_of(pairs: DataFrame) -> DataFrame:
         """(fp, values): the sets of the pairs' texts, each read from one of its rows."""
         wanted = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct().join(nodes.select("fp", "least"), "fp")
-        texts = rows.join(wanted.where("least is not null").select(F.col("least").alias("key")).distinct(), "key", "left_semi")
+        wanted = stored(wanted)
+        texts = rows.join(keys_of(stored(wanted.where("least is not null").select(F.col("least").alias("key")).distinct())), "key", "left_semi")
         if wanted.where("least is null").take(1):  # texts that only rows without a key have
             texts = texts.union(rows.where("key is null"))
-        found = _mapped(texts, "members", shingle, seed).join(wanted.select("fp"), "fp", "left_semi")
+        found = _mapped(texts, "members", shingle, seed).join(keys_of(wanted.select("fp")), "fp", "left_semi")
         return stored(found.select("fp", "values").dropDuplicates(["fp"]))
 
     links = stored(_verified(tried, sets_of(tried), similarity))

@@ -30,7 +30,7 @@ from .common import slices, stored, text_bytes
 
 CAPACITY = 4096
 #: White-space separated strings whose ids a worker keeps.
-CACHE = 900_000
+CACHE = 450_000
 #: What is neither letter, digit nor white space in ASCII.
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 PIECE = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())]

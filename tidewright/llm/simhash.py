@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import connected
-from .common import joined, slices, stored, text_bytes
+from .common import joined, keys_of, slices, stored, text_bytes
 
 RADIUS = 4
 
@@ -217,12 +217,12 @@ def one_of_each(docs: DataFrame, groups: DataFrame, of: Callable[[bytes], int],
     found = stored(groups)
     keys = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("first").alias("any"))
     keys = stored(keys.where("n > 1 or not any"))
-    kept = docs.where(F.col(key).isNotNull()).join(keys.select(key), key, "left_anti").select(*docs.columns)
+    kept = docs.where(F.col(key).isNotNull()).join(keys_of(keys.select(key)), key, "left_anti").select(*docs.columns)
     several = found.where(F.col(key).isNull() & F.col("first")).select(key, "fp").distinct()
     several = stored(several.union(found.where("first").join(keys.where("any").select(key), key, "left_semi").select(key, "fp").distinct()))
     if not several.take(1):
         return kept
-    mine = docs.where(F.col(key).isNull()).unionByName(docs.join(keys.where("any").select(key), key, "left_semi").select(*docs.columns))
+    mine = docs.where(F.col(key).isNull()).unionByName(docs.join(keys_of(keys.where("any").select(key)), key, "left_semi").select(*docs.columns))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
