@@ -18,7 +18,7 @@ from . import Plans
 from .proxies import BOXES_SQL, DENSE_SQL, MONTHS_SQL, PIXELS_SQL, POINTS_SQL, SUPPLIERS_SQL, YEARLY_SQL, YEARS, boxes, dense_months, months, pixels, points, suppliers, table
 from .rollup_plans import _METRICS, _pairs, _PAIRS
 from .series_plans import _STATS, PERIODS, _rounded
-from .spatial_plans import _PB, _ZONE_SQL, GT, _zones
+from .spatial_plans import _PB
 
 plans = Plans()
 
