@@ -82,3 +82,20 @@ def test_hot_texts_and_components(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in near_copies.near_duplicates(docs).collect()}
     assert {got[k] for k in range(60)} == {0} and {got[k] for k in range(60, len(texts))} == {60} and len(got) == len(texts)
     assert simhash.one_of_each(docs, near_copies.near_duplicates(docs), near_copies.set_hash).count() == 2
+
+
+def test_pairs_meet_first_in_one_bucket():
+    """Of all buckets that two fingerprints share, exactly one counts; without one they are further apart in every block."""
+    import numpy as np
+
+    draw, masks = np.random.default_rng(3), [0, *(1 << k for k in range(near_copies.BLOCK_BITS))]
+    buckets = lambda x: {(b << near_copies.BLOCK_BITS) + (int(v) ^ m) for b, v in enumerate(x) for m in masks}
+    for _ in range(60):
+        x = draw.integers(0, 1 << near_copies.BLOCK_BITS, near_copies.BLOCKS)
+        y = x.copy()
+        for b in range(near_copies.BLOCKS):
+            for bit in draw.choice(near_copies.BLOCK_BITS, int(draw.integers(0, 6)), replace=False):
+                y[b] ^= 1 << int(bit)
+        shared = buckets(x) & buckets(y)
+        for a, c in ((x, y), (y, x)):
+            assert sum(bool(near_copies._first_met(k, a, c[None])[0]) for k in shared) == min(1, len(shared))

@@ -8,8 +8,9 @@ pairs within `most_bits` differing bits (0.8 is beyond that once in a hundred) a
 links have `similarity` or more.
 
 Equal sets are one node, so copies are never compared. In a bucket all members are compared with the smallest one; then,
-where a bucket's members are not yet one component, those pairs that are still apart. No bucket of mutual near copies
-emits all its pairs; one of many members that collide but are under `similarity` emits those within `most_bits`.
+where a bucket's members are not yet one component, those pairs that are still apart, each in the first bucket where it
+meets. No bucket of mutual near copies emits all its pairs; one of many members that collide but are under `similarity`
+emits those within `most_bits`.
 
 Texts without words (null, empty, blank) are one set. A very long text is one set as a whole. Repeated rows stay separate
 rows of one group; the group is named by its smallest key, so ties don't arise. Rows without a key are grouped like all
@@ -155,6 +156,23 @@ def _shared(shards: int):
     return run
 
 
+def _first_met(bucket: int, own, others):
+    """Of fingerprints that meet `own` in a bucket, those that do so first there: in no block before, and in no smaller bucket of this one.
+
+    Equal blocks meet in all variants and count in their own value's bucket; others meet in two, the values themselves or
+    those between them.
+    """
+    import numpy as np
+
+    block, value = bucket >> BLOCK_BITS, bucket & ((1 << BLOCK_BITS) - 1)
+    gap = others ^ own
+    before = (np.bitwise_count(gap[:, :block]) <= 2).any(1)
+    here = gap[:, block]
+    low = here & -here
+    least = np.where(np.bitwise_count(here) == 2, np.minimum(own[block] ^ low, own[block] ^ (here ^ low)), np.minimum(own[block], others[:, block]))
+    return ~before & (least == value)
+
+
 def _pairs(apart: bool, similarity: float, most_bits: int):
     """Of rows (bucket, fp, n, values[, label]) sorted by bucket and fp: pairs (u, v) of each bucket, with its smallest or those of different labels."""
 
@@ -175,6 +193,7 @@ def _pairs(apart: bool, similarity: float, most_bits: int):
                     close &= np.bitwise_count(blocks[rest] ^ blocks[k]).sum(1) <= most_bits
                     if apart:
                         close &= label[rest] != label[k]
+                        close[close] = _first_met(int(bucket[a]), blocks[k], blocks[rest][close])
                     found += [(fp[k], v) for v in fp[rest][close]]
             return found
 
@@ -236,8 +255,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     links = stored(_verified(tried, sets_of(tried), similarity))
     roots = stored(connected(links, keep=stored))
     labelled = stored(placed.join(roots.select(F.col("node").alias("fp"), F.col("root").alias("label")), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
-    apart = labelled.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket")
-    pairs = by_bucket(labelled.join(apart, "bucket", "left_semi")).mapInArrow(_pairs(True, similarity, most_bits), "u long, v long").distinct()
+    pairs = by_bucket(labelled).mapInArrow(_pairs(True, similarity, most_bits), "u long, v long").distinct()
     pairs = stored(pairs.join(tried, ["u", "v"], "left_anti"))
     more = stored(_verified(pairs, sets_of(pairs), similarity))
     if more.take(1):
