@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, ngram_lm, packing, quality_rules, secrets, simhash, token_counts, toxicity, url_filter
+from . import decontaminate, line_dedup, ngram_lm, packing, quality_rules, secrets, simhash, token_counts, toxicity, url_filter, winnowing
 from .common import table
 
 
@@ -64,8 +64,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_ngram_lm, op3_line_dedup, op4_decontaminate, op5_secrets, op6_url_filter, op7_simhash, op8_toxicity, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_ngram_lm, op3_line_dedup, op4_decontaminate, op5_secrets, op6_url_filter, op7_simhash, op8_toxicity, op9_packing, op10_quality_rules, op13_fingerprints)}
 
 
 def _op10_sql() -> str:
@@ -157,5 +161,36 @@ SELECT page_id, k.host, path, rule, coalesce(said, CASE WHEN coalesce(distrust,
 FROM k LEFT JOIN t ON t.host = k.host"""
 
 
+def _op13_sql(k: int = winnowing.K, window: int = winnowing.WINDOW) -> str:
+    """Words are hashed once each: CRC-32 bit by bit. The first row in order follows the last."""
+    base, modulus, top = winnowing.BASE, winnowing.MODULUS, (1 << 31) - 1
+    step = lambda a, b: f"(({a}) * {base} + ({b})) % {modulus}"
+    gram = "code"
+    for j in range(1, k):
+        gram = step(gram, f"lead(code, {j}) OVER own")
+    return rf"""
+WITH o AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '')) AS rid FROM documents),
+f AS (SELECT *, coalesce(lead(text) OVER (ORDER BY rid), first_value(text) OVER (ORDER BY rid)) AS following, coalesce(lead(rid) OVER (ORDER BY rid), 1) AS next_rid FROM o),
+e AS (SELECT doc_id, rid, next_rid, text, length(text) AS n, substr(text, 1, length(text) - length(text) // 3) || substr(following, 1, length(text) // 3) AS edited FROM f),
+t AS (SELECT rid, 0 AS kind, text FROM e UNION ALL SELECT rid, 1, edited FROM e),
+w AS (SELECT rid, kind, i - 1 AS place, words[i] AS word, len(words) AS n
+      FROM (SELECT rid, kind, regexp_extract_all(text, '{winnowing.WORD}') AS words FROM t), unnest(range(1, len(words) + 1)) AS u(i)),
+c AS (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(bytes) // 2), lambda j: ('0x' || substr(bytes, 2 * j + 1, 2))::BIGINT)),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % {modulus} AS code
+      FROM (SELECT word, hex(encode(word)) AS bytes FROM (SELECT DISTINCT word FROM w))),
+g AS (SELECT rid, kind, place, n, code, {gram} AS hash FROM w JOIN c USING (word) WINDOW own AS (PARTITION BY rid, kind ORDER BY place)),
+s AS (SELECT rid, kind, 0 AS place, list_reduce(list_prepend(0::BIGINT, list(code ORDER BY place)), lambda a, b: {step("a", "b")}) AS hash FROM g WHERE n < {k} GROUP BY rid, kind),
+h AS (SELECT rid, kind, place, n - {k - 1} AS grams, hash FROM g WHERE place <= n - {k} UNION ALL SELECT rid, kind, place, 1, hash FROM s),
+m AS (SELECT rid, kind, place, grams, min((hash << 31) + ({top} - place)) OVER (PARTITION BY rid, kind ORDER BY place ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS least FROM h),
+p AS (SELECT DISTINCT rid, kind, {top} - (least & {top}) AS place, least >> 31 AS hash FROM m WHERE place <= greatest(grams - {window}, 0)),
+q AS (SELECT rid, kind, string_agg(place || ':' || lower(hex(hash)), ' ' ORDER BY place) AS shown, list(DISTINCT hash) AS hashes FROM p GROUP BY rid, kind),
+a AS (SELECT e.*, coalesce(x.shown, '') AS fingerprint, coalesce(y.shown, '') AS edited_fingerprint, coalesce(x.hashes, []) AS h0, coalesce(y.hashes, []) AS h1, coalesce(z.hashes, []) AS h2
+      FROM e LEFT JOIN q x ON x.rid = e.rid AND x.kind = 0 LEFT JOIN q y ON y.rid = e.rid AND y.kind = 1 LEFT JOIN q z ON z.rid = e.next_rid AND z.kind = 0),
+b AS (SELECT *, len(list_intersect(h0, h1)) AS c1, len(list_intersect(h0, h2)) AS c2 FROM a)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint,
+       CASE WHEN len(h0) + len(h1) = 0 THEN 1 ELSE c1 / (len(h0) + len(h1) - c1) END AS near_edited, CASE WHEN len(h0) + len(h2) = 0 THEN 1 ELSE c2 / (len(h0) + len(h2) - c2) END AS near_next
+FROM b"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": _OP3_SQL, "op4_decontaminate": _OP4_SQL, "op6_url_filter": _op6_sql(), "op10_quality_rules": _op10_sql()}
+    return {"op3_line_dedup": _OP3_SQL, "op4_decontaminate": _OP4_SQL, "op6_url_filter": _op6_sql(), "op10_quality_rules": _op10_sql(), "op13_fingerprints": _op13_sql()}
