@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, ngram_lm, packing, quality_rules, secrets, simhash, token_counts, toxicity, url_filter, whitening, winnowing
+from . import alignment, decontaminate, line_dedup, ngram_lm, packing, quality_rules, secrets, simhash, token_counts, toxicity, url_filter, whitening, winnowing
 from .common import table
 
 
@@ -69,12 +69,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("deviation", F.col("deviation").try_cast("long")).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_ngram_lm, op3_line_dedup, op4_decontaminate, op5_secrets, op6_url_filter, op7_simhash, op8_toxicity, op9_packing, op10_quality_rules, op11_whitening, op13_fingerprints)}
+    return {f.__name__: f for f in (op1_token_counts, op2_ngram_lm, op3_line_dedup, op4_decontaminate, op5_secrets, op6_url_filter, op7_simhash, op8_toxicity, op9_packing, op10_quality_rules, op11_whitening, op12_alignment, op13_fingerprints)}
 
 
 def _op10_sql() -> str:
