@@ -1,5 +1,12 @@
 """A training corpus in five stages, each written as Parquet and reread by the next.
 
+Every stage takes the columns of documents and any others, of whatever names, and all but the last give them back as they
+were. Null and empty texts have no words, so the quality rules reject them; a stage that is given them by itself keeps them as one
+near-duplicate group and packs them as an end id alone. Very long texts are one row throughout. Repeated rows are judged,
+counted and packed each, and near-dedup leaves one of them; a group's row is that with the smallest doc_id, and of
+rows with one id and one text any. A null source is a source of its own; rows without an id are told apart by their texts. An
+empty table gives no rows.
+
 ORACLE_SQL is None: fingerprints and subword tokens are beyond SQL; tests/llm compares the stages with brute force.
 """
 
@@ -10,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm import decontaminate, line_dedup, near_copies, packing, quality_rules, simhash
-from tidewright.llm.common import shared_dir, table
+from tidewright.llm.common import set_aside, shared_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +30,8 @@ def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that would lose more than half of its lines stays whole: it is a copy, which the next stage sees to.
     """
-    return line_dedup.deduplicated(docs, min_pages=5, count_texts=True, most_dropped=0.5).select(*docs.columns)
+    own, restored = set_aside(docs, ("n_lines", "n_dropped"))
+    return restored(line_dedup.deduplicated(own, min_pages=5, count_texts=True, most_dropped=0.5))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import duckdb
 import pytest
 from tidewright.llm import decontaminate, entry, line_dedup, near_copies, ngram_lm, packing, quality_rules, secrets, simhash, token_counts, toxicity, url_filter
@@ -95,3 +96,23 @@ def test_ranks_against_plain_iteration(spark):
     got = {r["host"]: (r["trust"], r["distrust"]) for r in found.collect()}
     for h in hosts:
         assert got.get(h, (0, 0)) == pytest.approx((trust[h], distrust[h]), abs=1e-9)
+
+
+STAGES = {
+    "passing": lambda s, d: quality_rules.passing(d, min_words=0, max_repeat_percent=100, rules=()),
+    "cleaned": lambda s, d: decontaminate.cleaned(d, s.createDataFrame([(1, "words here")], "item_id long, text string")),
+}
+
+
+@pytest.mark.parametrize("name", [*STAGES, *(n for n, _ in corpus_pipeline.STAGES[:-1])])
+def test_stages_keep_columns_of_any_name(spark, name):
+    """Columns named like a measure keep their values and types."""
+    names = dict.fromkeys([*quality_rules.MEASURES, "n_dropped", "n_hit", "items", "removal_spans", "fp", "first", "copies", "key", "component_id", "N_Words2"])
+    words = "the quick brown fox is in a house and the dog sleeps on that mat by it while of us was to be"
+    rows = [(k, f"{words} {k} {'alpha beta' if k else 'gamma'} words here at last", "en", "a", *[f"{c}{k}" for c in names]) for k in range(6)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, {', '.join(f'`{c}` string' for c in names)}")
+    run = STAGES.get(name) or dict(corpus_pipeline.STAGES)[name]
+    out = run(spark, docs) if name in STAGES else run(spark, docs, "/root/testdata/sf0.001")
+    assert out.dtypes == docs.dtypes
+    left = out.collect()
+    assert left and all(r[c] == f"{c}{r['doc_id']}" for r in left for c in names)

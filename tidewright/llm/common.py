@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +38,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def set_aside(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with columns of these names under private ones, and what gives a result the columns of docs back."""
+    taken = {n.lower() for n in names}
+    private = {c: f"__own_{c}" for c in docs.columns if c.lower() in taken}
+    return docs.withColumnsRenamed(private), lambda out: out.select(*[F.col(private.get(c, c)).alias(c) for c in docs.columns])
+
+
 #: From this share of the rows on, a key's rows are joined by a broadcast: there are no more such keys than its inverse.
 HOT_SHARE = 1 / 2000
 

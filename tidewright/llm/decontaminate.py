@@ -9,7 +9,8 @@ Items are dealt into blocks of about `block_bytes` of text, each a pass over its
 a block is on the driver or in a task at once. Null and empty texts have no words; a very long text is a shard of its own.
 Items without words have no phrase. An item without id marks words but is not listed. Items with equal windows, and
 windows that overlap, all count: there are no ties to break. Repeated rows are each searched. Without items nothing is
-hit; without documents there are no rows. Input columns named like a result are replaced, others passed through.
+hit; without documents there are no rows. Input columns named like a result are replaced, others passed through;
+`cleaned` gives rows back with their own columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LETTERS, slices, stored, text_bytes, words_of
+from .common import LETTERS, set_aside, slices, stored, text_bytes, words_of
 from .fm_index import FMIndex
 
 WINDOW = 10
+RESULT = ("n_words", "n_hit", "items", "removal_spans")
 
 
 class Phrases:
@@ -157,14 +159,15 @@ def _marked(text: bytes, spans: list[dict]) -> np.ndarray:
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
     """docs without the removal spans in their texts; a document that has no word left goes, others stay."""
-    found = searched(docs, benchmark, text, **how)
+    own, restored = set_aside(docs, RESULT)
+    found = searched(own, benchmark, text, **how)
     step = lambda acc, s: F.struct(
         F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))).alias("out"), s["end"].alias("at")
     )
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(text)))
     cut = F.aggregate("removal_spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, rest)
     out = found.withColumn(text, F.when(F.size("removal_spans") > 0, cut).otherwise(F.col(text)))
-    return out.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words"))).select(*docs.columns)
+    return restored(out.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words"))))
 
 
 def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:

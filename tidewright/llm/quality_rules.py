@@ -6,7 +6,8 @@ No user function, pandas or Arrow takes part, and there is no shuffle: a text is
 Null and empty texts have no words: all measures are 0 and the base rule rejects them. A very long text is measured as a
 whole, in one row. A ratio equal to its bound passes; equal lines count from the second on, so there are no ties. Repeated
 rows are each judged. An empty table gives no rows. Columns of the input other than the text stay as they are; the measures
-take the names given below, and an input column of such a name is replaced.
+take the names in MEASURES, and an input column of such a name is replaced; `passing` gives rows back with their own columns, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, set_aside
 
 #: Frequent function words, as they stand in a text (fixed values).
 STOP_WORDS = {
@@ -26,6 +27,7 @@ STOP_WORDS = {
     "es": ["el", "la", "los", "las", "de", "y", "que", "en", "un", "una", "por", "con", "no", "es", "se", "para", "del", "al"],
 }
 WINDOW = 8
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_bullet_lines", "base_failed", "broken_rules", "kept")
 
 
 @dataclass(frozen=True)
@@ -122,5 +124,6 @@ def passing(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     The row number keeps the filter above the projection: pushed below it, each of the filter's measures would be
     written out and computed anew wherever another one uses it.
     """
-    found = judged(docs, text, **how).withColumn("__row", F.monotonically_increasing_id())
-    return found.where(F.col("kept") & (F.col("__row") >= 0)).select(*docs.columns)
+    own, restored = set_aside(docs, MEASURES)
+    found = judged(own, text, **how).withColumn("__row", F.monotonically_increasing_id())
+    return restored(found.where(F.col("kept") & (F.col("__row") >= 0)))
