@@ -6,6 +6,7 @@ A ring is closed implicitly. Boundaries count as inside, touching as intersectin
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -169,3 +170,64 @@ def lcc(lon: Column, lat: Column, lon0: float, lat0: float, lat1: float, lat2: f
     rho = SEMI_MAJOR * f * F.pow(tt, F.lit(n))
     theta = n * F.radians(lon - lon0)
     return F.struct((rho * F.sin(theta)).alias("x"), (rho0 - rho * F.cos(theta)).alias("y"))
+
+
+def _bound(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _steps(start: Column, f, count: int) -> Column:
+    return F.aggregate(F.sequence(F.lit(1), F.lit(count)), start, lambda v, _: f(v))
+
+
+def laea_inverse(x: Column, y: Column, lon0: float, lat0: float) -> Column:
+    """(lon, lat) in degrees of equal-area coordinates: the authalic latitude exactly, the geodetic one by three Newton steps."""
+    e2 = FLATTENING * (2 - FLATTENING)
+    e = math.sqrt(e2)
+    qn = lambda s: (1 - e2) * (s / (1 - e2 * s * s) - (1 / (2 * e)) * math.log((1 - e * s) / (1 + e * s)))
+    p0, qp = math.radians(lat0), qn(1.0)
+    b0 = math.asin(qn(math.sin(p0)) / qp)
+    rq = SEMI_MAJOR * math.sqrt(qp / 2)
+    d = SEMI_MAJOR * math.cos(p0) / math.sqrt(1 - e2 * math.sin(p0) ** 2) / (rq * math.cos(b0))
+    step = lambda q: lambda p: p + F.pow(1 - e2 * F.pow(F.sin(p), F.lit(2)), F.lit(2)) / (2 * F.cos(p)) * (
+        q / (1 - e2) - F.sin(p) / (1 - e2 * F.pow(F.sin(p), F.lit(2))) + 1 / (2 * e) * F.ln((1 - e * F.sin(p)) / (1 + e * F.sin(p)))
+    )
+    pole = math.pi / 2 - 1e-9
+
+    def latitude(sin_b: Column) -> Column:
+        b = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sin_b)))
+        return _bound(b, lambda b: F.when(F.abs(b) > pole, b).otherwise(_steps(b + e2 / 3 * F.sin(2 * b), step(qp * F.sin(b)), 3)))
+
+    def of(r: Column) -> Column:
+        ce = 2 * F.asin(F.least(F.lit(1.0), r / (2 * rq)))
+        sin_b = F.when(r == 0, math.sin(b0)).otherwise(F.cos(ce) * math.sin(b0) + d * y * F.sin(ce) * math.cos(b0) / F.when(r == 0, 1.0).otherwise(r))
+        lon = F.atan2(x * F.sin(ce), d * r * math.cos(b0) * F.cos(ce) - d * d * y * math.sin(b0) * F.sin(ce))
+        return F.struct((F.lit(float(lon0)) + F.when(r == 0, 0.0).otherwise(F.degrees(lon))).alias("lon"), F.degrees(latitude(sin_b)).alias("lat"))
+
+    return _bound(F.sqrt(F.pow(x / d, F.lit(2)) + F.pow(y * d, F.lit(2))), of)
+
+
+def lcc_inverse(x: Column, y: Column, lon0: float, lat0: float, lat1: float, lat2: float) -> Column:
+    """(lon, lat) in degrees of conformal conic coordinates, the latitude by eight fixed-point steps."""
+    e = math.sqrt(FLATTENING * (2 - FLATTENING))
+    m = lambda p: math.cos(p) / math.sqrt(1 - (e * math.sin(p)) ** 2)
+    t = lambda p: math.tan(math.pi / 4 - p / 2) / ((1 - e * math.sin(p)) / (1 + e * math.sin(p))) ** (e / 2)
+    p0, p1, p2 = (math.radians(v) for v in (lat0, lat1, lat2))
+    n = math.sin(p1) if abs(p1 - p2) < 1e-12 else (math.log(m(p1)) - math.log(m(p2))) / (math.log(t(p1)) - math.log(t(p2)))
+    f = SEMI_MAJOR * m(p1) / (n * t(p1) ** n)
+    rho0, sign = f * t(p0) ** n, math.copysign(1.0, n)
+    rho = F.sqrt(F.pow(x, F.lit(2)) + F.pow(rho0 - y, F.lit(2)))
+    step = lambda t: lambda p: math.pi / 2 - 2 * F.atan(t * F.pow((1 - e * F.sin(p)) / (1 + e * F.sin(p)), F.lit(e / 2)))
+    lat = _bound(F.pow(rho / abs(f), F.lit(1 / n)), lambda t: _steps(math.pi / 2 - 2 * F.atan(t), step(t), 8))
+    return F.struct((F.degrees(F.atan2(sign * x, sign * (rho0 - y))) / n + lon0).alias("lon"), F.degrees(lat).alias("lat"))
+
+
+def reprojected(rings: Column, to: Callable[[Column, Column], Column]) -> Column:
+    """Rings with every corner moved by to(x, y), a struct of x and y."""
+    return F.transform(rings, lambda r: F.transform(r, lambda p: _bound(to(p["x"], p["y"]), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y")))))
+
+
+def between(inverse: Callable[[Column, Column], Column], forward: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
+    """From one projection's (x, y) through degrees to another's."""
+    return lambda x, y: _bound(inverse(x, y), lambda p: forward(p["lon"], p["lat"]))

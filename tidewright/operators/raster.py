@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import edges
 from ..functions.scalars import awei, is_clear
 from .graph import connected, settled
 from .spatial import points_in_shapes
@@ -52,6 +53,57 @@ def zoned(pixels: DataFrame, shapes: DataFrame, size: float, key: str = "zone",
     return pixels.join(last, LATTICE, "left").withColumn(key, F.coalesce(key, F.lit(-1)))
 
 
+#: Columns of a span's piece, by which it meets the pixels of its row.
+SPAN = 256
+
+
+def spans(shapes: DataFrame, gt: Sequence[float], keep: Sequence[str], rings: str = "rings", all_touched: bool = False) -> DataFrame:
+    """(keep, row, first, last): the pixels of each shape as runs of columns, row by row, for a geotransform without rotation.
+
+    An edge is looked at once for each row it passes: it crosses the row's middle line at one column at most, and between the odd and
+    the even crossings of a row lie the pixels whose centre is inside or on the boundary. all_touched adds the pixels whose
+    inside an edge passes through, however little of them is covered. Runs may overlap.
+    """
+    x, y = lambda c: (c - gt[0]) / gt[1], lambda c: (c - gt[3]) / gt[5]
+    each = shapes.select(*keep, F.col(rings).alias("__rings")).withColumn("__shape", F.monotonically_increasing_id())
+    each = each.select(*keep, "__shape", F.explode(edges(F.col("__rings"))).alias("e"))
+    each = settled(each.select(*keep, "__shape", *(f(F.col(f"e.{c}")).alias(c) for c, f in (("x1", x), ("y1", y), ("x2", x), ("y2", y)))))
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = each.withColumn("row", F.explode(F.sequence(F.floor(low), F.floor(high))))
+    middle = F.col("row") + 0.5
+    # The same comparisons as of a point with the edge in the plane: an end on the line counts for the edge that leaves it downwards.
+    crossing = rows.where((F.col("y1") < middle) != (F.col("y2") < middle))
+    along = lambda v: F.try_divide((F.col("x2") - F.col("x1")) * (v - F.col("y1")), F.col("y2") - F.col("y1")) + F.col("x1")
+    crossed = crossing.groupBy(*keep, "__shape", "row").agg(F.array_sort(F.collect_list(along(middle))).alias("at"))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("at") - 2, F.lit(2)), lambda k: F.struct(F.get("at", k).alias("a"), F.get("at", k + 1).alias("b")))
+    inside = crossed.select(*keep, "row", F.explode(pairs).alias("p")).select(*keep, "row", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+    flat = rows.where((F.col("y1") == middle) & (F.col("y2") == middle)).select(*keep, "row", F.least("x1", "x2").alias("a"), F.greatest("x1", "x2").alias("b"))
+    ends = rows.where(F.col("y1") == middle).select(*keep, "row", F.col("x1").alias("a"), F.col("x1").alias("b"))
+    centre = inside.unionByName(flat).unionByName(ends).select(*keep, "row", F.ceil(F.col("a") - 0.5).alias("first"), F.floor(F.col("b") - 0.5).alias("last"))
+    if not all_touched:
+        return centre.where("first <= last")
+    level = F.col("y1") == F.col("y2")
+    # Where the edge enters and leaves the row; its own ends are taken as they are.
+    enter = F.when(low >= F.col("row"), F.when(F.col("y1") <= F.col("y2"), F.col("x1")).otherwise(F.col("x2"))).otherwise(along(F.col("row")))
+    leave = F.when(high <= F.col("row") + 1, F.when(F.col("y1") <= F.col("y2"), F.col("x2")).otherwise(F.col("x1"))).otherwise(along(F.col("row") + 1))
+    passed = rows.where(F.when(level, F.col("y1") != F.col("row")).otherwise((low < F.col("row") + 1) & (high > F.col("row"))))
+    passed = passed.select(*keep, "row", F.when(level, F.least("x1", "x2")).otherwise(F.least(enter, leave)).alias("a"), F.when(level, F.greatest("x1", "x2")).otherwise(F.greatest(enter, leave)).alias("b"))
+    last = F.when((F.col("a") == F.col("b")) & (F.floor("a") != F.col("a")), F.floor("a")).otherwise(F.ceil("b") - 1)
+    touched = passed.select(*keep, "row", F.floor("a").alias("first"), last.alias("last"))
+    return centre.unionByName(touched).where("first <= last")
+
+
+def scanned(pixels: DataFrame, shapes: DataFrame, gt: Sequence[float], key: str = "zone", order: str = "draw_order", all_touched: bool = False) -> DataFrame:
+    """Pixels with the shape drawn last over them, -1 outside, as `zoned`, by runs of columns in place of a test of every pixel with every shape."""
+    runs = spans(shapes, gt, [key, order], all_touched=all_touched)
+    block = F.explode(F.sequence(F.floor(F.col("first") / SPAN), F.floor(F.col("last") / SPAN)))
+    runs = runs.select(F.col("row").cast("long").alias("row"), block.alias("__block"), "first", "last", key, order)
+    place = pixels.select(*(F.col(c).cast("long").alias(c) for c in LATTICE)).distinct().withColumn("__block", F.floor(F.col("col") / SPAN))
+    held = place.join(runs, ["row", "__block"]).where(F.col("col").between(F.col("first"), F.col("last")))
+    last = held.groupBy(*LATTICE).agg(F.max_by(key, order).alias(key))
+    return pixels.join(last, LATTICE, "left").withColumn(key, F.coalesce(key, F.lit(-1)))
+
+
 def zone_areas(zones: DataFrame, pixels: DataFrame, water: Column, area: float, key: str = "zone", by: Sequence[str] = ()) -> DataFrame:
     """Water area of every zone, and of every period of its pixels if given; a zone without water has 0."""
     sums = pixels.where(F.col(key) != -1).groupBy(key, *by).agg(F.sum(F.when(water, area).otherwise(0.0)).alias("area"))
@@ -81,9 +133,17 @@ def aligned(left: DataFrame, right: DataFrame, by: Sequence[str] = (), how: str
     return left.join(right, [*LATTICE, *by], how)
 
 
-def resampled(pixels: DataFrame, source: Sequence[float], target: DataFrame, target_gt: Sequence[float], band: str, how: str = "nearest") -> DataFrame:
-    """Values of a raster at the pixels of another lattice: nearest, or bilinear over the neighbours that exist."""
+def resampled(
+    pixels: DataFrame, source: Sequence[float], target: DataFrame, target_gt: Sequence[float], band: str, how: str = "nearest", to_source: Callable[[Column, Column], Column] | None = None
+) -> DataFrame:
+    """Values of a raster at the pixels of another lattice: nearest, or bilinear over the neighbours that exist.
+
+    to_source maps the target's (x, y) to the source's, where their coordinate systems differ (`geometry.between`); both lattices
+    meet by an equi-join on the source's row and column, so nothing but those pixels is shuffled.
+    """
     at = centres(target.select(*LATTICE), target_gt)
+    if to_source is not None:
+        at = at.withColumn("__s", to_source(F.col("x"), F.col("y"))).select(*LATTICE, F.col("__s.x").alias("x"), F.col("__s.y").alias("y"))
     fc, fr = (F.col("x") - source[0]) / source[1], (F.col("y") - source[3]) / source[5]
     own = pixels.select(F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(band).alias("v"))
     if how == "nearest":

@@ -165,9 +165,12 @@ def simplified(shapes: DataFrame, tolerance: float, rings: str = "rings") -> Dat
     return shapes.mapInArrow(run, shapes.schema)
 
 
-def with_shapes(areas: DataFrame, shapes: DataFrame, key: str, shape_key: str, to_centroid: bool = False) -> DataFrame:
-    """Areas with the rings of the shape whose key matches, or with its centroid's x and y instead; entities without a shape drop out."""
-    own = shapes.select(F.col(shape_key).alias(key), "rings")
+def with_shapes(areas: DataFrame, shapes: DataFrame, key: str, shape_key: str, to_centroid: bool = False, to: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Areas with the rings of the shape whose key matches, or with its centroid's x and y instead; entities without a shape drop out.
+
+    to(x, y) moves the corners to another coordinate system first.
+    """
+    own = shapes.select(F.col(shape_key).alias(key), (g.reprojected(F.col("rings"), to) if to else F.col("rings")).alias("rings"))
     if to_centroid:
         own = own.select(key, g.centroid(F.col("rings")).alias("c")).select(key, F.col("c.x").alias("x"), F.col("c.y").alias("y"))
     return areas.join(own, key)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import raster, rollup, spatial
+from ..operators import raster, rollup, spatial, union
 from . import Plans
 from .proxies import BOXES_SQL, PIXELS_SQL, POINTS_SQL, SUPPLIERS_SQL, boxes, pixels, points, suppliers, table
 from .series_plans import _rounded
@@ -318,3 +318,94 @@ def basin_water_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.trunc("l_shipdate", "MM").alias("period"), F.col("l_tax").alias("runoff"), F.col("l_discount").alias("evaporation"), F.col("l_quantity").alias("precipitation"))
     cells = lines.join(suppliers(spark, sf_dir).select("id", "zone", "kind"), "id")
     return _rounded(raster.basin_balance(cells, "zone", 123.9, flags={"natural_area": F.col("kind") == 1}), 4)
+
+
+# ---- other coordinate systems, runs of pixels, unions
+
+
+def _between_sql() -> tuple[str, str]:
+    """(columns of the conic's inverse over x, y as lon, lat; of the equal-area forward form over lon, lat as x, y), in stages; both about 0 and 30 degrees."""
+    e2 = g.FLATTENING * (2 - g.FLATTENING)
+    e = math.sqrt(e2)
+    qn = lambda s: (1 - e2) * (s / (1 - e2 * s * s) - 1 / (2 * e) * math.log((1 - e * s) / (1 + e * s)))
+    lat0, p1, p2 = (math.radians(v) for v in (30, 20, 40))
+    qp, b0 = qn(1.0), math.asin(qn(math.sin(lat0)) / qn(1.0))
+    rq = g.SEMI_MAJOR * math.sqrt(qp / 2)
+    d = g.SEMI_MAJOR * math.cos(lat0) / math.sqrt(1 - e2 * math.sin(lat0) ** 2) / (rq * math.cos(b0))
+    m = lambda p: math.cos(p) / math.sqrt(1 - e2 * math.sin(p) ** 2)
+    t = lambda p: math.tan(math.pi / 4 - p / 2) / ((1 - e * math.sin(p)) / (1 + e * math.sin(p))) ** (e / 2)
+    n = (math.log(m(p1)) - math.log(m(p2))) / (math.log(t(p1)) - math.log(t(p2)))
+    f = g.SEMI_MAJOR * m(p1) / (n * t(p1) ** n)
+    rho0 = f * t(lat0) ** n
+    inverse = f"""c1 AS (SELECT *, pow(sqrt(x * x + ({rho0!r} - y) * ({rho0!r} - y)) / {f!r}, {1 / n!r}) AS tt, atan2(x, {rho0!r} - y) / {n!r} AS lon FROM c0),
+c2 AS (SELECT *, list_reduce(list_prepend({math.pi / 2!r} - 2 * atan(tt), range(8)::DOUBLE[]), lambda p, i: {math.pi / 2!r} - 2 * atan(tt * pow((1 - {e!r} * sin(p)) / (1 + {e!r} * sin(p)), {e / 2!r}))) AS lat FROM c1)"""
+    forward = f"""c3 AS (SELECT *, asin({1 - e2!r} * (sin(lat) / (1 - {e2!r} * sin(lat) * sin(lat)) - {1 / (2 * e)!r} * ln((1 - {e!r} * sin(lat)) / (1 + {e!r} * sin(lat)))) / {qp!r}) AS b FROM c2),
+c4 AS (SELECT *, {rq!r} * sqrt(2 / (1 + {math.sin(b0)!r} * sin(b) + {math.cos(b0)!r} * cos(b) * cos(lon))) AS bb FROM c3),
+c5 AS (SELECT * EXCLUDE (bb), bb * {d!r} * cos(b) * sin(lon) AS px, bb / {d!r} * ({math.cos(b0)!r} * sin(b) - {math.sin(b0)!r} * cos(b) * cos(lon)) AS py FROM c4)"""
+    return inverse, forward
+
+
+_INVERSE_SQL, _FORWARD_SQL = _between_sql()
+_LAEA = lambda lon, lat: g.laea(lon, lat, 0.0, 30.0)
+_CONIC_TO_LAEA = g.between(lambda x, y: g.lcc_inverse(x, y, 0.0, 30.0, 20.0, 40.0), _LAEA)
+_TARGET_GT = (0.0, 45.0, 0.0, 1920.0, 0.0, -45.0)
+_WARP_SQL = f"WITH {PIXELS_SQL}, a AS (SELECT row, col, avg(class) AS v FROM px GROUP BY 1, 2), c0 AS (SELECT i, j, (j + 0.5) * 45 AS x, 1920 - (i + 0.5) * 45 AS y FROM range(42) AS q(i), range(42) AS z(j)), {_INVERSE_SQL}, {_FORWARD_SQL}, w AS (SELECT i, j, px / 30 AS fc, (1920 - py) / 30 AS fr FROM c5)"
+
+
+@plans.add(f"{_WARP_SQL} SELECT i::INTEGER AS row, j::INTEGER AS col, round(v, 6) AS v FROM w LEFT JOIN a ON a.row = floor(fr) AND a.col = floor(fc)")
+def warped_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An equal-area raster at the pixels of a conic lattice."""
+    return _rounded(raster.resampled(_mean_raster(spark, sf_dir), GT, _target(spark), _TARGET_GT, "v", to_source=_CONIC_TO_LAEA))
+
+
+@plans.add(f"""{_WARP_SQL}, n AS (SELECT i, j, (1 - abs(fr - 0.5 - (floor(fr - 0.5) + dr))) * (1 - abs(fc - 0.5 - (floor(fc - 0.5) + dc))) AS wt, floor(fr - 0.5) + dr AS sr, floor(fc - 0.5) + dc AS sc FROM w, range(2) AS d1(dr), range(2) AS d2(dc))
+SELECT i::INTEGER AS row, j::INTEGER AS col, round(sum(wt * v) / nullif(sum(CASE WHEN v IS NOT NULL THEN wt END), 0), 5) AS v FROM n LEFT JOIN a ON a.row = sr AND a.col = sc GROUP BY 1, 2""")
+def warped_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(raster.resampled(_mean_raster(spark, sf_dir), GT, _target(spark), _TARGET_GT, "v", "bilinear", _CONIC_TO_LAEA), 5)
+
+
+@plans.add(f"""WITH {_PB}, k AS (SELECT box, i, radians(CASE WHEN i IN (1, 2) THEN x2 ELSE x1 END * 50) AS lon, radians(CASE WHEN i IN (2, 3) THEN y2 ELSE y1 END * 50 + 30) AS lat FROM b, range(4) AS r(i)), c2 AS (SELECT * FROM k), {_FORWARD_SQL},
+n AS (SELECT box, px, py, coalesce(lead(px) OVER w, first_value(px) OVER w) AS qx, coalesce(lead(py) OVER w, first_value(py) OVER w) AS qy FROM c5 WINDOW w AS (PARTITION BY box ORDER BY i))
+SELECT box, count(DISTINCT id) AS points, round(area / 1e6, 4) AS area FROM (SELECT box, abs(sum(px * qy - qx * py)) / 2 AS area FROM n GROUP BY box) JOIN p ON p.label = box GROUP BY ALL""")
+def areas_reprojected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of each label with the square kilometres of its shape, whose degrees become metres on the way."""
+    degrees = boxes(spark, sf_dir).select("box", g.box(F.col("x1") * 50, F.col("y1") * 50 + 30, F.col("x2") * 50, F.col("y2") * 50 + 30).alias("rings"))
+    counted = points(spark, sf_dir).groupBy(F.col("label").alias("box")).agg(F.count_distinct("id").alias("points"))
+    out = spatial.with_shapes(counted, degrees, "box", "box", to=_LAEA)
+    return _rounded(out.select("box", "points", (g.area(F.col("rings")) / 1e6).alias("area")), 4)
+
+
+@plans.add(plans.sql["zone_water_areas"])
+def zone_water_areas_by_scanline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As zone_water_areas, by runs of columns."""
+    return raster.zone_areas(_zones(spark), raster.scanned(pixels(spark, sf_dir), _zones(spark), GT), F.col("class") == 1, raster.pixel_area(GT), by=["period"])
+
+
+_TRIANGLES_SQL = """tri AS (SELECT box AS zone, [x1 * 3000 + 960, x2 * 3000 + 960, x2 * 3000 + 960] AS xs, [y1 * 3000 + 960, y1 * 3000 + 960, y2 * 3000 + 960] AS ys FROM b),
+s AS (SELECT zone, xs[i] / 30 AS ax, (ys[i] - 1920) / -30 AS ay, xs[i % 3 + 1] / 30 AS ex, (ys[i % 3 + 1] - 1920) / -30 AS ey FROM tri, range(1, 4) AS r(i)),
+cells AS (SELECT DISTINCT row, col FROM px),
+side AS (SELECT zone, row, col, (ex - ax) * (row + 0.5 - ay) - (ey - ay) * (col + 0.5 - ax) AS turn,
+  least(ax, ex) < col + 1 AND greatest(ax, ex) > col AND least(ay, ey) < row + 1 AND greatest(ay, ey) > row
+  AND least((ex - ax) * (row - ay) - (ey - ay) * (col - ax), (ex - ax) * (row - ay) - (ey - ay) * (col + 1 - ax), (ex - ax) * (row + 1 - ay) - (ey - ay) * (col - ax), (ex - ax) * (row + 1 - ay) - (ey - ay) * (col + 1 - ax)) < 0
+  AND greatest((ex - ax) * (row - ay) - (ey - ay) * (col - ax), (ex - ax) * (row - ay) - (ey - ay) * (col + 1 - ax), (ex - ax) * (row + 1 - ay) - (ey - ay) * (col - ax), (ex - ax) * (row + 1 - ay) - (ey - ay) * (col + 1 - ax)) > 0 AS through
+  FROM s, cells),
+held AS (SELECT zone, row, col FROM side GROUP BY ALL HAVING bool_or(through) OR min(turn) >= 0 OR max(turn) <= 0),
+pz AS (SELECT px.*, h.zone FROM px JOIN (SELECT row, col, max(zone) AS zone FROM held GROUP BY 1, 2) h USING (row, col))"""
+
+
+@plans.add(f"""WITH {_PB}, {PIXELS_SQL}, {_TRIANGLES_SQL} SELECT zone, period, sum(CASE WHEN class = 1 THEN 900.0 ELSE 0 END)::DOUBLE AS area FROM pz GROUP BY 1, 2 UNION ALL SELECT box, NULL, 0.0 FROM b WHERE box NOT IN (SELECT zone FROM pz)""")
+def triangle_water_areas_all_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly water area of half of each label's box, with every pixel that its sides pass through; the highest label has a pixel."""
+    at = lambda c: F.col(c) * 3000 + 960
+    corners = F.array(g.ring((at("x1"), at("y1")), (at("x2"), at("y1")), (at("x2"), at("y2"))))
+    triangles = boxes(spark, sf_dir).select(F.col("box").alias("zone"), F.col("box").alias("draw_order"), corners.alias("rings"))
+    return raster.zone_areas(triangles, raster.scanned(pixels(spark, sf_dir), triangles, GT, all_touched=True), F.col("class") == 1, raster.pixel_area(GT), by=["period"])
+
+
+@plans.add(f"""WITH {POINTS_SQL}, q AS (SELECT label, x AS x1, y AS y1, x + 0.02 AS x2, y + 0.01 AS y2 FROM p), e AS (SELECT DISTINCT label, x1 AS x FROM q UNION SELECT DISTINCT label, x2 FROM q),
+s AS (SELECT label, x AS a, lead(x) OVER (PARTITION BY label ORDER BY x) AS z FROM e), h AS (SELECT s.label, a, z, y1, y2, max(y2) OVER (PARTITION BY s.label, a ORDER BY y1, y2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM s JOIN q ON q.label = s.label AND x1 <= a AND x2 >= z)
+SELECT label, round(sum((z - a) * greatest(0, y2 - greatest(y1, coalesce(top, y1)))), 9) AS area FROM h GROUP BY label""")
+def parts_united(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area of the union of each label's boxes, overlaps once."""
+    parts = points(spark, sf_dir).select("label", g.box(F.col("x"), F.col("y"), F.col("x") + 0.02, F.col("y") + 0.01).alias("rings"))
+    return _rounded(union.united_areas(union.boundary(parts, "label", 0.1), "label"), 9)
