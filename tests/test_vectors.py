@@ -147,7 +147,7 @@ def test_union_of_stars(spark):
     shapes = {r["k"]: [[p.asDict() for p in ring] for ring in r["rings"]] for r in united.collect()}
     areas = {r["k"]: r["area"] for r in union.united_areas(union.boundary(df, "k", 2.5), "k").collect()}
     other = {r["k"]: r["area"] for r in union.united_areas(union.boundary(df, "k", 40.0), "k").collect()}
-    assert {k: area_of(s) for k, s in shapes.items()} == pytest.approx(areas) == pytest.approx(other)
+    assert {k: area_of(s) for k, s in shapes.items()} == pytest.approx(areas) and areas == pytest.approx(other)
     pts = spark.createDataFrame([(j, draw.uniform(-3, 13), draw.uniform(-3, 13)) for j in range(400)], "id int, x double, y double")
     own = {(r["id"], r["k"]) for r in spatial.points_in_shapes(pts, df, 2.5).collect()}
     assert {(r["id"], r["k"]) for r in spatial.points_in_shapes(pts, united, 2.5).collect()} == own and len(own) > 100

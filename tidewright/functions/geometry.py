@@ -62,7 +62,9 @@ def centroid(rings: Column) -> Column:
 
 
 def bounds(rings: Column) -> Column:
-    xs, ys = F.transform(rings[0], lambda p: p["x"]), F.transform(rings[0], lambda p: p["y"])
+    """Of all rings, as a shape of several parts has several outer ones."""
+    corners = F.flatten(rings)
+    xs, ys = F.transform(corners, lambda p: p["x"]), F.transform(corners, lambda p: p["y"])
     return F.struct(F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2"))
 
 
