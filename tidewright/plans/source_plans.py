@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators import fill, raster, records, reshape, rollup, series, spatial, validate
 from ..operators.graph import settled
-from ..sources import readers, writers
+from ..sources import rasters, readers, writers
 from . import Plans
 from .proxies import BOXES_SQL, DENSE_SQL, MONTHS_SQL, PIXELS_SQL, POINTS_SQL, SUPPLIERS_SQL, YEARLY_SQL, YEARS, boxes, dense_months, months, pixels, points, suppliers, table
 from .rollup_plans import _METRICS, _pairs, _PAIRS
@@ -281,3 +281,11 @@ def one_sided_ks_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = suppliers(spark, sf_dir)
     rows = months(spark, sf_dir).join(s.select("id", "zone"), "id").groupBy("zone", "id").agg(F.avg("value").alias("a"), F.max("value").alias("b"))
     return _rounded(rollup.bootstrap_ks(rows, "zone", "a", "b", 100, side="above"))
+
+
+@plans.add(f"WITH {PIXELS_SQL} SELECT period, row::INTEGER AS row, col::INTEGER AS col, class FROM px WHERE row BETWEEN 20 AND 39 AND col BETWEEN 10 AND 24")
+def raster_cropped_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map extent of a raster table in Morton order, of which only the row groups near it are read."""
+    path = _folder(spark, "raster")
+    rasters.write(pixels(spark, sf_dir).select("period", "row", "col", "class"), path, parts=8)
+    return rasters.crop(spark, path, (0.0, 30.0, 0.0, 1920.0, 0.0, -30.0), 300.0, 720.0, 750.0, 1320.0)

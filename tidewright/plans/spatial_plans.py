@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import raster, rollup, spatial, union
+from ..operators import quadtree, raster, rollup, spatial, union
 from . import Plans
 from .proxies import BOXES_SQL, PIXELS_SQL, POINTS_SQL, SUPPLIERS_SQL, boxes, pixels, points, suppliers, table
 from .series_plans import _rounded
@@ -409,3 +409,22 @@ def parts_united(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area of the union of each label's boxes, overlaps once."""
     parts = points(spark, sf_dir).select("label", g.box(F.col("x"), F.col("y"), F.col("x") + 0.02, F.col("y") + 0.01).alias("rings"))
     return _rounded(union.united_areas(union.boundary(parts, "label", 0.1), "label"), 9)
+
+
+@plans.add(f"""WITH {_PB}, w AS (SELECT box, x1, x2, y1, y2 FROM b UNION ALL SELECT 1000 + box, x1 - 50 * box, x2 + 50 * box, y1 - box, y2 + box FROM b) SELECT box, id FROM p JOIN w ON x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2""")
+def points_in_shapes_of_all_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in each label's box and in boxes up to ten thousand times as wide, over a quadtree."""
+    b = boxes(spark, sf_dir)
+    large = b.select((F.col("box") + 1000).alias("box"), (F.col("x1") - 50 * F.col("box")).alias("x1"), (F.col("x2") + 50 * F.col("box")).alias("x2"), (F.col("y1") - F.col("box")).alias("y1"), (F.col("y2") + F.col("box")).alias("y2"))
+    shapes = b.unionByName(large).select("box", g.box(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")).alias("rings"))
+    return quadtree.points_in_shapes(points(spark, sf_dir), shapes, 0.05).select("box", "id")
+
+
+@plans.add(f"""WITH {_PB}, w AS (SELECT box, x1, x2, y1, y2 FROM b UNION ALL SELECT 1000 + box, x1 - 50 * box, x2 + 50 * box, y1 - box, y2 + box FROM b) SELECT w.box, id FROM p JOIN w ON x + 0.01 >= x1 AND x <= x2 AND y + 0.01 >= y1 AND y <= y2""")
+def squares_meeting_shapes_of_all_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small squares at the points with the boxes, small and large, that they meet."""
+    b = boxes(spark, sf_dir)
+    large = b.select((F.col("box") + 1000).alias("box"), (F.col("x1") - 50 * F.col("box")).alias("x1"), (F.col("x2") + 50 * F.col("box")).alias("x2"), (F.col("y1") - F.col("box")).alias("y1"), (F.col("y2") + F.col("box")).alias("y2"))
+    shapes = b.unionByName(large).select("box", g.box(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")).alias("rings"))
+    squares = points(spark, sf_dir).select("id", g.box(F.col("x"), F.col("y"), F.col("x") + 0.01, F.col("y") + 0.01).alias("other_rings"))
+    return quadtree.shapes_to_shapes(shapes, squares, 0.05).select("box", "id")
