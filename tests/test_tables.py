@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from tidewright.functions import scalars
-from tidewright.operators import records, rollup, validate
+from tidewright.operators import records, resampling, rollup, validate
 from tidewright.sources import readers, writers
 from tidewright.streaming import arrivals
 
@@ -44,7 +44,7 @@ def test_shares_sum_to_a_hundred(spark):
 def test_permutation_p_values(spark):
     draw = random.Random(5)
     rows = [(1, draw.gauss(3, 1), draw.gauss(0, 1)) for _ in range(20)] + [(2, draw.gauss(0, 1), draw.gauss(0, 1)) for _ in range(20)] + [(3, None, 1.0)]
-    got = {r["g"]: r for r in rollup.permutation_test(spark.createDataFrame(rows, "g int, a double, b double"), "g", "a", "b", 200).collect()}
+    got = {r["g"]: r for r in resampling.permutation_test(spark.createDataFrame(rows, "g int, a double, b double"), "g", "a", "b", 200).collect()}
     assert got[1]["p_greater"] < 0.02 and got[1]["p_less"] > 0.9 and 0.02 < got[2]["p_greater"] < 0.98 and 3 not in got
     assert got[1]["u"] == sum((a > b) + (a == b) / 2 for g, a, _ in rows if g == 1 for h, _, b in rows if h == 1)
 
@@ -52,9 +52,9 @@ def test_permutation_p_values(spark):
 def test_bootstrap_and_ks(spark):
     draw = random.Random(6)
     df = spark.createDataFrame([("a", draw.gauss(0, 1), draw.gauss(4, 1)) for _ in range(30)], "c string, v double, w double")
-    medians = rollup.bootstrap(df, "c", "v", resamples=100)
+    medians = resampling.bootstrap(df, "c", "v", resamples=100)
     assert medians.count() == 100 and medians.select("value").distinct().count() > 5
-    r = rollup.bootstrap_ks(df, "c", "v", "w", 50).first()
+    r = resampling.bootstrap_ks(df, "c", "v", "w", 50).first()
     assert r["d"] > 0.8 and r["p"] < 0.05
 
 

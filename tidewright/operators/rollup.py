@@ -1,4 +1,4 @@
-"""Roll-ups of entities to cells, zones and classes; summaries, shares, histograms, resampling tests."""
+"""Roll-ups of entities to cells, zones and classes; summaries, shares, histograms."""
 
 from __future__ import annotations
 
@@ -191,56 +191,3 @@ def segmentation_metrics(df: DataFrame, by: Sequence[str], truth: str, soft: str
         *by, ((F.col("i") + 1) / (F.col("y") + F.col("p") - F.col("i") + 1)).alias("iou"), ((2 * F.col("i") + 1) / (F.col("y") + F.col("p") + 1)).alias("dice"),
         ((F.col("n00") + F.col("n11")) / n).alias("accuracy"), ((iou(0) + iou(1)) / 2).alias("mean_iou"),
     )
-
-
-# ---- resampling
-
-
-def permutation_test(df: DataFrame, by: str, a: str, b: str, shuffles: int = 1000, seed: int = 42) -> DataFrame:
-    """(by, u, p_greater, p_less): Mann-Whitney U of a over b with p-values from shuffled labels.
-
-    Rows with a null on either side drop out. Values are ranked once; a shuffle deals the labels anew by hashing.
-    """
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("__row", F.monotonically_increasing_id())
-    both = rows.select(by, "__row", F.explode(F.array(F.struct(F.lit(1).alias("__g"), F.col(a).cast("double").alias("__v")), F.struct(F.lit(0).alias("__g"), F.col(b).cast("double").alias("__v")))).alias("z"))
-    both = both.select(by, "__row", "z.__g", "z.__v")
-    rank = F.rank().over(Window.partitionBy(by).orderBy("__v")) + (F.count(F.lit(1)).over(Window.partitionBy(by, "__v")) - 1) / 2
-    ranked = both.withColumns({"r": rank, "n": F.sum("__g").over(Window.partitionBy(by))})
-    observed = ranked.groupBy(by).agg((F.sum(F.col("__g") * F.col("r")) - F.first("n") * (F.first("n") + 1) / 2).alias("u"), F.first("n").alias("n"))
-    dealt = ranked.select(by, "n", "r", F.explode(F.sequence(F.lit(1), F.lit(shuffles))).alias("s"), "__row", "__g")
-    order = F.row_number().over(Window.partitionBy(by, "s").orderBy(F.xxhash64("__row", "__g", "s", F.lit(seed))))
-    shuffled = dealt.withColumn("o", order).where(F.col("o") <= F.col("n")).groupBy(by, "s").agg((F.sum("r") - F.first("n") * (F.first("n") + 1) / 2).alias("us"))
-    joined = shuffled.join(observed, by)
-    return joined.groupBy(by).agg(F.first("u").alias("u"), ((F.count_if(F.col("us") >= F.col("u")) + 1) / (shuffles + 1)).alias("p_greater"), ((F.count_if(F.col("us") <= F.col("u")) + 1) / (shuffles + 1)).alias("p_less"))
-
-
-def bootstrap(df: DataFrame, by: str, measure: str, stat: str = "median", resamples: int = 1000, seed: int = 42) -> DataFrame:
-    """(by, resample, value): the statistic of rows drawn with replacement within each class."""
-    w = Window.partitionBy(by)
-    rows = df.where(F.col(measure).isNotNull()).select(by, F.col(measure).alias("v"))
-    placed = rows.withColumns({"i": F.row_number().over(w.orderBy("v")), "n": F.count(F.lit(1)).over(w)})
-    draws = placed.select(by, "i", "n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample"))
-    drawn = draws.select(by, "resample", (F.pmod(F.xxhash64(by, "i", "resample", F.lit(seed)), F.col("n")) + 1).alias("i"))
-    return drawn.join(placed.select(by, "i", "v"), [by, "i"]).groupBy(by, "resample").agg(STATS[stat]("v").alias("value"))
-
-
-def bootstrap_ks(df: DataFrame, by: str, a: str, b: str, resamples: int = 1000, seed: int = 42, side: str = "both") -> DataFrame:
-    """(by, d, p): Kolmogorov-Smirnov distance of a and b, and the share of pooled resamples that reach it.
-
-    side: both, or above (a's share up to a value exceeds b's) or below alone.
-    """
-    signed = {"both": F.abs, "above": lambda x: x, "below": lambda x: -x}[side]
-    pooled = df.select(by, F.explode(F.array(F.struct(F.lit(1).alias("__g"), F.col(a).alias("v")), F.struct(F.lit(0).alias("__g"), F.col(b).alias("v")))).alias("z")).select(by, "z.__g", "z.v").where("v is not null")
-
-    def distance(rows: DataFrame, keys: list[str]) -> DataFrame:
-        steps = rows.groupBy(*keys, "v").agg(F.sum("__g").alias("x"), F.sum(1 - F.col("__g")).alias("y"))
-        upto, whole = Window.partitionBy(*keys).orderBy("v"), Window.partitionBy(*keys)
-        gap = signed(F.sum("x").over(upto) / F.sum("x").over(whole) - F.sum("y").over(upto) / F.sum("y").over(whole))
-        return steps.withColumn("gap", gap).groupBy(*keys).agg(F.max("gap").alias("d"))
-
-    w = Window.partitionBy(by)
-    placed = pooled.withColumns({"i": F.row_number().over(w.orderBy("v", "__g")), "n": F.count(F.lit(1)).over(w)})
-    draws = placed.select(by, "__g", "i", "n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("s"))
-    drawn = draws.select(by, "__g", "s", (F.pmod(F.xxhash64(by, "i", "s", F.lit(seed)), F.col("n")) + 1).alias("i"))
-    again = distance(drawn.join(placed.select(by, "i", "v"), [by, "i"]), [by, "s"]).withColumnRenamed("d", "ds")
-    return again.join(distance(pooled, [by]), by).groupBy(by).agg(F.first("d").alias("d"), ((F.count_if(F.col("ds") >= F.col("d")) + 1) / (resamples + 1)).alias("p"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import guarded_slope, two_sided_p
+from .graph import settled
 
 
 def with_year(df: DataFrame, start: str, period_length: int = 12) -> DataFrame:
@@ -138,17 +139,59 @@ def mann_kendall(rows: DataFrame, value: Column | str, key: str = "id", at: str
     return out.select(key, "s", "slope", "z", "p", label.alias("trend"), (F.col("p") < 0.05).alias("significant"))
 
 
-def pettitt(rows: DataFrame, value: str, key: str = "id", at: str = "year_idx", alpha: float = 0.05) -> DataFrame:
-    """(key, k, cp, p, significant): the change point where |2 * rank sum - k(n+1)| is largest, first of equals."""
+def _pettitt_top(rows: DataFrame, value: str, key: str, at: str) -> DataFrame:
+    """(key, k, n, cp) of Pettitt's statistic."""
     everything = Window.partitionBy(key)
     x = rows.select(key, at, F.col(value).alias("x")).where("x is not null").withColumn("n", F.count(F.lit(1)).over(everything))
     rank = F.rank().over(everything.orderBy("x")) + (F.count(F.lit(1)).over(Window.partitionBy(key, "x")) - 1) / 2
     by = everything.orderBy(at)
     x = x.withColumns({"r": rank, "i": F.row_number().over(by)})
     x = x.withColumn("u", F.abs(2 * F.sum("r").over(by) - F.col("i") * (F.col("n") + 1)))
-    top = x.groupBy(key).agg(F.max("u").alias("k"), F.first("n").alias("n"), F.max_by(F.col(at), F.struct("u", -F.col("i"))).alias("cp"))
+    return x.groupBy(key).agg(F.max("u").alias("k"), F.first("n").alias("n"), F.max_by(F.col(at), F.struct("u", -F.col("i"))).alias("cp"))
+
+
+def pettitt(rows: DataFrame, value: str, key: str = "id", at: str = "year_idx", alpha: float = 0.05) -> DataFrame:
+    """(key, k, cp, p, significant): the change point where |2 * rank sum - k(n+1)| is largest, first of equals."""
+    p = F.least(F.lit(1.0), 2 * F.exp(-6 * F.col("k") * F.col("k") / (F.pow("n", F.lit(3)) + F.pow("n", F.lit(2)))))
+    return _pettitt_top(rows, value, key, at).select(key, "k", "cp", p.alias("p"), (p < alpha).alias("significant"))
+
+
+def pettitt_null(lengths: DataFrame, simulations: int = 20_000, seed: int = 42) -> DataFrame:
+    """(n, k, p): the share of random orders of n values whose statistic is k or more, for each length n and each whole k up to n^2 / 2 and 1 beyond.
+
+    A length is drawn once, in blocks, from (seed, n): the distribution does not depend on the values, only on how many there are.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for n in batch.column(0).to_pylist():
+                draw, top = np.random.default_rng([seed, n]), n * n // 2 + 1
+                counts, block = np.zeros(top + 1, np.int64), max(1, 2_000_000 // max(n, 1))
+                for first in range(0, simulations, block):
+                    size = min(block, simulations - first)
+                    ranks = draw.permuted(np.tile(np.arange(1, n + 1, dtype=np.int64), (size, 1)), axis=1)
+                    k = np.abs(2 * np.cumsum(ranks, 1) - np.arange(1, n + 1) * (n + 1)).max(1)
+                    counts += np.bincount(k, minlength=top + 1)
+                reached = counts[::-1].cumsum()[::-1] / simulations
+                yield pa.RecordBatch.from_arrays([pa.array([n] * (top + 1), pa.int64()), pa.array(np.arange(top + 1)), pa.array(reached)], ["n", "k", "p"])
+
+    own = lengths.select(F.col(lengths.columns[0]).cast("long").alias("n")).where("n > 0").distinct()
+    return own.repartition("n").mapInArrow(run, "n long, k long, p double")
+
+
+def pettitt_simulated(rows: DataFrame, value: str, key: str = "id", at: str = "year_idx", alpha: float = 0.05, simulations: int = 20_000, seed: int = 42) -> DataFrame:
+    """As `pettitt`, with p_simulated beside the closed form: one simulated distribution for each series length, joined by length and statistic.
+
+    Ties make half ranks, so a statistic between two whole ones takes the upper one's share.
+    """
+    top = settled(_pettitt_top(rows, value, key, at))
+    null = pettitt_null(top.select("n").distinct(), simulations, seed).select("n", F.col("k").alias("__k"), F.col("p").alias("p_simulated"))
     p = F.least(F.lit(1.0), 2 * F.exp(-6 * F.col("k") * F.col("k") / (F.pow("n", F.lit(3)) + F.pow("n", F.lit(2)))))
-    return top.select(key, "k", "cp", p.alias("p"), (p < alpha).alias("significant"))
+    out = top.withColumn("__k", F.ceil("k")).join(null, ["n", "__k"], "left")
+    return out.select(key, "k", "cp", p.alias("p"), "p_simulated", (F.col("p_simulated") < alpha).alias("significant"))
 
 
 def proportion_test(x1: Column, n1: Column, x2: Column, n2: Column) -> tuple[Column, Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import records, reshape, rollup, series, stl, validate
+from ..operators import records, resampling, reshape, rollup, series, stl, validate
 from ..streaming import arrivals
 from . import Plans
 from .proxies import DENSE_SQL, END, MONTHS_SQL, POINTS_SQL, START, SUPPLIERS_SQL, YEARLY_SQL, YEARS, dense_months, months, points, suppliers, table
@@ -151,19 +151,19 @@ def segmentation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plans.add()
 def permutation_test_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Natural against managed values of each zone, 200 shuffles."""
+    """Natural against managed values of each zone, 1,000 shuffles."""
     rows = months(spark, sf_dir).join(suppliers(spark, sf_dir), "id")
-    return _rounded(rollup.permutation_test(reshape.split_by_type(rows, "value", "kind").groupBy("zone", "period").agg(F.avg("value_natural").alias("a"), F.avg("value_managed").alias("b")), "zone", "a", "b", 200))
+    return _rounded(resampling.permutation_test(reshape.split_by_type(rows, "value", "kind").groupBy("zone", "period").agg(F.avg("value_natural").alias("a"), F.avg("value_managed").alias("b")), "zone", "a", "b"))
 
 
 @plans.add()
 def bootstrap_medians_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(rollup.bootstrap(_entities(spark, sf_dir), "zone", "std", resamples=200))
+    return _rounded(resampling.bootstrap(_entities(spark, sf_dir), "zone", "std"))
 
 
 @plans.add()
 def bootstrap_ks_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(rollup.bootstrap_ks(_entities(spark, sf_dir).withColumn("trend", F.col("trend") * 10 + 60), "zone", "std", "trend", 100))
+    return _rounded(resampling.bootstrap_ks(_entities(spark, sf_dir).withColumn("trend", F.col("trend") * 10 + 60), "zone", "std", "trend"))
 
 
 def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -327,3 +327,9 @@ def total_series_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rows.withColumn("total_anomaly", F.sum("anomaly").over(Window.partitionBy("period"))))
 
 
+
+
+@plans.add()
+def pettitt_simulated_of_annual_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change points with a p from the simulated distribution of each series length, beside the closed form."""
+    return _rounded(series.pettitt_simulated(series.yearly(dense_months(spark, sf_dir)), "mean"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import fill, raster, records, reshape, rollup, series, spatial, validate
+from ..operators import fill, raster, records, resampling, reshape, rollup, series, spatial, validate
 from ..operators.graph import settled
 from ..sources import rasters, readers, writers
 from . import Plans
@@ -280,7 +280,7 @@ def patches_thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_sided_ks_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = suppliers(spark, sf_dir)
     rows = months(spark, sf_dir).join(s.select("id", "zone"), "id").groupBy("zone", "id").agg(F.avg("value").alias("a"), F.max("value").alias("b"))
-    return _rounded(rollup.bootstrap_ks(rows, "zone", "a", "b", 100, side="above"))
+    return _rounded(resampling.bootstrap_ks(rows, "zone", "a", "b", side="above"))
 
 
 @plans.add(f"WITH {PIXELS_SQL} SELECT period, row::INTEGER AS row, col::INTEGER AS col, class FROM px WHERE row BETWEEN 20 AND 39 AND col BETWEEN 10 AND 24")
