@@ -139,6 +139,21 @@ def test_arrivals_count_once(spark, tmp_path):
     assert got == {1: 1.0, 2: 6.0} and spark.read.parquet(table).count() == 4
 
 
+def test_many_wide_csvs_in_one_scan(spark, tmp_path):
+    """Files with headers of their own, quoted and missing columns; the number of jobs does not follow the number of files."""
+    periods = ["2001-01-01", "2001-02-01"]
+    for k in range(60):
+        head, line = ("id,2001-01-01,2001-02-01", f"{k},{k}.5,nan") if k % 3 == 0 else ('name,"2001-02-01",id', f'"a, b",{k}.25,{k}') if k % 3 == 1 else ("2001-01-01,id", f",{k}")
+        (tmp_path / f"{k:03}.csv").write_text(f"{head}\n{line}\n")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("wide", "wide")
+    got = {(r["id"], str(r["period"])): r["value"] for r in readers.wide_csv(spark, str(tmp_path), "id", periods).collect()}
+    jobs = len(tracker.getJobIdsForGroup("wide"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == 120 and jobs < 20
+    assert got[3, "2001-01-01"] == 3.5 and got[4, "2001-02-01"] == 4.25 and got[4, "2001-01-01"] is None and got[5, "2001-01-01"] is None
+
+
 def test_thresholds(spark):
     df = spark.createDataFrame([(0.0, 1.0), (0.5, 2.0), (99.9, 4.0)], "s double, w double")
     got = {r["threshold"]: r["total"] for r in rollup.below_thresholds(df, "s", "w").collect()}

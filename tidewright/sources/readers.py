@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import settled
 from ..operators.reshape import to_long
 
 #: basin, start and end in a monthly file's name; the part before _area is optional.
@@ -17,18 +18,31 @@ SENTINELS = (99999999.0, 999.99, 9999.99)
 
 
 def wide_csv(spark: SparkSession, path: str, key: str, periods: Sequence[str], value: str = "value") -> DataFrame:
-    """A wide entity-month table as long rows; other columns are not read."""
-    schema = T.StructType([T.StructField(key, T.LongType()), *(T.StructField(p, T.DoubleType()) for p in periods)])
-    # Each file's own header names its columns, whatever their order and quotes; a part without a column has nulls there.
-    files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").toLocalIterator()]
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for f in files:
-        groups.setdefault(tuple(spark.read.csv(f, header=True).columns), []).append(f)
-    out = spark.createDataFrame([], schema)
-    for names, own in groups.items():
-        full = T.StructType([schema[n] if n in schema.names else T.StructField(n, T.StringType()) for n in names])
-        out = out.unionByName(spark.read.csv(own, header=True, schema=full, nanValue="nan").select(*(n for n in names if n in schema.names)), allowMissingColumns=True)
-    return to_long(out.select(key, *periods), key, periods, value)
+    """A wide entity-month table of any number of files as long rows; other columns are not parsed into values.
+
+    All files are one scan of lines. A line with the key's name among its fields is its file's header, whatever the order of
+    columns; a file without a column has nulls there. Files that share a header need no join: with several headers, lines meet
+    theirs by the file. Fields may be quoted but must not hold line breaks.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.length("value") > 0)
+    # Lines with the name somewhere are few; among them only headers have it as a field.
+    maybe = lines.where(F.col("value").contains(key))
+    most = maybe.agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
+    generic = ", ".join(f"c{k} string" for k in range(most))
+    parsed = lambda df: df.withColumn("c", F.from_csv("value", F.lit(generic))).withColumn("fields", F.array(*(F.col(f"c.c{k}") for k in range(most)))).drop("c", "value")
+    wanted = F.array(*map(F.lit, periods))
+    at = lambda name: F.array_position("fields", name).cast("int") - 1
+    headers = parsed(maybe).where(F.array_contains("fields", key)).select("file", at(F.lit(key)).alias("key_at"), F.transform(wanted, at).alias("at"))
+    headers = settled(headers.distinct())
+    kinds = headers.select("key_at", "at").distinct().limit(2).collect()
+    rows = parsed(lines).where(~F.coalesce(F.array_contains("fields", key), F.lit(False)))
+    if len(kinds) == 1:
+        rows = rows.withColumns({"key_at": F.lit(kinds[0]["key_at"]), "at": F.array(*map(F.lit, kinds[0]["at"]))})
+    else:
+        rows = rows.join(headers, "file")
+    value_at = lambda i: F.when(i >= 0, F.get("fields", i).try_cast("double"))
+    wide = rows.select(F.get("fields", F.col("key_at")).try_cast("long").alias(key), F.transform("at", value_at).alias("v"))
+    return to_long(wide.select(key, *(F.get("v", F.lit(k)).alias(p) for k, p in enumerate(periods))), key, periods, value)
 
 
 def monthly_csvs(spark: SparkSession, path: str, key: str = "id", value: str = "area") -> DataFrame:
