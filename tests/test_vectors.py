@@ -151,3 +151,24 @@ def test_union_of_stars(spark):
     pts = spark.createDataFrame([(j, draw.uniform(-3, 13), draw.uniform(-3, 13)) for j in range(400)], "id int, x double, y double")
     own = {(r["id"], r["k"]) for r in spatial.points_in_shapes(pts, df, 2.5).collect()}
     assert {(r["id"], r["k"]) for r in spatial.points_in_shapes(pts, united, 2.5).collect()} == own and len(own) > 100
+
+
+def test_a_stored_model(spark, tmp_path):
+    """Two layers against plain loops; a patch with a null or of another size has no mask."""
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    layers = [(draw.normal(size=(3, 1, 3, 3)), draw.normal(size=3)), (draw.normal(size=(1, 3, 3, 3)), np.array([0.1]))]
+    raster.store_model(spark, layers, f"{tmp_path}/m")
+    patches = [draw.normal(size=(6, 7)).tolist() for _ in range(9)]
+    rows = [(k, v) for k, v in enumerate(patches)] + [(90, [[1.0, None], *patches[0][1:]]), (91, [[1.0]]), (92, None)]
+    df = spark.createDataFrame(rows, "id int, v array<array<double>>").repartition(3)
+    got = {r["id"]: r["mask"] for r in raster.predicted_patches(df, raster.loaded_model(spark, f"{tmp_path}/m"), "v", 6, 7, border=1, batch_size=4).collect()}
+    for key, v in enumerate(patches):
+        x = np.array(v)[None]
+        for j, (w, b) in enumerate(layers):
+            pad = np.pad(x, ((0, 0), (1, 1), (1, 1)))
+            x = np.array([[[(pad[:, r : r + 3, c : c + 3] * w[o]).sum() + b[o] for c in range(7)] for r in range(6)] for o in range(len(w))])
+            x = np.maximum(x, 0) if j == 0 else x
+        assert got[key] == (x[0, 1:-1, 1:-1] > 0).astype(int).tolist()
+    assert got[90] is None and got[91] is None and got[92] is None

@@ -223,6 +223,61 @@ def scored_patches(p: DataFrame, predict: Callable, band: str, scale: float = 1.
     return p.mapInArrow(run, schema)
 
 
+def store_model(spark, layers: Sequence[tuple[Sequence, Sequence]], path: str) -> None:
+    """A small convolutional model as a table, a row for each layer: kernels (out, in, k, k), flat with their shape, and biases."""
+    import numpy as np
+
+    rows = [(j, list(map(int, np.shape(w))), np.ravel(w).astype(float).tolist(), np.ravel(b).astype(float).tolist()) for j, (w, b) in enumerate(layers)]
+    spark.createDataFrame(rows, "layer int, shape array<int>, kernels array<double>, biases array<double>").coalesce(1).write.parquet(path)
+
+
+def loaded_model(spark, path: str) -> Callable:
+    """A function that makes the model's predict(batch of patches) in a worker. The weights are the model's own size and nothing else comes to the driver.
+
+    Layers are convolutions that keep the size, with zeros beyond the border; ReLU between them, a logistic at the end.
+    """
+    import numpy as np
+
+    layers = [(np.array(r["kernels"]).reshape(r["shape"]), np.array(r["biases"])) for r in spark.read.parquet(path).orderBy("layer").collect()]
+
+    def make():
+        import numpy as np
+
+        def predict(batch):
+            x = np.asarray(batch, float)[:, None]
+            for j, (w, b) in enumerate(layers):
+                k = w.shape[-1] // 2
+                seen = np.lib.stride_tricks.sliding_window_view(np.pad(x, ((0, 0), (0, 0), (k, k), (k, k))), w.shape[-2:], (2, 3))
+                x = np.einsum("nihwkl,oikl->nohw", seen, w, optimize=True) + b[None, :, None, None]
+                x = np.maximum(x, 0) if j + 1 < len(layers) else 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+            return x[:, 0]
+
+        return predict
+
+    return make
+
+
+def predicted_patches(p: DataFrame, model: Callable, band: str, height: int, width: int, border: int = 0, threshold: float = 0.5, batch_size: int = 64) -> DataFrame:
+    """patches with mask: model() > threshold without a border of so many pixels, where a patch does not see all it needs.
+
+    The model is made once a worker and predicts batches of patches of one size; a patch of another size, or with a null pixel, has
+    a null mask.
+    """
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql import types as T
+
+    def make():
+        predict = model()
+        return lambda flat: predict(flat).reshape(len(flat), -1)
+
+    flat = F.flatten(band)
+    whole = (F.size(flat) == height * width) & ~F.exists(flat, lambda v: v.isNull())
+    scores = predict_batch_udf(make, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size, input_tensor_shapes=[[height, width]])
+    filled = F.when(whole, flat.cast("array<double>")).otherwise(F.array_repeat(F.lit(0.0), height * width))
+    lines = F.transform(F.sequence(F.lit(border), F.lit(height - border - 1)), lambda r: F.transform(F.slice("__score", r * width + border + 1, width - 2 * border), lambda v: (v > threshold).cast("int")))
+    return p.withColumn("__score", scores(filled)).withColumn("mask", F.when(whole, lines)).drop("__score")
+
+
 def mosaic(tiles: DataFrame, order: str, band: str, by: Sequence[str] = ()) -> DataFrame:
     """Later tiles over earlier ones."""
     return tiles.groupBy(*LATTICE, *by).agg(F.max_by(band, order).alias(band))

@@ -289,3 +289,25 @@ def raster_cropped_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "raster")
     rasters.write(pixels(spark, sf_dir).select("period", "row", "col", "class"), path, parts=8)
     return rasters.crop(spark, path, (0.0, 30.0, 0.0, 1920.0, 0.0, -30.0), 300.0, 720.0, 750.0, 1320.0)
+
+
+_LAYERS = [
+    ([[[[1.0] * 3] * 3], [[[-1.0, -1.0, -1.0], [-1.0, 8.0, -1.0], [-1.0, -1.0, -1.0]]]], [-100.0, 0.0]),
+    ([[[[1.0]], [[-2.0]]]], [0.5]),
+]
+
+
+@plans.add(f"""WITH {PIXELS_SQL}, s AS (SELECT row, col, sum(class) AS v FROM px GROUP BY 1, 2), a AS (SELECT i AS row, j AS col, coalesce(v, 0) AS v FROM range(64) AS q(i) CROSS JOIN range(64) AS z(j) LEFT JOIN s ON s.row = i AND s.col = j),
+n AS (SELECT a.row, a.col, a.v, sum(b.v) AS around FROM a JOIN a b ON b.row // 16 = a.row // 16 AND b.col // 16 = a.col // 16 AND abs(b.row - a.row) <= 1 AND abs(b.col - a.col) <= 1 GROUP BY ALL),
+m AS (SELECT (col // 16 * 16)::INTEGER AS xoff, (row // 16 * 16)::INTEGER AS yoff, row % 16 - 2 AS r, col % 16 - 2 AS c, greatest(around - 100, 0) - 2 * greatest(9 * v - around, 0) + 0.5 > 0 AS wet FROM n WHERE row % 16 BETWEEN 2 AND 13 AND col % 16 BETWEEN 2 AND 13)
+SELECT xoff, yoff, count(*) FILTER (wet) AS water, coalesce(sum(r * 12 + c) FILTER (wet), 0)::BIGINT AS places FROM m GROUP BY 1, 2""")
+def patches_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored two-layer convolution over patches of class sums, two pixels of border cut off."""
+    path = _folder(spark, "model")
+    raster.store_model(spark, _LAYERS, path)
+    lattice = spark.range(64 * 64).select(F.floor(F.col("id") / 64).cast("int").alias("row"), (F.col("id") % 64).cast("int").alias("col"))
+    sums = pixels(spark, sf_dir).groupBy("row", "col").agg(F.sum("class").cast("double").alias("v"))
+    p = raster.patches(raster.windows(lattice.join(sums, ["row", "col"], "left").fillna(0.0, ["v"]), 64, 64, 16, 0, ["v"]), "v")
+    out = raster.predicted_patches(p, raster.loaded_model(spark, path), "v", 16, 16, border=2)
+    wet = F.filter(F.transform(F.flatten("mask"), lambda x, i: F.when(x == 1, i)), lambda i: i.isNotNull())
+    return out.select("xoff", "yoff", F.size(wet).cast("long").alias("water"), F.aggregate(wet, F.lit(0).cast("long"), lambda s, i: s + i).alias("places"))
