@@ -13,7 +13,7 @@ that it names in all are verified and joined to components. Where a bucket's mem
 once more, each in the first bucket where it meets: by a fingerprint of `SHARP_BITS` bits, in which a similarity of 0.8 differs
 in 310 bits (beyond the limit of 348 once in a hundred), one of 0.7 in 393 (within it once in two hundred). What passes
 is verified. So neither mutual near copies nor groups that stay well under the similarity emit their pairs; a group
-whose members all are just under it (0.75 to 0.8) and link with none emits up to a third of them.
+whose members all are just under it (0.7 to 0.8) and link with none emits a share of them, a tenth at 0.71.
 
 Texts without words (null, empty, blank) are one set. A very long text is one set as a whole. Repeated rows stay separate
 rows of one group; the group is named by its smallest key, so ties don't arise. Rows without a key are grouped like all
