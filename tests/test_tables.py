@@ -126,17 +126,26 @@ def test_writers(spark, tmp_path):
 
 
 def test_arrivals_count_once(spark, tmp_path):
+    """Files out of order, repeated, with nulls in key and value; a trigger writes the keys of its own rows only."""
     source, table, log = (str(tmp_path / n) for n in ("in", "table", "log"))
     schema = "id int, period string, v double, file int"
     stream = lambda: spark.readStream.schema(schema).parquet(source)
     put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-    put([(1, "a", 1.0, 2), (2, "a", 5.0, 1)])
+    rows = [(1, "a", 1.0, 2), (2, "a", 5.0, 1), (None, "a", None, 1), *((k, "b", float(k), 1) for k in range(10, 500))]
+    put(rows)
     arrivals.ingest(stream(), table, log, ["id", "period"], ["file"])
-    put([(1, "a", 9.0, 1), (2, "a", 6.0, 3)])
+    later = [(1, "a", 9.0, 1), (2, "a", 6.0, 3), (2, "a", 7.0, None)]
+    put(later)
+    state = arrivals.ingest(stream(), table, log, ["id", "period"], ["file"]).recentProgress[0]["stateOperators"][0]
+    assert state["numRowsUpdated"] == 2 and state["numRowsTotal"] == 493
+    put(later)
     arrivals.ingest(stream(), table, log, ["id", "period"], ["file"])
     arrivals.ingest(stream(), table, log, ["id", "period"], ["file"])
-    got = {r["id"]: r["v"] for r in arrivals.current(spark, table, ["id", "period"], ["file"]).collect()}
-    assert got == {1: 1.0, 2: 6.0} and spark.read.parquet(table).count() == 4
+    got = {(r["id"], r["period"]): r["v"] for r in arrivals.current(spark, log).collect()}
+    assert len(got) == 493 and (got[1, "a"], got[2, "a"], got[None, "a"], got[77, "b"]) == (1.0, 6.0, None, 77.0)
+    assert spark.read.parquet(table).where("batch = 1").count() == 2
+    arrivals.compacted(spark, log, str(tmp_path / "whole"))
+    assert spark.read.parquet(str(tmp_path / "whole")).count() == 493
 
 
 def test_many_wide_csvs_in_one_scan(spark, tmp_path):

@@ -283,7 +283,7 @@ def arrivals_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     rows = stream.select("user_id", "event_type", F.to_date("ts").alias("day"), "value", "event_id")
     arrivals.ingest(rows, f"{root}/table", f"{root}/log", ["user_id", "event_type", "day"], ["event_id"])
-    return arrivals.current(spark, f"{root}/table", ["user_id", "event_type", "day"], ["event_id"]).select("user_id", "event_type", "day", "value")
+    return arrivals.current(spark, f"{root}/log").select("user_id", "event_type", "day", "value")
 
 
 # ---- scalar functions
