@@ -130,8 +130,40 @@ def test_bodies_of_every_month(spark):
     b = raster.bodies(px, F.col("v") == 1, 3, by=["period"])
     assert {(r["period"], r["body"], r["area"]) for r in b.collect()} == {("a", 0, 2), ("a", 5, 1), ("b", 1, 3), (None, 0, 2)}
     zones = spark.createDataFrame([(1, 1, rings([(0, 0), (2, 0), (2, 2), (0, 2)])), (2, 2, rings([(2, 0), (3, 0), (3, 2), (2, 2)]))], f"zone long, draw_order int, rings {SHAPE}")
-    given = {(r["period"], r["zone"]): r["area"] for r in raster.body_areas(b, zones, (0.0, 1.0, 0.0, 2.0, 0.0, -1.0), 2.0, by=["period"]).collect()}
-    assert given == {("a", 1): 2, ("a", 2): 1, ("b", 1): 0, ("b", 2): 3, (None, 1): 2, (None, 2): 0}
+    areas = lambda **kw: {(r["period"], r["zone"]): r["area"] for r in raster.body_areas(b, zones, (0.0, 1.0, 0.0, 2.0, 0.0, -1.0), 2.0, by=["period"], **kw).collect()}
+    wet = {("a", 1): 2, ("a", 2): 1, ("b", 2): 3, (None, 1): 2}
+    assert areas() == wet and areas(zeros=True) == {("b", 1): 0, (None, 2): 0, **wet}
+
+
+@pytest.mark.parametrize("tile", [5, 64])
+def test_bodies_over_tiles(spark, tile):
+    """Random water, a spiral, negative rows and a repeated pixel, at any tile size, against a flood."""
+    draw = random.Random(tile)
+    wet = {("noise", r - 5, c) for r in range(23) for c in range(20) if draw.random() < 0.6}
+    r, c, dr, dc, turns = 0, 0, 0, 1, 0
+    line = {(0, 0)}
+    for length in (19, 19, 19, 17, 17, 15, 15, 13, 13, 11, 11, 9, 9, 7, 7, 5, 5, 3, 3):
+        for _ in range(length):
+            r, c = r + dr, c + dc
+            line.add((r, c))
+        dr, dc, turns = dc, -dr, turns + 1
+    wet |= {(None, r, c) for r, c in line}
+    root = {}
+    for m, r, c in sorted(wet, key=lambda x: (str(x[0]), x[1], x[2])):
+        todo = [] if (m, r, c) in root else [(m, r, c)]
+        for p in todo:
+            if p in wet and p not in root:
+                root[p] = (m, r * 20 + c)
+                todo += [(m, p[1] + i, p[2] + j) for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0))]
+    rows = [*wet, max(wet, key=lambda x: (str(x[0]), x[1], x[2]))]
+    px = spark.createDataFrame([(*p, 1) for p in rows] + [("noise", None, 3, 1), ("dry", 1, 1, 0)], "period string, row int, col int, v int")
+    got = raster.bodies(px, F.col("v") == 1, 20, 2.0, ["period"], tile).collect()
+    size = {}
+    for p in rows:
+        size[root[p]] = size.get(root[p], 0) + 2.0
+    assert len(got) == len(rows)
+    assert {(g["period"], g["row"], g["col"], g["body"], g["area"]) for g in got} == {(*p, root[p][1], size[root[p]]) for p in wet}
+    assert raster.bodies(px.where("v = 0"), F.col("v") == 1, 20).count() == 0
 
 
 def test_windows_give_the_raster_back(spark):

@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star rounds over links of longs."""
+"""Connected components by alternating large-star and small-star rounds over links of longs, or of structs that sort."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -41,9 +42,12 @@ def connected(links: DataFrame, u: str = "u", v: str = "v", most_rounds: int = 6
 
     A round is two grouped minima joined back to the links, so no node's links meet in one row, list or task beyond what
     a skewed join can split. keep cuts the lineage after each. Self links and null ends are ignored; an empty input
-    gives an empty result. Raises if a fixpoint is not reached in `most_rounds` rounds (a path of n nodes takes about log2(n)).
+    gives an empty result. Nodes may be structs, whose null fields equal each other. Raises if a fixpoint is not reached in `most_rounds` rounds (a path of n nodes takes about log2(n)).
     """
-    links = links.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u != v")
+    links = links.select(F.col(u).alias("u"), F.col(v).alias("v"))
+    if not isinstance(links.schema["u"].dataType, T.StructType):
+        links = links.select(F.col("u").cast("long"), F.col("v").cast("long"))
+    links = links.where("u != v")
     links = keep(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(links)
     for _ in range(most_rounds):

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import edges
 from ..functions.scalars import awei, is_clear
@@ -211,7 +213,6 @@ def scored_patches(p: DataFrame, predict: Callable, band: str, scale: float = 1.
     schema = p.withColumn("mask", F.lit(None).cast("array<array<int>>")).schema
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
@@ -225,8 +226,6 @@ def scored_patches(p: DataFrame, predict: Callable, band: str, scale: float = 1.
 
 def store_model(spark, layers: Sequence[tuple[Sequence, Sequence]], path: str) -> None:
     """A small convolutional model as a table, a row for each layer: kernels (out, in, k, k), flat with their shape, and biases."""
-    import numpy as np
-
     rows = [(j, list(map(int, np.shape(w))), np.ravel(w).astype(float).tolist(), np.ravel(b).astype(float).tolist()) for j, (w, b) in enumerate(layers)]
     spark.createDataFrame(rows, "layer int, shape array<int>, kernels array<double>, biases array<double>").coalesce(1).write.parquet(path)
 
@@ -236,13 +235,9 @@ def loaded_model(spark, path: str) -> Callable:
 
     Layers are convolutions that keep the size, with zeros beyond the border; ReLU between them, a logistic at the end.
     """
-    import numpy as np
-
     layers = [(np.array(r["kernels"]).reshape(r["shape"]), np.array(r["biases"])) for r in spark.read.parquet(path).orderBy("layer").collect()]
 
     def make():
-        import numpy as np
-
         def predict(batch):
             x = np.asarray(batch, float)[:, None]
             for j, (w, b) in enumerate(layers):
@@ -264,7 +259,6 @@ def predicted_patches(p: DataFrame, model: Callable, band: str, height: int, wid
     a null mask.
     """
     from pyspark.ml.functions import predict_batch_udf
-    from pyspark.sql import types as T
 
     def make():
         predict = model()
@@ -324,33 +318,91 @@ def drawn(pixels: DataFrame, n: int, seed: int, by: Sequence[str] = ()) -> DataF
     return pixels.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(h, *LATTICE))).where(F.col("__k") <= n).drop("__k")
 
 
-def bodies(pixels: DataFrame, water: Column, width: int, area: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
+def _labelled(rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(label, first) of pixels sorted by row and col: the number of the connected part a pixel is in, and each part's first pixel.
+
+    Runs of neighbours in a row are joined to the runs below that share a column.
+    """
+    new = np.r_[True, (np.diff(rows) != 0) | (np.diff(cols) > 1)]
+    run, start = np.cumsum(new) - 1, np.flatnonzero(new)
+    end = np.r_[start[1:], len(rows)] - 1
+    wide = np.int64(cols.max() - cols.min() + 2)
+    at = lambda k, down: (rows[k] - rows[0] + down) * wide + cols[k] - cols.min()
+    low = np.searchsorted(at(end, 0), at(start, 1))
+    high = np.searchsorted(at(start, 0), at(end, 1), "right")
+    root = list(range(len(start)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for k, (i, j) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+        for other in range(i, j):
+            x, y = find(k), find(other)
+            root[max(x, y)] = min(x, y)
+    parts, label = np.unique([find(k) for k in range(len(start))], return_inverse=True)
+    return label[run], start[parts]
+
+
+def bodies(pixels: DataFrame, water: Column, width: int, area: float = 1.0, by: Sequence[str] = (), tile: int = 256) -> DataFrame:
     """(by, row, col, body, area): connected water by four neighbours within each group; a body is named by its smallest
-    row * width + col. A group's number and that place (below 2^40) make a node."""
-    cell = F.col("row").cast("long") * width + F.col("col")
-    own = pixels.where(water).select(*by, *LATTICE, cell.alias("u"))
-    if by:
-        groups = own.select(*by).distinct().withColumn("__g", F.row_number().over(Window.orderBy(*by)).cast("long"))
-        groups = settled(groups.select(F.struct(*by).alias("__by"), "__g"))
-        own = own.join(groups, F.struct(*by).eqNullSafe(F.col("__by"))).select(*by, *LATTICE, (F.shiftleft("__g", 40) + F.col("u")).alias("u"))
-    right = own.withColumn("v", F.when(F.col("col") + 1 < width, F.col("u") + 1))
-    down = own.withColumn("v", F.col("u") + width)
-    pairs = right.unionByName(down).where("v is not null").select("u", "v").join(own.select(F.col("u").alias("v")), "v", "left_semi")
-    found = connected(pairs)
-    out = own.join(found.withColumnRenamed("node", "u"), "u", "left").select(*by, *LATTICE, F.coalesce("root", "u").alias("body"))
-    out = out.join(out.groupBy("body").agg((F.count(F.lit(1)) * area).alias("area")), "body")
-    return out.select(*by, *LATTICE, F.col("body").bitwiseAND(F.lit((1 << 40) - 1)).alias("body"), "area")
-
-
-def body_areas(found: DataFrame, shapes: DataFrame, gt: Sequence[float], size: float, key: str = "zone", order: str = "draw_order", by: Sequence[str] = ()) -> DataFrame:
-    """(by, key, area): every body goes to the first shape that holds its centroid; 0 for a shape without one in a group that has bodies."""
+    row * width + col. Pixels without row or col are left out; repeated ones count each time.
+
+    Two levels: a task labels the parts of a tile's water, tile * tile pixels at most but for repeats, and rounds of
+    components see only the parts that meet across tile borders. A part has as many pixels as a tile, so no body,
+    however large, is one key of a join.
+    """
+    own = pixels.where(water).where("row is not null and col is not null")
+    own = own.select(*by, *LATTICE, *(F.expr(f"{c} - pmod({c}, {tile})").alias(f"__{c}") for c in LATTICE))
+    schema = T.StructType([*own.select(*by, *LATTICE).schema.fields, T.StructField("__part", T.LongType()), T.StructField("__n", T.LongType())])
+
+    def label(table):
+        import pyarrow as pa
+
+        table = table.select([*by, *LATTICE]).sort_by([(c, "ascending") for c in LATTICE])
+        rows, cols = (table.column(c).to_numpy().astype(np.int64) for c in LATTICE)
+        which, first = _labelled(rows, cols)
+        for name, values in (("__part", (rows[first] * width + cols[first])[which]), ("__n", np.bincount(which)[which])):
+            table = table.append_column(name, pa.array(values, pa.int64()))
+        return table
+
+    parts = settled(own.groupBy(*by, "__row", "__col").applyInArrow(label, schema))
+    node = F.struct(*by, "__part") if by else F.col("__part")
+    place = F.struct(*by, *(F.col(c).cast("long").alias(c) for c in LATTICE))
+    borders = parts.select(*LATTICE, node.alias("v"), place.alias("at"))
+    pairs = []
+    for c in LATTICE:
+        beyond = [F.col(k).cast("long") + (1 if k == c else 0) for k in LATTICE]
+        ends = parts.where(f"pmod({c}, {tile}) = {tile - 1}").where(F.lit(c == "row") | (F.col("col") + 1 < width))
+        ends = ends.select(node.alias("u"), F.struct(*by, *(k.alias(n) for k, n in zip(beyond, LATTICE, strict=True))).alias("at"))
+        pairs.append(ends.join(borders.where(f"pmod({c}, {tile}) = 0"), "at").select("u", "v"))
+    found = connected(pairs[0].union(pairs[1]).distinct())
+    firsts = parts.where(F.col("row").cast("long") * width + F.col("col") == F.col("__part")).select(node.alias("node"), "__n").distinct()
+    firsts = firsts.join(found, "node", "left").select("node", "__n", F.coalesce("root", "node").alias("root"))
+    firsts = firsts.join(firsts.groupBy("root").agg((F.sum("__n") * area).alias("area")), "root")
+    out = parts.select(*by, *LATTICE, node.alias("node")).join(firsts, "node")
+    return out.select(*by, *LATTICE, (F.col("root.__part") if by else F.col("root")).alias("body"), "area")
+
+
+def body_areas(
+    found: DataFrame, shapes: DataFrame, gt: Sequence[float], size: float, key: str = "zone", order: str = "draw_order", by: Sequence[str] = (), zeros: bool = False
+) -> DataFrame:
+    """(by, key, area): every body goes to the first shape that holds its centroid.
+
+    Without groups each shape has a row. With groups a shape without a body in a group has none, unless zeros asks for
+    a 0 in each group that has bodies: groups times shapes rows.
+    """
     middle = centres(found, gt).groupBy(*by, "body").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.first("area").alias("area"))
     given = points_in_shapes(middle, shapes.select(key, order, "rings"), size).groupBy(*by, "body").agg(F.min_by(key, order).alias(key), F.first("area").alias("area"))
+    sums = given.groupBy(*by, key).agg(F.sum("area").alias("area"))
     if not by:
-        sums = given.groupBy(key).agg(F.sum("area").alias("area"))
         return shapes.select(key).join(sums, key, "left").fillna(0.0, ["area"])
+    if not zeros:
+        return sums
     none = found.select(*by).distinct().crossJoin(shapes.select(key)).select(*by, key, F.lit(0.0).alias("area"))
-    return none.union(given.select(*by, key, "area")).groupBy(*by, key).agg(F.sum("area").alias("area"))
+    return none.union(sums.select(*by, key, "area")).groupBy(*by, key).agg(F.sum("area").alias("area"))
 
 
 def basin_balance(cells: DataFrame, key: str, cell_area: float, measures: Sequence[str] = ("runoff", "evaporation", "precipitation"), flags: Mapping[str, Column] | None = None) -> DataFrame:

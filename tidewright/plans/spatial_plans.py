@@ -310,7 +310,7 @@ def water_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plans.add()
 def body_areas_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.body_areas(water_bodies(spark, sf_dir), _zones(spark), GT, 480.0, by=["period"])
+    return raster.body_areas(water_bodies(spark, sf_dir), _zones(spark), GT, 480.0, by=["period"], zeros=True)
 
 
 @plans.add(f"WITH {SUPPLIERS_SQL}, c AS (SELECT zone, date_trunc('month', l_shipdate)::DATE AS period, l_tax AS runoff, l_discount AS evaporation, l_quantity AS precipitation, kind FROM lineitem JOIN sup ON l_suppkey = id) SELECT zone, period, round(sum(runoff) * 123.9, 4) AS runoff, round(sum(evaporation) * 123.9, 4) AS evaporation, round(sum(precipitation) * 123.9, 4) AS precipitation, round(count(*) FILTER (kind = 1) * 123.9, 4) AS natural_area FROM c GROUP BY 1, 2")
