@@ -63,9 +63,23 @@ def brute(train, texts, d=0.75, least=2):
     return n, out
 
 
-@pytest.mark.parametrize(("rows", "least"), [(300, 1), (300, 2), (1, 1)])
-def test_scores_against_counts_in_dictionaries(spark, rows, least, monkeypatch):
+def test_shards_of_very_many_words():
+    """Shards are cut where contexts times successors would pass 63 bits; what is routed to a shard has a key of its own there."""
+    words = 4 * 10**12
+    bounds = ngram_lm.Bounds.of({(10, 0), (10, 7), (11, 0)}, words, words)
+    first, behind = (np.array([f(k) for k in range(len(bounds.contexts))], object) for f in (bounds.first, bounds.behind))
+    assert all((behind - first) * words < 1 << 63) and len(first) > 10**6
+    draw = np.random.default_rng(5)
+    c, s = (np.r_[draw.integers(0, words, 1000), edge] for edge in ([10, 10, 10, 11, words - 1, 0], [6, 7, words - 1, 0, words - 1, words - 1]))
+    shard = bounds.route(c, s)
+    assert all((first[shard] <= c) & (c < behind[shard]))
+    assert shard[1000:1004].tolist() == [1, 2, 2, 3]
+
+
+@pytest.mark.parametrize(("rows", "least", "keys"), [(300, 1, ngram_lm.KEYS), (300, 2, 200), (1, 1, ngram_lm.KEYS)])
+def test_scores_against_counts_in_dictionaries(spark, rows, least, keys, monkeypatch):
     monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 40)
+    monkeypatch.setattr(ngram_lm, "KEYS", keys)
     monkeypatch.setattr(ngram_lm, "HELD", 30)
     draw = np.random.default_rng(3)
     vocabulary = ["The", "a", "né", "x", "straße", *(f"w{k}" for k in range(40))]

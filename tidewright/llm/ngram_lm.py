@@ -17,7 +17,8 @@ is discounted (or left out, if `least_count` is above 1). The shortest is (c(w)
 
 Every text is turned into numbers once. Each task counts its n-grams and sends them to the shards of their contexts as
 Elias-Fano sequences, which a shard merges and writes to the shared folder; a context of more tokens than a shard is cut by
-its successors. Workers that score map the shards' files into memory. A vocabulary of more than 3 * 10^9 words is refused.
+its successors. Workers that score map the shards' files into memory. A pair is numbered within its shard, which is cut
+where its contexts times all successors would pass 63 bits: no vocabulary is too large.
 
 A text is its words (A-Z lower-cased) and one end token. Null and empty texts are the end token alone; a very long text is
 counted and scored as a whole. Without training texts all tokens are unknown and score 0; an empty table gives no rows.
@@ -44,6 +45,7 @@ from .elias_fano import U64, from_bytes, prefixed, read_file, sequence, to_bytes
 STEPS = 2048
 #: Training tokens for which a level has a shard.
 SHARD_TOKENS = 2_000_000
+KEYS = (1 << 63) - 2  # a shard's contexts times the successors they may have are no more
 #: Distinct n-grams that a task holds before it sends them on.
 HELD = 1_500_000
 #: Bytes whose running hashes are held at once.
@@ -109,6 +111,10 @@ class Bounds:
     @staticmethod
     def of(starts: set[tuple[int, int]], end: int, width: int) -> Bounds:
         ordered = sorted({(0, 0), *starts})
+        if width > 1:
+            most = max(1, KEYS // width - 1)
+            behind = [*(c for c, _ in ordered[1:]), end]
+            ordered = sorted({*ordered, *((x, 0) for (c, _), b in zip(ordered, behind, strict=True) for x in range(c + most, b, most))})
         return Bounds(tuple(c for c, _ in ordered), tuple(s for _, s in ordered), end, width)
 
     @functools.cached_property
@@ -480,9 +486,9 @@ class Model:
         out = np.full(len(tokens), -1, np.int64)
         if self.pairs is None or not len(tokens):
             return out
-        wide = self.distinct + 1
-        keys, which = np.unique(tokens[:-1] * wide + tokens[1:], return_inverse=True)
-        first, second = keys // wide, keys % wide
+        own, rank = np.unique(tokens, return_inverse=True)
+        keys, which = np.unique(rank[:-1] * len(own) + rank[1:], return_inverse=True)
+        first, second = own[keys // len(own)], own[keys % len(own)]
         place = np.full(len(keys), -1, np.int64)
         known = np.flatnonzero((first < self.distinct) & (second < self.distinct))
         place[known] = self.pairs.find(first[known], second[known])
@@ -567,8 +573,6 @@ def vocabulary(docs: DataFrame, text: str = "text", discount: float = 0.75) -> t
     stats = _built(_sent(rows, "text", words, bounds), bounds, f"{folder}/words", 1, discount)
     level = _level(stats, bounds)
     model = Model(sum(r["tokens"] for r in stats), Words(bounds, level.n, level.paths), discount)
-    if (model.distinct + 1) ** 2 >= 1 << 63:
-        raise ValueError(f"{model.distinct} distinct words are too many to number pairs of them")
     return model, stats
 
 
