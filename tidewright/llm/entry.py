@@ -24,7 +24,7 @@ def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    found = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), count_texts=True)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -119,8 +119,9 @@ FROM b"""
 _OP3_SQL = r"""
 WITH d AS (SELECT *, row_number() OVER () AS rid FROM documents),
 p AS (SELECT rid, source, text FROM d WHERE text IS NOT NULL),
-l AS (SELECT DISTINCT rid, source, trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM p, unnest(string_split(text, chr(10))) AS u(x)),
-n AS (SELECT source, count(*) AS pages FROM p GROUP BY 1),
+q AS (SELECT DISTINCT source, text FROM p),
+l AS (SELECT DISTINCT source, text, trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM q, unnest(string_split(text, chr(10))) AS u(x)),
+n AS (SELECT source, count(*) AS pages FROM q GROUP BY 1),
 bad AS (SELECT l.source, line FROM l JOIN n ON n.source IS NOT DISTINCT FROM l.source WHERE line <> '' GROUP BY l.source, line, pages HAVING count(*) >= 2 AND count(*) > 0.01 * pages),
 x AS (SELECT rid, source, i, lines[i] AS line, trim(lines[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
       FROM (SELECT rid, source, string_split(text, chr(10)) AS lines FROM d WHERE text IS NOT NULL), unnest(range(1, len(lines) + 1)) AS u(i)),
