@@ -481,12 +481,12 @@ class Model:
         out[seen] = self.words.count(numbers[seen])
         return out
 
-    def pair_places(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The place of the pair that ends at each token, -1 if it has none."""
+    def pair_places(self, tokens: np.ndarray, starts: np.ndarray, ranked: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """The place of the pair that ends at each token, -1 if it has none; ranked: the distinct tokens and each one's rank, where known."""
         out = np.full(len(tokens), -1, np.int64)
         if self.pairs is None or not len(tokens):
             return out
-        own, rank = np.unique(tokens, return_inverse=True)
+        own, rank = ranked or np.unique(tokens, return_inverse=True)
         keys, which = np.unique(rank[:-1] * len(own) + rank[1:], return_inverse=True)
         first, second = own[keys // len(own)], own[keys % len(own)]
         place = np.full(len(keys), -1, np.int64)
@@ -508,7 +508,7 @@ class Model:
         known = (count > 0)[which]
         base = (np.log10(count + 1) - np.log10(self.unknown))[which]
         value = base.copy()
-        pairs = self.pair_places(tokens, starts)
+        pairs = self.pair_places(tokens, starts, (own, which))
         if self.pairs is not None:
             weight = np.zeros(len(own))
             seen = np.flatnonzero(own < self.distinct)
