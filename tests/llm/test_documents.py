@@ -385,3 +385,33 @@ def test_ids_of_odd_strings_are_the_tokenizers():
         texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 60))) for _ in range(100)]
         for t, got in zip(texts, ids.of([x.encode() for x in texts]), strict=True):
             assert got == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
+def test_added_tokens_in_capitals_are_plain_marks_and_letters():
+    from tokenizers import Tokenizer
+
+    tokenizer, ids = Tokenizer.from_file(packing.default_tokenizer()), packing.Ids(packing.default_tokenizer())
+    texts = ["<|ENDOFTEXT|>", "The <|EndOfText|>! x<|endoftext|>Y <|STARTOFTEXT|><|startoftext|> End.", "\u212anown <|endofte\u212at|> A\x1cB\x0bC\x85D", "", " \t"]
+    for t, got in zip(texts, ids.of([x.encode() for x in texts]), strict=True):
+        assert got == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
+def test_ids_stay_right_when_strings_are_forgotten(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE", 5)
+    tokenizer, ids = Tokenizer.from_file(packing.default_tokenizer()), packing.Ids(packing.default_tokenizer())
+    texts = ["the cat, sat.", "The dog, ran. naïve!", "a b c d e f g", "the cat ran; dog. naïve"]
+    for t in texts * 3:
+        assert list(ids.of([t.encode()])) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()]
+        assert len(ids.known) <= 5 + 2 * 7
+
+
+def test_strings_in_use_are_encoded_once_however_many_pass(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 20)
+    ids, encoded = packing.Ids(packing.default_tokenizer()), []
+    encode = packing.Ids._encode
+    monkeypatch.setattr(packing.Ids, "_encode", lambda self, strings: (encoded.extend(strings), encode(self, strings)))
+    for k in range(30):
+        assert len(list(ids.of([f"the dog, ran w{chr(97 + k % 26)}{'x' * k}".encode()]))) == 1
+    assert sum(x == b"dog" for x in encoded) == sum(x == b"ran" for x in encoded) == 1

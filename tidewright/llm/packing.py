@@ -10,14 +10,15 @@ at a time. Pieces of equal length change places freely: which one goes where is
 are. Repeated rows are packed once each. An empty table gives no rows. Input columns named like a result are replaced;
 others are passed through, except the text.
 
-White-space separated strings are encoded once each, and follow from their lower-case bodies, where the tokenizer's file
-says that white space and case do not matter (`word_by_word`); with any other file whole texts are encoded.
+White-space separated strings are encoded once each, in lower case, where the tokenizer's file says that white space and
+case do not matter (`word_by_word`); with any other file whole texts are encoded.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +30,8 @@ from .bin_completion import bin_completion
 from .common import slices, stored, text_bytes
 
 CAPACITY = 4096
-#: White-space separated strings whose ids a worker keeps.
-CACHE = 450_000
+#: With more strings' ids than that, a worker keeps those it has used since the last time there were so many.
+CACHE = 300_000
 #: What is neither letter, digit nor white space in ASCII.
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 PIECE = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())]
@@ -43,17 +44,19 @@ def default_tokenizer() -> str:
 
 
 def word_by_word(path: str) -> bool:
-    """Whether the file's normaliser drops case and white space's kind, and its pre-tokens are letters, single digits or marks with word ends."""
+    """Whether the file's normaliser drops case and white space's kind, its pre-tokens are letters, single digits or marks with word ends, and added tokens look like `<|word|>`."""
     with open(path) as f:
         file = json.load(f)
     parts = lambda key, inner: [x for x in ((file[key] or {}).get(inner) or [file[key]]) if x]
     lower = any(x["type"] == "Lowercase" for x in parts("normalizer", "normalizers"))
     split = any(x["type"] == "Split" and x["behavior"] == "Removed" and x["invert"] and r"[^\s\p{L}\p{N}]+" in x["pattern"].get("Regex", "") for x in parts("pre_tokenizer", "pretokenizers"))
-    return lower and split and file["model"].get("end_of_word_suffix") == "</w>"
+    bare = all(x["type"] == "Split" or x["type"] == "ByteLevel" and not x["add_prefix_space"] for x in parts("pre_tokenizer", "pretokenizers"))
+    added = all(re.fullmatch(r"<\|\w+\|>", t["content"]) and not t["lstrip"] and not t["rstrip"] for t in file.get("added_tokens") or [])
+    return lower and split and bare and added and file["model"].get("end_of_word_suffix") == "</w>"
 
 
 class Ids:
-    """Token ids as little-endian bytes. White space always separates tokens here, so strings between it are looked up once."""
+    """Token ids as little-endian bytes. White space always separates tokens here, so strings between it are looked up once for each slice."""
 
     def __init__(self, path: str):
         import os
@@ -61,66 +64,91 @@ class Ids:
         import numpy as np
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.word_by_word = word_by_word(path)
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.word_by_word = Tokenizer.from_file(path), word_by_word(path)
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}  # those known until the last time there were too many
+        self.ascii = Tokenizer.from_file(path)  # for lower-case a-z between spaces, which normaliser and pre-tokens leave alone
+        if self.word_by_word:
+            self.ascii.normalizer, self.ascii.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def learn(self, strings: set[bytes]) -> None:
-        """Case does not count, and marks behind plain letters are one pre-token of their own, so many strings follow from others."""
-        known = self.known
-        new = {x for x in strings if x not in known}
-        if len(self.known) + 2 * len(new) > CACHE:
-            self.known, new = {}, strings
-        parts, needed, known = {}, set(), self.known
-        for x in new:
-            body = x.lower()
-            core = body.rstrip(MARKS)
-            if len(core) < len(body) and core.decode().lower().isalpha():  # a letter's lower case may end in a mark
-                parts[x] = (core, body[len(core) :])
-                needed.add(core)
-                needed.add(body[len(core) :])
+    def lowered(self, text: bytes) -> bytes:
+        """A-Z in lower case, but for strings that hold an added token then: only its own case is the token."""
+        lower = text.lower()
+        if not any(t in lower for t in self.added):
+            return lower
+        return b" ".join(w if any(t in w.lower() for t in self.added) else w.lower() for w in text.split())
+
+    def learn(self, strings: list[bytes]) -> None:
+        """Marks behind plain letters are one pre-token of their own, so many strings follow from others."""
+        parts, needed = [], {}
+        for x in strings:
+            core = x.rstrip(MARKS)
+            if core and len(core) < len(x) and (core.isalpha() or core.decode().lower().isalpha()):  # a letter's lower case may end in a mark
+                tail = x[len(core) :]
+                parts.append((x, core, tail))
+                needed[core] = needed[tail] = None
             else:
-                parts[x] = (body,)
-                needed.add(body)
-        self._encode({y for y in needed if y not in known})
-        self.known.update((x, self.known[own[0]] + self.known[own[1]] if len(own) > 1 else self.known[own[0]]) for x, own in parts.items())
+                needed[x] = None
+        self._encode([y for y in needed if y not in self.known])
+        known = self.known
+        known.update([(x, known[core] + known[tail]) for x, core, tail in parts])
 
-    def _encode(self, strings: set[bytes]) -> None:
+    def _encode(self, strings: list[bytes]) -> None:
         """Letters alone are one pre-token, whose last token ends a word; so they are encoded together and cut there."""
         import numpy as np
 
-        texts = {x: x.decode() for x in strings}
-        plain, other = [], []
-        for x, text in texts.items():
-            (plain if text.lower().isalpha() else other).append(x)
-        chunks = [plain[k : k + 2000] for k in range(0, len(plain), 2000)]
-        for part, e in zip(chunks, self.tokenizer.encode_batch_fast([b" ".join(part).decode() for part in chunks], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
-            if len(cuts) != len(part) + 1:
-                other += part
-                continue
-            data = ids.tobytes()
-            self.known.update((x, data[4 * a : 4 * b]) for x, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
-        for x, e in zip(other, self.tokenizer.encode_batch_fast([texts[x] for x in other], add_special_tokens=False), strict=True):
+        plain, letters, other = [], [], []
+        for x in strings:
+            (plain if x.isalpha() and x.islower() else letters if x.decode().lower().isalpha() else other).append(x)
+        for tokenizer, words in ((self.ascii, plain), (self.tokenizer, letters)):
+            chunks = [words[k : k + 200] for k in range(0, len(words), 200)]
+            for part, e in zip(chunks, tokenizer.encode_batch_fast([b" ".join(part).decode() for part in chunks], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+                if len(cuts) != len(part) + 1:
+                    other += part
+                    continue
+                data = ids.tobytes()
+                self.known.update((x, data[a:b]) for x, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
+        for x, e in zip(other, self.tokenizer.encode_batch_fast([x.decode() for x in other], add_special_tokens=False), strict=True):
             self.known[x] = np.array(e.ids, "<u4").tobytes()
 
+    def _ids(self, strings: list[bytes]) -> list[bytes]:
+        """The ids of distinct strings."""
+        if len(self.known) > CACHE:
+            self.known, self.before = {}, self.known
+        found = list(map(self.known.get, strings))
+        missing = [k for k, x in enumerate(found) if x is None]
+        again = [(x, old) for k in missing if (old := self.before.get(x := strings[k])) is not None]
+        self.known.update(again)
+        self.learn([x for k in missing if (x := strings[k]) not in self.known])
+        for k in missing:
+            found[k] = self.known[strings[k]]
+        return found
+
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text."""
         import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
         if not self.word_by_word:
             for x in texts:
                 yield np.array(self.tokenizer.encode(x.decode(), add_special_tokens=False).ids, "<u4").tobytes()
             return
-        split = [x.split() for x in texts]
-        self.learn({w for words in split for w in words})
-        for words in split:
-            yield b"".join(map(self.known.__getitem__, words))
+        split = pc.ascii_split_whitespace(pa.array([self.lowered(x) for x in texts], pa.large_binary()).cast(pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        found = self._ids(words.dictionary.cast(pa.large_binary()).to_pylist())
+        which = words.indices.to_numpy()
+        places = np.r_[0, np.cumsum(pc.list_value_length(split).to_numpy())].tolist()
+        for a, b in zip(places[:-1], places[1:], strict=True):
+            yield b"".join(map(found.__getitem__, which[a:b].tolist()))
 
 
 @functools.cache
@@ -140,7 +168,7 @@ def pieces(docs: DataFrame, text: str = "text", tokenizer: str | None = None, ca
         import pyarrow as pa
 
         ids = ids_of(path)
-        for batch in slices(batches, text, 2_000_000):
+        for batch in slices(batches, text, 8_000_000):
             rows, cut = [], []
             for k, own in enumerate(ids.of(text_bytes(batch, text))):
                 data = own + tail
