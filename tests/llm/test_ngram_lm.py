@@ -128,3 +128,31 @@ def test_hashes_of_blocks_and_long_words(monkeypatch):
     for w, h in zip(words, whole.tolist(), strict=True):
         assert of.setdefault(w, h) == h
     assert len(set(of.values())) == len(of)
+
+
+def test_ranks_of_distinct_values_and_rows_of_shards():
+    draw = np.random.default_rng(2)
+    for most, n in ((5, 1000), (2**40, 1000), (2**62, 1000), (7, 1), (7, 0)):
+        x = draw.integers(0, most, n, endpoint=True)
+        x[: n // 2] = x[n // 2 :][: n // 2]
+        wanted, rank = np.unique(x, return_inverse=True)
+        got, same = ngram_lm.distinct(x, most)
+        assert got.tolist() == wanted.tolist() and same.tolist() == rank.tolist()
+    for shard in (np.array([], np.int64), np.array([0, 0, 3, 3, 9]), np.array([3, 0, 9, 3, 0])):
+        for shards in (10, 1 << 20):
+            found = {k: np.arange(len(shard))[own].tolist() for k, own in ngram_lm._by_shard(shard, shards)}
+            assert found == {k: np.flatnonzero(shard == k).tolist() for k in np.unique(shard).tolist()}
+
+
+def test_a_slice_asks_for_each_ngram_once_and_in_order(spark, monkeypatch):
+    """However often pairs and triples stand in the texts of a slice, a level is searched for each one once."""
+    monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 40)
+    draw = np.random.default_rng(8)
+    texts = [" ".join(f"w{k}" for k in draw.integers(0, 12, 40)) for _ in range(60)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    model = ngram_lm.train(docs)
+    asked, find = [], ngram_lm.Level.find
+    monkeypatch.setattr(ngram_lm.Level, "find", lambda self, c, s: (asked.append(list(zip(c.tolist(), s.tolist()))), find(self, c, s))[1])
+    hashes, starts = ngram_lm.word_hashes([t.encode() for t in texts])
+    model.scores(model.numbers(hashes), starts)
+    assert len(asked) == 2 and all(x == sorted(set(x)) for x in asked) and len(asked[1]) < 60 * 38

@@ -197,4 +197,4 @@ def read_file(path: str) -> dict[str, np.ndarray]:
             fs.copy_files(at, own, source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
             os.replace(own, local)
         at = local
-    return from_bytes(np.memmap(at, np.uint8, "r"))
+    return from_bytes(np.memmap(at, np.uint8, "r").view(np.ndarray))

@@ -61,6 +61,37 @@ def quantised(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log10(np.maximum(p, 1e-31)) * STEPS), 0, 65535).astype(np.uint16)
 
 
+def distinct(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values (0 to `most`) in order and each one's rank, as np.unique; places ride in the low bits, where there is room, so that a plain sort does."""
+    bits = len(x).bit_length()
+    if int(most).bit_length() + bits > 63:
+        return np.unique(x, return_inverse=True)
+    rows = (x.astype(np.int64) << bits) | np.arange(len(x))
+    rows.sort()
+    values = rows >> bits
+    first = np.ones(len(x), bool)
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    rank = np.empty(len(x), np.int64)
+    rank[rows & ((1 << bits) - 1)] = np.cumsum(first) - 1
+    return values[first], rank
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]]) if len(x) else np.zeros(1, np.int64)
+
+
+def _by_shard(shard: np.ndarray, shards: int) -> Iterator[tuple[int, slice | np.ndarray]]:
+    """Each shard asked for with its rows, which are cut once: a slice where rows stand in the order of shards, else places."""
+    order = None
+    if (shard[1:] < shard[:-1]).any():
+        order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
+        shard = shard[order]
+    cuts = _runs(shard).tolist()
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield int(shard[a]), slice(a, b) if order is None else order[a:b]
+
+
 @functools.cache
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
@@ -191,12 +222,9 @@ def _sent(rows: DataFrame, column: str, grams: Callable, bounds: Bounds) -> Data
             c, s = grams(batch)
             shard = bounds.route(c, s)
             key = ((c - first[shard]) * bounds.width + s).astype(U64)
-            order = np.argsort(shard.astype(np.uint16 if len(first) < 1 << 16 else np.int64), kind="stable")
-            key, shard = key[order], shard[order]
-            cuts = [*np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]).tolist(), len(shard)] if len(shard) else []
-            for a, b in zip(cuts, cuts[1:]):
-                found = np.unique(key[a:b], return_counts=True)
-                held.setdefault(int(shard[a]), []).append(found)
+            for k, own in _by_shard(shard, len(first)):
+                found = np.unique(key[own], return_counts=True)
+                held.setdefault(k, []).append(found)
                 size += len(found[0])
             if size > held_most:
                 yield blocks()
@@ -295,19 +323,16 @@ class Words:
         """The numbers of sorted hashes, -1 for unknown ones."""
         out = np.full(len(hashes), -1, np.int64)
         shard = self.bounds.route(hashes.astype(np.int64), np.zeros(len(hashes), np.int64))
-        for k in np.unique(shard).tolist():
+        for k, own in _by_shard(shard, len(self.n)):
             if self.n[k]:
-                a, b = np.searchsorted(shard, [k, k + 1])
-                place = _opened(self.paths[k])[1]["key"].find(hashes[a:b] - U64(self.bounds.first(k)))
-                out[a:b] = np.where(place >= 0, place + self.starts[k], -1)
+                place = _opened(self.paths[k])[1]["key"].find(hashes[own] - U64(self.bounds.first(k)))
+                out[own] = np.where(place >= 0, place + self.starts[k], -1)
         return out
 
     def count(self, numbers: np.ndarray) -> np.ndarray:
         """The training counts of known words."""
         out = np.zeros(len(numbers), np.int64)
-        of = np.searchsorted(self.starts, numbers, "right") - 1
-        for k in np.unique(of).tolist():
-            own = of == k
+        for k, own in _by_shard(np.searchsorted(self.starts, numbers, "right") - 1, len(self.n)):
             out[own] = _counts_at(_opened(self.paths[k])[0], numbers[own] - self.starts[k])
         return out
 
@@ -330,15 +355,16 @@ class Level:
         return int(self.starts[-1])
 
     def find(self, c: np.ndarray, s: np.ndarray) -> np.ndarray:
-        """The place of each successor among those of its context, -1 if it has none."""
+        """The place of each successor among those of its context, -1 if it has none; fast in order of contexts, then successors."""
         out = np.full(len(c), -1, np.int64)
-        shard = self.bounds.route(c, s)
-        for k in np.unique(shard).tolist():
+        for k, own in _by_shard(self.bounds.route(c, s), len(self.n)):
             if not self.n[k]:
                 continue
-            own = np.flatnonzero(shard == k)
             x = _opened(self.paths[k])[1]
-            contexts, which = np.unique(c[own] - self.bounds.first(k), return_inverse=True)
+            context = c[own] - self.bounds.first(k)
+            runs = _runs(context)
+            which = np.repeat(np.arange(len(runs) - 1), np.diff(runs))
+            contexts = context[runs[:-1]]
             a, b = x["pointer"].get(contexts).astype(np.int64), x["pointer"].get(contexts + 1).astype(np.int64)
             raise_by = np.where(a > 0, x["successor"].get(np.maximum(a - 1, 0)), U64(0))
             place = x["successor"].find(raise_by[which] + s[own].astype(U64) + U64(1))
@@ -350,8 +376,7 @@ class Level:
         """The place of each context's first successor."""
         out = np.zeros(len(c), np.int64)
         shard = self.bounds.route(c, np.zeros(len(c), np.int64))
-        for k in np.unique(shard).tolist():
-            own = shard == k
+        for k, own in _by_shard(shard, len(self.n)):
             at = _opened(self.paths[k])[1]["pointer"].get(c[own] - self.bounds.first(k)).astype(np.int64) if self.n[k] else 0
             out[own] = at + self.starts[k]
         return out
@@ -375,9 +400,7 @@ class Level:
 
     def _take(self, places: np.ndarray, read: Callable, kind) -> np.ndarray:
         out = np.zeros(len(places), kind)
-        of = np.searchsorted(self.starts, places, "right") - 1
-        for k in np.unique(of).tolist():
-            own = of == k
+        for k, own in _by_shard(np.searchsorted(self.starts, places, "right") - 1, len(self.n)):
             out[own] = read(k, places[own] - self.starts[k])
         return out
 
@@ -391,9 +414,8 @@ class Level:
         """What backing off from each context adds, 0 for one without successors."""
         out = np.zeros(len(c))
         shard = self.bounds.route(c, np.zeros(len(c), np.int64))
-        for k in np.unique(shard).tolist():
+        for k, own in _by_shard(shard, len(self.n)):
             if self.n[k]:
-                own = shard == k
                 out[own] = read_file(self.scores[k])["weight"][c[own] - self.bounds.first(k)]
         return out / -STEPS
 
@@ -451,6 +473,18 @@ def _with_scores(spark, level: Level, mass: dict[int, float], total: Callable, s
     return Level(level.bounds, level.n, level.paths, tuple(p.removesuffix(".level") + ".scores" if p else "" for p in level.paths))
 
 
+@dataclass(frozen=True)
+class SlicePairs:
+    """The words and pairs of some texts, each looked up once."""
+
+    own: np.ndarray  # distinct tokens in order; the first `seen` are known
+    rank: np.ndarray  # of each token, among these
+    seen: int
+    pair: np.ndarray  # rank of the pair that ends at each token, -1 where a text starts
+    place: np.ndarray  # of each distinct pair, -1 if it has none; one -1 more
+    relative: np.ndarray  # where it has one, its place counted from its first word's first pair
+
+
 @dataclass(frozen=True)
 class Model:
     tokens: int  # N
@@ -470,10 +504,15 @@ class Model:
     # Numbers of words; `distinct` stands for the unknown.
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        own, which = np.unique(hashes, return_inverse=True)
-        place = self.words.find(own)
+        import pyarrow as pa
+
+        found = pa.array(hashes).dictionary_encode()  # all 63 bits are used, so places can't ride along in a sort
+        own = found.dictionary.to_numpy()
+        order = np.argsort(own)
+        place = np.empty(len(own), np.int64)
+        place[order] = self.words.find(own[order])
         place[place < 0] = self.distinct
-        return place[which]
+        return place[found.indices.to_numpy()]
 
     def counts(self, numbers: np.ndarray) -> np.ndarray:
         out = np.zeros(len(numbers), np.int64)
@@ -481,53 +520,56 @@ class Model:
         out[seen] = self.words.count(numbers[seen])
         return out
 
-    def pair_places(self, tokens: np.ndarray, starts: np.ndarray, ranked: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """The place of the pair that ends at each token, -1 if it has none; ranked: the distinct tokens and each one's rank, where known."""
-        out = np.full(len(tokens), -1, np.int64)
-        if self.pairs is None or not len(tokens):
-            return out
-        own, rank = ranked or np.unique(tokens, return_inverse=True)
-        keys, which = np.unique(rank[:-1] * len(own) + rank[1:], return_inverse=True)
-        first, second = own[keys // len(own)], own[keys % len(own)]
-        place = np.full(len(keys), -1, np.int64)
-        known = np.flatnonzero((first < self.distinct) & (second < self.distinct))
-        place[known] = self.pairs.find(first[known], second[known])
-        out[1:] = place[which]
-        out[starts[:-1]] = -1
-        return out
-
-    def relative(self, tokens: np.ndarray, places: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The places of the pairs that end at `at`, counted from the first successor of their first word."""
-        firsts, which = np.unique(tokens[at - 1], return_inverse=True)
-        return places[at] - self.pairs.begin(firsts)[which]
+    def slice_pairs(self, tokens: np.ndarray, starts: np.ndarray) -> SlicePairs:
+        """Distinct words and pairs have their places looked up once, in the order that the levels have."""
+        own, rank = distinct(tokens, self.distinct)
+        keys, which = distinct(rank[:-1] * len(own) + rank[1:], len(own) ** 2)
+        pair = np.full(len(tokens), -1, np.int64)
+        pair[1:] = which
+        pair[starts[:-1]] = -1
+        first, second = keys // max(len(own), 1), keys % max(len(own), 1)
+        place, begin = np.full(len(keys) + 1, -1, np.int64), np.zeros(len(own), np.int64)
+        seen = int(np.searchsorted(own, self.distinct))  # the unknown comes last
+        if self.pairs is not None:
+            known = np.flatnonzero((first < seen) & (second < seen))
+            place[known] = self.pairs.find(own[first[known]], own[second[known]])
+            begin[:seen] = self.pairs.begin(own[:seen])
+        return SlicePairs(own, rank, seen, pair, place, place[:-1] - begin[first])
 
     def scores(self, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of each text: tokens, known tokens, base score, score."""
-        own, which = np.unique(tokens, return_inverse=True)
-        count = self.counts(own)
-        known = (count > 0)[which]
-        base = (np.log10(count + 1) - np.log10(self.unknown))[which]
+        x = self.slice_pairs(tokens, starts)
+        count = self.counts(x.own)
+        known = (count > 0)[x.rank]
+        base = (np.log10(count + 1) - np.log10(self.unknown))[x.rank]
         value = base.copy()
-        pairs = self.pair_places(tokens, starts, (own, which))
+        found = x.place[x.pair] >= 0
         if self.pairs is not None:
-            weight = np.zeros(len(own))
-            seen = np.flatnonzero(own < self.distinct)
-            weight[seen] = self.pairs.log_weight(own[seen])
-            value[1:] += weight[which[:-1]]
+            weight = np.zeros(len(x.own))
+            weight[: x.seen] = self.pairs.log_weight(x.own[: x.seen])
+            value[1:] += weight[x.rank[:-1]]
             value[starts[:-1]] = base[starts[:-1]]
-            found = np.flatnonzero(pairs >= 0)
-            places, at = np.unique(pairs[found], return_inverse=True)
-            value[found] = self.pairs.log_prob(places)[at]
+            there = np.flatnonzero(x.place >= 0)
+            prob = np.zeros(len(x.place))
+            prob[there] = self.pairs.log_prob(x.place[there])
+            value = np.where(found, prob[x.pair], value)
         if self.triples is not None:
             # A token whose two predecessors are a known pair backs off from it, or has a known trigram.
-            at = np.flatnonzero(np.r_[False, pairs[:-1] >= 0])
-            at = at[~np.isin(at, starts)]
-            contexts, which = np.unique(pairs[at - 1], return_inverse=True)
-            value[at] += self.triples.log_weight(contexts)[which]
-            at = at[pairs[at] >= 0]
-            place = self.triples.find(pairs[at - 1], self.relative(tokens, pairs, at))
-            at, place = at[place >= 0], place[place >= 0]
-            value[at] = self.triples.log_prob(place)
+            follows = np.r_[False, found[:-1]][: len(tokens)]
+            follows[starts[:-1]] = False
+            at = np.flatnonzero(follows)
+            # Pairs and places have one order, so triples by their pairs' ranks stand as their level has them; 0: no second pair.
+            width = len(x.place)
+            keys, which = distinct(x.pair[at - 1] * width + np.where(found[at], x.pair[at] + 1, 0), width**2)
+            context, second = x.place[keys // width], keys % width - 1
+            runs = _runs(context)
+            value_of = np.repeat(self.triples.log_weight(context[runs[:-1]]), np.diff(runs))
+            asked = np.flatnonzero(second >= 0)
+            place = self.triples.find(context[asked], x.relative[second[asked]])
+            hit = np.zeros(len(keys), bool)
+            hit[asked] = place >= 0
+            value_of[hit] = self.triples.log_prob(place[place >= 0])
+            value[at] = np.where(hit[which], 0, value[at]) + value_of[which]
         total = lambda x: np.add.reduceat(x, starts[:-1]) if len(starts) > 1 else x[:0]
         return np.diff(starts), total(known.astype(np.int64)), total(base), total(value)
 
@@ -602,7 +644,7 @@ def grown(rows: DataFrame, model: Model, stats: list, least_count: int = 1) -> M
         return model
 
     def shorter(a, b, c, s, model=model):
-        own, which = np.unique(s, return_inverse=True)
+        own, which = distinct(s, model.distinct)
         return ((model.words.count(own) + 1) / model.unknown)[which]
 
     total = lambda a, b, model=model: model.words.count(np.arange(a, b))
@@ -611,10 +653,10 @@ def grown(rows: DataFrame, model: Model, stats: list, least_count: int = 1) -> M
     width = 1 + int(max(*(r["widest"] for r in stats), *_whole(stats, bounds, "wide").values()))
 
     def triples(batch, model=model):
-        flat, starts = _flat(batch, model)
-        places = model.pair_places(flat, starts)
-        at = np.flatnonzero(np.r_[False, (places[1:] >= 0) & (places[:-1] >= 0)])
-        return places[at - 1], model.relative(flat, places, at)
+        x = model.slice_pairs(*_flat(batch, model))
+        found = x.place[x.pair] >= 0
+        at = np.flatnonzero(found[1:] & found[:-1]) + 1
+        return x.place[x.pair[at - 1]], x.relative[x.pair[at]]
 
     bounds = _next_bounds(stats, level.starts, level.size, width)
     stats = _built(_sent(rows, "tokens", triples, bounds), bounds, f"{folder}/triples", least_count, model.discount)
@@ -622,7 +664,7 @@ def grown(rows: DataFrame, model: Model, stats: list, least_count: int = 1) -> M
         return model
 
     def from_pairs(a, b, c, s, model=model):
-        middle, which = np.unique(model.pairs.second(a, b), return_inverse=True)
+        middle, which = distinct(model.pairs.second(a, b), model.distinct)
         begin = np.zeros(len(middle), np.int64)
         begin[:] = model.pairs.begin(middle)
         return 10 ** model.pairs.log_prob(begin[which][c] + s)
