@@ -31,7 +31,7 @@ from .common import slices, stored, text_bytes
 
 CAPACITY = 4096
 #: With more strings' ids than that, a worker keeps those it has used since the last time there were so many.
-CACHE = 300_000
+CACHE = 100_000
 #: What is neither letter, digit nor white space in ASCII.
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 PIECE = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())]
@@ -168,7 +168,7 @@ def pieces(docs: DataFrame, text: str = "text", tokenizer: str | None = None, ca
         import pyarrow as pa
 
         ids = ids_of(path)
-        for batch in slices(batches, text, 8_000_000):
+        for batch in slices(batches, text, 3_000_000):
             rows, cut = [], []
             for k, own in enumerate(ids.of(text_bytes(batch, text))):
                 data = own + tail
