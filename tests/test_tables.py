@@ -114,6 +114,24 @@ def test_level_file_and_side_files(spark, tmp_path):
     assert sorted(map(tuple, readers.tab_series(spark, str(tmp_path / "s.tsv"), "date", "level").collect())) == [(datetime.date(2001, 1, 1), 2.0), (datetime.date(2001, 2, 1), None)]
 
 
+def test_level_files_are_parsed_once(spark, tmp_path):
+    """Numbers and place are no expressions of single rows' filters: a line is split once, a header read once a file."""
+    (tmp_path / "l.txt").write_text("\n".join(["Latitude and longitude 1 2", *["header"] * 49, " ".join(["1"] * 16)]))
+    df = readers.level_files(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate")]
+    assert "split(" not in above and "regexp_extract_all" not in above and "try_cast" not in above
+
+
+def test_level_lines_of_all_kinds(spark, tmp_path):
+    one = ["1"] * 15
+    lines = [" ".join(["5", *one]), "  " + "  ".join(["6", *one]) + "  ", "\t".join(["7", *one]), " ".join(["8", *one]) + "\r", " ".join(["9", *one, "1"]), " ".join(["x", *one]), " ".join(["99999999", *one]), ""]
+    for name, own in {"a.txt": lines, "b.txt": []}.items():
+        (tmp_path / name).write_bytes("\n".join(["h"] * 49 + ["Latitude and longitude -1.5 -170", *own]).encode())
+    got = readers.level_files(spark, str(tmp_path)).collect()
+    assert sorted((r["file"], r["lat"], r["lon"], r["f0"]) for r in got) == [("a.txt", -1.5, -170.0, v) for v in (5.0, 6.0, 7.0, 8.0)]
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(1, 10, [1.0]), (2, 20, [2.0])], "id int, basin int, rings array<double>")
     path = writers.written(df, str(tmp_path / "t.parquet"), "rings")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,14 +66,17 @@ def level_files(spark: SparkSession, path: str, header_lines: int = 50, fields:
     null, and rows with a null or a wrong number of fields drop out.
     """
     names = list(names or [f"f{k}" for k in range(fields)])
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split("value", "\n").alias("lines"))
-    place = F.filter("lines", lambda x: x.contains("Latitude and longitude"))[0]
-    numbers = F.regexp_extract_all(place, F.lit(r"(-?\d+(?:\.\d+)?)"), 1)
-    rows = whole.select("file", numbers[0].cast("double").alias("lat"), numbers[1].cast("double").alias("lon"), F.explode(F.slice("lines", header_lines + 1, F.size("lines"))).alias("line"))
-    split = rows.withColumn("f", F.split(F.trim("line"), r"\s+")).where(F.size("f") == fields)
-    value = lambda k: F.when(~F.col("f")[k].try_cast("double").isin(*SENTINELS), F.col("f")[k].try_cast("double"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    place = F.regexp_extract_all(F.regexp_extract("value", r"([^\n]*Latitude and longitude[^\n]*)", 1), F.lit(r"(-?\d+(?:\.\d+)?)"), 1)
+    # White space is made single in the whole text at once, and a text's place and numbers are parsed before they become rows: once each.
+    lines = F.split(F.regexp_replace("value", r"[ \t\x0B\f\r]+", " "), "\n")
+    parsed = F.transform(F.slice(lines, header_lines + 1, F.greatest(F.size(lines), F.lit(1))), lambda x: F.split(F.trim(x), " ")).try_cast("array<array<double>>")
+    files = text.select(F.inline(F.array(F.struct("file", place[0].cast("double").alias("lat"), place[1].cast("double").alias("lon"), parsed.alias("parsed")))))
+    rows = files.select("file", "lat", "lon", F.explode("parsed").alias("f"))
+    known = [F.col("f")[k].isNotNull() & ~F.col("f")[k].isin(*SENTINELS) for k in range(fields)]
     lon = F.when(F.col("lon") > 180, F.col("lon") - 360).otherwise(F.col("lon"))
-    return split.select("file", "lat", lon.alias("lon"), *(value(k).alias(n) for k, n in enumerate(names))).dropna(subset=names)
+    good = rows.where((F.size("f") == fields) & reduce(and_, known))
+    return good.select("file", "lat", lon.alias("lon"), *(F.col("f")[k].alias(n) for k, n in enumerate(names)))
 
 
 def tab_series(spark: SparkSession, path: str, date: str, value: str, fmt: str = "yyyy-MM-dd") -> DataFrame:
