@@ -132,6 +132,19 @@ def test_level_lines_of_all_kinds(spark, tmp_path):
     assert sorted((r["file"], r["lat"], r["lon"], r["f0"]) for r in got) == [("a.txt", -1.5, -170.0, v) for v in (5.0, 6.0, 7.0, 8.0)]
 
 
+def test_named_files_shuffle_no_heads(spark, tmp_path):
+    """Files span batches; the head is made once a file, behind the shuffle."""
+    path = f"file:{tmp_path}/f"
+    df = spark.range(25_000).select((F.col("id") % 3).alias("k"), "id")
+    made = writers.named_files(df, path, F.concat(F.col("k").cast("string"), F.lit(".txt")), F.concat_ws(" ", "k", "id"), "id", F.concat(F.lit("head of "), "k"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "head of" in plan and "head of" not in plan[plan.index("Window") :]
+    assert sorted(map(tuple, made.collect())) == [("0.txt", 8334), ("1.txt", 8333), ("2.txt", 8333)]
+    for k in range(3):
+        assert (tmp_path / "f" / f"{k}.txt").read_text() == "\n".join([f"head of {k}", *(f"{k} {i}" for i in range(k, 25_000, 3))]) + "\n"
+    assert len([p for p in (tmp_path / "f").iterdir() if not p.name.endswith(".crc")]) == 3
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(1, 10, [1.0]), (2, 20, [2.0])], "id int, basin int, rings array<double>")
     path = writers.written(df, str(tmp_path / "t.parquet"), "rings")

@@ -63,12 +63,10 @@ _STATIONS = f"{POINTS_SQL}, dl AS (SELECT l_suppkey AS id, l_shipdate::DATE AS d
 def _level_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fixed-layout file for each station, read again: file, lat, lon, day, level."""
     path = _folder(spark, "levels")
-    s = _stations(spark, sf_dir)
     head = F.concat_ws("\n", F.array_repeat(F.lit("header"), 30), F.format_string("Latitude and longitude %.6f %.6f", "y", "x"), F.array_repeat(F.lit("header"), 19))
-    line = F.concat_ws(" ", F.date_format("day", "yyyyMMdd"), F.format_string("%.6f", "level"), F.array_repeat(F.lit("1"), 14))
-    bad = F.concat_ws(" ", F.date_format("day", "yyyyMMdd"), F.lit("9999.99"), F.array_repeat(F.lit("1"), 14))
-    both = s.select(F.format_string("%d.txt", "id").alias("name"), head.alias("head"), "day", F.explode(F.array(line, bad)).alias("line"))
-    writers.named_files(both, path, "name", "line", "day", "head").write.format("noop").mode("overwrite").save()
+    line = lambda level: F.concat_ws(" ", F.date_format("day", "yyyyMMdd"), level, F.array_repeat(F.lit("1"), 14))
+    both = F.concat_ws("\n", line(F.format_string("%.6f", "level")), line(F.lit("9999.99")))
+    writers.named_files(_stations(spark, sf_dir), path, F.concat(F.col("id").cast("string"), F.lit(".txt")), both, "day", head).write.format("noop").mode("overwrite").save()
     found = readers.level_files(spark, path)
     return found.select(F.regexp_extract("file", r"^(\d+)\.", 1).cast("long").alias("id"), "lat", "lon", F.to_date(F.col("f0").cast("long").cast("string"), "yyyyMMdd").alias("day"), F.col("f1").alias("level"))
 

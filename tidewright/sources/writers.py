@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FORMATS = ("parquet", "csv", "json", "orc")
@@ -32,26 +33,51 @@ def exported(df: DataFrame, names: Mapping[str, str], drop: Sequence[str] = ("ri
     return df.select(*(F.col(a).alias(b) for a, b in names.items() if a not in drop))
 
 
-def named_files(df: DataFrame, path: str, name: str, line: str, order: str, head: str | None = None) -> DataFrame:
-    """One text file for each name, of its lines in order behind an optional head (a column that is equal within a name).
+def named_files(df: DataFrame, path: str, name: Column | str, line: Column | str, order: str, head: Column | str | None = None) -> DataFrame:
+    """One text file for each name, of its lines in order behind an optional head (equal within a name).
 
-    Files are written by tasks under a folder that driver and executors share, each at once, so a repeated task does no
-    harm. A name's lines are held together, which suits small files. Returns (name, lines).
+    name, line and head may be expressions over df's columns: only those columns are shuffled and sorted, lines and the one
+    head of a file are made behind the sort. Tasks write under a folder that driver and executors share, a file under a name
+    of its own until it is whole, so a repeated task does no harm; no file is held in memory. Returns (name, lines), where a
+    row counts as a line.
     """
-
-    def run(keys, table):
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    by = Window.partitionBy("__name").orderBy(F.asc_nulls_last(order))
+    rows = df.withColumn("__name", col(name)).withColumn("__k", F.row_number().over(by))
+    first = F.lit(None).cast("string") if head is None else F.when(F.col("__k") == 1, col(head))
+    rows = rows.select(F.col("__name").alias("name"), F.col("__k").alias("k"), first.alias("head"), col(line).alias("line"))
+
+    def run(batches):
+        import numpy as np
         import pyarrow as pa
         from pyarrow import fs
 
-        table = table.sort_by(order)
         system, root = fs.FileSystem.from_uri(path)
-        lines = ([table.column(head)[0].as_py()] if head else []) + table.column(line).to_pylist()
         system.create_dir(root, recursive=True)
-        to = f"{root}/{keys[0].as_py()}"
-        own = f"{root}/.{uuid.uuid4().hex}"
-        with system.open_output_stream(own) as f:
-            f.write(("\n".join(lines) + "\n").encode())
-        system.move(own, to)
-        return pa.table({"name": [keys[0].as_py()], "lines": pa.array([table.num_rows], pa.int64())})
-
-    return df.groupBy(name).applyInArrow(run, "name string, lines long")
+        to = own = file = None
+        lines = 0
+
+        def closed() -> pa.RecordBatch:
+            file.close()
+            system.move(own, f"{root}/{to}")
+            return pa.RecordBatch.from_arrays([pa.array([to], pa.string()), pa.array([lines], pa.int64())], ["name", "lines"])
+
+        for batch in batches:
+            names, heads, texts = (batch.column(c) for c in ("name", "head", "line"))
+            # Rows of a name lie together, numbered from 1; the batch may begin within one.
+            starts = np.flatnonzero(batch.column("k").to_numpy(zero_copy_only=False) == 1).tolist()
+            fresh, cuts = set(starts), sorted({0, *starts, batch.num_rows})
+            for begin, end in itertools.pairwise(cuts):
+                part = texts.slice(begin, end - begin).to_pylist()
+                if begin in fresh:
+                    if file is not None:
+                        yield closed()
+                    to, own, lines = names[begin].as_py(), f"{root}/.{uuid.uuid4().hex}", 0
+                    file = system.open_output_stream(own)
+                    part = [h for h in [heads[begin].as_py()] if h is not None] + part
+                lines += end - begin
+                file.write(("\n".join(part) + "\n").encode())
+        if file is not None:
+            yield closed()
+
+    return rows.mapInArrow(run, "name string, lines long")
