@@ -76,6 +76,30 @@ def test_nearest_is_exact(spark):
     assert spatial.nearest(spark.createDataFrame(points, "id long, x double, y double"), empty, 2.0).where("target is null").count() == 60
 
 
+@pytest.mark.parametrize("kind", ["uniform", "dense", "far", "line", "same"])
+def test_nearest_through_tiles(spark, kind):
+    """Tiles of 64 places, found through tiles of their first targets: dense and far clusters, ties, equal places, no place."""
+    draw = random.Random(kind)
+    at = {"uniform": lambda: (draw.uniform(0, 10), draw.uniform(0, 10)), "dense": lambda: (draw.gauss(5, 1e-4), draw.gauss(5, 1e-4)), "far": lambda: (1e3 + draw.random(), -1e3 + draw.random()),
+          "line": lambda: (float(draw.randrange(600)), 0.0), "same": lambda: (float(draw.randrange(25)), float(draw.randrange(25)))}[kind]
+    points = [(k, draw.uniform(0, 10), draw.uniform(0, 10)) for k in range(150)] + [(150 + k, *at()) for k in range(150)]
+    targets = [(k, *at()) for k in range(700)] + [(700 + k, draw.uniform(0, 10), draw.uniform(0, 10)) for k in range(40)]
+    p = spark.createDataFrame([*points, (-1, None, 1.0)], "id long, x double, y double")
+    got = {r["id"]: (r["target"], r["distance"]) for r in spatial.nearest(p, spark.createDataFrame([*targets, (-1, None, 1.0)], "target long, x double, y double"), 0.5, most=64).collect()}
+    assert got == {k: min((math.sqrt((x - a) ** 2 + (y - b) ** 2), t) for t, a, b in targets)[::-1] for k, x, y in points}
+
+
+def test_nearest_meets_few_targets(spark):
+    """All places in one cell of the given size: the pairs of points and tiles follow the points, and no join takes rows of points to rows of targets."""
+    place = [F.rand(s) / 100 for s in (1, 2)]
+    p = spark.range(3000).select("id", place[0].alias("x"), place[1].alias("y"))
+    t = spark.range(3000).select(F.col("id").alias("target"), (F.rand(3) / 100).alias("x"), (F.rand(4) / 100).alias("y"))
+    joined = spatial.nearest(p, t, 1.0, most=128)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "cx" in plan and "dx" not in plan and "CoGroup" in plan.replace("cogroup", "CoGroup")
+    assert joined.count() == 3000
+
+
 def test_outermost_keeps_outer_and_smaller_ids(spark):
     s = {1: rings([(0, 0), (10, 0), (10, 10), (0, 10)]), 2: rings([(1, 1), (2, 1), (2, 2), (1, 2)]), 3: rings([(20, 0), (30, 0), (30, 10), (20, 10)]), 4: rings([(21, -1), (31, -1), (31, 9), (21, 9)])}
     assert sorted(r["id"] for r in spatial.outermost(shapes(spark, s), 5.0).collect()) == [1, 3]

@@ -12,11 +12,17 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import geometry as g
 from .graph import settled
 
 
+#: Halvings of an extent that tiles may take, and points that meet a tile in one group.
+_DEEPEST, _DENSE = 40, 50_000
+
+
 def _cell(v: Column, size: float) -> Column:
     return F.floor(v / size)
 
@@ -61,33 +67,118 @@ def outermost(shapes: DataFrame, size: float, key: str = "id", rings: str = "rin
     return shapes.join(pairs.where(inner | held).select(key).distinct(), key, "left_anti")
 
 
-def nearest(points: DataFrame, targets: DataFrame, size: float, key: str = "id", target: str = "target") -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, size: float, key: str = "id", target: str = "target", most: int = 1024) -> DataFrame:
     """(key, target, distance): the nearest target of every point, of ties the smallest; null without targets.
 
-    Both have x and y. The nine cells around a point are searched; a point is done once its best distance is within a
-    cell's size. Each round doubles the cells and joins only the points still open, so a round takes nine rows a point.
+    Both have x and y; rows without a finite place are passed over. Targets lie in tiles, cells of size times a power of two with
+    no more than `most` places each, and one target of each tile is tried first: the nearest of those, found in the same way
+    until they are few, bounds a point's distance, and a point meets the tiles within that bound only. So no point meets all
+    targets of a dense cell, near or far.
     """
-    t = targets.select(F.col(target), F.col("x").alias("tx"), F.col("y").alias("ty"))
-    edge = t.agg(F.min("tx"), F.max("tx"), F.min("ty"), F.max("ty"), F.count(F.lit(1))).first()
-    span = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if not edge[4] or span[0] is None:
+    if most < 64:  # a split makes up to 16 tiles, and tiles must be fewer than targets
+        raise ValueError(f"{most} places are too few for a tile")
+    t = targets.select(F.col(target), F.col("x").cast("double").alias("tx"), F.col("y").cast("double").alias("ty")).where(_finite("tx") & _finite("ty"))
+    t = settled(t.groupBy("tx", "ty").agg(F.min(target).alias(target)))
+    if not t.take(1):
         return points.select(key, F.lit(None).cast(targets.schema[target].dataType).alias(target), F.lit(None).cast("double").alias("distance"))
-    reach = max(edge[1], span[1]) - min(edge[0], span[0]) + max(edge[3], span[3]) - min(edge[2], span[2])
-    open_, done, step = points.select(key, "x", "y"), None, F.sequence(F.lit(-1), F.lit(1))
+    p = points.select(F.col(key), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(_finite("x") & _finite("y"))
+    best = _nearest_of(p, t, size, key, target, most).groupBy(key).agg(F.min(F.struct("distance", target)).alias("m"))
+    return best.select(key, F.col(f"m.{target}").alias(target), F.col("m.distance").alias("distance"))
+
+
+def _finite(c: str) -> Column:
+    return F.abs(c) < float("inf")
+
+
+def _meeting(key: str, target: str) -> Callable:
+    """A function of an Arrow table of points and one of targets, which are sorted by target: the points with their nearest, a block of distances at a time."""
+
+    def met(points, targets):
+        import numpy as np
+        import pyarrow as pa
+
+        x, y, tx, ty = (c.to_numpy() for c in (points["x"], points["y"], targets["tx"], targets["ty"]))
+        at, d = np.empty(len(x), np.int64), np.empty(len(x))
+        step = max(1, 1_000_000 // max(1, len(tx)))
+        for k in range(0, len(x), step):
+            own = slice(k, k + step)
+            far = np.sqrt((x[own, None] - tx) ** 2 + (y[own, None] - ty) ** 2)
+            at[own] = far.argmin(1)  # the first of equals
+            d[own] = far[np.arange(len(far)), at[own]]
+        return pa.table({key: points[key], "x": points["x"], "y": points["y"], target: targets[target].take(pa.array(at)), "distance": pa.array(d)})
+
+    return met
+
+
+def _nearest_of(p: DataFrame, t: DataFrame, size: float, key: str, target: str, most: int) -> DataFrame:
+    """(key, x, y, target, distance), a row for each place of a key; targets are of different places."""
+    met_by = _meeting(key, target)
+    schema = T.StructType([*p.schema.fields, t.schema[target], T.StructField("distance", T.DoubleType())])
+    n, x1, x2, y1, y2 = t.agg(F.count(F.lit(1)), F.min("tx"), F.max("tx"), F.min("ty"), F.max("ty")).first()
+    if n <= 4 * most:
+        few = t.orderBy(target).toArrow().combine_chunks()
+
+        def first(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                yield from met_by(pa.Table.from_batches([batch]), few).to_batches()
+
+        return p.mapInArrow(first, schema)
+
+    top = size * 2.0 ** max(0, math.ceil(math.log2(max(x2 - x1, y2 - y1) / size)))
+    u, v = (F.col("tx") - x1) / top, (F.col("ty") - y1) / top
+    # Products with powers of two are exact, so a cell's number shifted is that of the cell around it.
+    within = lambda df, k: df.withColumns({"k": F.lit(k), "cx": F.floor(u * 2.0**k), "cy": F.floor(v * 2.0**k)})
+    tile, tiled, open_, k = ["k", "cx", "cy"], None, t, int(math.log(n / most, 4))
     while True:
-        placed = t.withColumns({"cx": _cell(F.col("tx"), size), "cy": _cell(F.col("ty"), size)})
-        near = open_.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step))
-        near = near.withColumns({"cx": _cell(F.col("x"), size) + F.col("dx"), "cy": _cell(F.col("y"), size) + F.col("dy")})
-        d = F.sqrt(F.pow(F.col("x") - F.col("tx"), F.lit(2)) + F.pow(F.col("y") - F.col("ty"), F.lit(2)))
-        best = near.join(placed, ["cx", "cy"]).withColumn("d", d).groupBy(key).agg(F.min(F.struct("d", target)).alias("m"))
-        last = size >= reach
-        sure = best if last else best.where(F.col("m.d") <= size)
-        found = settled(sure.select(key, F.col(f"m.{target}").alias(target), F.col("m.d").alias("distance")))
-        done = found if done is None else done.unionByName(found)
-        open_ = settled(open_.join(found.select(key), key, "left_anti"))
-        if last or not open_.take(1):
-            return done
-        size *= 2
+        cut = within(open_, k)
+        crowded = settled(cut.groupBy(*tile).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).drop("n"))
+        last = k >= _DEEPEST or not crowded.take(1)
+        held = cut if last else cut.join(F.broadcast(crowded), tile, "left_anti")
+        tiled = held if tiled is None else tiled.unionByName(held)
+        if last:
+            break
+        open_ = cut.join(F.broadcast(crowded), tile, "left_semi").drop(*tile)
+        k += 2
+    tiled = settled(tiled)
+    spans = {f"b{c}{e}": f(f"t{c}") for c in "xy" for e, f in (("1", F.min), ("2", F.max))}
+    tiles = settled(tiled.groupBy(*tile).agg(*(f.alias(c) for c, f in spans.items()), F.min(F.struct(target, "tx", "ty")).alias("one")))
+    bound = _nearest_of(p, tiles.select("one.*"), size, key, target, most).select(key, "x", "y", F.col("distance").alias("d"))
+
+    # A point looks at the depth whose cells its circle touches two of each way, where each tile counts in the cell around it, and in the
+    # larger tiles it touches.
+    depths = sorted(r[0] for r in tiles.select("k").distinct().collect())
+    radius = F.col("d") / top * (1 + 1e-9) + 1e-12
+    depth = F.greatest(F.lit(0), F.least(F.lit(depths[-1]), F.floor(-F.log2(2 * radius)).cast("int")))
+    looks = bound.withColumns({"pu": (F.col("x") - x1) / top, "pv": (F.col("y") - y1) / top, "r": radius, "own": depth})
+    looks = looks.withColumn("at", F.explode(F.array_append(F.filter(F.array(*map(F.lit, depths)), lambda z: z < F.col("own")), F.col("own"))))
+    wide = F.pow(F.lit(2.0), F.col("at"))
+    cell = lambda c: F.least(wide, F.greatest(F.lit(0.0), F.floor(c * wide).cast("double"))).cast("long")
+    span = lambda c: F.explode(F.sequence(cell(F.col(c) - F.col("r")), cell(F.col(c) + F.col("r"))))
+    looks = looks.withColumn("ax", span("pu")).withColumn("ay", span("pv"))
+    around = tiles.drop("one").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    around = around.withColumns({a: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("k") - F.col("at"))) for a, c in (("ax", "cx"), ("ay", "cy"))})
+    gap = lambda c: F.greatest(F.col(f"b{c}1") - F.col(c), F.lit(0.0), F.col(c) - F.col(f"b{c}2"))
+    near = looks.join(around, ["at", "ax", "ay"]).where((F.col("at") == F.col("own")) | (F.col("at") == F.col("k")))
+    near = settled(near.where(F.sqrt(gap("x") * gap("x") + gap("y") * gap("y")) <= F.col("d") * (1 + 1e-9)).select(key, "x", "y", *tile))
+
+    # Tiles that many points meet are dealt to salts.
+    salts = settled(near.groupBy(*tile).agg(F.ceil(F.count(F.lit(1)) / _DENSE).cast("int").alias("salts")).where("salts > 1"))
+    many = F.coalesce("salts", F.lit(1))
+    near = near.join(F.broadcast(salts), tile, "left").withColumn("salt", F.pmod(F.xxhash64("x", "y", key), many).cast("int")).drop("salts")
+    held = tiled.join(F.broadcast(salts), tile, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("salts")
+
+    none = to_arrow_schema(schema).empty_table()
+
+    def second(points, targets):
+        # A tile with points has targets, but not the other way about.
+        return met_by(points, targets.sort_by(target)) if points.num_rows else none
+
+    near = near.select(key, "x", "y", *(F.col(c).alias(f"p_{c}") for c in [*tile, "salt"]))
+    met = near.groupBy(*(f"p_{c}" for c in [*tile, "salt"])).cogroup(held.groupBy(*tile, "salt")).applyInArrow(second, schema)
+    best = met.groupBy(key, "x", "y").agg(F.min(F.struct("distance", target)).alias("m"))
+    return best.select(key, "x", "y", F.col(f"m.{target}").alias(target), F.col("m.distance").alias("distance"))
 
 
 def grid(spark, x1: float, y1: float, x2: float, y2: float, size: float) -> DataFrame:
@@ -125,8 +216,6 @@ def within_distance(points: DataFrame, shapes: DataFrame, distance: str, size: f
 
 def simplified(shapes: DataFrame, tolerance: float, rings: str = "rings") -> DataFrame:
     """Douglas-Peucker on every ring; rings keep their first corner and at least three."""
-    from pyspark.sql import types as T
-
     def thin(points: list, tolerance: float) -> list:
         keep, todo = {0, len(points) - 1}, [(0, len(points) - 1)]
         while todo:
