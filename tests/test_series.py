@@ -68,6 +68,15 @@ def test_mann_kendall(spark):
     assert all(0 <= r["p"] <= 1 for r in got.values())
 
 
+def test_mann_kendall_keeps_ties_on_a_rounding_edge(spark):
+    """The values whose slope is the median are tied without their trend, also where nine digits would part them; a constant changes nothing."""
+    x = [82.07761700050001, 54.99517400050001, 87.18863000050001, 29.72596100050001, 74.82110100050001, 53.11111900050001, 53.16950900050001]
+    got = {r["id"]: r for r in series.mann_kendall(yearly_rows(spark, {1: x, 2: [v + 0.1234 for v in x]}), "v", alpha=0.1).collect()}
+    assert got[1]["z"] == pytest.approx(got[2]["z"], abs=1e-9) and got[1]["trend"] == got[2]["trend"] == "no trend"
+    for k, own in ((1, x), (2, [v + 0.1234 for v in x])):
+        assert trend_tests.mann_kendall(np.array(own), 0.1)[2] == pytest.approx(got[k]["z"])
+
+
 def test_mann_kendall_against_numpy(spark):
     draw = np.random.default_rng(1)
     rows = {k: draw.normal(size=12).round(1) + 0.1 * k * np.arange(12) for k in range(6)}

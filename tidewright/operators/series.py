@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import guarded_slope, two_sided_p
 from .graph import settled
+from .trend_tests import TIED
 
 
 def with_year(df: DataFrame, start: str, period_length: int = 12) -> DataFrame:
@@ -121,9 +122,13 @@ def mann_kendall(rows: DataFrame, value: Column | str, key: str = "id", at: str
         F.sum(F.signum(F.col("y") - F.col("x"))).alias("s"), F.expr("percentile((y - x) / (j - i), 0.5)").alias("slope"), F.first("n").alias("n")
     )
     ties = x.groupBy(key, "x").agg(F.count(F.lit(1)).alias("c")).groupBy(key).agg(F.sum(F.expr("c * (c - 1) * (2 * c + 5)")).alias("ties"))
-    flat = x.join(trend.select(key, "slope"), key).withColumn("d", F.round(F.col("x") - F.col("slope") * F.col("i"), 9))
+    # The values whose slope is the median are tied without their trend: they are told by their gap, as rounding parts them where
+    # it has an edge between them.
+    flat = x.join(trend.select(key, "slope"), key).withColumn("d", F.col("x") - F.col("slope") * F.col("i"))
+    rising = Window.partitionBy(key).orderBy("d")
+    flat = flat.withColumn("gap", F.col("d") - F.lag("d").over(rising)).withColumn("d", F.count_if(F.col("gap") > TIED).over(rising))
     same = Window.partitionBy(key, "d")
-    ranked = flat.withColumn("r", F.rank().over(Window.partitionBy(key).orderBy("d")) + (F.count(F.lit(1)).over(same) - 1) / 2)
+    ranked = flat.withColumn("r", F.rank().over(rising) + (F.count(F.lit(1)).over(same) - 1) / 2)
     ranked = ranked.withColumn("r", F.col("r") - (F.col("n") + 1) / 2).select(key, "i", "n", "r")
     lagged = ranked.join(ranked.select(key, F.col("i").alias("j"), F.col("r").alias("q")), key).where("j > i").withColumn("lag", F.col("j") - F.col("i"))
     power = ranked.groupBy(key).agg(F.sum(F.col("r") * F.col("r")).alias("power"))

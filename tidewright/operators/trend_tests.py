@@ -7,6 +7,8 @@ import math
 import numpy as np
 
 BOUNDS = {0.05: 1.959963984540054, 0.1: 1.6448536269514722, 0.01: 2.5758293035489004}
+#: Values without their trend that are no farther apart are equal: as far as a rounding to nine digits goes.
+TIED = 1e-9
 
 
 def _ranks(x: np.ndarray) -> np.ndarray:
@@ -24,7 +26,10 @@ def mann_kendall(x: np.ndarray, alpha: float = 0.05) -> tuple[float, float, floa
     s, slope = float(np.sign(rise).sum()), float(np.median(rise / (j - i)))
     c = np.unique(x, return_counts=True)[1]
     variance = (n * (n - 1) * (2 * n + 5) - (c * (c - 1) * (2 * c + 5)).sum()) / 18
-    r = _ranks(np.round(x - slope * np.arange(1, n + 1), 9)) - (n + 1) / 2
+    d = x - slope * np.arange(1, n + 1)
+    rising = np.argsort(d)
+    d[rising] = np.cumsum(np.diff(d[rising], prepend=d[rising[0]]) > TIED)
+    r = _ranks(d) - (n + 1) / 2
     power = float((r * r).sum())
     if power and n > 2:
         lag = np.arange(1, n)
