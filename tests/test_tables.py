@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import math
 import random
 
 import pytest
@@ -114,6 +115,22 @@ def test_level_file_and_side_files(spark, tmp_path):
     assert sorted(map(tuple, readers.tab_series(spark, str(tmp_path / "s.tsv"), "date", "level").collect())) == [(datetime.date(2001, 1, 1), 2.0), (datetime.date(2001, 2, 1), None)]
 
 
+def test_sums_do_not_depend_on_order(spark):
+    """Sums and means of doubles are the same to the bit in any order, and right to the last one."""
+    draw = random.Random(4)
+    values = [draw.uniform(-1e4, 1e4) / 7 for _ in range(20_000)]
+    wanted = ["sum", "mean", "sum_positive", "sum_negative", "mean_positive", "mean_negative"]
+    exact = [math.fsum(own) / n for own, n in ((w, m) for w in (values, [v for v in values if v > 0], [v for v in values if v < 0]) for m in (1, len(w)))]
+    for seed in range(3):
+        draw.shuffle(values)
+        df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5 + seed)
+        r = rollup.grouped(df, [], {"v": wanted}).first()
+        assert [r["v_sum"], r["v_mean"], r["v_sum_positive"], r["v_mean_positive"], r["v_sum_negative"], r["v_mean_negative"]] == exact
+    odd = spark.createDataFrame([(1, None), (2, 1e300), (2, 3.0), (3, float("inf")), (4, float("nan")), (4, 1.0), (5, 1e-30), (5, None)], "k int, v double")
+    got = {r["k"]: (r["v_sum"], r["v_mean"], r["v_sum_positive"]) for r in rollup.grouped(odd, ["k"], {"v": ["sum", "mean", "sum_positive"]}).collect()}
+    assert got[1] == (None, None, 0.0) and got[2] == (1e300, 5e299, 1e300) and got[3][0] == got[3][1] == math.inf and math.isnan(got[4][0]) and got[5][:2] == (1e-30, 1e-30)
+
+
 def test_level_files_are_parsed_once(spark, tmp_path):
     """Numbers and place are no expressions of single rows' filters: a line is split once, a header read once a file."""
     (tmp_path / "l.txt").write_text("\n".join(["Latitude and longitude 1 2", *["header"] * 49, " ".join(["1"] * 16)]))

@@ -9,6 +9,18 @@ from pyspark.sql import functions as F
 
 Stat = Callable[[str], Column]
 
+
+def steady_sum(x: Column) -> Column:
+    """The sum of doubles, the same in whatever order rows and parts come: whole multiples of 2^-20 add up without rounding (below 2^33 in all), and what is left of each is small."""
+    whole = F.rint(x * 2.0**20) / 2.0**20
+    rest = F.when(F.abs(x) < 2.0**33, x - whole).otherwise(0.0)
+    return F.sum(F.when(F.abs(x) < 2.0**33, whole).otherwise(x)) + F.sum(rest)
+
+
+def _steady_mean(x: Column) -> Column:
+    return F.try_divide(steady_sum(x), F.count(x))
+
+
 #: Aggregates by name.
 STATS: dict[str, Stat] = {
     "mean": F.avg,
@@ -28,6 +40,16 @@ STATS: dict[str, Stat] = {
     "positive_percentage": lambda c: F.try_divide(F.count_if(F.col(c) > 0), F.count_if(F.col(c) > 0) + F.count_if(F.col(c) < 0)) * 100,
 }
 
+#: Those of doubles that do not depend on the order of rows.
+STEADY: dict[str, Stat] = {
+    "mean": lambda c: _steady_mean(F.col(c)),
+    "sum": lambda c: steady_sum(F.col(c)),
+    "sum_positive": lambda c: F.coalesce(steady_sum(F.when(F.col(c) > 0, F.col(c))), F.lit(0.0)),
+    "sum_negative": lambda c: F.coalesce(steady_sum(F.when(F.col(c) < 0, F.col(c))), F.lit(0.0)),
+    "mean_positive": lambda c: _steady_mean(F.when(F.col(c) > 0, F.col(c))),
+    "mean_negative": lambda c: _steady_mean(F.when(F.col(c) < 0, F.col(c))),
+}
+
 
 def _stat(name: str | Stat) -> tuple[str, Stat]:
     if callable(name):
@@ -39,10 +61,12 @@ def _stat(name: str | Stat) -> tuple[str, Stat]:
 
 def grouped(df: DataFrame, by: Sequence[str], wanted: Mapping[str, str | Stat | Sequence[str | Stat]], count: str | None = "entity_count") -> DataFrame:
     """A column col_stat for each entry; several statistics of a column in one pass."""
-    out = []
+    out, kinds = [], dict(df.dtypes)
     for column, stats in wanted.items():
         for s in [stats] if isinstance(stats, str) or callable(stats) else stats:
             name, f = _stat(s)
+            if isinstance(s, str) and kinds.get(column) == "double":
+                f = STEADY.get(s, f)
             out.append(f(column).alias(f"{column}_{name}"))
     if count:
         out.append(F.count(F.lit(1)).alias(count))
